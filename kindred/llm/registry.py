@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kindred.llm.decontaminate import op8_decontaminate
+from kindred.llm.packing import op9_packing
 from kindred.llm.token_counts import op10_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op8_decontaminate": op8_decontaminate,
+        "op9_packing": op9_packing,
         "op10_token_counts": op10_token_counts,
     }
 
