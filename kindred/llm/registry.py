@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kindred.llm.decontaminate import op8_decontaminate
+from kindred.llm.line_dedup import OP2_SQL, op2_line_dedup
 from kindred.llm.packing import op9_packing
+from kindred.llm.url_filter import OP5_SQL, op5_url_filter
 from kindred.llm.token_counts import op10_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_line_dedup": op2_line_dedup,
+        "op5_url_filter": op5_url_filter,
         "op8_decontaminate": op8_decontaminate,
         "op9_packing": op9_packing,
         "op10_token_counts": op10_token_counts,
@@ -20,4 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_line_dedup": OP2_SQL,
+        "op5_url_filter": OP5_SQL,
+    }
