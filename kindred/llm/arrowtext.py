@@ -92,3 +92,22 @@ def words(text: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     offsets = np.concatenate(([0], np.cumsum(full)))[offsets - offsets[0]]
     coded = flat.filter(pa.array(full)).dictionary_encode()
     return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary, offsets
+
+
+def translate(text: pa.Array, table: np.ndarray) -> pa.Array:
+    """Map every byte; ``table`` must keep UTF-8 valid (change ASCII to ASCII only)."""
+    if not len(text):
+        return text
+    ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+    data = table[np.frombuffer(text.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]]
+    return pa.LargeStringArray.from_buffers(len(text), pa.py_buffer((ends - ends[0]).tobytes()), pa.py_buffer(data.tobytes()))
+
+
+def _plain_table() -> np.ndarray:
+    word = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
+    low = [c + 32 if 0x41 <= c <= 0x5A else c for c in range(256)]
+    return np.array([c if c in word else 0x20 for c in low], np.uint8)
+
+
+#: A-Z lower-cased; ASCII other than letters and digits to spaces.
+PLAIN = _plain_table()
