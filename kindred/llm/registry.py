@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kindred.llm.decontaminate import op8_decontaminate
 from kindred.llm.line_dedup import OP2_SQL, op2_line_dedup
+from kindred.llm.neighbours import op3_neighbours
 from kindred.llm.packing import op9_packing
 from kindred.llm.toxicity import op7_toxicity
 from kindred.llm.url_filter import OP5_SQL, op5_url_filter
@@ -17,6 +18,7 @@ from kindred.llm.token_counts import op10_token_counts
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_line_dedup": op2_line_dedup,
+        "op3_neighbours": op3_neighbours,
         "op5_url_filter": op5_url_filter,
         "op7_toxicity": op7_toxicity,
         "op8_decontaminate": op8_decontaminate,
