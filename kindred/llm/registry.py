@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kindred.llm.decontaminate import op8_decontaminate
+from kindred.llm.language_model import op4_language_model
 from kindred.llm.line_dedup import OP2_SQL, op2_line_dedup
 from kindred.llm.neighbours import op3_neighbours
 from kindred.llm.packing import op9_packing
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_line_dedup": op2_line_dedup,
         "op3_neighbours": op3_neighbours,
+        "op4_language_model": op4_language_model,
         "op5_url_filter": op5_url_filter,
         "op7_toxicity": op7_toxicity,
         "op8_decontaminate": op8_decontaminate,
