@@ -13,6 +13,7 @@ from kindred.llm.neighbours import op3_neighbours
 from kindred.llm.packing import op9_packing
 from kindred.llm.toxicity import op7_toxicity
 from kindred.llm.url_filter import OP5_SQL, op5_url_filter
+from kindred.llm.parity_join import op6_jaccard_join
 from kindred.llm.token_counts import op10_token_counts
 
 
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_neighbours": op3_neighbours,
         "op4_language_model": op4_language_model,
         "op5_url_filter": op5_url_filter,
+        "op6_jaccard_join": op6_jaccard_join,
         "op7_toxicity": op7_toxicity,
         "op8_decontaminate": op8_decontaminate,
         "op9_packing": op9_packing,

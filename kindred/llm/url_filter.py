@@ -68,6 +68,14 @@ def build_filter(keys: DataFrame, blocks: int = BLOCKS) -> np.ndarray:
     return words
 
 
+def maybe_listed(h: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Whether the filter may hold keys of these hashes (Spark's xxhash64)."""
+    bits = np.zeros(len(h), np.int64)
+    for k in range(HASHES):
+        bits |= np.int64(1) << ((h.view(np.uint64) >> np.uint64(40 + 6 * k)) & np.uint64(63)).astype(np.int64)
+    return (words[h % len(words)] & bits) == bits
+
+
 def possible_hits(candidates: DataFrame, words: np.ndarray) -> DataFrame:
     """The rows whose ``key`` may be listed."""
     shared = candidates.sparkSession.sparkContext.broadcast(words)
@@ -75,11 +83,7 @@ def possible_hits(candidates: DataFrame, words: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = batch.column("_hash").to_numpy()
-            bits = np.zeros(len(h), np.int64)
-            for k in range(HASHES):
-                bits |= np.int64(1) << ((h.view(np.uint64) >> np.uint64(40 + 6 * k)) & np.uint64(63)).astype(np.int64)
-            maybe = (shared.value[h % len(shared.value)] & bits) == bits
+            maybe = maybe_listed(batch.column("_hash").to_numpy(), shared.value)
             yield batch.filter(pa.array(maybe)).select(columns)
 
     return candidates.withColumn("_hash", F.xxhash64("key")).mapInArrow(run, candidates.schema)
