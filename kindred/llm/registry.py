@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kindred.llm.decontaminate import op8_decontaminate
+from kindred.llm.html_text import op1_html_text
 from kindred.llm.language_model import op4_language_model
 from kindred.llm.line_dedup import OP2_SQL, op2_line_dedup
 from kindred.llm.neighbours import op3_neighbours
@@ -19,6 +20,7 @@ from kindred.llm.token_counts import op10_token_counts
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_text": op1_html_text,
         "op2_line_dedup": op2_line_dedup,
         "op3_neighbours": op3_neighbours,
         "op4_language_model": op4_language_model,
