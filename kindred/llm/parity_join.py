@@ -73,21 +73,26 @@ def shingle_sets(values: pa.Array, size: int) -> list[np.ndarray]:
 class Bands:
     """Size bands and blocks for similarity ``num`` / ``den``.
 
-    Band k holds sizes in [edge[k], edge[k + 1]); a text links only within its
-    band and the next, so it is sketched for both.
+    Band k holds sizes in [edge[k], edge[k + 1]), whose ratio is at most
+    (den / num) squared.  A text links only within its band and the next, and
+    only with a size above ``num / den`` of the next band's least in the next.
     """
 
     def __init__(self, num: int, den: int, spare: float = SPARE):
         self.num, self.den = num, den
         edges = [1]
         while edges[-1] < 1 << 32:
-            edges.append(max(edges[-1] + 1, edges[-1] * den // num + 1))
+            edges.append(max(edges[-1] + 1, edges[-1] * den * den // (num * num)))
         self.edges = np.array(edges)
         self.spare = spare
 
     def of(self, size: int) -> int:
         return int(np.searchsorted(self.edges, size, side="right")) - 1
 
+    def reaches(self, size: int) -> bool:
+        """Whether a text may link into the next band."""
+        return size * self.den >= int(self.edges[self.of(size) + 1]) * self.num
+
     def allowed(self, total: int) -> int:
         """Differences two sets of ``total`` elements together may have."""
         return (self.den - self.num) * total // (self.den + self.num)
@@ -134,7 +139,7 @@ def text_sets(docs: DataFrame, *, id_col: str, text_col: str, shingle: int) -> D
 
 
 def representatives(docs: DataFrame, *, id_col: str, text_col: str, shingle: int, bands: Bands) -> DataFrame:
-    """One row per distinct set: digest, low (its least id), n, sketches for its band and the next."""
+    """One row per distinct set: digest, low (its least id), n, sketches for its band and, within reach, the next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,7 +147,7 @@ def representatives(docs: DataFrame, *, id_col: str, text_col: str, shingle: int
                 sets = shingle_sets(texts(part, text_col), shingle)
                 rows = [i for i, x in enumerate(sets) if len(x)]
                 band = [bands.of(len(sets[i])) for i in rows]
-                made = [[sketch(sets[i], bands.blocks(b + k)[0]).tobytes() for i, b in zip(rows, band, strict=True)] for k in (0, 1)]
+                made = [[sketch(sets[i], bands.blocks(b + k)[0]).tobytes() if not k or bands.reaches(len(sets[i])) else None for i, b in zip(rows, band, strict=True)] for k in (0, 1)]
                 yield pa.RecordBatch.from_pydict(
                     {
                         "digest": pa.array([xxhash.xxh3_128_digest(sets[i].tobytes()) for i in rows], pa.binary()),
@@ -167,6 +172,8 @@ def join_keys(reps: DataFrame, bands: Bands) -> DataFrame:
             keys, owner, which = [], [], []
             for k, name in enumerate(("own", "next")):
                 for node, n, raw in zip(nodes, sizes, batch.column(name).to_pylist(), strict=True):
+                    if raw is None:
+                        continue
                     band = bands.of(int(n)) + k
                     found = block_keys(np.frombuffer(raw, "<u8"), band, bands.blocks(band)[1])
                     keys.append(found)
@@ -200,6 +207,8 @@ def sketch_filter(pairs: DataFrame, reps: DataFrame, bands: Bands) -> DataFrame:
                     continue
                 left = col["own_a" if p >= q else "next_a"][i]
                 right = col["own_b" if q >= p else "next_b"][i]
+                if left is None or right is None:
+                    continue
                 keep[i] = np.bitwise_count(np.frombuffer(left, "<u8") ^ np.frombuffer(right, "<u8")).sum() <= bands.allowed(x + y)
             yield batch.filter(pa.array(keep)).select(["a", "b"])
 
