@@ -44,7 +44,7 @@ from kindred.storage import materialise
 
 SHINGLE = 3
 SIMILARITY = (90, 100)
-SPARE = 0.15  # more blocks than differences allowed
+SPARE = 0.1  # more blocks than differences allowed
 FEW = 8  # texts of a key whose pairs are written directly
 TILE = 1024
 
@@ -125,65 +125,102 @@ def block_keys(sketched: np.ndarray, band: int, leave: int) -> np.ndarray:
     return mix(mix(np.uint64(band) << np.uint64(32) | place) + sketched[place.astype(np.int64)])
 
 
-def text_sets(docs: DataFrame, *, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, n_shingles, digest) of every row; the digest is null for empty sets."""
+def _digests(sets: list[np.ndarray], seed: int) -> list[bytes]:
+    return [xxhash.xxh3_128_digest(x.tobytes(), seed) for x in sets]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, text_col):
-                sets = shingle_sets(texts(part, text_col), shingle)
-                yield pa.RecordBatch.from_pydict({id_col: part.column(id_col), "n_shingles": pa.array([len(x) for x in sets], pa.int64()), "digest": pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets], pa.binary())})
 
-    used = docs.select(id_col, text_col)
-    return used.mapInArrow(run, f"`{id_col}` {used.schema[id_col].dataType.simpleString()}, n_shingles long, digest binary")
+def _nodes(digests: list[bytes]) -> np.ndarray:
+    """The first 64 bits of each digest."""
+    return np.frombuffer(b"".join(d[:8] for d in digests), "<i8")
 
 
-def representatives(docs: DataFrame, *, id_col: str, text_col: str, shingle: int, bands: Bands) -> DataFrame:
-    """One row per distinct set: digest, low (its least id), n, sketches for its band and, within reach, the next."""
+def text_sets(docs: DataFrame, *, id_col: str, text_col: str, shingle: int, seed: int) -> DataFrame:
+    """(id, n_shingles, digest, node) of every row; the last two are null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text_col):
                 sets = shingle_sets(texts(part, text_col), shingle)
-                rows = [i for i, x in enumerate(sets) if len(x)]
-                band = [bands.of(len(sets[i])) for i in rows]
-                made = [[sketch(sets[i], bands.blocks(b + k)[0]).tobytes() if not k or bands.reaches(len(sets[i])) else None for i, b in zip(rows, band, strict=True)] for k in (0, 1)]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "digest": pa.array([xxhash.xxh3_128_digest(sets[i].tobytes()) for i in rows], pa.binary()),
-                        "low": part.column(id_col).take(pa.array(rows, pa.int64())),
-                        "n": pa.array([len(sets[i]) for i in rows], pa.int64()),
-                        "own": pa.array(made[0], pa.binary()),
-                        "next": pa.array(made[1], pa.binary()),
-                    }
-                )
+                digests = _digests(sets, seed)
+                none = np.array([not len(x) for x in sets], bool)
+                yield pa.RecordBatch.from_pydict({id_col: part.column(id_col), "n_shingles": pa.array([len(x) for x in sets], pa.int64()), "digest": pa.array([d if len(x) else None for d, x in zip(digests, sets, strict=True)], pa.binary()), "node": pa.array(_nodes(digests), mask=none)})
 
     used = docs.select(id_col, text_col)
-    rows = used.mapInArrow(run, f"digest binary, low {used.schema[id_col].dataType.simpleString()}, n long, own binary, next binary")
-    return rows.groupBy("digest").agg(F.min("low").alias("low"), *(F.first(c).alias(c) for c in ("n", "own", "next"))).withColumn("node", F.monotonically_increasing_id())
+    return used.mapInArrow(run, f"`{id_col}` {used.schema[id_col].dataType.simpleString()}, n_shingles long, digest binary, node long")
+
+
+def distinct_sets(docs: DataFrame, *, id_col: str, text_col: str, shingle: int) -> tuple[DataFrame, DataFrame, int]:
+    """(rows with their sets' digests, one row per distinct set, the digests' seed).
+
+    Nodes are 64 bits of the digest; should two sets share one, another seed
+    is taken, so that nodes stand for sets one to one.
+    """
+    for seed in range(8):
+        sets = materialise(text_sets(docs, id_col=id_col, text_col=text_col, shingle=shingle, seed=seed), "sets")
+        grouped = sets.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min(id_col).alias("low"), F.min("n_shingles").alias("n"), F.min("node").alias("node"))
+        reps = materialise(grouped, "reps")
+        if reps.select("node").distinct().count() == reps.count():
+            return sets, reps, seed
+    raise RuntimeError("no seed gives every set its own number")
+
 
+def join_keys(docs: DataFrame, bands: Bands, *, text_col: str, shingle: int, seed: int) -> DataFrame:
+    """(key, node, own, held): keys that several sets hold, with how many do.
 
-def join_keys(reps: DataFrame, bands: Bands) -> DataFrame:
-    """(key, node, own, held): keys that several texts hold, with how many do."""
+    A task emits each distinct set once; only keys and numbers are shuffled.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[bytes] = set()
         for batch in batches:
-            nodes, sizes = batch.column("node").to_numpy(), batch.column("n").to_numpy()
-            keys, owner, which = [], [], []
-            for k, name in enumerate(("own", "next")):
-                for node, n, raw in zip(nodes, sizes, batch.column(name).to_pylist(), strict=True):
-                    if raw is None:
+            for part in slices(batch, text_col):
+                if len(done) > 500_000:
+                    done.clear()
+                sets = [x for x in shingle_sets(texts(part, text_col), shingle) if len(x)]
+                digests = _digests(sets, seed)
+                keys, owner, which = [], [], []
+                for x, digest, node in zip(sets, digests, _nodes(digests), strict=True):
+                    if digest in done:
                         continue
-                    band = bands.of(int(n)) + k
-                    found = block_keys(np.frombuffer(raw, "<u8"), band, bands.blocks(band)[1])
-                    keys.append(found)
-                    owner.append(np.full(len(found), node))
-                    which.append(np.full(len(found), k == 0))
-            if keys:
-                yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(keys).view(np.int64)), "node": pa.array(np.concatenate(owner)), "own": pa.array(np.concatenate(which))})
+                    done.add(digest)
+                    for k in range(1 + bands.reaches(len(x))):
+                        band = bands.of(len(x)) + k
+                        blocks, leave = bands.blocks(band)
+                        found = block_keys(sketch(x, blocks), band, leave)
+                        keys.append(found)
+                        owner.append(np.full(len(found), node))
+                        which.append(np.full(len(found), k == 0))
+                if keys:
+                    yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(keys).view(np.int64)), "node": pa.array(np.concatenate(owner)), "own": pa.array(np.concatenate(which))})
+
+    keyed = docs.select(text_col).mapInArrow(run, "key long, node long, own boolean")
+    same = Window.partitionBy("key")
+    shared = keyed.withColumn("_least", F.min("node").over(same)).withColumn("_most", F.max("node").over(same)).where(F.col("_least") != F.col("_most")).select("key", "node", "own").distinct()
+    return shared.withColumn("held", F.count("*").over(same))
+
+
+def read_sets(docs: DataFrame, wanted: DataFrame, make, fields: str, *, id_col: str, text_col: str, shingle: int, seed: int) -> DataFrame:
+    """``make(set)`` as a row of ``fields`` for the sets of ``wanted`` (node, digest, low), with their node.
+
+    A Bloom filter on the ids spares the other texts; an equi-join on the
+    digest decides.
+    """
+    from kindred.llm.url_filter import build_filter, maybe_listed
 
-    keyed = reps.select("node", "n", "own", "next").mapInArrow(run, "key long, node long, own boolean")
-    return keyed.withColumn("held", F.count("*").over(Window.partitionBy("key"))).where(F.col("held") > 1)
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    blocks = docs.sparkSession.sparkContext.broadcast(build_filter(wanted.select(name("low").alias("key")), 1 << 18))
+    parts = [f.split() for f in fields.split(", ")]
+    types = {"binary": pa.binary(), "long": pa.int64()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch.filter(pa.array(maybe_listed(batch.column("_hash").to_numpy(), blocks.value))), text_col):
+                sets = [x for x in shingle_sets(texts(part, text_col), shingle) if len(x)]
+                made = list(zip(*(make(x) for x in sets), strict=True)) or [[] for _ in parts]
+                yield pa.RecordBatch.from_pydict({"digest": pa.array(_digests(sets, seed), pa.binary())} | {c: pa.array(v, types[t]) for (c, t), v in zip(parts, made, strict=True)})
+
+    found = docs.select(text_col, F.xxhash64(name(id_col)).alias("_hash")).mapInArrow(run, f"digest binary, {fields}")
+    return wanted.select("node", "digest").join(found, "digest").drop("digest")
 
 
 def direct_pairs(few: DataFrame) -> DataFrame:
@@ -298,29 +335,17 @@ def tile_pairs(many: DataFrame, reps: DataFrame, bands: Bands, labels: DataFrame
     return met.mapInArrow(_forest(bands), "a long, b long").distinct()
 
 
-def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, *, id_col: str, text_col: str, shingle: int, num: int, den: int) -> DataFrame:
-    """(a, b, linked): the exact test on whole sets.
+def verify(pairs: DataFrame, reps: DataFrame, read, num: int, den: int) -> DataFrame:
+    """(a, b, linked): the exact test on whole sets, which ``read`` supplies.
 
-    Only texts named by a pair are read into sets: a Bloom filter on their ids
-    spares the others, an equi-join on the digest decides.  Each pair's second
-    set travels to the first; a text with very many pairs is met in several
-    places.
+    Each pair's second set travels to the first; a text with very many pairs
+    is met in several places.
     """
-    from kindred.llm.url_filter import build_filter, maybe_listed
-
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(reps.select("node", "digest", "low"), "node")
-    blocks = docs.sparkSession.sparkContext.broadcast(build_filter(asked.select(F.coalesce(F.col("low").cast("string"), F.lit("")).alias("key")), 1 << 18))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch.filter(pa.array(maybe_listed(batch.column("_hash").to_numpy(), blocks.value))), text_col):
-                sets = [x for x in shingle_sets(texts(part, text_col), shingle) if len(x)]
-                yield pa.RecordBatch.from_pydict({"digest": pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), "elements": pa.array([x.tobytes() for x in sets], pa.binary())})
-
-    sets = docs.select(text_col, F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("_hash")).mapInArrow(run, "digest binary, elements binary")
+    sets = read(asked, lambda x: (x.tobytes(),), "elements binary")
     spread = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.count("*").over(Window.partitionBy("a")) / 4096)))
     places = spread.select(F.col("b").alias("node"), "a", "salt", F.lit(1).alias("role")).unionByName(spread.select(F.col("a").alias("node"), "a", "salt", F.lit(0).alias("role")).distinct())
-    met = asked.select("node", "digest").join(places, "node").join(sets, "digest").repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "node").select("a", "role", "node", "elements")
+    met = sets.join(places, "node").repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "node").select("a", "role", "node", "elements")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, mine = None, None
@@ -346,13 +371,20 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """``id_col``, n_shingles and component_id of every row of ``docs``."""
     num, den = similarity
     bands = Bands(num, den)
-    sets = materialise(text_sets(docs, id_col=id_col, text_col=text_col, shingle=shingle), "sets")
-    reps = materialise(representatives(docs, id_col=id_col, text_col=text_col, shingle=shingle, bands=bands), "reps")
-    keys = materialise(join_keys(reps, bands), "keys")
+    sets, reps, seed = distinct_sets(docs, id_col=id_col, text_col=text_col, shingle=shingle)
+    keys = materialise(join_keys(docs, bands, text_col=text_col, shingle=shingle, seed=seed), "keys")
+    read = lambda wanted, make, fields: read_sets(docs, wanted, make, fields, id_col=id_col, text_col=text_col, shingle=shingle, seed=seed)
+
+    def sketches(x: np.ndarray) -> tuple[int, bytes, bytes | None]:
+        band = bands.of(len(x))
+        return len(x), sketch(x, bands.blocks(band)[0]).tobytes(), sketch(x, bands.blocks(band + 1)[0]).tobytes() if bands.reaches(len(x)) else None
+
+    involved = reps.join(keys.select("node").distinct(), "node", "left_semi")
+    sketched = materialise(read(involved, sketches, "n long, own binary, next binary").dropDuplicates(["node"]), "sketches")
     many = keys.where(F.col("held") > FEW)
-    exact = lambda pairs: materialise(verify(pairs, reps, docs, id_col=id_col, text_col=text_col, shingle=shingle, num=num, den=den), "verified")
-    direct = sketch_filter(direct_pairs(keys.where(F.col("held") <= FEW)), reps, bands)
-    forest = materialise(tile_pairs(many, reps, bands), "forest")
+    exact = lambda pairs: materialise(verify(pairs, reps, read, num, den), "verified")
+    direct = sketch_filter(direct_pairs(keys.where(F.col("held") <= FEW)), sketched, bands)
+    forest = materialise(tile_pairs(many, sketched, bands), "forest")
     tested = exact(materialise(direct.unionByName(forest).distinct(), "candidates"))
     labels = connected_components(tested.where("linked"), "a", "b")
     open_pairs = tested.where(~F.col("linked")).join(forest, ["a", "b"], "left_semi")
@@ -362,7 +394,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         refuted = tested.where(~F.col("linked"))
         partners = refuted.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(refuted.select(F.col("b").alias("node"), F.col("a").alias("other"))).join(ends.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.collect_set("other").alias("refuted"))
         again = many.join(many.join(ends.select("node").distinct(), "node", "left_semi").select("key").distinct(), "key", "left_semi")
-        fresh = materialise(tile_pairs(again, reps, bands, labels, partners).join(tested, ["a", "b"], "left_anti"), "forest")
+        fresh = materialise(tile_pairs(again, sketched, bands, labels, partners).join(tested, ["a", "b"], "left_anti"), "forest")
         if not fresh.limit(1).count():
             break
         more = exact(fresh)
