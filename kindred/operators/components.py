@@ -9,7 +9,7 @@ never grows, and chains shrink in a logarithmic number of rounds.
 from __future__ import annotations
 
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 
 from kindred.storage import materialise
 
@@ -35,8 +35,12 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     return kept.where(F.col("u") != F.col("v")).distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+def _store(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The stored edges with their count and checksum, observed while writing."""
+    seen = Observation()
+    watched = edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("sum"))
+    stored = materialise(watched, "edges")
+    return stored, (seen.get["n"], seen.get["sum"])
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -44,13 +48,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 
     Self-loops and null ends are ignored; an empty table gives an empty result.
     """
-    now = materialise(edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where(F.col("u") != F.col("v")).distinct(), "edges")
-    before = _state(now)
+    now, before = _store(edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where(F.col("u") != F.col("v")).distinct())
     for _ in range(MAX_ROUNDS):
         if not before[0]:
             break
-        now = materialise(_star(_star(now, small=False), small=True), "edges")
-        after = _state(now)
+        now, after = _store(_star(_star(now, small=False), small=True))
         if after == before:
             break
         before = after
