@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import SparkSession
 
 ASCII_SPACE = " \t\n\x0b\x0c\r"
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:

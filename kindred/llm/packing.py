@@ -41,7 +41,7 @@ END_ID = 1
 NODE_BUDGET = 200
 DESCENTS = 8
 BUCKET_ROWS = 100_000
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
 
 
 class WordIds:
@@ -112,7 +112,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = coder(tokenizer_path)
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, 4 << 20):
                 ids, ends = words.ids(texts(part, text_col))
                 rows, number, start, length, crc, kept = [], [], [], [], [], []
                 for r in range(len(part)):

@@ -11,9 +11,8 @@ blocks than needed let every text leave out its emptiest words, which would
 join unrelated texts.
 
 * equal sets meet first, by digest, and go on as one;
-* keys held by few texts give their pairs directly;
-* the texts of a frequent key are compared in tiles of bounded size by folded
-  sketches and give a spanning forest of the pairs that pass, not all pairs;
+* the texts of a key are compared in tiles of bounded size by folded sketches
+  and give a spanning forest of the pairs that pass, not all pairs;
 * every candidate pair is verified on the exact sets.  Where verification
   breaks a forest, the tiles run again with the links known so far and
   without the pairs already refuted, until no candidate joins two components.
@@ -45,7 +44,6 @@ from kindred.storage import materialise
 SHINGLE = 3
 SIMILARITY = (90, 100)
 SPARE = 0.1  # more blocks than differences allowed
-FEW = 8  # texts of a key whose pairs are written directly
 TILE = 1024
 
 
@@ -112,9 +110,28 @@ def sketch(elements: np.ndarray, blocks: int) -> np.ndarray:
 
 
 def fold_sketch(sketched: np.ndarray) -> bytes:
-    """A sketch of a quarter of the bits: the XOR of each word's four parts."""
-    parts = sketched.view("<u2").reshape(-1, 4)
-    return np.bitwise_xor.reduce(parts, axis=1).tobytes()
+    """The sketch with each word folded to 16, 8 or 4 bits, the fewer the more words.
+
+    Folding XORs parts of a word together, so the result is a parity sketch of
+    the same elements with fewer bits, still at least four a difference
+    allowed, and its distances are lower bounds as well.
+    """
+    bits = 16 if len(sketched) <= 32 else 8 if len(sketched) <= 128 else 4
+    word, wide = sketched.copy(), 64
+    while wide > bits:
+        wide //= 2
+        word = word ^ (word >> np.uint64(wide))
+    word &= np.uint64((1 << bits) - 1)
+    if bits == 16:
+        return word.astype("<u2").tobytes()
+    if bits == 4:
+        word = np.append(word, np.zeros(len(word) % 2, np.uint64))
+        word = word[::2] | word[1::2] << np.uint64(4)
+    return word.astype(np.uint8).tobytes()
+
+
+def bits_apart(a: bytes, b: bytes) -> int:
+    return (int.from_bytes(a, "little") ^ int.from_bytes(b, "little")).bit_count()
 
 
 def block_keys(sketched: np.ndarray, band: int, leave: int) -> np.ndarray:
@@ -220,37 +237,7 @@ def read_sets(docs: DataFrame, wanted: DataFrame, make, fields: str, *, id_col:
                 yield pa.RecordBatch.from_pydict({"digest": pa.array(_digests(sets, seed), pa.binary())} | {c: pa.array(v, types[t]) for (c, t), v in zip(parts, made, strict=True)})
 
     found = docs.select(text_col, F.xxhash64(name(id_col)).alias("_hash")).mapInArrow(run, f"digest binary, {fields}")
-    return wanted.select("node", "digest").join(found, "digest").drop("digest")
-
-
-def direct_pairs(few: DataFrame) -> DataFrame:
-    """All pairs (a < b) of keys with at most ``FEW`` texts, each set of texts once."""
-    groups = few.groupBy("key").agg(F.sort_array(F.collect_set("node")).alias("nodes")).select("nodes").distinct()
-    first = groups.select("nodes", F.posexplode("nodes").alias("i", "a"))
-    return first.select("a", F.explode(F.expr("slice(nodes, i + 2, size(nodes))")).alias("b")).distinct()
-
-
-def sketch_filter(pairs: DataFrame, reps: DataFrame, bands: Bands) -> DataFrame:
-    """Pairs whose sketches differ in no more bits than linked sets may in elements."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            na, nb = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
-            col = {c: batch.column(c).to_pylist() for c in ("own_a", "next_a", "own_b", "next_b")}
-            keep = np.zeros(len(na), bool)
-            for i, (x, y) in enumerate(zip(na.tolist(), nb.tolist(), strict=True)):
-                p, q = bands.of(x), bands.of(y)
-                if abs(p - q) > 1:
-                    continue
-                left = col["own_a" if p >= q else "next_a"][i]
-                right = col["own_b" if q >= p else "next_b"][i]
-                if left is None or right is None:
-                    continue
-                keep[i] = np.bitwise_count(np.frombuffer(left, "<u8") ^ np.frombuffer(right, "<u8")).sum() <= bands.allowed(x + y)
-            yield batch.filter(pa.array(keep)).select(["a", "b"])
-
-    side = lambda x: reps.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("own").alias(f"own_{x}"), F.col("next").alias(f"next_{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
+    return wanted.select("node", "digest").join(found.dropDuplicates(["digest"]), "digest").drop("digest")
 
 
 def _forest(bands: Bands):
@@ -316,16 +303,10 @@ def _forest(bands: Bands):
     return run
 
 
-def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        kept = [c for c in batch.schema.names if c != "sketched"]
-        yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in kept} | {"folded": pa.array([fold_sketch(np.frombuffer(x, "<u8")) for x in batch.column("sketched").to_pylist()], pa.binary())})
-
-
-def tile_pairs(many: DataFrame, reps: DataFrame, bands: Bands, labels: DataFrame | None = None, refuted: DataFrame | None = None) -> DataFrame:
-    """Forest pairs (a < b) of frequent keys, compared in tiles of about ``TILE`` texts."""
-    rows = many.join(reps.select("node", "n", F.col("own").alias("_own"), F.col("next").alias("_next")), "node")
-    rows = rows.select("key", "node", "held", "n", F.when(F.col("own"), F.col("_own")).otherwise(F.col("_next")).alias("sketched")).mapInArrow(_fold, "key long, node long, held long, n long, folded binary")
+def tile_pairs(keys: DataFrame, reps: DataFrame, bands: Bands, labels: DataFrame | None = None, refuted: DataFrame | None = None) -> DataFrame:
+    """Forest pairs (a < b) of keys, compared in tiles of about ``TILE`` texts."""
+    rows = keys.join(reps.select("node", "n", F.col("own").alias("_own"), F.col("next").alias("_next")), "node")
+    rows = rows.select("key", "node", "held", "n", F.when(F.col("own"), F.col("_own")).otherwise(F.col("_next")).alias("folded"))
     rows = rows.withColumn("label", F.col("node")) if labels is None else rows.join(labels.select(F.col("id").alias("node"), F.col("component").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
     rows = rows.withColumn("refuted", F.lit(None).cast("array<long>")) if refuted is None else rows.join(refuted, "node", "left")
     tiles = F.ceil(F.col("held") / TILE).cast("int")
@@ -377,23 +358,21 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     def sketches(x: np.ndarray) -> tuple[int, bytes, bytes | None]:
         band = bands.of(len(x))
-        return len(x), sketch(x, bands.blocks(band)[0]).tobytes(), sketch(x, bands.blocks(band + 1)[0]).tobytes() if bands.reaches(len(x)) else None
+        own, following = (fold_sketch(sketch(x, bands.blocks(band + k)[0])) if not k or bands.reaches(len(x)) else None for k in (0, 1))
+        return len(x), own, following
 
     involved = reps.join(keys.select("node").distinct(), "node", "left_semi")
-    sketched = materialise(read(involved, sketches, "n long, own binary, next binary").dropDuplicates(["node"]), "sketches")
-    many = keys.where(F.col("held") > FEW)
+    sketched = materialise(read(involved, sketches, "n long, own binary, next binary"), "sketches")
     exact = lambda pairs: materialise(verify(pairs, reps, read, num, den), "verified")
-    direct = sketch_filter(direct_pairs(keys.where(F.col("held") <= FEW)), sketched, bands)
-    forest = materialise(tile_pairs(many, sketched, bands), "forest")
-    tested = exact(materialise(direct.unionByName(forest).distinct(), "candidates"))
+    tested = exact(materialise(tile_pairs(keys, sketched, bands), "forest"))
     labels = connected_components(tested.where("linked"), "a", "b")
-    open_pairs = tested.where(~F.col("linked")).join(forest, ["a", "b"], "left_semi")
+    open_pairs = tested.where(~F.col("linked"))
     while open_pairs.limit(1).count():
         # A forest lost an edge: its keys look for other pairs between components.
         ends = open_pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(open_pairs.select(F.col("b").alias("node"), F.col("a").alias("other")))
         refuted = tested.where(~F.col("linked"))
         partners = refuted.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(refuted.select(F.col("b").alias("node"), F.col("a").alias("other"))).join(ends.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.collect_set("other").alias("refuted"))
-        again = many.join(many.join(ends.select("node").distinct(), "node", "left_semi").select("key").distinct(), "key", "left_semi")
+        again = keys.join(keys.join(ends.select("node").distinct(), "node", "left_semi").select("key").distinct(), "key", "left_semi")
         fresh = materialise(tile_pairs(again, sketched, bands, labels, partners).join(tested, ["a", "b"], "left_anti"), "forest")
         if not fresh.limit(1).count():
             break

@@ -6,10 +6,12 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
 from kindred.llm import decontaminate, line_dedup, packing, parity_join, toxicity
+from kindred.storage import materialise
 
 TEXT = ("doc_id", "text")
 NEAR_SHINGLE = 5
 NEAR_SIMILARITY = (80, 100)
+BROADCAST_IDS = 1_000_000
 
 
 def pack_columns(docs: DataFrame) -> DataFrame:
@@ -46,7 +48,9 @@ def drop_near_copies(docs: DataFrame, *, shingle: int = NEAR_SHINGLE, similarity
     """The document of the smallest id of every group; texts without words and null ids stay."""
     found = parity_join.jaccard_components(docs, shingle=shingle, similarity=similarity)
     lost = found.where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(lost, "doc_id", "left_anti").select(docs.columns)
+    lost = materialise(lost, "lost")
+    few = lost.count() <= BROADCAST_IDS
+    kept = docs.join(F.broadcast(lost) if few else lost, "doc_id", "left_anti").select(docs.columns)
     repeated = found.where(F.col("n_shingles") > 0).groupBy("doc_id").count().where((F.col("count") > 1) & F.col("doc_id").isNotNull())
     if repeated.limit(1).count():
         again = kept.join(repeated.select("doc_id"), "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])

@@ -96,13 +96,13 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text", 4 << 20):
             found = distinct(texts(part))
-            yield pa.RecordBatch.from_pydict({"id": part.column("id"), "label": part.column("label"), "at": pa.array([x.tobytes() for x in found], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"id": part.column("id"), "label": part.column("label"), "at": pa.array([np.diff(x, prepend=0).astype("<i4").tobytes() for x in found], pa.binary())})
 
 
 def _fit_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = sorted(r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("id", "label", "at")), strict=True))
     if rows:
-        w, intercept = fit([np.frombuffer(at, "<i4") for _, _, at in rows], np.array([y for _, y, _ in rows], float))
+        w, intercept = fit([np.cumsum(np.frombuffer(at, "<i4")) for _, _, at in rows], np.array([y for _, y, _ in rows], float))
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_pydict({"at": pa.array(np.append(at, -1).astype(np.int32)), "weight": pa.array(np.append(w[at], intercept))})
 
@@ -135,7 +135,7 @@ def score(docs: DataFrame, weights: np.ndarray, intercept: float, *, text_col: s
                 hit = w[found] != 0
                 key = np.unique(rows[hit] << np.int64(HASH_BITS) | found[hit])
                 total = np.bincount(key >> HASH_BITS, w[key & ((1 << HASH_BITS) - 1)], minlength=len(part)) + intercept
-                yield pa.RecordBatch.from_pydict({c: part.column(c) for c in columns} | {"score": pa.array(1 / (1 + np.exp(-np.clip(total, -700, 700))))})
+                yield pa.RecordBatch.from_pydict({c: part.column(c) for c in columns} | {"score": pa.array(np.where(np.isneginf(total), 0.0, 1 / (1 + np.exp(-np.clip(total, -700, 700)))))})
 
     used = docs.select(*dict.fromkeys((*columns, text_col)))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
