@@ -44,7 +44,7 @@ from kindred.storage import materialise
 SHINGLE = 3
 SIMILARITY = (90, 100)
 SPARE = 0.1  # more blocks than differences allowed
-TILE = 1024
+TILE = 512
 
 
 def shingle_sets(values: pa.Array, size: int) -> list[np.ndarray]:
@@ -243,62 +243,86 @@ def read_sets(docs: DataFrame, wanted: DataFrame, make, fields: str, *, id_col:
 def _forest(bands: Bands):
     """Spanning forests of the passing pairs of each (key, tile pair)."""
 
-    def group(node, tile, n, label, raw, refuted) -> list[tuple[int, int]]:
-        m = len(node)
-        wide = -(-len(raw[0]) // 8) * 8
-        sketched = np.frombuffer(b"".join(x.ljust(wide, b"\0") for x in raw), "<u8").reshape(m, -1)
-        flagged = np.array([x is not None for x in refuted])
-        root = {x: x for x in label.tolist()}
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
+    def small(node, tile, n, label, raw, refuted, cross: bool) -> list[tuple[int, int, int]]:
+        """(slack, i, j) of the pairs that pass, for a few texts."""
+        bits = [int.from_bytes(x, "little") for x in raw]
+        out = []
+        for i in range(1, len(bits)):
+            for j in range(i):
+                if label[i] == label[j] or (cross and tile[i] == tile[j]) or (refuted[i] is not None and node[j] in refuted[i]):
+                    continue
+                slack = bands.allowed(n[i] + n[j]) - (bits[i] ^ bits[j]).bit_count()
+                if slack >= 0:
+                    out.append((slack, i, j))
+        return out
 
-        cross = len(np.unique(tile)) > 1
+    def large(node, tile, n, label, raw, refuted, cross: bool) -> list[tuple[int, int, int]]:
+        """The same for up to a pair of tiles."""
+        wide = -(-len(raw[0]) // 8) * 8
+        sketched = np.frombuffer(b"".join(x.ljust(wide, b"\0") for x in raw), "<u8").reshape(len(raw), -1)
+        node, tile, n, label = (np.array(x) for x in (node, tile, n, label))
         out = []
-        for i in range(1, m):
+        for i in range(1, len(raw)):
             apart = label[:i] != label[i]
             if cross:
                 apart &= tile[:i] != tile[i]
             if refuted[i] is not None:
                 apart &= ~np.isin(node[:i], refuted[i])
-            if not apart.any():
-                continue
             at = np.flatnonzero(apart)
             slack = (bands.den - bands.num) * (n[at] + n[i]) // (bands.den + bands.num) - np.bitwise_count(sketched[at] ^ sketched[i]).sum(axis=1).astype(np.int64)
             ok = slack >= 0
-            at, slack = at[ok], slack[ok]
-            for j in at[np.argsort(-slack, kind="stable")].tolist():
-                x, y = find(int(label[i])), find(int(label[j]))
-                if x != y or flagged[i] or flagged[j]:
-                    out.append((min(int(node[i]), int(node[j])), max(int(node[i]), int(node[j]))))
-                    root[x] = y
+            out += [(int(x), i, int(j)) for x, j in zip(slack[ok], at[ok], strict=True)]
         return out
 
-    columns = ("node", "tile", "n", "label")
+    def group(node, tile, n, label, raw, refuted) -> list[tuple[int, int]]:
+        """Closest pairs first, those that join two trees; all pairs of refuted texts."""
+        cross = len(set(tile)) > 1
+        passing = (small if len(node) <= 12 else large)(node, tile, n, label, raw, refuted, cross)
+        root = {x: x for x in label}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-            whole = pa.Table.from_batches(rows)
-            found = group(*(whole.column(c).to_numpy() for c in columns), whole.column("folded").to_pylist(), whole.column("refuted").to_pylist()) if len(whole) > 1 else []
-            return pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
 
-        held, here = [], None
+        out = []
+        for _, i, j in sorted(passing, key=lambda p: (-p[0], p[1], p[2])):
+            x, y = find(label[i]), find(label[j])
+            if x != y or refuted[i] is not None or refuted[j] is not None:
+                out.append((min(node[i], node[j]), max(node[i], node[j])))
+                root[x] = y
+        return out
+
+    columns = ("node", "tile", "n", "label", "folded", "refuted")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = [[] for _ in columns]
+        here = None
         for batch in batches:
             spot = np.stack([batch.column(c).to_numpy() for c in ("key", "lo", "hi")], axis=1)
-            cuts = [0, *(np.flatnonzero((np.diff(spot, axis=0) != 0).any(axis=1)) + 1), len(spot)]
+            if not len(spot):
+                continue
+            rows = [batch.column(c).to_pylist() for c in columns]
+            cuts = [0, *(np.flatnonzero((np.diff(spot, axis=0) != 0).any(axis=1)) + 1).tolist(), len(spot)]
+            found: list[tuple[int, int]] = []
+            if here is not None and tuple(spot[0]) != here:
+                found += group(*held) if len(held[0]) > 1 else []
+                held = [[] for _ in columns]
             for a, b in zip(cuts, cuts[1:], strict=False):
-                if b == a:
-                    continue
-                if held and tuple(spot[a]) != here:
-                    yield flush(held)
-                    held = []
-                here = tuple(spot[a])
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield flush(held)
+                part = [x[a:b] for x in rows]
+                if held[0]:  # the group began in an earlier batch
+                    part = [x + y for x, y in zip(held, part, strict=True)]
+                    held = [[] for _ in columns]
+                if b == len(spot):
+                    held = part
+                elif len(part[0]) > 1:
+                    found += group(*part)
+            here = tuple(spot[-1])
+            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+        if len(held[0]) > 1:
+            found = group(*held)
+            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     return run
 

@@ -62,10 +62,9 @@ def corpus(seed, spread):
     return [*out, (0, out[5][1]), (900, out[5][1].upper()), (901, None), (902, ""), (903, " \n"), (None, out[6][1])]
 
 
-@pytest.mark.parametrize(("seed", "size", "similarity", "tile", "few"), [(1, 3, (90, 100), 1024, 8), (2, 3, (90, 100), 7, 2), (3, 5, (80, 100), 1024, 8), (4, 5, (80, 100), 5, 2), (5, 1, (70, 100), 16, 2)])
-def test_components_equal_brute_force(spark, monkeypatch, seed, size, similarity, tile, few):
+@pytest.mark.parametrize(("seed", "size", "similarity", "tile"), [(1, 3, (90, 100), 1024), (2, 3, (90, 100), 7), (3, 5, (80, 100), 1024), (4, 5, (80, 100), 5), (5, 1, (70, 100), 16)])
+def test_components_equal_brute_force(spark, monkeypatch, seed, size, similarity, tile):
     monkeypatch.setattr(parity_join, "TILE", tile)
-    monkeypatch.setattr(parity_join, "FEW", few)
     rows = corpus(seed, (0.0, 0.005, 0.01, 0.02, 0.03, 0.05))
     docs = spark.createDataFrame(rows, DOC).withColumn("n_shingles", F.lit("clash")).withColumn("node", F.lit(1)).repartition(3)
     got = parity_join.jaccard_components(docs, shingle=size, similarity=similarity)
