@@ -87,7 +87,7 @@ class Scan:
         self.spans: list[tuple[int, int]] = []
 
     def run(self, automaton: ahocorasick.Automaton) -> None:
-        if not self.n_words:
+        if not self.n_words or not len(automaton):
             return
         place = None
         for end, (size, ids) in automaton.iter(self.joined.decode("latin-1")):
