@@ -5,10 +5,10 @@ Jaccard similarity of at least t differ in at most (1 - t) / (1 + t) * (a + b)
 elements.  A parity sketch XORs every element into one bit; the Hamming
 distance of two sketches can only be smaller than the symmetric difference.
 The sketch's 64-bit words deal the elements into that many blocks, so with
-more blocks than allowed differences some blocks must be equal: equal words
-are the join keys (pigeonhole), within bands of similar set sizes.  A few more
-blocks than needed let every text leave out its emptiest words, which would
-join unrelated texts.
+more blocks than allowed differences some blocks must be equal: the XOR of the
+hashes in a block is a join key (pigeonhole), within bands of similar set
+sizes.  A few more blocks than needed let every text leave out its emptiest
+ones, which would join unrelated texts.
 
 * equal sets meet first, by digest, and go on as one;
 * the texts of a key are compared in tiles of bounded size by folded sketches
@@ -134,12 +134,20 @@ def bits_apart(a: bytes, b: bytes) -> int:
     return (int.from_bytes(a, "little") ^ int.from_bytes(b, "little")).bit_count()
 
 
-def block_keys(sketched: np.ndarray, band: int, leave: int) -> np.ndarray:
-    """Join keys of a sketch without its ``leave`` emptiest words."""
-    place = np.arange(len(sketched), dtype=np.uint64)
-    if leave:
-        place = np.sort(np.argsort(np.bitwise_count(sketched), kind="stable")[leave:]).astype(np.uint64)
-    return mix(mix(np.uint64(band) << np.uint64(32) | place) + sketched[place.astype(np.int64)])
+def block_keys(elements: np.ndarray, blocks: int, band: int, leave: int) -> np.ndarray:
+    """Join keys of a set's blocks without its ``leave`` emptiest ones.
+
+    A block's key XORs the whole hashes of its elements, not only their bits
+    of the sketch, so that blocks meet when they hold the same elements and
+    hardly ever by chance.  ``elements`` are sorted, so blocks are runs.
+    """
+    at = ((elements >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
+    held = np.bincount(at, minlength=blocks)
+    total = np.zeros(blocks, np.uint64)
+    some = np.flatnonzero(held)
+    total[some] = np.bitwise_xor.reduceat(mix(elements), (np.cumsum(held) - held)[some])
+    place = np.sort(np.argsort(held, kind="stable")[leave:]) if leave else np.arange(blocks)
+    return mix(mix(np.uint64(band) << np.uint64(32) | place.astype(np.uint64)) + total[place])
 
 
 def _digests(sets: list[np.ndarray], seed: int) -> list[bytes]:
@@ -203,7 +211,7 @@ def join_keys(docs: DataFrame, bands: Bands, *, text_col: str, shingle: int, see
                     for k in range(1 + bands.reaches(len(x))):
                         band = bands.of(len(x)) + k
                         blocks, leave = bands.blocks(band)
-                        found = block_keys(sketch(x, blocks), band, leave)
+                        found = block_keys(x, blocks, band, leave)
                         keys.append(found)
                         owner.append(np.full(len(found), node))
                         which.append(np.full(len(found), k == 0))
