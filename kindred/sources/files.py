@@ -23,7 +23,10 @@ def _listing(spark: SparkSession, folder: str, recursive: bool) -> DataFrame:
     if "://" not in folder and not os.path.isdir(folder):
         return spark.createDataFrame([], EMPTY)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    return reader.load(folder if recursive else f"{folder.rstrip('/')}/*").select("path", "modificationTime", "length")
+    rows = reader.load(folder if recursive else f"{folder.rstrip('/')}/*").select("path", "modificationTime", "length")
+    # The pattern also matches folders, whose files are not the folder's own.
+    own = folder.rstrip("/").split("://")[-1]
+    return rows if recursive else rows.where(dirname(F.col("path")).endswith(own))
 
 
 def list_images(spark: SparkSession, folders: list[tuple[str, bool]]) -> DataFrame:
