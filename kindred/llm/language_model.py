@@ -2,9 +2,9 @@
 
 P(w | h) = a2 * c(h w) / c2(h) + a1 * c(w) / N + a0 / (V + 1)
 
-The maximum-likelihood estimates come from word and word-pair counts over the
-whole training corpus; pairs seen fewer than ``MIN_PAIRS`` times are cut off
-and c2(h) sums the pairs that stay, so each estimate is a distribution.  The
+The maximum-likelihood estimates come from the counts of all words and all
+word pairs of the training corpus (``min_pairs`` can cut rare pairs off; then
+c2(h) sums the pairs that stay, so each estimate is a distribution).  The
 mixture weights depend on the bucket of c2(h) (a power of two) and are learned
 by expectation-maximisation (Jelinek & Mercer, 1980) on held-out counts: one
 part of the training documents, marked ``deleted``, is taken out of the counts and
@@ -13,13 +13,15 @@ EM, so Spark sums the held-out pairs into a table of (bucket, ratio, ratio)
 cells on a log scale, whose size is bounded, and the driver iterates on that.
 All training documents then supply the final counts.
 
-Words are hashed to 64 bits.  Counting is one pre-aggregated shuffle for words
-and one for pairs.  Scoring reads the texts once, with two broadcast tables of
-bounded size: the ``FREQUENT`` most frequent words and the pairs of them that
-pass the cut-off.  The few tokens outside the word table leave their text as
-(row, word) and get their counts by a join with the whole word table, so every
-count is exact whatever the vocabulary's size.  Should the pairs outgrow
-``MAX_PAIRS``, all sums are made by joins on the hashes instead.
+Words and pairs are hashed to 64 bits.  Counting is one pre-aggregated shuffle
+for words and one for pairs.  A token is a context once for each time it is a
+word (the end token stands before each text), so c2(h) is c(h) where no pair
+is cut off.  Scoring reads the texts with broadcast tables of bounded size:
+the ``FREQUENT`` most frequent words, the ``MAX_PAIRS`` most frequent pairs and
+a Bloom filter of the other pairs seen twice or more.  A pair of a training
+text that is in neither occurs once.  All other tokens leave their text as
+(row, pair) and get their counts by joins with the whole tables, so every count
+is exact whatever the number of words and pairs.
 
 Defined results: null text is empty and holds the end token alone; a context
 is the word before, the end token at the start of a text; words unknown to the
@@ -38,13 +40,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 
 from kindred.llm.arrowtext import hash_strings, mix, slices, small_batches, texts, words
 from kindred.llm.toxicity import fold
+from kindred.llm.url_filter import _bits, maybe_listed
 from kindred.storage import materialise
 
 END = np.uint64(0x5851F42D4C957F2D)  # the end token's hash
-MIN_PAIRS = 4
+MIN_PAIRS = 1
 FREQUENT = 1 << 20
 MAX_PAIRS = 6_000_000
+FILTER_BLOCKS = 1 << 21  # 64-bit blocks of the pair filter: 16 MB
 BUCKETS = 24
+COUNTS = ("main", "total", "ctx_main", "ctx_total")
 STEP = 3  # cells per doubling of a ratio
 EM_ROUNDS = 60
 ADD = 0.1
@@ -94,12 +99,19 @@ class Tally:
         return pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in out.items()} | {"main": pa.array(np.concatenate([p[2] for p in parts])), "held": pa.array(np.concatenate([p[3] for p in parts]))})
 
 
+def pair_keys(ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(ctx * np.uint64(0x9E3779B97F4A7C15) + word)
+
+
 class Vocabulary:
-    """Broadcast counts of the frequent words, by hash."""
+    """Broadcast counts of the frequent words, as words and as contexts, by hash."""
 
-    def __init__(self, key: np.ndarray, main: np.ndarray, held: np.ndarray):
+    def __init__(self, listed: pa.Table):
+        key = listed.column("key").to_numpy().view(np.uint64)
         order = np.argsort(key)
-        self.words, self.main, self.total = key[order], main[order].astype(np.uint32), (main + held)[order].astype(np.uint32)
+        self.words = key[order]
+        # One more place, for every other word.
+        self.counts = {c: np.append(listed.column(c).to_numpy()[order], 0).astype(np.uint32) for c in COUNTS}
         self.end = int(self.index(np.array([END]))[0])
 
     @property
@@ -143,28 +155,19 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield tally.rows()
 
 
-def _count_pairs(shared):
-    """Pairs by index (``key`` = context << 32 | word) or, without a vocabulary, by two hashes."""
+def _count_pairs(contexts: bool):
+    """Sums by pair, with the pair's context as ``second`` if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = Tally()
         for batch in batches:
             for part in slices(batch, "text"):
-                held = np.asarray(part.column("held"))
-                if shared is None:
-                    h, ends = tokens(texts(part))
-                    tally.add(before(h, ends, END), h, np.repeat(held, np.diff(ends)))
-                else:
-                    v = shared.value
-                    word, _, ends = coded(texts(part), v)
-                    ctx = before(word, ends, v.end)
-                    # Pairs without a frequent context have no estimate; only the deleted part asks for them.
-                    gone = np.repeat(held, np.diff(ends))
-                    keep = (word < v.other) & (gone | (ctx < v.other))
-                    tally.add((ctx[keep] << 32 | word[keep]).astype(np.uint64), None, gone[keep])
+                h, ends = tokens(texts(part))
+                ctx = before(h, ends, END)
+                tally.add(pair_keys(ctx, h), ctx if contexts else None, np.repeat(np.asarray(part.column("held")), np.diff(ends)))
                 if tally.full():
                     yield tally.rows()
-        if shared is not None or tally.parts:
+        if tally.parts:
             yield tally.rows()
 
     return run
@@ -207,45 +210,74 @@ def learn_weights(cells: list[tuple[int, int | None, int | None, int]], rounds:
     return out
 
 
+class Tokens:
+    """The tokens of texts: words, contexts, pairs, and their counts where frequent."""
+
+    def __init__(self, values: pa.Array, voc: Vocabulary):
+        self.word, h, self.ends = coded(values, voc)
+        ctx_hash = before(h, self.ends, END)
+        self.ctx, self.pair = before(self.word, self.ends, voc.end), pair_keys(ctx_hash, h)
+        self.seldom, self.seldom_ctx = self.word == voc.other, self.ctx == voc.other
+        # Frequent words need no join; the pair in their place spreads them.
+        self.asked_word, self.asked_ctx = np.where(self.seldom, h, self.pair), np.where(self.seldom_ctx, ctx_hash, self.pair)
+        self.rare = self.seldom | self.seldom_ctx
+
+
 class Scorer:
     """What a task needs to score the frequent tokens of texts."""
 
-    def __init__(self, vocabulary: Vocabulary, keys: np.ndarray, counts: np.ndarray, weights: np.ndarray, n: int, v: int):
-        self.vocabulary, self.weights, self.n, self.v = vocabulary, weights, n, v
+    def __init__(self, vocabulary: Vocabulary, pairs: pa.Table, repeated: np.ndarray, single: int, weights: np.ndarray, n: int, v: int):
+        self.vocabulary, self.repeated, self.single, self.weights, self.n, self.v = vocabulary, repeated, single, weights, n, v
+        keys = pairs.column("key").to_numpy()
         order = np.argsort(keys)
-        self.keys, self.counts = keys[order], counts[order].astype(np.uint32)
-        self.context = np.bincount(self.keys >> 32, self.counts, vocabulary.other + 1)
-
-    def score(self, values: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-        """Sums over frequent tokens by text; (text, hash, bucket) of the other tokens."""
+        self.keys, self.counts = keys[order], pairs.column("n").to_numpy()[order].astype(np.uint32)
+
+    def pairs(self, key: np.ndarray, training: np.ndarray) -> np.ndarray:
+        """Counts of pairs, -1 where only a join can tell."""
+        keys, back = np.unique(key.view(np.int64), return_inverse=True)
+        n = np.full(len(keys), -1)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            n = np.where(self.keys[at] == keys, self.counts[at].astype(np.int64), -1)
+        maybe = maybe_listed(keys, self.repeated)
+        n, maybe = n[back], maybe[back]
+        return np.where((n < 0) & training & ~maybe, self.single, n)
+
+    def score(self, values: pa.Array, training: np.ndarray) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+        """Sums over settled tokens by text; the other tokens, equal ones of a text as one."""
         voc = self.vocabulary
-        word, h, ends = coded(values, voc)
-        ctx = before(word, ends, voc.end)
-        total = self.context[ctx]
-        bucket = bucket_of(total)
-        common = word < voc.other
-        counts = np.append(voc.total, 0).astype(float)[word]
-        pair = np.zeros(len(word))
-        ask = np.flatnonzero((total > 0) & common)
-        if len(ask):
-            key, back = np.unique(ctx[ask] << 32 | word[ask], return_inverse=True)
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            pair[ask] = np.where(self.keys[at] == key, self.counts[at], 0)[back]
-        a = self.weights[bucket]
-        chance = a[:, 0] * pair / np.maximum(total, 1) + a[:, 1] * counts / max(self.n, 1) + a[:, 2] / (self.v + 1)
+        t = Tokens(values, voc)
+        size = np.diff(t.ends)
+        counts, total = voc.counts["total"][t.word].astype(np.int64), voc.counts["ctx_total"][t.ctx].astype(np.int64)
+        n = self.pairs(t.pair, np.repeat(training, size))
+        a = self.weights[bucket_of(total)]
+        chance = a[:, 0] * np.maximum(n, 0) / np.maximum(total, 1) + a[:, 1] * counts / max(self.n, 1) + a[:, 2] / (self.v + 1)
         base = np.log10((counts + ADD) / (self.n + ADD * (self.v + 1)))
-        each = lambda x: np.add.reduceat(x, ends[:-1]) if len(values) else np.zeros(0)
-        sums = {"n_tokens": np.diff(ends).astype(np.int64), "n_known": each((counts > 0).astype(np.int64)).astype(np.int64), "base_score": each(np.where(common, base, 0)), "score": each(np.where(common, np.log10(chance), 0))}
-        rare = np.flatnonzero(~common)
-        return sums, np.repeat(np.arange(len(values)), np.diff(ends))[rare], h[rare], bucket[rare]
+        settled = ~t.rare & (n >= 0)
+        each = lambda x: np.add.reduceat(x, t.ends[:-1]) if len(values) else np.zeros(0)
+        sums = {"n_tokens": size.astype(np.int64), "n_known": each((counts > 0).astype(np.int64)).astype(np.int64), "base_score": each(np.where(t.seldom, 0, base)), "score": each(np.where(settled, np.log10(chance), 0))}
+        open_ = np.flatnonzero(~settled)
+        row = np.repeat(np.arange(len(values)), size)[open_]
+        _, first, times = np.unique(mix(t.pair[open_] + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True, return_counts=True)
+        at = open_[first]
+        return sums, {"text": row[first], "key": t.pair[at].view(np.int64), "n": n[at], "c": counts[at], "c2": total[at], "seldom": t.seldom[at], "times": times.astype(np.int64)}
+
+
+def repeated_filter(pairs: DataFrame, blocks: int = FILTER_BLOCKS) -> np.ndarray:
+    """Blocks of a Bloom filter over column ``key``, hashes themselves."""
+    coded = pairs.select(F.pmod("key", F.lit(blocks)).cast("int").alias("block"), _bits("key").alias("bits"))
+    listed = coded.groupBy("block").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(blocks, np.int64)
+    out[listed.column("block").to_numpy()] = listed.column("bits").to_numpy()
+    return out
 
 
 def frequent_words(word_table: DataFrame, most: int) -> DataFrame:
-    """The words above the least count that keeps them at ``most`` rows."""
-    counts = word_table.groupBy((F.col("main") + F.col("held")).alias("total")).agg(F.count("*").alias("n")).orderBy(F.desc("total"))
+    """The words or pairs above the least ``total`` that keeps them at ``most`` rows."""
+    counts = word_table.groupBy("total").agg(F.count("*").alias("n")).orderBy(F.desc("total"))
     reached = counts.withColumn("sofar", F.sum("n").over(Window.orderBy(F.desc("total"))))
     least = reached.where(F.col("sofar") <= most).agg(F.min("total")).first()[0]
-    return word_table.where(F.col("main") + F.col("held") >= (least if least is not None else 1 << 62))
+    return word_table.where(F.col("total") >= (least if least is not None else 1 << 62))
 
 
 def lm_scores(docs: DataFrame, training: Column, deleted: Column, *, id_col: str = "doc_id", text_col: str = "text", min_pairs: int = MIN_PAIRS, frequent: int = FREQUENT, max_pairs: int = MAX_PAIRS) -> DataFrame:
@@ -258,67 +290,89 @@ def lm_scores(docs: DataFrame, training: Column, deleted: Column, *, id_col: str
     learn = docs.where(training).select(F.col(text_col).alias("text"), F.coalesce(deleted, F.lit(False)).alias("held"))
     counted = "key long, main long, held long"
     sums = (F.sum("main").alias("main"), F.sum("held").alias("held"))
-    word_table = materialise(learn.mapInArrow(_count_words, counted).groupBy("key").agg(*sums), "words")
-    row = word_table.agg(F.count("*").alias("v"), F.coalesce(F.sum("main"), F.lit(0)).alias("main"), F.coalesce(F.sum("held"), F.lit(0)).alias("held")).first()
+    words_ = materialise(learn.mapInArrow(_count_words, counted).groupBy("key").agg(*sums), "words")
+    row = words_.agg(F.count("*").alias("v"), F.coalesce(F.sum("main"), F.lit(0)).alias("main"), F.coalesce(F.sum("held"), F.lit(0)).alias("held")).first()
     v, n_main, n = row["v"], row["main"], row["main"] + row["held"]
-    listed = frequent_words(word_table, frequent).toArrow()
-    vocabulary = Vocabulary(listed.column("key").to_numpy().view(np.uint64), listed.column("main").to_numpy(), listed.column("held").to_numpy())
-    del listed
+    total = F.col("main") + F.col("held")
+    kept = lambda c: F.when(c >= min_pairs, c).otherwise(0)
+    if min_pairs > 1:
+        counts = materialise(learn.mapInArrow(_count_pairs(True), "key long, second long, main long, held long").groupBy("key", "second").agg(*sums), "pairs")
+        contexts = counts.groupBy(F.col("second").alias("key")).agg(F.sum(kept(F.col("main"))).alias("ctx_main"), F.sum(kept(total)).alias("ctx_total"))
+        word_table = materialise(words_.join(contexts, "key", "left").select("key", "main", total.alias("total"), *(F.coalesce(c, F.lit(0)).alias(c) for c in COUNTS[2:])), "words")
+    else:
+        counts = materialise(learn.mapInArrow(_count_pairs(False), counted).groupBy("key").agg(*sums), "pairs")
+        word_table = words_.select("key", "main", total.alias("total"), F.col("main").alias("ctx_main"), total.alias("ctx_total"))
+    pairs = counts.select("key", "main", kept(total).alias("total"))
+    vocabulary = Vocabulary(frequent_words(word_table, frequent).toArrow())
     shared = spark.sparkContext.broadcast(vocabulary)
-    pairs = learn.mapInArrow(_count_pairs(shared), counted).groupBy("key").agg(*sums)
-    pairs = materialise(pairs.where((F.col("main") + F.col("held") >= min_pairs) | (F.col("held") > 0)), "pairs")
-    context, word = F.shiftright("key", 32), F.col("key").bitwiseAND(0xFFFFFFFF)
-    known = pairs.where((F.col("main") + F.col("held") >= min_pairs) & (context < vocabulary.other)).select("key", (F.col("main") + F.col("held")).alias("n"))
-    if known.count() > max_pairs:
-        return _by_joins(docs, learn, word_table, v, n_main, n, id_col=id_col, text_col=text_col, min_pairs=min_pairs)
-
-    def attach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        main = shared.value.main.astype(np.int64)
-        for batch in batches:
-            at = batch.column("key").to_numpy() & 0xFFFFFFFF
-            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("key", "main", "held")} | {"c1": pa.array(main[at])})
 
     def seldom(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc = shared.value
+        for batch in batches:
+            for part in slices(batch, text_col):
+                t = Tokens(texts(part, text_col), shared.value)
+                at = np.flatnonzero(t.rare)
+                at = at[np.unique(t.pair[at], return_index=True)[1]]
+                yield pa.RecordBatch.from_pydict({"key": pa.array(t.pair[at].view(np.int64)), "word": pa.array(t.asked_word[at].view(np.int64)), "ctx": pa.array(t.asked_ctx[at].view(np.int64))} | known(t, at))
+
+    def heldout(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                at, h, ends = coded(texts(part), voc)
-                rare = at == voc.other
-                yield pa.RecordBatch.from_pydict({"ctx": pa.array(before(at, ends, voc.end)[rare]), "word": pa.array(h[rare].view(np.int64))})
-
-    # Held-out tokens: frequent words from the pair table, the others by a join with all words.
-    context_main = pairs.where((F.col("main") >= min_pairs) & (context < vocabulary.other)).groupBy(context.alias("ctx")).agg(F.sum("main").alias("c2"))
-    common = pairs.where("held > 0").mapInArrow(attach, counted + ", c1 long").select(context.alias("ctx"), "main", "held", "c1")
-    others = learn.where("held").mapInArrow(seldom, "ctx long, word long").groupBy("ctx", "word").agg(F.count("*").alias("held"))
-    others = others.join(word_table.select(F.col("key").alias("word"), F.col("main").alias("c1")), "word", "left").select("ctx", F.lit(0).cast("long").alias("main"), "held", "c1")
-    asked = common.unionByName(others).join(context_main, "ctx", "left")
-    weights = learn_weights(_cells(asked, n_main, v, min_pairs))
-    table = known.toArrow()
-    scorer = spark.sparkContext.broadcast(Scorer(vocabulary, table.column("key").to_numpy(), table.column("n").to_numpy(), weights, n, v))
-    del table
+                t = Tokens(texts(part), shared.value)
+                _, at, times = np.unique(t.pair, return_index=True, return_counts=True)
+                have = known(t, at)
+                yield pa.RecordBatch.from_pydict({"key": pa.array(t.pair[at].view(np.int64)), "held": pa.array(times.astype(np.int64)), "c1": have["main"], "c2": have["ctx_main"], "rare": pa.array(t.rare[at])})
+
+    def known(t: Tokens, at: np.ndarray) -> dict[str, pa.Array]:
+        """Counts of the frequent words among the tokens, 0 for the others."""
+        return {c: pa.array(shared.value.counts[c][(t.ctx if c in COUNTS[2:] else t.word)[at]].astype(np.int64)) for c in COUNTS}
+
+    # Pairs with a word outside the broadcast ones: their words' counts by two joins.
+    asked = docs.select(text_col).mapInArrow(seldom, "key long, word long, ctx long, " + ", ".join(f"{c} long" for c in COUNTS)).dropDuplicates(["key"])
+    by = lambda name, columns: word_table.select(F.col("key").alias(name), *(F.col(c).alias(f"_{c}") for c in columns))
+    asked = asked.join(by("word", COUNTS[:2]), "word", "left").join(by("ctx", COUNTS[2:]), "ctx", "left")
+    rare = materialise(asked.select("key", *((F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in COUNTS)), "rare")
+
+    out_of = learn.where("held").mapInArrow(heldout, "key long, held long, c1 long, c2 long, rare boolean")
+    out_of = out_of.join(pairs.select("key", "main"), "key", "left").join(rare.select("key", F.col("main").alias("_c1"), F.col("ctx_main").alias("_c2")), "key", "left")
+    cells = out_of.select("main", "held", *(F.when(F.col("rare"), F.coalesce(f"_{c}", F.lit(0))).otherwise(F.col(c)).alias(c) for c in ("c1", "c2")))
+    weights = learn_weights(_cells(cells, n_main, v, min_pairs))
+
+    listed = frequent_words(pairs.where("total > 0"), max_pairs).select("key", F.col("total").cast("int").alias("n")).toArrow()
+    repeated = repeated_filter(pairs.where("total > 1"))
+    scorer = spark.sparkContext.broadcast(Scorer(vocabulary, listed, repeated, int(min_pairs <= 1), weights, n, v))
+    del listed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text_col, 8 << 20):
-                made, text, h, bucket = scorer.value.score(texts(part, text_col))
-                none = len(h)
-                at = pa.array(np.concatenate((np.arange(len(part)), text)))
+            for part in slices(batch, text_col):
+                made, more = scorer.value.score(texts(part, text_col), np.asarray(part.column("_training")))
+                none = len(more["key"])
+                at = pa.array(np.concatenate((np.arange(len(part)), more.pop("text"))))
+                rows = {"key": mix(part.column("_row").to_numpy().view(np.uint64)).view(np.int64)}
                 pad = {c: pa.array(np.concatenate((x, np.zeros(none, x.dtype)))) for c, x in made.items()}
-                first = np.arange(len(part) + none) < len(part)
-                rare = {"word": pa.array(np.concatenate((np.zeros(len(part), np.int64), h.view(np.int64))), mask=first), "bucket": pa.array(np.concatenate((np.zeros(len(part), np.int64), bucket)).astype(np.int32))}
-                yield pa.RecordBatch.from_pydict({c: part.column(c).take(at) for c in (id_col, "_row")} | pad | rare)
+                pad |= {c: pa.array(np.concatenate((rows.get(c, np.zeros(len(part), x.dtype)), x))) for c, x in more.items()}
+                yield pa.RecordBatch.from_pydict({c: part.column(c).take(at) for c in (id_col, "_row")} | pad)
 
-    rows = docs.select(id_col, text_col).withColumn("_row", F.monotonically_increasing_id())
+    rows = docs.select(id_col, text_col, F.coalesce(training, F.lit(False)).alias("_training")).withColumn("_row", F.monotonically_increasing_id())
     kind = rows.schema[id_col].dataType.simpleString()
-    scored = materialise(rows.mapInArrow(run, f"`{id_col}` {kind}, _row long, n_tokens long, n_known long, base_score double, score double, word long, bucket int"), "scored")
-    rare = scored.where(F.col("word").isNotNull()).select("_row", "word", "bucket").join(word_table.select(F.col("key").alias("word"), (F.col("main") + F.col("held")).alias("c")), "word", "left").fillna(0, ["c"])
-    mixed = [F.element_at(F.array(*[F.lit(float(x)) for x in weights[:, i]]), F.col("bucket") + 1) for i in (1, 2)]
-    chance = mixed[0] * F.col("c") / F.lit(max(n, 1)) + mixed[1] / F.lit(v + 1)
+    scored = rows.mapInArrow(run, f"`{id_col}` {kind}, _row long, n_tokens long, n_known long, base_score double, score double, key long, n long, c long, c2 long, seldom boolean, times long")
+    # Rows of texts have no times; their keys are random and their sums final.
+    found = scored.join(pairs.where("total > 0").select("key", F.col("total").alias("_n")), "key", "left").join(rare.select("key", F.col("total").alias("_c"), F.col("ctx_total").alias("_c2")), "key", "left")
+    pair = F.when(F.col("n") >= 0, F.col("n")).otherwise(F.coalesce("_n", F.lit(0)))
+    c, c2 = (F.coalesce(f"_{x}", x) for x in ("c", "c2"))
+    found = found.select(id_col, "_row", "n_tokens", "n_known", "base_score", "score", "seldom", "times", pair.alias("n"), c.alias("c"), c2.alias("c2"))
+    mixed = [F.element_at(F.array(*[F.lit(float(x)) for x in weights[:, i]]), bucket_column(F.col("c2")) + 1) for i in range(3)]
+    chance = mixed[0] * F.col("n") / F.greatest(F.col("c2"), F.lit(1)) + mixed[1] * F.col("c") / F.lit(max(n, 1)) + mixed[2] / F.lit(v + 1)
     base = F.log10((F.col("c") + ADD) / F.lit(n + ADD * (v + 1)))
-    more = rare.groupBy("_row").agg(F.count_if(F.col("c") > 0).alias("_known"), F.sum(base).alias("_base"), F.sum(F.log10(chance)).alias("_score"))
-    out = scored.where(F.col("word").isNull()).join(more, "_row", "left")
-    plus = lambda a, b: (F.col(a) + F.coalesce(F.col(b), F.lit(0))).alias(a)
-    return out.select(id_col, "n_tokens", plus("n_known", "_known"), plus("base_score", "_base"), plus("score", "_score"), F.lit(n).cast("long").alias("train_tokens"))
+    asked, late = F.col("times") > 0, F.col("seldom")
+    out = found.groupBy("_row").agg(
+        F.max(id_col).alias(id_col),
+        F.max("n_tokens").alias("n_tokens"),
+        F.sum(F.when(late & (F.col("c") > 0), F.col("times")).otherwise(F.col("n_known"))).alias("n_known"),
+        F.sum(F.when(late, F.col("times") * base).otherwise(F.col("base_score"))).alias("base_score"),
+        F.sum(F.when(asked, F.col("times") * F.log10(chance)).otherwise(F.col("score"))).alias("score"),
+    )
+    return out.drop("_row").withColumn("train_tokens", F.lit(n).cast("long"))
 
 
 def _cells(asked: DataFrame, n_main: int, v: int, min_pairs: int) -> list[tuple[int, int | None, int | None, int]]:
@@ -333,39 +387,6 @@ def _cells(asked: DataFrame, n_main: int, v: int, min_pairs: int) -> list[tuple[
     return [tuple(r) for r in cells.groupBy("bucket", "r2", "r1").agg(F.sum("held")).toLocalIterator()]  # buckets x cells x cells
 
 
-def _explode(keep: list[str], text_col: str):
-    """Token rows (row, ctx, word) with the row's ``keep`` columns."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, text_col, 2 << 20):
-                h, ends = tokens(texts(part, text_col))
-                rows = pa.array(np.repeat(np.arange(len(part)), np.diff(ends)))
-                yield pa.RecordBatch.from_pydict({c: part.column(c).take(rows) for c in keep} | {"ctx": pa.array(before(h, ends, END).view(np.int64)), "word": pa.array(h.view(np.int64))})
-
-    return run
-
-
-def _by_joins(docs: DataFrame, learn: DataFrame, word_table: DataFrame, v: int, n_main: int, n: int, *, id_col: str, text_col: str, min_pairs: int) -> DataFrame:
-    """The same model with its tables too large to broadcast."""
-    pairs = learn.mapInArrow(_count_pairs(None), "key long, second long, main long, held long").groupBy(F.col("key").alias("ctx"), F.col("second").alias("word")).agg(F.sum("main").alias("main"), F.sum("held").alias("held"))
-    pairs = materialise(pairs.where((F.col("main") + F.col("held") >= min_pairs) | (F.col("held") > 0)), "pairs")
-    main = pairs.where(F.col("main") >= min_pairs).groupBy("ctx").agg(F.sum("main").alias("c2"))
-    ones = word_table.select(F.col("key").alias("word"), F.col("main").alias("c1"), (F.col("main") + F.col("held")).alias("c"))
-    weights = learn_weights(_cells(pairs.where("held > 0").join(ones, "word", "left").join(main, "ctx", "left"), n_main, v, min_pairs))
-    known = pairs.withColumn("c2", F.col("main") + F.col("held")).where(F.col("c2") >= min_pairs).select("ctx", "word", "c2")
-    context = known.groupBy("ctx").agg(F.sum("c2").alias("total"))
-    rows = docs.select(id_col, text_col).withColumn("_row", F.monotonically_increasing_id())
-    kind = rows.schema[id_col].dataType.simpleString()
-    token = rows.mapInArrow(_explode([id_col, "_row"], text_col), f"`{id_col}` {kind}, _row long, ctx long, word long")
-    found = token.join(known, ["ctx", "word"], "left").join(context, "ctx", "left").join(ones.select("word", "c"), "word", "left").fillna(0, ["c2", "total", "c"])
-    mixed = [F.element_at(F.array(*[F.lit(float(x)) for x in weights[:, i]]), bucket_column(F.col("total")) + 1) for i in range(3)]
-    chance = mixed[0] * F.col("c2") / F.greatest(F.col("total"), F.lit(1)) + mixed[1] * F.col("c") / F.lit(max(n, 1)) + mixed[2] / F.lit(v + 1)
-    base = F.log10((F.col("c") + ADD) / F.lit(n + ADD * (v + 1)))
-    scored = found.groupBy("_row", id_col).agg(F.count("*").alias("n_tokens"), F.count_if(F.col("c") > 0).alias("n_known"), F.sum(base).alias("base_score"), F.sum(F.log10(chance)).alias("score"))
-    return scored.drop("_row").withColumn("train_tokens", F.lit(n).cast("long"))
-
-
 def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: learns from fold 1-9 of 10, with fold 1 deleted for the weights; scores all."""
     small_batches(spark)

@@ -99,6 +99,29 @@ def test_language_model_counts_and_gain(spark):
     assert a["score"][held].sum() > a["base_score"][held].sum()
 
 
+def test_language_model_counts_all_pairs(spark):
+    rows = [(i, t) for i, t in enumerate(["a b c", "a b d", "c d x", "x y", "a b c y", "b a", "d c b a b", "q r q r", None, "x y z a b"] * 3)] + [(99, "a new b c r q"), (98, "a b " * 9)]
+    docs = spark.createDataFrame(rows, DOC)
+    training, deleted = F.col("doc_id") < 98, F.col("doc_id") % 5 == 1
+    train = [split(t) for i, t in rows if i < 98]
+    word, pair = Counter(w for t in train for w in t), Counter(p for t in train for p in zip([None, *t], t))
+    main = [split(t) for i, t in rows if i < 98 and i % 5 != 1]
+    word_main, pair_main = Counter(w for t in main for w in t), Counter(p for t in main for p in zip([None, *t], t))
+    n, v, n_main = sum(word.values()), len(word), sum(word_main.values())
+    cell = lambda part, whole: round(math.log2(part / whole * (v + 1)) * language_model.STEP) if part and whole else None
+    bucket = lambda c: int(language_model.bucket_of(np.array([c]))[0])
+    held = Counter((bucket(word_main[h]), cell(pair_main[h, w], word_main[h]), cell(word_main[w], n_main)) for i, t in rows if i < 98 and i % 5 == 1 for h, w in zip([None, *split(t)], split(t)))
+    a = language_model.learn_weights([(*k, times) for k, times in held.items()])
+    expected = {}
+    for i, t in rows:
+        mixed = [a[bucket(word[h])] @ [pair[h, w] / max(word[h], 1), word[w] / n, 1 / (v + 1)] for h, w in zip([None, *split(t)], split(t))]
+        expected[i] = sum(map(math.log10, mixed))
+    for o in ({}, {"frequent": 3}, {"max_pairs": 3}, {"frequent": 0, "max_pairs": 0}):
+        got = {r["doc_id"]: r["score"] for r in language_model.lm_scores(docs, training, deleted, **o).collect()}
+        assert got.keys() == expected.keys()
+        assert all(math.isclose(got[i], expected[i], rel_tol=1e-9) for i in got), o
+
+
 def test_language_model_is_a_distribution():
     weights = language_model.learn_weights([(0, None, 3, 5), (1, 12, 2, 7), (1, None, None, 2), (3, 6, 6, 1)])
     assert np.allclose(weights.sum(axis=1), 1)
