@@ -3,12 +3,16 @@
 A text is hashed by its bag of words over 64 buckets: bit i is set where bucket
 i holds more words than the mean of buckets 1-63, and bucket 0 gives no bit,
 the rule a perceptual hash applies to its frequency coefficients.  Rasters are
-8 x 8 grey values in row-major arrays; kernels that need many sums run as
-Arrow functions over whole batches, the others as array expressions.
+grey values in row-major arrays, 8 x 8 here; the perceptual hash and SSIM take
+any square raster (32 x 32 and 256 x 256 for whole images), the difference
+hash any width and height (9 x 8).  The DCT runs as an Arrow function over
+whole batches, the others are array expressions.
 """
 
 from __future__ import annotations
 
+from math import isqrt
+
 import numpy as np
 import pandas as pd
 import pyspark.sql.functions as F
@@ -61,9 +65,9 @@ def raster(values: Column) -> Column:
     return F.transform(values, lambda x: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(x.cast("double") * 64 + 128))).cast("int"))
 
 
-def difference_hash(grey: Column, side: int = SIDE) -> Column:
-    """Bit set where a pixel is darker than its right neighbour, row by row."""
-    place = F.sequence(F.lit(0), F.lit(side * (side - 1) - 1))
+def difference_hash(grey: Column, side: int = SIDE, height: int = SIDE) -> Column:
+    """Bit set where a pixel is darker than its right neighbour, row by row of ``side`` pixels."""
+    place = F.sequence(F.lit(0), F.lit(height * (side - 1) - 1))
     left = lambda k: F.floor(k / (side - 1)).cast("int") * side + k % (side - 1)
     bit = lambda k: F.when(F.get(grey, left(k)) < F.get(grey, left(k) + 1), 1).otherwise(0).cast("long")
     return F.aggregate(F.transform(place, bit), F.lit(0).cast("long"), lambda acc, x: F.shiftleft(acc, 1).bitwiseOR(x))
@@ -95,12 +99,20 @@ def dct(rasters: np.ndarray) -> np.ndarray:
 
 
 def _cosines(grey: pd.Series) -> np.ndarray:
-    return dct(np.stack(grey.to_numpy()).astype(float).reshape(len(grey), SIDE, SIDE)).round(6)
+    """The lowest 8 x 8 DCT coefficients of square rasters."""
+    out = np.empty((len(grey), SIDE, SIDE))
+    size = grey.map(len).to_numpy()
+    for n in np.unique(size):
+        side, at = isqrt(n), np.flatnonzero(size == n)
+        if side * side != n or side < SIDE:
+            raise ValueError(f"a raster of {n} values is no square of at least {SIDE} x {SIDE}")
+        out[at] = dct(np.stack(grey.to_numpy()[at]).astype(float).reshape(len(at), side, side))[:, :SIDE, :SIDE]
+    return out.round(6)
 
 
 @F.pandas_udf(T.LongType())
 def perceptual_hash(grey: pd.Series) -> pd.Series:
-    """63 bits: coefficients above the mean of all but the first."""
+    """63 bits: lowest 8 x 8 coefficients above the mean of all but the first."""
     if not len(grey):
         return pd.Series([], dtype="int64")
     weight = np.int64(1) << np.arange(62, -1, -1, dtype=np.int64)
@@ -110,7 +122,7 @@ def perceptual_hash(grey: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def dct_coefficients(grey: pd.Series) -> pd.Series:
-    """The 64 DCT coefficients, row by row."""
+    """The lowest 64 DCT coefficients, row by row."""
     return pd.Series(list(_cosines(grey).reshape(len(grey), -1))) if len(grey) else pd.Series([], dtype=object)
 
 
@@ -123,8 +135,8 @@ def nmse(a: Column, b: Column) -> Column:
     return squared_error(a, b) / (F.size(a) * F.lit(255.0 * 255.0))
 
 
-def ssim(a: Column, b: Column) -> Column:
-    """Structural similarity of one 8 x 8 window, from exact integer sums."""
+def _ssim_window(a: Column, b: Column) -> Column:
+    """Structural similarity of one window, from exact integer sums."""
     total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda s, v: s + v.cast("long"))
     product = lambda x, y: total(F.zip_with(x, y, lambda u, v: u.cast("long") * v.cast("long")))
     n = F.size(a).cast("double")
@@ -132,3 +144,15 @@ def ssim(a: Column, b: Column) -> Column:
     va, vb, cov = product(a, a) / n - ma * ma, product(b, b) / n - mb * mb, product(a, b) / n - ma * mb
     c1, c2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
     return ((2 * ma * mb + c1) * (2 * cov + c2)) / ((ma * ma + mb * mb + c1) * (va + vb + c2))
+
+
+def ssim(a: Column, b: Column) -> Column:
+    """Mean structural similarity of the 8 x 8 windows, side by side, of square rasters."""
+    side = F.floor(F.sqrt(F.size(a))).cast("int")
+    across = F.floor(side / SIDE).cast("int")
+    corner = lambda k: F.floor(k / across).cast("int") * SIDE * side + k % across * SIDE
+    window = lambda x, k: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(SIDE - 1)), lambda r: F.slice(x, corner(k) + r * side + 1, SIDE)))
+    scores = F.transform(F.sequence(F.lit(0), across * across - 1), lambda k: _ssim_window(window(a, k), window(b, k)))
+    mean = F.aggregate(scores, F.lit(0.0), lambda s, x: s + x) / (across * across)
+    bad = (side * side != F.size(a)) | (F.size(a) != F.size(b)) | (side < SIDE)
+    return F.when(bad, F.raise_error(F.lit("rasters must be equal squares of at least 8 x 8")).cast("double")).otherwise(mean)

@@ -132,6 +132,12 @@ def dct_8x8_low(spark, sf):
     return rows.select("seq", "f", (F.round("c", 3) + 0.0).alias("c"))
 
 
+@query(f"WITH {_DCT} SELECT seq, f::INT AS f, round(round(c, 6), 3) + 0.0 AS c FROM co")
+def dct_8x8(spark, sf):
+    rows = _grey(spark, sf).select("seq", F.posexplode(hashing.dct_coefficients("grey")).alias("f", "c"))
+    return rows.select("seq", "f", (F.round("c", 3) + 0.0).alias("c"))
+
+
 @query(f"WITH {_DCT}, m AS (SELECT *, avg(c) FILTER (f > 0) OVER (PARTITION BY seq) AS mean FROM co) SELECT seq, coalesce(sum(CASE WHEN f > 0 AND c > mean THEN 1::HUGEINT << (63 - f) ELSE 0 END), 0)::BIGINT AS h FROM m GROUP BY seq")
 def phash_8x8(spark, sf):
     return _grey(spark, sf).select("seq", hashing.perceptual_hash("grey").alias("h"))

@@ -45,6 +45,29 @@ def test_difference_hash_bits(spark):
     assert sorted(rising) == [0, (1 << 56) - 1]
 
 
+def test_kernels_take_whole_image_rasters(spark):
+    draw = np.random.default_rng(3)
+    square = draw.integers(0, 256, (3, 32 * 32))
+    got = frame(spark, [*square, NOISE[0]]).select(hashing.perceptual_hash("grey").alias("h"), hashing.dct_coefficients("grey").alias("c")).toPandas()
+    for h, c, x in zip(got["h"], got["c"], [*square, NOISE[0]], strict=True):
+        n = int(len(x) ** 0.5)
+        k, at = np.arange(8)[:, None], np.arange(n)[None, :]
+        cos = np.cos((2 * at + 1) * k * np.pi / (2 * n)) * np.where(k == 0, np.sqrt(1 / n), np.sqrt(2 / n))
+        low = (cos @ x.reshape(n, n) @ cos.T).reshape(-1)
+        assert np.allclose(c, low, atol=1e-5)
+        assert h == int("".join("01"[int(v > low[1:].mean())] for v in low[1:]), 2)
+    wide = draw.integers(0, 256, (2, 72))
+    hashed = frame(spark, wide).select(hashing.difference_hash(F.col("grey"), 9, 8).alias("h")).toPandas()["h"]
+    for h, x in zip(hashed, wide.reshape(2, 8, 9), strict=True):
+        assert int(h) % (1 << 64) == int("".join("01"[v] for v in (x[:, :-1] < x[:, 1:]).reshape(-1).astype(int)), 2)
+    a, b = (draw.integers(0, 256, 256 * 256) // 2 + np.arange(256 * 256) // 600 for _ in range(2))
+    each = []
+    for x, y in zip(*(v.reshape(32, 8, 32, 8).swapaxes(1, 2).reshape(-1, 64) for v in (a, b)), strict=True):
+        cov = (x * y).mean() - x.mean() * y.mean()
+        each.append((2 * x.mean() * y.mean() + 6.5025) * (2 * cov + 58.5225) / ((x.mean() ** 2 + y.mean() ** 2 + 6.5025) * (x.var() + y.var() + 58.5225)))
+    assert pairs(spark, [a, b], hashing.ssim)[0, 1] == pytest.approx(np.mean(each))
+
+
 def test_ssim_and_nmse(spark):
     near = np.minimum(255, NOISE[0] + 3)
     images = [NOISE[0], NOISE[0], near, GRADIENT]
