@@ -15,7 +15,7 @@ ones, which would join unrelated texts.
   and give a spanning forest of the pairs that pass, not all pairs;
 * every candidate pair is verified on the exact sets.  Where verification
   breaks a forest, the tiles run again with the links known so far and
-  without the pairs already refuted, until no candidate joins two components.
+  without any pair refuted so far, until no candidate joins two components.
 
 So no link between different texts is lost, no key's texts meet in one task
 and no group's pairs are all written.
@@ -282,8 +282,8 @@ def _forest(bands: Bands):
             out += [(int(x), i, int(j)) for x, j in zip(slack[ok], at[ok], strict=True)]
         return out
 
-    def group(node, tile, n, label, raw, refuted) -> list[tuple[int, int]]:
-        """Closest pairs first, those that join two trees; all pairs of refuted texts."""
+    def group(node, tile, n, label, raw, refuted, fresh) -> list[tuple[int, int]]:
+        """Closest pairs first, those that join two trees; all pairs of newly refuted texts."""
         cross = len(set(tile)) > 1
         passing = (small if len(node) <= 12 else large)(node, tile, n, label, raw, refuted, cross)
         root = {x: x for x in label}
@@ -297,12 +297,12 @@ def _forest(bands: Bands):
         out = []
         for _, i, j in sorted(passing, key=lambda p: (-p[0], p[1], p[2])):
             x, y = find(label[i]), find(label[j])
-            if x != y or refuted[i] is not None or refuted[j] is not None:
+            if x != y or fresh[i] or fresh[j]:
                 out.append((min(node[i], node[j]), max(node[i], node[j])))
                 root[x] = y
         return out
 
-    columns = ("node", "tile", "n", "label", "folded", "refuted")
+    columns = ("node", "tile", "n", "label", "folded", "refuted", "fresh")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[] for _ in columns]
@@ -340,14 +340,26 @@ def tile_pairs(keys: DataFrame, reps: DataFrame, bands: Bands, labels: DataFrame
     rows = keys.join(reps.select("node", "n", F.col("own").alias("_own"), F.col("next").alias("_next")), "node")
     rows = rows.select("key", "node", "held", "n", F.when(F.col("own"), F.col("_own")).otherwise(F.col("_next")).alias("folded"))
     rows = rows.withColumn("label", F.col("node")) if labels is None else rows.join(labels.select(F.col("id").alias("node"), F.col("component").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rows = rows.withColumn("refuted", F.lit(None).cast("array<long>")) if refuted is None else rows.join(refuted, "node", "left")
+    rows = rows.withColumn("refuted", F.lit(None).cast("array<long>")).withColumn("fresh", F.lit(False)) if refuted is None else rows.join(refuted, "node", "left").withColumn("fresh", F.coalesce("fresh", F.lit(False)))
     tiles = F.ceil(F.col("held") / TILE).cast("int")
     rows = rows.withColumn("tile", F.pmod(F.xxhash64("node"), tiles).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
     rows = rows.withColumn("lo", F.least("tile", "other")).withColumn("hi", F.greatest("tile", "other"))
-    met = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node").select("key", "lo", "hi", "node", "tile", "n", "label", "folded", "refuted")
+    met = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node").select("key", "lo", "hi", "node", "tile", "n", "label", "folded", "refuted", "fresh")
     return met.mapInArrow(_forest(bands), "a long, b long").distinct()
 
 
+def refuted_partners(tested: DataFrame, open_pairs: DataFrame) -> DataFrame:
+    """(node, refuted, fresh): all refuted partners of every text that has any.
+
+    Texts of ``open_pairs`` are fresh.  An old refuted pair has to stay out of
+    a forest as well: its edge would stand in for an untested one.
+    """
+    both = lambda pairs: pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    partners = both(tested.where(~F.col("linked"))).groupBy("node").agg(F.collect_set("other").alias("refuted"))
+    ends = both(open_pairs).select("node").distinct().withColumn("_new", F.lit(True))
+    return partners.join(ends, "node", "left").select("node", "refuted", F.coalesce("_new", F.lit(False)).alias("fresh"))
+
+
 def verify(pairs: DataFrame, reps: DataFrame, read, num: int, den: int) -> DataFrame:
     """(a, b, linked): the exact test on whole sets, which ``read`` supplies.
 
@@ -401,13 +413,12 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     open_pairs = tested.where(~F.col("linked"))
     while open_pairs.limit(1).count():
         # A forest lost an edge: its keys look for other pairs between components.
-        ends = open_pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(open_pairs.select(F.col("b").alias("node"), F.col("a").alias("other")))
-        refuted = tested.where(~F.col("linked"))
-        partners = refuted.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(refuted.select(F.col("b").alias("node"), F.col("a").alias("other"))).join(ends.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.collect_set("other").alias("refuted"))
-        again = keys.join(keys.join(ends.select("node").distinct(), "node", "left_semi").select("key").distinct(), "key", "left_semi")
+        ends = open_pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        partners = refuted_partners(tested, open_pairs)
+        again = keys.join(keys.join(ends, "node", "left_semi").select("key").distinct(), "key", "left_semi")
         fresh = materialise(tile_pairs(again, sketched, bands, labels, partners).join(tested, ["a", "b"], "left_anti"), "forest")
         if not fresh.limit(1).count():
-            break
+            break  # no key has an untested pair between components
         more = exact(fresh)
         tested = materialise(tested.unionByName(more), "verified")
         labels = connected_components(tested.where("linked"), "a", "b")

@@ -155,3 +155,15 @@ def test_pipeline_runs_and_every_stage_shrinks_or_keeps(spark):
         before = docs.count()
     packed = pipeline.STAGES[-1][1](spark, docs, SF)
     assert packed.where("piece = 0").count() == before
+
+
+def test_old_refuted_pair_does_not_hide_an_untested_one(spark):
+    """1-2 was refuted in an earlier round, 5-6 in the last; 3-4 alone can join the components {1, 3} and {2, 4}."""
+    bits = {1: 0b111111, 2: 0b111111, 3: 0b111111 << 8, 4: 0b1111111 << 8, 5: 0xFFFFFFFF << 24, 6: 0xFFFFFFFF << 24}
+    reps = spark.createDataFrame([(i, 100, bytearray(b.to_bytes(8, "little")), None) for i, b in bits.items()], "node long, n long, own binary, next binary")
+    keys = spark.createDataFrame([(7, i, True, 6) for i in bits], "key long, node long, own boolean, held long")
+    labels = spark.createDataFrame([(1, 1), (3, 1), (2, 2), (4, 2)], "id long, component long")
+    tested = spark.createDataFrame([(1, 3, True), (2, 4, True), (1, 2, False), (5, 6, False)], "a long, b long, linked boolean")
+    partners = parity_join.refuted_partners(tested, tested.where("a = 5"))
+    got = parity_join.tile_pairs(keys, reps, Bands(90, 100), labels, partners).collect()
+    assert [tuple(r) for r in got] == [(3, 4)]
