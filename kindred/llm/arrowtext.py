@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,12 +12,25 @@ import xxhash
 from pyspark.sql import SparkSession
 
 ASCII_SPACE = " \t\n\x0b\x0c\r"
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Keep Arrow batches of long texts small, so that a worker's memory is bounded."""
+def small_batches(spark: SparkSession, rows: int = 2000, size: int = 4 << 20) -> None:
+    """Bound the session's Arrow batches in rows and bytes, and with them a worker's memory.
+
+    The setting counts when a query runs, so it stays with the session.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers live on and serve other operators."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # a C library without it
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -30,6 +44,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         total += int(n)
     if start < len(size):
         yield batch.slice(start)
+    give_back()
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> pa.Array:

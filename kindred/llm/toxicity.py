@@ -40,22 +40,34 @@ ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 1.0
 CUT = 0.7
 
 
-def features(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, coordinate) of every word, pair and skip pair, unsorted and repeated."""
+def features(values: pa.Array, weights: np.ndarray | None = None) -> np.ndarray:
+    """Every word, stem, pair and skip pair as text number * 2 ** HASH_BITS + coordinate, unsorted and repeated.
+
+    With ``weights``, those whose weight is zero are left out.
+    """
     index, listed, ends = words(translate(values, PLAIN))
-    h = hash_strings(listed)[index]
-    owner = np.repeat(np.arange(len(values)), np.diff(ends))
-    rows, found = [owner], [mix(h)]
+    owner = np.repeat(np.arange(len(values), dtype=np.int32), np.diff(ends))
+    coordinate = lambda h: (h >> np.uint64(64 - HASH_BITS)).astype(np.int32)
+    parts: list[np.ndarray] = []
+
+    def add(rows: np.ndarray, at: np.ndarray) -> None:
+        if weights is not None:
+            hit = weights[at] != 0
+            rows, at = rows[hit], at[hit]
+        parts.append(rows.astype(np.int64) << HASH_BITS | at)
+
+    coded = hash_strings(listed)
+    add(owner, coordinate(mix(coded))[index])
+    length = np.asarray(pc.utf8_length(listed))
     for size in STEMS:
-        stem = hash_strings(pc.utf8_slice_codeunits(listed, 0, size)) + np.uint64(size)
-        longer = (np.asarray(pc.utf8_length(listed)) > size)[index]
-        rows.append(owner[longer])
-        found.append(mix(stem)[index][longer])
+        stem = coordinate(mix(hash_strings(pc.utf8_slice_codeunits(listed, 0, size)) + np.uint64(size)))
+        longer = (length > size)[index]
+        add(owner[longer], stem[index[longer]])
+    h = coded[index]
     for gap, seed in ((1, 0x9E3779B97F4A7C15), (2, 0xC2B2AE3D27D4EB4F)):
         same = owner[gap:] == owner[:-gap]
-        rows.append(owner[gap:][same])
-        found.append(mix(h[:-gap] * np.uint64(seed) + h[gap:])[same])
-    return np.concatenate(rows), (np.concatenate(found) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+        add(owner[gap:][same], coordinate(mix(h[:-gap] * np.uint64(seed) + h[gap:])[same]))
+    return np.concatenate(parts)
 
 
 def fit(examples: list[np.ndarray], labels: np.ndarray, *, min_examples: int = MIN_EXAMPLES, positive_weight: float = POSITIVE_WEIGHT, epochs: int = EPOCHS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2) -> tuple[np.ndarray, float]:
@@ -86,15 +98,14 @@ def fit(examples: list[np.ndarray], labels: np.ndarray, *, min_examples: int = M
 
 def distinct(values: pa.Array) -> list[np.ndarray]:
     """Each text's distinct coordinates."""
-    rows, found = features(values)
-    key = np.unique(rows << np.int64(HASH_BITS) | found)
+    key = np.unique(features(values))
     cuts = np.searchsorted(key >> HASH_BITS, np.arange(len(values) + 1))
     return [(key[a:b] & ((1 << HASH_BITS) - 1)).astype("<i4") for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "text", 4 << 20):
+        for part in slices(batch, "text", 1 << 20):
             found = distinct(texts(part))
             yield pa.RecordBatch.from_pydict({"id": part.column("id"), "label": part.column("label"), "at": pa.array([np.diff(x, prepend=0).astype("<i4").tobytes() for x in found], pa.binary())})
 
@@ -130,10 +141,8 @@ def score(docs: DataFrame, weights: np.ndarray, intercept: float, *, text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         for batch in batches:
-            for part in slices(batch, text_col, 4 << 20):
-                rows, found = features(texts(part, text_col))
-                hit = w[found] != 0
-                key = np.unique(rows[hit] << np.int64(HASH_BITS) | found[hit])
+            for part in slices(batch, text_col, 1 << 20):
+                key = np.unique(features(texts(part, text_col), w))
                 total = np.bincount(key >> HASH_BITS, w[key & ((1 << HASH_BITS) - 1)], minlength=len(part)) + intercept
                 yield pa.RecordBatch.from_pydict({c: part.column(c) for c in columns} | {"score": pa.array(np.where(np.isneginf(total), 0.0, 1 / (1 + np.exp(-np.clip(total, -700, 700)))))})
 
