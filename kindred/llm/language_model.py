@@ -1,27 +1,31 @@
 """Language-model scoring by deleted interpolation.
 
-P(w | h) = a2 * c(h w) / c2(h) + a1 * c(w) / N + a0 / (V + 1)
+P(w | h) = a2 * c(h w) / c(h) + a1 * c(w) / N + a0 / (V + 1)
 
 The maximum-likelihood estimates come from the counts of all words and all
-word pairs of the training corpus (``min_pairs`` can cut rare pairs off; then
-c2(h) sums the pairs that stay, so each estimate is a distribution).  The
-mixture weights depend on the bucket of c2(h) (a power of two) and are learned
-by expectation-maximisation (Jelinek & Mercer, 1980) on held-out counts: one
-part of the training documents, marked ``deleted``, is taken out of the counts and
+word pairs of the training corpus, whatever their number.  The mixture weights
+depend on the bucket of c(h) (a power of two) and are learned by
+expectation-maximisation (Jelinek & Mercer, 1980) on held-out counts: one part
+of the training documents, marked ``deleted``, is taken out of the counts and
 predicted by the rest.  Only the ratios between the estimates matter to the
 EM, so Spark sums the held-out pairs into a table of (bucket, ratio, ratio)
 cells on a log scale, whose size is bounded, and the driver iterates on that.
 All training documents then supply the final counts.
 
-Words and pairs are hashed to 64 bits.  Counting is one pre-aggregated shuffle
-for words and one for pairs.  A token is a context once for each time it is a
-word (the end token stands before each text), so c2(h) is c(h) where no pair
-is cut off.  Scoring reads the texts with broadcast tables of bounded size:
-the ``FREQUENT`` most frequent words, the ``MAX_PAIRS`` most frequent pairs and
-a Bloom filter of the other pairs seen twice or more.  A pair of a training
-text that is in neither occurs once.  All other tokens leave their text as
-(row, pair) and get their counts by joins with the whole tables, so every count
-is exact whatever the number of words and pairs.
+Words and pairs are hashed to 64 bits.  A token is a context once for each time
+it is a word (the end token stands before each text), so contexts need no
+counts of their own.  Counting is one pre-aggregated shuffle for words and one
+for pairs.  Of the pairs only those are stored that somebody can ask for: seen
+twice or more in training, or once there and again in a text to be scored only.
+A pair of a training text that is not stored occurs once, so no count is lost.
+
+Scoring reads the texts with broadcast tables of bounded size: the ``frequent``
+most frequent words, the ``max_pairs`` most frequent pairs, and a Bloom filter
+each of the other words and pairs seen twice or more; a word or pair of a
+training text that is in neither occurs once.  All other tokens leave their
+text as (row, pair) and get their counts by joins with the whole tables.  The
+bounds decide which way a count is fetched, never its value; what is hot is
+broadcast, so the joins meet no hot key.
 
 Defined results: null text is empty and holds the end token alone; a context
 is the word before, the end token at the start of a text; words unknown to the
@@ -41,15 +45,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from kindred.llm.arrowtext import hash_strings, mix, slices, small_batches, texts, words
 from kindred.llm.toxicity import fold
 from kindred.llm.url_filter import _bits, maybe_listed
-from kindred.storage import materialise
+from kindred.storage import discard, materialise
 
 END = np.uint64(0x5851F42D4C957F2D)  # the end token's hash
-MIN_PAIRS = 1
 FREQUENT = 1 << 20
-MAX_PAIRS = 6_000_000
-FILTER_BLOCKS = 1 << 21  # 64-bit blocks of the pair filter: 16 MB
+MAX_PAIRS = 3_000_000
+WORD_BLOCKS = 1 << 19  # 64-bit blocks of the words' filter: 4 MB
+PAIR_BLOCKS = 1 << 21  # of the pairs' filter: 16 MB
 BUCKETS = 24
-COUNTS = ("main", "total", "ctx_main", "ctx_total")
 STEP = 3  # cells per doubling of a ratio
 EM_ROUNDS = 60
 ADD = 0.1
@@ -59,118 +62,93 @@ def tokens(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens, the end of each text included, and the texts' offsets."""
     index, listed, ends = words(values)
     h = hash_strings(listed)[index]
-    size = np.diff(ends) + 1
+    stop = np.cumsum(np.diff(ends) + 1) - 1
     out = np.full(len(h) + len(values), END)
-    stop = np.cumsum(size) - 1
     body = np.ones(len(out), bool)
     body[stop] = False
     out[body] = h
-    return out, np.concatenate(([0], np.cumsum(size)))
-
-
-class Tally:
-    """Sums by a pair of 64-bit keys; handed on once it holds ``limit`` of them."""
-
-    def __init__(self, limit: int = 3_000_000):
-        self.limit, self.parts, self.held = limit, [], 0
-
-    def add(self, key: np.ndarray, second: np.ndarray | None, held: np.ndarray) -> None:
-        """One more of each key; ``held`` marks the deleted part."""
-        if second is None:
-            keys, inverse = np.unique(key, return_inverse=True)
-            pair = None
-        else:
-            _, first, inverse = np.unique(mix(key * np.uint64(0x9E3779B97F4A7C15) + second), return_index=True, return_inverse=True)
-            keys, pair = key[first], second[first]
-        every, gone = np.bincount(inverse, minlength=len(keys)), np.bincount(inverse, held, len(keys)).astype(np.int64)
-        self.parts.append((keys, pair, every - gone, gone))
-        self.held += len(keys)
-
-    def full(self) -> bool:
-        return self.held > self.limit
-
-    def rows(self) -> pa.RecordBatch:
-        parts, self.parts, self.held = self.parts, [], 0
-        if not parts:
-            parts = [(np.zeros(0, np.uint64), None, np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        out = {"key": np.concatenate([p[0] for p in parts]).view(np.int64)}
-        if parts[0][1] is not None:
-            out["second"] = np.concatenate([p[1] for p in parts]).view(np.int64)
-        return pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in out.items()} | {"main": pa.array(np.concatenate([p[2] for p in parts])), "held": pa.array(np.concatenate([p[3] for p in parts]))})
+    return out, np.concatenate(([0], stop + 1))
 
 
 def pair_keys(ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(ctx * np.uint64(0x9E3779B97F4A7C15) + word)
 
 
-class Vocabulary:
-    """Broadcast counts of the frequent words, as words and as contexts, by hash."""
-
-    def __init__(self, listed: pa.Table):
-        key = listed.column("key").to_numpy().view(np.uint64)
-        order = np.argsort(key)
-        self.words = key[order]
-        # One more place, for every other word.
-        self.counts = {c: np.append(listed.column(c).to_numpy()[order], 0).astype(np.uint32) for c in COUNTS}
-        self.end = int(self.index(np.array([END]))[0])
+def before(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Each token's context."""
+    out = np.concatenate((h[-1:], h[:-1]))
+    out[ends[:-1]] = END
+    return out
 
-    @property
-    def other(self) -> int:
-        """The index that stands for every other word."""
-        return len(self.words)
 
-    def index(self, h: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.words, h), max(0, self.other - 1))
-        return np.where(self.words[at] == h, at, self.other) if self.other else np.zeros(len(h), np.int64)
+class Counted:
+    """Broadcast counts by hash: the most frequent keys, and a filter of the others seen twice."""
 
+    def __init__(self, listed: pa.Table, repeated: np.ndarray):
+        key = listed.column("key").to_numpy()
+        order = np.argsort(key)
+        self.keys, self.repeated = key[order], repeated
+        # One more place, for every other key.
+        self.main, self.total = (np.append(listed.column(c).to_numpy()[order], 0) for c in ("main", "total"))
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Places of the keys, the last for those that are not listed."""
+        if not len(self.keys):
+            return np.zeros(len(h), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, h.view(np.int64)), len(self.keys) - 1)
+        return np.where(self.keys[at] == h.view(np.int64), at, len(self.keys))
+
+    def counts(self, h: np.ndarray, training: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(main, total, open) of keys: ``open`` where only a join can tell, the counts then 0.
+
+        A key of a training text that is neither listed nor repeated occurs
+        once, there.  ``main`` is right for texts of the deleted part only.
+        """
+        keys, back = np.unique(h, return_inverse=True)
+        at = self.find(keys)
+        other = at == len(self.keys)
+        maybe = maybe_listed(keys.view(np.int64), self.repeated)
+        at, other, maybe = at[back], other[back], maybe[back]
+        single = other & training & ~maybe
+        return self.main[at], self.total[at] + single, other & ~single
 
-def coded(values: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word index, hash, offsets) of all tokens."""
-    index, listed, ends = words(values)
-    h = hash_strings(listed)
-    at = vocabulary.index(h)
-    stop = np.cumsum(np.diff(ends) + 1) - 1
-    body = np.ones(len(index) + len(values), bool)
-    body[stop] = False
-    out, hashes = np.full(len(body), vocabulary.end, np.int64), np.full(len(body), END)
-    out[body], hashes[body] = at[index], h[index]
-    return out, hashes, np.concatenate(([0], stop + 1))
 
+class Tokens:
+    """The tokens of texts: pairs, and the counts of words and contexts."""
 
-def before(word: np.ndarray, ends: np.ndarray, end: int | np.uint64) -> np.ndarray:
-    """Each token's context."""
-    out = np.concatenate((word[-1:], word[:-1]))
-    out[ends[:-1]] = end
-    return out
+    def __init__(self, values: pa.Array, training: np.ndarray, vocabulary: Counted):
+        self.word, self.ends = tokens(values)
+        self.ctx = before(self.word, self.ends)
+        self.pair = pair_keys(self.ctx, self.word)
+        self.size = np.diff(self.ends)
+        self.training = np.repeat(training, self.size)
+        self.main, self.total, self.open = vocabulary.counts(self.word, self.training)
+        end_main, end_total, end_open = vocabulary.counts(np.array([END]), np.array([False]))
+        shifted = lambda x, end: np.where(np.isin(np.arange(len(x)), self.ends[:-1]), end[0], np.concatenate((x[-1:], x[:-1])))
+        self.ctx_main, self.ctx_total, self.ctx_open = shifted(self.main, end_main), shifted(self.total, end_total), shifted(self.open, end_open)
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tally = Tally()
     for batch in batches:
         for part in slices(batch, "text"):
             h, ends = tokens(texts(part))
-            tally.add(h, None, np.repeat(np.asarray(part.column("held")), np.diff(ends)))
-            if tally.full():
-                yield tally.rows()
-    yield tally.rows()
+            yield _sums(h, held=np.repeat(np.asarray(part.column("held")), np.diff(ends)))
 
 
-def _count_pairs(contexts: bool):
-    """Sums by pair, with the pair's context as ``second`` if asked for."""
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "text"):
+            h, ends = tokens(texts(part))
+            training, held = (np.repeat(np.asarray(part.column(c)), np.diff(ends)) for c in ("training", "held"))
+            yield _sums(pair_keys(before(h, ends), h), held=held, asked=~training)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally()
-        for batch in batches:
-            for part in slices(batch, "text"):
-                h, ends = tokens(texts(part))
-                ctx = before(h, ends, END)
-                tally.add(pair_keys(ctx, h), ctx if contexts else None, np.repeat(np.asarray(part.column("held")), np.diff(ends)))
-                if tally.full():
-                    yield tally.rows()
-        if tally.parts:
-            yield tally.rows()
 
-    return run
+def _sums(keys: np.ndarray, **marks: np.ndarray) -> pa.RecordBatch:
+    """Each key once, with how often it has each mark, and none of them (``main``)."""
+    key, inverse = np.unique(keys, return_inverse=True)
+    found = {c: np.bincount(inverse, x, len(key)).astype(np.int64) for c, x in marks.items()}
+    main = np.bincount(inverse, minlength=len(key)) - sum(found.values())
+    return pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "main": pa.array(main)} | {c: pa.array(x) for c, x in found.items()})
 
 
 def bucket_of(total: np.ndarray) -> np.ndarray:
@@ -210,181 +188,137 @@ def learn_weights(cells: list[tuple[int, int | None, int | None, int]], rounds:
     return out
 
 
-class Tokens:
-    """The tokens of texts: words, contexts, pairs, and their counts where frequent."""
-
-    def __init__(self, values: pa.Array, voc: Vocabulary):
-        self.word, h, self.ends = coded(values, voc)
-        ctx_hash = before(h, self.ends, END)
-        self.ctx, self.pair = before(self.word, self.ends, voc.end), pair_keys(ctx_hash, h)
-        self.seldom, self.seldom_ctx = self.word == voc.other, self.ctx == voc.other
-        # Frequent words need no join; the pair in their place spreads them.
-        self.asked_word, self.asked_ctx = np.where(self.seldom, h, self.pair), np.where(self.seldom_ctx, ctx_hash, self.pair)
-        self.rare = self.seldom | self.seldom_ctx
-
-
-class Scorer:
-    """What a task needs to score the frequent tokens of texts."""
-
-    def __init__(self, vocabulary: Vocabulary, pairs: pa.Table, repeated: np.ndarray, single: int, weights: np.ndarray, n: int, v: int):
-        self.vocabulary, self.repeated, self.single, self.weights, self.n, self.v = vocabulary, repeated, single, weights, n, v
-        keys = pairs.column("key").to_numpy()
-        order = np.argsort(keys)
-        self.keys, self.counts = keys[order], pairs.column("n").to_numpy()[order].astype(np.uint32)
-
-    def pairs(self, key: np.ndarray, training: np.ndarray) -> np.ndarray:
-        """Counts of pairs, -1 where only a join can tell."""
-        keys, back = np.unique(key.view(np.int64), return_inverse=True)
-        n = np.full(len(keys), -1)
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            n = np.where(self.keys[at] == keys, self.counts[at].astype(np.int64), -1)
-        maybe = maybe_listed(keys, self.repeated)
-        n, maybe = n[back], maybe[back]
-        return np.where((n < 0) & training & ~maybe, self.single, n)
-
-    def score(self, values: pa.Array, training: np.ndarray) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
-        """Sums over settled tokens by text; the other tokens, equal ones of a text as one."""
-        voc = self.vocabulary
-        t = Tokens(values, voc)
-        size = np.diff(t.ends)
-        counts, total = voc.counts["total"][t.word].astype(np.int64), voc.counts["ctx_total"][t.ctx].astype(np.int64)
-        n = self.pairs(t.pair, np.repeat(training, size))
-        a = self.weights[bucket_of(total)]
-        chance = a[:, 0] * np.maximum(n, 0) / np.maximum(total, 1) + a[:, 1] * counts / max(self.n, 1) + a[:, 2] / (self.v + 1)
-        base = np.log10((counts + ADD) / (self.n + ADD * (self.v + 1)))
-        settled = ~t.rare & (n >= 0)
-        each = lambda x: np.add.reduceat(x, t.ends[:-1]) if len(values) else np.zeros(0)
-        sums = {"n_tokens": size.astype(np.int64), "n_known": each((counts > 0).astype(np.int64)).astype(np.int64), "base_score": each(np.where(t.seldom, 0, base)), "score": each(np.where(settled, np.log10(chance), 0))}
-        open_ = np.flatnonzero(~settled)
-        row = np.repeat(np.arange(len(values)), size)[open_]
-        _, first, times = np.unique(mix(t.pair[open_] + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True, return_counts=True)
-        at = open_[first]
-        return sums, {"text": row[first], "key": t.pair[at].view(np.int64), "n": n[at], "c": counts[at], "c2": total[at], "seldom": t.seldom[at], "times": times.astype(np.int64)}
-
-
-def repeated_filter(pairs: DataFrame, blocks: int = FILTER_BLOCKS) -> np.ndarray:
-    """Blocks of a Bloom filter over column ``key``, hashes themselves."""
-    coded = pairs.select(F.pmod("key", F.lit(blocks)).cast("int").alias("block"), _bits("key").alias("bits"))
+def repeated_filter(keys: DataFrame, blocks: int) -> np.ndarray:
+    """Blocks of a Bloom filter over column ``key``, hashes themselves; at most ``blocks`` rows reach the driver."""
+    coded = keys.select(F.pmod("key", F.lit(blocks)).cast("int").alias("block"), _bits("key").alias("bits"))
     listed = coded.groupBy("block").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(blocks, np.int64)
     out[listed.column("block").to_numpy()] = listed.column("bits").to_numpy()
     return out
 
 
-def frequent_words(word_table: DataFrame, most: int) -> DataFrame:
-    """The words or pairs above the least ``total`` that keeps them at ``most`` rows."""
-    counts = word_table.groupBy("total").agg(F.count("*").alias("n")).orderBy(F.desc("total"))
-    reached = counts.withColumn("sofar", F.sum("n").over(Window.orderBy(F.desc("total"))))
+def counted(table: DataFrame, most: int, blocks: int) -> Counted:
+    """The ``most`` most frequent keys (ties at the edge stay out) and a filter of the other repeated ones."""
+    counts = table.groupBy("total").agg(F.count("*").alias("n"))
+    reached = counts.withColumn("sofar", F.sum("n").over(Window.orderBy(F.desc("total"))))  # a row for each count there is
     least = reached.where(F.col("sofar") <= most).agg(F.min("total")).first()[0]
-    return word_table.where(F.col("total") >= (least if least is not None else 1 << 62))
+    least = least if least is not None else 1 << 62
+    listed = table.where((F.col("total") >= least) & (F.col("total") > 0)).select("key", "main", "total").toArrow()
+    return Counted(listed, repeated_filter(table.where((F.col("total") > 1) & (F.col("total") < least)), blocks))
 
 
-def lm_scores(docs: DataFrame, training: Column, deleted: Column, *, id_col: str = "doc_id", text_col: str = "text", min_pairs: int = MIN_PAIRS, frequent: int = FREQUENT, max_pairs: int = MAX_PAIRS) -> DataFrame:
+def lm_scores(docs: DataFrame, training: Column, deleted: Column, *, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, max_pairs: int = MAX_PAIRS) -> DataFrame:
     """``id_col``, counts, train_tokens and both scores of every row.
 
     ``training`` marks the rows to learn from; those of them that ``deleted``
     marks are held out from the counts while the weights are learned.
     """
     spark = docs.sparkSession
-    learn = docs.where(training).select(F.col(text_col).alias("text"), F.coalesce(deleted, F.lit(False)).alias("held"))
-    counted = "key long, main long, held long"
-    sums = (F.sum("main").alias("main"), F.sum("held").alias("held"))
-    words_ = materialise(learn.mapInArrow(_count_words, counted).groupBy("key").agg(*sums), "words")
-    row = words_.agg(F.count("*").alias("v"), F.coalesce(F.sum("main"), F.lit(0)).alias("main"), F.coalesce(F.sum("held"), F.lit(0)).alias("held")).first()
-    v, n_main, n = row["v"], row["main"], row["main"] + row["held"]
-    total = F.col("main") + F.col("held")
-    kept = lambda c: F.when(c >= min_pairs, c).otherwise(0)
-    if min_pairs > 1:
-        counts = materialise(learn.mapInArrow(_count_pairs(True), "key long, second long, main long, held long").groupBy("key", "second").agg(*sums), "pairs")
-        contexts = counts.groupBy(F.col("second").alias("key")).agg(F.sum(kept(F.col("main"))).alias("ctx_main"), F.sum(kept(total)).alias("ctx_total"))
-        word_table = materialise(words_.join(contexts, "key", "left").select("key", "main", total.alias("total"), *(F.coalesce(c, F.lit(0)).alias(c) for c in COUNTS[2:])), "words")
-    else:
-        counts = materialise(learn.mapInArrow(_count_pairs(False), counted).groupBy("key").agg(*sums), "pairs")
-        word_table = words_.select("key", "main", total.alias("total"), F.col("main").alias("ctx_main"), total.alias("ctx_total"))
-    pairs = counts.select("key", "main", kept(total).alias("total"))
-    vocabulary = Vocabulary(frequent_words(word_table, frequent).toArrow())
-    shared = spark.sparkContext.broadcast(vocabulary)
+    marked = docs.select(id_col, F.col(text_col).alias("text"), F.coalesce(training, F.lit(False)).alias("training"), (F.coalesce(training, F.lit(False)) & F.coalesce(deleted, F.lit(False))).alias("held"))
+    used = marked.select("text", "training", "held")
+    total = (F.col("main") + F.col("held")).alias("total")
+    sums = [F.sum(c).alias(c) for c in ("main", "held")]
+    word_counts = used.where("training").mapInArrow(_count_words, "key long, main long, held long").groupBy("key").agg(*sums)
+    word_table = materialise(word_counts.select("key", "main", total), "words")
+    v, n_main, n = word_table.agg(F.count("*"), F.coalesce(F.sum("main"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+    pair_counts = used.mapInArrow(_count_pairs, "key long, main long, held long, asked long").groupBy("key").agg(*sums, F.max("asked").alias("asked"))
+    stored = pair_counts.select("key", "main", total, "asked").where((F.col("total") > 1) | ((F.col("total") > 0) & (F.col("asked") > 0)))
+    pairs = materialise(stored.drop("asked"), "pairs")
+    vocabulary = spark.sparkContext.broadcast(counted(word_table, frequent, WORD_BLOCKS))
+    listed = spark.sparkContext.broadcast(counted(pairs, max_pairs, PAIR_BLOCKS))
 
     def seldom(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs with a word or context whose count only a join can tell; null stands for one that is known."""
         for batch in batches:
-            for part in slices(batch, text_col):
-                t = Tokens(texts(part, text_col), shared.value)
-                at = np.flatnonzero(t.rare)
-                at = at[np.unique(t.pair[at], return_index=True)[1]]
-                yield pa.RecordBatch.from_pydict({"key": pa.array(t.pair[at].view(np.int64)), "word": pa.array(t.asked_word[at].view(np.int64)), "ctx": pa.array(t.asked_ctx[at].view(np.int64))} | known(t, at))
+            for part in slices(batch, "text"):
+                t = Tokens(texts(part), np.asarray(part.column("training")), vocabulary.value)
+                at = np.flatnonzero(t.open | t.ctx_open)
+                at = at[np.unique(t.pair[at] ^ (t.open[at] * np.uint64(1) + t.ctx_open[at] * np.uint64(2)), return_index=True)[1]]
+                asked = {c: pa.array(h[at].view(np.int64), mask=~o[at]) for c, h, o in (("word", t.word, t.open), ("ctx", t.ctx, t.ctx_open))}
+                yield pa.RecordBatch.from_pydict({"key": pa.array(t.pair[at].view(np.int64))} | asked)
 
     def heldout(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                t = Tokens(texts(part), shared.value)
+                t = Tokens(texts(part), np.asarray(part.column("training")), vocabulary.value)
                 _, at, times = np.unique(t.pair, return_index=True, return_counts=True)
-                have = known(t, at)
-                yield pa.RecordBatch.from_pydict({"key": pa.array(t.pair[at].view(np.int64)), "held": pa.array(times.astype(np.int64)), "c1": have["main"], "c2": have["ctx_main"], "rare": pa.array(t.rare[at])})
+                yield pa.RecordBatch.from_pydict({"key": pa.array(t.pair[at].view(np.int64)), "held": pa.array(times.astype(np.int64)), "c1": pa.array(t.main[at]), "c2": pa.array(t.ctx_main[at])})
 
-    def known(t: Tokens, at: np.ndarray) -> dict[str, pa.Array]:
-        """Counts of the frequent words among the tokens, 0 for the others."""
-        return {c: pa.array(shared.value.counts[c][(t.ctx if c in COUNTS[2:] else t.word)[at]].astype(np.int64)) for c in COUNTS}
+    by = lambda name, tag: word_table.select(F.col("key").alias(name), F.col("main").alias(f"main{tag}"), F.col("total").alias(f"total{tag}"))
+    asked = used.select("text", "training").mapInArrow(seldom, "key long, word long, ctx long").groupBy("key").agg(F.max("word").alias("word"), F.max("ctx").alias("ctx"))
+    asked = asked.select("key", *(F.coalesce(c, "key").alias(c) for c in ("word", "ctx")))  # the pair's hash spreads what needs no join
+    asked = asked.join(by("word", 1), "word", "left").join(by("ctx", 2), "ctx", "left")
+    rare = materialise(asked.select("key", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("main1", "total1", "main2", "total2"))), "rare")
+    discard(word_table)
 
-    # Pairs with a word outside the broadcast ones: their words' counts by two joins.
-    asked = docs.select(text_col).mapInArrow(seldom, "key long, word long, ctx long, " + ", ".join(f"{c} long" for c in COUNTS)).dropDuplicates(["key"])
-    by = lambda name, columns: word_table.select(F.col("key").alias(name), *(F.col(c).alias(f"_{c}") for c in columns))
-    asked = asked.join(by("word", COUNTS[:2]), "word", "left").join(by("ctx", COUNTS[2:]), "ctx", "left")
-    rare = materialise(asked.select("key", *((F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in COUNTS)), "rare")
-
-    out_of = learn.where("held").mapInArrow(heldout, "key long, held long, c1 long, c2 long, rare boolean")
-    out_of = out_of.join(pairs.select("key", "main"), "key", "left").join(rare.select("key", F.col("main").alias("_c1"), F.col("ctx_main").alias("_c2")), "key", "left")
-    cells = out_of.select("main", "held", *(F.when(F.col("rare"), F.coalesce(f"_{c}", F.lit(0))).otherwise(F.col(c)).alias(c) for c in ("c1", "c2")))
-    weights = learn_weights(_cells(cells, n_main, v, min_pairs))
-
-    listed = frequent_words(pairs.where("total > 0"), max_pairs).select("key", F.col("total").cast("int").alias("n")).toArrow()
-    repeated = repeated_filter(pairs.where("total > 1"))
-    scorer = spark.sparkContext.broadcast(Scorer(vocabulary, listed, repeated, int(min_pairs <= 1), weights, n, v))
-    del listed
+    out_of = used.where("held").mapInArrow(heldout, "key long, held long, c1 long, c2 long")
+    out_of = out_of.join(pairs.select("key", "main"), "key", "left").join(rare.select("key", "main1", "main2"), "key", "left")
+    sofar = lambda own, found: F.greatest(F.col(own), F.coalesce(found, F.lit(0)))  # noqa: E731  what a join must tell is 0 before it
+    cells = out_of.select("held", F.coalesce("main", F.lit(0)).alias("main"), sofar("c1", "main1").alias("c1"), sofar("c2", "main2").alias("c2"))
+    weights = learn_weights(_cells(cells, n_main, v))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text_col):
-                made, more = scorer.value.score(texts(part, text_col), np.asarray(part.column("_training")))
+            for part in slices(batch, "text"):
+                made, more = _score(Tokens(texts(part), np.asarray(part.column("training")), vocabulary.value), listed.value, weights, n, v)
                 none = len(more["key"])
                 at = pa.array(np.concatenate((np.arange(len(part)), more.pop("text"))))
-                rows = {"key": mix(part.column("_row").to_numpy().view(np.uint64)).view(np.int64)}
+                own = {"key": mix(part.column("_row").to_numpy().view(np.uint64)).view(np.int64)}
                 pad = {c: pa.array(np.concatenate((x, np.zeros(none, x.dtype)))) for c, x in made.items()}
-                pad |= {c: pa.array(np.concatenate((rows.get(c, np.zeros(len(part), x.dtype)), x))) for c, x in more.items()}
-                yield pa.RecordBatch.from_pydict({c: part.column(c).take(at) for c in (id_col, "_row")} | pad)
+                pad |= {c: pa.array(np.concatenate((own.get(c, np.zeros(len(part), x.dtype)), x))) for c, x in more.items()}
+                ids = part.column(id_col).take(pa.array(np.concatenate((np.arange(len(part)), np.zeros(none, np.int64))), mask=np.arange(len(part) + none) >= len(part)))
+                yield pa.RecordBatch.from_pydict({id_col: ids, "_row": part.column("_row").take(at)} | pad)
 
-    rows = docs.select(id_col, text_col, F.coalesce(training, F.lit(False)).alias("_training")).withColumn("_row", F.monotonically_increasing_id())
+    rows = marked.drop("held").withColumn("_row", F.monotonically_increasing_id())
     kind = rows.schema[id_col].dataType.simpleString()
-    scored = rows.mapInArrow(run, f"`{id_col}` {kind}, _row long, n_tokens long, n_known long, base_score double, score double, key long, n long, c long, c2 long, seldom boolean, times long")
+    scored = rows.mapInArrow(run, f"`{id_col}` {kind}, _row long, n_tokens long, n_known long, base_score double, score double, key long, times int, n long, c1 long, c2 long, late boolean")
     # Rows of texts have no times; their keys are random and their sums final.
-    found = scored.join(pairs.where("total > 0").select("key", F.col("total").alias("_n")), "key", "left").join(rare.select("key", F.col("total").alias("_c"), F.col("ctx_total").alias("_c2")), "key", "left")
-    pair = F.when(F.col("n") >= 0, F.col("n")).otherwise(F.coalesce("_n", F.lit(0)))
-    c, c2 = (F.coalesce(f"_{x}", x) for x in ("c", "c2"))
-    found = found.select(id_col, "_row", "n_tokens", "n_known", "base_score", "score", "seldom", "times", pair.alias("n"), c.alias("c"), c2.alias("c2"))
+    found = scored.join(pairs.select("key", F.col("total").alias("_n")), "key", "left").join(rare.select("key", "total1", "total2"), "key", "left")
+    # A pair that is not stored occurs once for a training text (n = -1), never for another (-2).
+    pair = F.when(F.col("n") >= 0, F.col("n")).otherwise(F.coalesce("_n", F.col("n") + 2))
+    found = found.select(id_col, "_row", "n_tokens", "n_known", "base_score", "score", "late", "times", pair.alias("n"), sofar("c1", "total1").alias("c1"), sofar("c2", "total2").alias("c2"))
     mixed = [F.element_at(F.array(*[F.lit(float(x)) for x in weights[:, i]]), bucket_column(F.col("c2")) + 1) for i in range(3)]
-    chance = mixed[0] * F.col("n") / F.greatest(F.col("c2"), F.lit(1)) + mixed[1] * F.col("c") / F.lit(max(n, 1)) + mixed[2] / F.lit(v + 1)
-    base = F.log10((F.col("c") + ADD) / F.lit(n + ADD * (v + 1)))
-    asked, late = F.col("times") > 0, F.col("seldom")
+    chance = mixed[0] * F.col("n") / F.greatest(F.col("c2"), F.lit(1)) + mixed[1] * F.col("c1") / F.lit(max(n, 1)) + mixed[2] / F.lit(v + 1)
+    base = F.log10((F.col("c1") + ADD) / F.lit(n + ADD * (v + 1)))
     out = found.groupBy("_row").agg(
         F.max(id_col).alias(id_col),
         F.max("n_tokens").alias("n_tokens"),
-        F.sum(F.when(late & (F.col("c") > 0), F.col("times")).otherwise(F.col("n_known"))).alias("n_known"),
-        F.sum(F.when(late, F.col("times") * base).otherwise(F.col("base_score"))).alias("base_score"),
-        F.sum(F.when(asked, F.col("times") * F.log10(chance)).otherwise(F.col("score"))).alias("score"),
+        F.sum(F.when(F.col("late") & (F.col("c1") > 0), F.col("times")).otherwise(F.col("n_known"))).alias("n_known"),
+        F.sum(F.when(F.col("late"), F.col("times") * base).otherwise(F.col("base_score"))).alias("base_score"),
+        F.sum(F.when(F.col("times") > 0, F.col("times") * F.log10(chance)).otherwise(F.col("score"))).alias("score"),
     )
     return out.drop("_row").withColumn("train_tokens", F.lit(n).cast("long"))
 
 
-def _cells(asked: DataFrame, n_main: int, v: int, min_pairs: int) -> list[tuple[int, int | None, int | None, int]]:
+def _score(t: Tokens, listed: Counted, weights: np.ndarray, n: int, v: int) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """Sums over settled tokens by text; the other tokens, equal ones of a text as one."""
+    _, pair, open_pair = listed.counts(t.pair, t.training)
+    a = weights[bucket_of(t.ctx_total)]
+    chance = a[:, 0] * pair / np.maximum(t.ctx_total, 1) + a[:, 1] * t.total / max(n, 1) + a[:, 2] / (v + 1)
+    base = np.log10((t.total + ADD) / (n + ADD * (v + 1)))
+    settled = ~(t.open | t.ctx_open | open_pair)
+    each = lambda x: np.add.reduceat(x, t.ends[:-1]) if len(t.size) else np.zeros(0)
+    sums = {"n_tokens": t.size.astype(np.int64), "n_known": each((t.total > 0).astype(np.int64)).astype(np.int64), "base_score": each(np.where(t.open, 0, base)), "score": each(np.where(settled, np.log10(np.where(settled, chance, 1)), 0))}
+    rest = np.flatnonzero(~settled)
+    row = np.repeat(np.arange(len(t.size)), t.size)[rest]
+    _, first, times = np.unique(mix(t.pair[rest] + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True, return_counts=True)
+    at = rest[first]
+    known = np.where(open_pair[at], np.where(t.training[at], -1, -2), pair[at])
+    return sums, {"text": row[first], "key": t.pair[at].view(np.int64), "times": times.astype(np.int32), "n": known, "c1": t.total[at], "c2": t.ctx_total[at], "late": t.open[at]}
+
+
+def _cells(asked: DataFrame, n_main: int, v: int) -> list[tuple[int, int | None, int | None, int]]:
     """Held-out pairs as EM cells; ``asked`` has main, held, c1 and c2."""
-    pair = F.when(F.col("main") >= min_pairs, F.col("main"))
     cells = asked.select(
-        bucket_column(F.coalesce("c2", F.lit(0))).alias("bucket"),
-        ratio_column(pair, F.coalesce("c2", F.lit(0)), v + 1).alias("r2"),
-        ratio_column(F.coalesce("c1", F.lit(0)), F.lit(n_main), v + 1).alias("r1"),
+        bucket_column(F.col("c2")).alias("bucket"),
+        ratio_column(F.col("main"), F.col("c2"), v + 1).alias("r2"),
+        ratio_column(F.col("c1"), F.lit(n_main), v + 1).alias("r1"),
         "held",
     )
-    return [tuple(r) for r in cells.groupBy("bucket", "r2", "r1").agg(F.sum("held")).toLocalIterator()]  # buckets x cells x cells
+    table = materialise(cells.groupBy("bucket", "r2", "r1").agg(F.sum("held").alias("n")), "cells")  # buckets x cells x cells
+    found = [tuple(r) for r in table.collect()]
+    discard(table)
+    return found
 
 
 def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ rows are packed one by one; an empty table gives no pieces.
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -40,8 +41,10 @@ CAPACITY = 4096
 END_ID = 1
 NODE_BUDGET = 200
 DESCENTS = 8
-BUCKET_ROWS = 100_000
+BUCKET_ROWS = 1_000
 CACHED_WORDS = 150_000
+JOINED, ENCODED_RUNS = 64, 64  # words a call of the library gets as one text, texts of a call
+MARK = "\x01"
 
 
 class WordIds:
@@ -53,9 +56,11 @@ class WordIds:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.clear()
 
     def clear(self) -> None:
@@ -63,9 +68,20 @@ class WordIds:
         self.flat, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        coded = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        size = np.fromiter(map(len, coded), np.int64, len(coded))
-        return np.fromiter(chain.from_iterable(coded), np.uint32, int(size.sum())), size
+        """Ids and their numbers, ``JOINED`` words a call with a one-token mark between them."""
+        runs = [words[at : at + JOINED] for at in range(0, len(words), JOINED)]
+        if any(MARK in w for w in words):
+            runs = [[w] for w in words]
+        flat, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(runs), ENCODED_RUNS):
+            some = runs[at : at + ENCODED_RUNS]
+            coded = self.tokenizer.encode_batch_fast([f" {MARK} ".join(r) for r in some], add_special_tokens=False)
+            for run, x in zip(some, coded, strict=True):
+                ids = np.array(x.ids, np.uint32)
+                cuts = np.flatnonzero(ids == self.mark) if len(run) > 1 else np.zeros(0, np.int64)
+                sizes.append(np.diff(np.concatenate(([-1], cuts, [len(ids)]))) - 1)
+                flat.append(np.delete(ids, cuts))
+        return np.concatenate(flat), np.concatenate(sizes)
 
     def ids(self, values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a batch of texts and the offsets of each text's ids."""
@@ -112,7 +128,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = coder(tokenizer_path)
         for batch in batches:
-            for part in slices(batch, text_col, 4 << 20):
+            for part in slices(batch, text_col):
                 ids, ends = words.ids(texts(part, text_col))
                 rows, number, start, length, crc, kept = [], [], [], [], [], []
                 for r in range(len(part)):
@@ -281,9 +297,9 @@ def pack(cut: DataFrame, *, capacity: int = CAPACITY, id_col: str = "doc_id", bu
     spark = cut.sparkSession
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
     plan = spark.sparkContext.broadcast(_slots(plan_bins(counts, capacity, budget)))
-    # A bucket holds about ``bucket_rows`` pieces: enough buckets for the longest run of one length.
-    buckets = max(1, -(-max(counts.values(), default=0) // bucket_rows))
-    spread = cut.withColumn("_bucket", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(buckets)))
+    # A bucket holds about ``bucket_rows`` pieces, so each length has as many as its pieces ask for.
+    buckets = F.broadcast(spark.createDataFrame([(s, -(-n // bucket_rows)) for s, n in counts.items()], "length long, _buckets long"))  # at most ``capacity`` rows
+    spread = cut.join(buckets, "length").withColumn("_bucket", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), "_buckets")).drop("_buckets")
     sizes = spread.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     shift = sizes.select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))

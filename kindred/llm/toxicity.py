@@ -6,10 +6,11 @@ points), neighbouring pairs and pairs with one word between, hashed into
 (McMahan et al., "Ad click prediction: a view from the trenches", 2013) keeps
 a learning rate per coordinate and its L1 term leaves most weights at zero.
 
-At most ``max_labelled`` labelled rows, chosen by hash, fit the model: this
-bound is the only sample in the operator.  Their features are extracted in
-parallel; the fit itself, which is sequential by nature, is one task whose
-input has that bound.  The weights fit in ``2 ** HASH_BITS`` numbers, most of
+At most ``max_labelled`` labelled rows with at most ``max_features``
+coordinates together, chosen by hash, fit the model: these bounds are the only
+sample in the operator.  Their features are extracted in parallel and stored,
+two bytes a coordinate; the fit itself, which is sequential by nature, is one
+task whose input has those bounds.  The weights fit in ``2 ** HASH_BITS`` numbers, most of
 them zero, so their broadcast is bounded too; scoring is one narrow pass over
 whole texts.
 
@@ -28,11 +29,13 @@ import pyarrow.compute as pc
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from kindred.llm.arrowtext import PLAIN, hash_strings, mix, slices, small_batches, texts, translate, words
+from kindred.llm.arrowtext import PLAIN, give_back, hash_strings, mix, slices, small_batches, texts, translate, words
+from kindred.storage import discard, materialise
 
 HASH_BITS = 20
 STEMS = (4, 5, 6)
 MAX_LABELLED = 16_000
+MAX_FEATURES = 80_000_000
 EPOCHS = 4
 MIN_EXAMPLES = 5
 POSITIVE_WEIGHT = 4.0
@@ -70,21 +73,44 @@ def features(values: pa.Array, weights: np.ndarray | None = None) -> np.ndarray:
     return np.concatenate(parts)
 
 
-def fit(examples: list[np.ndarray], labels: np.ndarray, *, min_examples: int = MIN_EXAMPLES, positive_weight: float = POSITIVE_WEIGHT, epochs: int = EPOCHS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2) -> tuple[np.ndarray, float]:
-    """FTRL-proximal over examples given as arrays of distinct coordinates: (weights, intercept)."""
+class Coordinates:
+    """A sorted set of coordinates in two bytes each: low halves, and how many each high half has."""
+
+    def __init__(self, at: np.ndarray):
+        self.low = (at & 0xFFFF).astype("<u2")
+        self.high = np.bincount(at >> 16, minlength=1 << (HASH_BITS - 16)).astype("<i4")
+
+    @classmethod
+    def read(cls, raw: bytes) -> Coordinates:
+        out = cls.__new__(cls)
+        wide = 4 << (HASH_BITS - 16)
+        out.high, out.low = np.frombuffer(raw[:wide], "<i4"), np.frombuffer(raw[wide:], "<u2")
+        return out
+
+    def raw(self) -> bytes:
+        return self.high.tobytes() + self.low.tobytes()
+
+    def array(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.high), dtype=np.int32) << 16, self.high) + self.low
+
+
+def fit(examples: list[Coordinates], labels: np.ndarray, *, min_examples: int = MIN_EXAMPLES, positive_weight: float = POSITIVE_WEIGHT, epochs: int = EPOCHS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2) -> tuple[np.ndarray, float]:
+    """FTRL-proximal over examples, which are thinned in place: (weights, intercept)."""
     z, n = np.zeros(1 << HASH_BITS), np.zeros(1 << HASH_BITS)
     z0 = n0 = w0 = 0.0
     seen = np.zeros(1 << HASH_BITS, np.int64)
-    for at in examples:
-        seen[at] += 1
-    examples = [at[seen[at] >= min_examples] for at in examples]
+    for x in examples:
+        seen[x.array()] += 1
+    for i, x in enumerate(examples):
+        at = x.array()
+        examples[i] = Coordinates(at[seen[at] >= min_examples])
 
     def weights(zi: np.ndarray, ni: np.ndarray) -> np.ndarray:
         return np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((beta + np.sqrt(ni)) / alpha + l2))
 
     for epoch in range(epochs):
         for i in np.random.default_rng(epoch).permutation(len(examples)):
-            at = examples[i]
+            at = examples[i].array()
             zi, ni = z[at], n[at]
             w = weights(zi, ni)
             g = (1 / (1 + np.exp(-np.clip(w.sum() + w0, -30, 30))) - labels[i]) * (positive_weight if labels[i] else 1.0)
@@ -107,27 +133,38 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text", 1 << 20):
             found = distinct(texts(part))
-            yield pa.RecordBatch.from_pydict({"id": part.column("id"), "label": part.column("label"), "at": pa.array([np.diff(x, prepend=0).astype("<i4").tobytes() for x in found], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"id": part.column("id"), "label": part.column("label"), "n": pa.array([len(x) for x in found], pa.int64()), "at": pa.array([Coordinates(x).raw() for x in found], pa.binary())})
 
 
 def _fit_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = sorted(r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("id", "label", "at")), strict=True))
-    if rows:
-        w, intercept = fit([np.cumsum(np.frombuffer(at, "<i4")) for _, _, at in rows], np.array([y for _, y, _ in rows], float))
+    rows = sorted((r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("id", "label", "at")), strict=True)), reverse=True)
+    examples, labels = [], []
+    while rows:  # in the order of ids; each row's bytes go as it is read
+        _, y, raw = rows.pop()
+        examples.append(Coordinates.read(raw))
+        labels.append(float(y))
+    if examples:
+        w, intercept = fit(examples, np.array(labels))
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_pydict({"at": pa.array(np.append(at, -1).astype(np.int32)), "weight": pa.array(np.append(w[at], intercept))})
+    del examples
+    give_back()
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED) -> tuple[np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED, max_features: int = MAX_FEATURES) -> tuple[np.ndarray, float]:
     """Weights and intercept from the labelled documents."""
     usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
+    chosen = lambda share: F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(7)), F.lit(1 << 30)) < int((1 << 30) * share)
     known = usable.count()
     if known > max_labelled:
-        usable = usable.where(F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(7)), F.lit(1 << 30)) < int((1 << 30) * max_labelled / known))
+        usable = usable.where(chosen(max_labelled / known))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(usable, "id")
     kind = rows.schema["id"].dataType.simpleString()
-    found = rows.select("id", "label", "text").mapInArrow(_extract, f"id {kind}, label int, at binary")
-    model = found.repartition(1).mapInArrow(_fit_all, "at int, weight double").toPandas()  # at most 2 ** HASH_BITS rows
+    found = materialise(rows.select("id", "label", "text").mapInArrow(_extract, f"id {kind}, label int, n long, at binary"), "features")
+    total = found.agg(F.sum("n")).first()[0] or 0
+    kept = found.where(chosen(min(1, max_labelled / max(1, known)) * max_features / total)) if total > max_features else found
+    model = kept.select("id", "label", "at").repartition(1).mapInArrow(_fit_all, "at int, weight double").toPandas()  # at most 2 ** HASH_BITS rows
+    discard(found)
     weights = np.zeros(1 << HASH_BITS, np.float32)
     weights[model["at"][:-1]] = model["weight"][:-1]
     return weights, float(model["weight"].iloc[-1]) if len(model) else -np.inf

@@ -83,7 +83,7 @@ def test_language_model_counts_and_gain(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     docs = docs.unionByName(spark.createDataFrame([(900001, None), (900002, ""), (900003, "zzz-unseen " * 5), (0, "the the")], DOC)).withColumn("score", F.lit("clash"))
     part = toxicity.fold("doc_id", 10)
-    runs = [language_model.lm_scores(docs, part != 0, part == 1, min_pairs=2, **o).toPandas() for o in ({}, {"max_pairs": 0}, {"frequent": 50})]
+    runs = [language_model.lm_scores(docs, part != 0, part == 1, **o).toPandas() for o in ({}, {"max_pairs": 0}, {"frequent": 50})]
     rows = docs.collect()
     train = Counter(w for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 10 for w in split(r["text"]))
     n, v = sum(train.values()), len(train)
@@ -93,8 +93,8 @@ def test_language_model_counts_and_gain(spark):
         assert (got["train_tokens"] == n).all()
         assert (got["score"] < 0).all()
     order = ["doc_id", "n_tokens", "base_score"]
-    a, b = (x.sort_values(order, ignore_index=True) for x in runs[:2])
-    assert np.allclose(a["score"], b["score"])
+    a, *others = (x.sort_values(order, ignore_index=True) for x in runs)
+    assert all(np.allclose(a["score"], b["score"]) for b in others)
     held = [zlib.crc32(str(i).encode()) % 10 == 0 for i in a["doc_id"]]
     assert a["score"][held].sum() > a["base_score"][held].sum()
 
