@@ -42,14 +42,14 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 
-from kindred.llm.arrowtext import hash_strings, mix, slices, small_batches, texts, words
+from kindred.llm.arrowtext import give_back, hash_strings, mix, slices, small_batches, texts, words
 from kindred.llm.toxicity import fold
 from kindred.llm.url_filter import _bits, maybe_listed
 from kindred.storage import discard, materialise
 
 END = np.uint64(0x5851F42D4C957F2D)  # the end token's hash
 FREQUENT = 1 << 20
-MAX_PAIRS = 3_000_000
+MAX_PAIRS = 2_000_000
 WORD_BLOCKS = 1 << 19  # 64-bit blocks of the words' filter: 4 MB
 PAIR_BLOCKS = 1 << 21  # of the pairs' filter: 16 MB
 BUCKETS = 24
@@ -88,8 +88,9 @@ class Counted:
         key = listed.column("key").to_numpy()
         order = np.argsort(key)
         self.keys, self.repeated = key[order], repeated
-        # One more place, for every other key.
-        self.main, self.total = (np.append(listed.column(c).to_numpy()[order], 0) for c in ("main", "total"))
+        # One more place, for every other key; pairs have no ``main``.
+        column = lambda c: np.append(listed.column(c).to_numpy()[order], 0) if c in listed.column_names else np.zeros(len(key) + 1, np.int8)
+        self.main, self.total = column("main"), column("total")
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Places of the keys, the last for those that are not listed."""
@@ -197,14 +198,16 @@ def repeated_filter(keys: DataFrame, blocks: int) -> np.ndarray:
     return out
 
 
-def counted(table: DataFrame, most: int, blocks: int) -> Counted:
+def counted(table: DataFrame, most: int, blocks: int, columns: tuple[str, ...] = ("key", "main", "total")) -> Counted:
     """The ``most`` most frequent keys (ties at the edge stay out) and a filter of the other repeated ones."""
     counts = table.groupBy("total").agg(F.count("*").alias("n"))
     reached = counts.withColumn("sofar", F.sum("n").over(Window.orderBy(F.desc("total"))))  # a row for each count there is
     least = reached.where(F.col("sofar") <= most).agg(F.min("total")).first()[0]
     least = least if least is not None else 1 << 62
-    listed = table.where((F.col("total") >= least) & (F.col("total") > 0)).select("key", "main", "total").toArrow()
-    return Counted(listed, repeated_filter(table.where((F.col("total") > 1) & (F.col("total") < least)), blocks))
+    repeated = repeated_filter(table.where((F.col("total") > 1) & (F.col("total") < least)), blocks)
+    out = Counted(table.where((F.col("total") >= least) & (F.col("total") > 0)).select(*columns).toArrow(), repeated)
+    give_back()
+    return out
 
 
 def lm_scores(docs: DataFrame, training: Column, deleted: Column, *, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, max_pairs: int = MAX_PAIRS) -> DataFrame:
@@ -225,7 +228,8 @@ def lm_scores(docs: DataFrame, training: Column, deleted: Column, *, id_col: str
     stored = pair_counts.select("key", "main", total, "asked").where((F.col("total") > 1) | ((F.col("total") > 0) & (F.col("asked") > 0)))
     pairs = materialise(stored.drop("asked"), "pairs")
     vocabulary = spark.sparkContext.broadcast(counted(word_table, frequent, WORD_BLOCKS))
-    listed = spark.sparkContext.broadcast(counted(pairs, max_pairs, PAIR_BLOCKS))
+    listed = spark.sparkContext.broadcast(counted(pairs, max_pairs, PAIR_BLOCKS, ("key", "total")))
+    give_back()
 
     def seldom(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs with a word or context whose count only a join can tell; null stands for one that is known."""

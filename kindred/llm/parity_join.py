@@ -11,14 +11,19 @@ sizes.  A few more blocks than needed let every text leave out its emptiest
 ones, which would join unrelated texts.
 
 * equal sets meet first, by digest, and go on as one;
+* the texts of a key that many hold first meet one leader, so that most of a
+  large group are linked before any two of them are compared;
 * the texts of a key are compared in tiles of bounded size by folded sketches
-  and give a spanning forest of the pairs that pass, not all pairs;
+  and give a spanning forest of the pairs that pass, not all pairs; texts of a
+  key's largest component meet only those outside of it;
 * every candidate pair is verified on the exact sets.  Where verification
   breaks a forest, the tiles run again with the links known so far and
   without any pair refuted so far, until no candidate joins two components.
 
 So no link between different texts is lost, no key's texts meet in one task
-and no group's pairs are all written.
+and no group's pairs are all written or, where its texts are alike, compared.
+The keys XOR whole hashes and not just the sketch's bits: blocks of the sketch
+alone are equal by chance too often; the sketch is the filter that follows.
 
 Defined results: null texts and texts without words have an empty set and link
 with nothing; with fewer words than ``shingle`` the whole sequence is the one
@@ -39,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 
 from kindred.llm.arrowtext import hash_strings, mix, slices, small_batches, texts, words
 from kindred.operators.components import connected_components
-from kindred.storage import materialise
+from kindred.storage import discard, materialise
 
 SHINGLE = 3
 SIMILARITY = (90, 100)
@@ -159,8 +164,9 @@ def _nodes(digests: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(d[:8] for d in digests), "<i8")
 
 
-def text_sets(docs: DataFrame, *, id_col: str, text_col: str, shingle: int, seed: int) -> DataFrame:
-    """(id, n_shingles, digest, node) of every row; the last two are null for empty sets."""
+def text_sets(docs: DataFrame, *, id_col: str, text_col: str, shingle: int, seed: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, ``keep``, n_shingles, digest, node) of every row; the last two are null for empty sets."""
+    columns = (id_col, *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,21 +174,24 @@ def text_sets(docs: DataFrame, *, id_col: str, text_col: str, shingle: int, seed
                 sets = shingle_sets(texts(part, text_col), shingle)
                 digests = _digests(sets, seed)
                 none = np.array([not len(x) for x in sets], bool)
-                yield pa.RecordBatch.from_pydict({id_col: part.column(id_col), "n_shingles": pa.array([len(x) for x in sets], pa.int64()), "digest": pa.array([d if len(x) else None for d, x in zip(digests, sets, strict=True)], pa.binary()), "node": pa.array(_nodes(digests), mask=none)})
+                yield pa.RecordBatch.from_pydict({c: part.column(c) for c in columns} | {"n_shingles": pa.array([len(x) for x in sets], pa.int64()), "digest": pa.array([d if len(x) else None for d, x in zip(digests, sets, strict=True)], pa.binary()), "node": pa.array(_nodes(digests), mask=none)})
 
-    used = docs.select(id_col, text_col)
-    return used.mapInArrow(run, f"`{id_col}` {used.schema[id_col].dataType.simpleString()}, n_shingles long, digest binary, node long")
+    used = docs.select(*columns, text_col)
+    kept = ", ".join(f"`{c}` {used.schema[c].dataType.simpleString()}" for c in columns)
+    return used.mapInArrow(run, f"{kept}, n_shingles long, digest binary, node long")
 
 
-def distinct_sets(docs: DataFrame, *, id_col: str, text_col: str, shingle: int) -> tuple[DataFrame, DataFrame, int]:
+def distinct_sets(docs: DataFrame, *, id_col: str, text_col: str, shingle: int, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, int]:
     """(rows with their sets' digests, one row per distinct set, the digests' seed).
 
+    A set's ``low`` is the least (id, *keep) of its rows that have an id.
     Nodes are 64 bits of the digest; should two sets share one, another seed
     is taken, so that nodes stand for sets one to one.
     """
     for seed in range(8):
-        sets = materialise(text_sets(docs, id_col=id_col, text_col=text_col, shingle=shingle, seed=seed), "sets")
-        grouped = sets.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min(id_col).alias("low"), F.min("n_shingles").alias("n"), F.min("node").alias("node"))
+        sets = materialise(text_sets(docs, id_col=id_col, text_col=text_col, shingle=shingle, seed=seed, keep=keep), "sets")
+        low = F.min(F.when(F.col(id_col).isNotNull(), F.struct(F.col(id_col).alias("id"), *keep)))
+        grouped = sets.where(F.col("digest").isNotNull()).groupBy("digest").agg(low.alias("low"), F.min("n_shingles").alias("n"), F.min("node").alias("node"))
         reps = materialise(grouped, "reps")
         if reps.select("node").distinct().count() == reps.count():
             return sets, reps, seed
@@ -190,7 +199,7 @@ def distinct_sets(docs: DataFrame, *, id_col: str, text_col: str, shingle: int)
 
 
 def join_keys(docs: DataFrame, bands: Bands, *, text_col: str, shingle: int, seed: int) -> DataFrame:
-    """(key, node, own, held): keys that several sets hold, with how many do.
+    """(key, node, own, leader, held): keys that several sets hold, the least of them and how many do.
 
     A task emits each distinct set once; only keys and numbers are shuffled.
     """
@@ -218,10 +227,15 @@ def join_keys(docs: DataFrame, bands: Bands, *, text_col: str, shingle: int, see
                 if keys:
                     yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(keys).view(np.int64)), "node": pa.array(np.concatenate(owner)), "own": pa.array(np.concatenate(which))})
 
-    keyed = docs.select(text_col).mapInArrow(run, "key long, node long, own boolean")
-    same = Window.partitionBy("key")
-    shared = keyed.withColumn("_least", F.min("node").over(same)).withColumn("_most", F.max("node").over(same)).where(F.col("_least") != F.col("_most")).select("key", "node", "own").distinct()
-    return shared.withColumn("held", F.count("*").over(same))
+    keyed = materialise(docs.select(text_col).mapInArrow(run, "key long, node long, own boolean"), "blocks")
+    shared = keyed.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("_most")).where(F.col("leader") != F.col("_most")).select("key", "leader")
+    # Stored before it is counted, so that a hot key's rows may be split.
+    met = materialise(keyed.join(materialise(shared, "shared"), "key"), "met")
+    discard(keyed)
+    rows = materialise(met.groupBy("key", "node", "own").agg(F.min("leader").alias("leader")), "rows")
+    out = materialise(rows.join(rows.groupBy("key").agg(F.count("*").alias("held")), "key"), "keys")
+    discard(met, rows)
+    return out
 
 
 def read_sets(docs: DataFrame, wanted: DataFrame, make, fields: str, *, id_col: str, text_col: str, shingle: int, seed: int) -> DataFrame:
@@ -233,7 +247,7 @@ def read_sets(docs: DataFrame, wanted: DataFrame, make, fields: str, *, id_col:
     from kindred.llm.url_filter import build_filter, maybe_listed
 
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    blocks = docs.sparkSession.sparkContext.broadcast(build_filter(wanted.select(name("low").alias("key")), 1 << 18))
+    blocks = docs.sparkSession.sparkContext.broadcast(build_filter(wanted.select(name("low.id").alias("key")), 1 << 18))
     parts = [f.split() for f in fields.split(", ")]
     types = {"binary": pa.binary(), "long": pa.int64()}
 
@@ -335,15 +349,56 @@ def _forest(bands: Bands):
     return run
 
 
-def tile_pairs(keys: DataFrame, reps: DataFrame, bands: Bands, labels: DataFrame | None = None, refuted: DataFrame | None = None) -> DataFrame:
-    """Forest pairs (a < b) of keys, compared in tiles of about ``TILE`` texts."""
+def leader_pairs(keys: DataFrame, reps: DataFrame, bands: Bands) -> DataFrame:
+    """Pairs (a < b) of the leader and each other text of a key that more than ``TILE`` texts hold, if they pass."""
+    sketched = _sketched(keys.where(F.col("held") > TILE), reps)
+    leaders = sketched.where(F.col("node") == F.col("leader")).groupBy("key").agg(F.min("n").alias("n1"), F.min("folded").alias("folded1"))
+    met = sketched.where(F.col("node") != F.col("leader")).join(leaders, "key").select("leader", "node", "n", "n1", "folded", "folded1")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leader, node, n, n1, x, y = (batch.column(c).to_pylist() for c in ("leader", "node", "n", "n1", "folded", "folded1"))
+            found = [(min(p), max(p)) for p, size, r, q in zip(zip(leader, node, strict=True), map(sum, zip(n, n1, strict=True)), x, y, strict=True) if bits_apart(r, q) <= bands.allowed(size)]
+            yield pa.RecordBatch.from_pydict({"a": pa.array([p for p, _ in found], pa.int64()), "b": pa.array([q for _, q in found], pa.int64())})
+
+    return met.mapInArrow(run, "a long, b long").distinct()
+
+
+def _sketched(keys: DataFrame, reps: DataFrame) -> DataFrame:
+    """Keys' rows with the size and the sketch of the key's band."""
     rows = keys.join(reps.select("node", "n", F.col("own").alias("_own"), F.col("next").alias("_next")), "node")
-    rows = rows.select("key", "node", "held", "n", F.when(F.col("own"), F.col("_own")).otherwise(F.col("_next")).alias("folded"))
+    return rows.select("key", "node", "leader", "held", "n", F.when(F.col("own"), F.col("_own")).otherwise(F.col("_next")).alias("folded"))
+
+
+def tiled(keys: DataFrame, reps: DataFrame, labels: DataFrame | None = None, refuted: DataFrame | None = None) -> DataFrame:
+    """The texts of keys with the places (lo, hi) where they meet: pairs of tiles of about ``TILE`` texts.
+
+    Where more than ``TILE`` texts hold a key, its leader has met them all and
+    stays out, and the texts of its largest component (``most`` of ``held``)
+    meet the tiles of the others alone.
+    """
+    rows = _sketched(keys, reps).where((F.col("held") <= TILE) | (F.col("node") != F.col("leader")))
     rows = rows.withColumn("label", F.col("node")) if labels is None else rows.join(labels.select(F.col("id").alias("node"), F.col("component").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
     rows = rows.withColumn("refuted", F.lit(None).cast("array<long>")).withColumn("fresh", F.lit(False)) if refuted is None else rows.join(refuted, "node", "left").withColumn("fresh", F.coalesce("fresh", F.lit(False)))
-    tiles = F.ceil(F.col("held") / TILE).cast("int")
-    rows = rows.withColumn("tile", F.pmod(F.xxhash64("node"), tiles).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    rows = rows.withColumn("lo", F.least("tile", "other")).withColumn("hi", F.greatest("tile", "other"))
+    by_label = rows.where(F.col("held") > TILE).groupBy("key", "label").agg(F.count("*").alias("n"))
+    largest = by_label.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("giant"), F.max("n").alias("most"))
+    rows = rows.join(largest, "key", "left")
+    inside = F.coalesce((F.col("label") == F.col("giant")) & (F.col("most") > TILE) & ~F.col("fresh"), F.lit(False))
+    rest = F.when(F.col("most") > TILE, F.col("held") - F.col("most")).otherwise(F.col("held"))
+    tiles, giants = (F.greatest(F.lit(1), F.ceil(c / TILE)).cast("int") for c in (rest, F.col("most")))
+    at = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    # Places: (lo, hi) two tiles of the rest; (-1 - giant tile, tile) a tile of the giant and one of the rest.
+    each = lambda n: F.sequence(F.lit(0), n - 1)
+    own = F.transform(each(tiles), lambda x: F.struct(F.least(at(tiles), x).alias("lo"), F.greatest(at(tiles), x).alias("hi")))
+    of_giant = F.transform(each(tiles), lambda x: F.struct((-1 - at(giants)).alias("lo"), x.alias("hi")))
+    to_giant = F.transform(each(giants), lambda x: F.struct((-1 - x).alias("lo"), at(tiles).alias("hi")))
+    places = F.when(inside, of_giant).when(F.col("most") > TILE, F.concat(own, to_giant)).otherwise(own)
+    return rows.withColumn("tile", F.when(inside, -1).otherwise(at(tiles))).withColumn("_at", F.explode(places)).select("*", "_at.lo", "_at.hi")
+
+
+def tile_pairs(keys: DataFrame, reps: DataFrame, bands: Bands, labels: DataFrame | None = None, refuted: DataFrame | None = None) -> DataFrame:
+    """Forest pairs (a < b) of the texts that meet in ``tiled``."""
+    rows = tiled(keys, reps, labels, refuted)
     met = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node").select("key", "lo", "hi", "node", "tile", "n", "label", "folded", "refuted", "fresh")
     return met.mapInArrow(_forest(bands), "a long, b long").distinct()
 
@@ -392,12 +447,16 @@ def verify(pairs: DataFrame, reps: DataFrame, read, num: int, den: int) -> DataF
     return met.mapInArrow(compare, "a long, b long, linked boolean").distinct()
 
 
-def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """``id_col``, n_shingles and component_id of every row of ``docs``."""
+def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id_col``, ``keep``, n_shingles and component_id of every row of ``docs``.
+
+    With ``keep`` there is also ``first``: whether the row's id and ``keep``
+    are the least of its component (null for empty sets and null ids).
+    """
     num, den = similarity
     bands = Bands(num, den)
-    sets, reps, seed = distinct_sets(docs, id_col=id_col, text_col=text_col, shingle=shingle)
-    keys = materialise(join_keys(docs, bands, text_col=text_col, shingle=shingle, seed=seed), "keys")
+    sets, reps, seed = distinct_sets(docs, id_col=id_col, text_col=text_col, shingle=shingle, keep=keep)
+    keys = join_keys(docs, bands, text_col=text_col, shingle=shingle, seed=seed)
     read = lambda wanted, make, fields: read_sets(docs, wanted, make, fields, id_col=id_col, text_col=text_col, shingle=shingle, seed=seed)
 
     def sketches(x: np.ndarray) -> tuple[int, bytes, bytes | None]:
@@ -408,9 +467,15 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     involved = reps.join(keys.select("node").distinct(), "node", "left_semi")
     sketched = materialise(read(involved, sketches, "n long, own binary, next binary"), "sketches")
     exact = lambda pairs: materialise(verify(pairs, reps, read, num, den), "verified")
-    tested = exact(materialise(tile_pairs(keys, sketched, bands), "forest"))
-    labels = connected_components(tested.where("linked"), "a", "b")
+    labels, led = None, None
+    if keys.where(F.col("held") > TILE).limit(1).count():
+        led = exact(materialise(leader_pairs(keys, sketched, bands), "led"))
+        labels = connected_components(led.where("linked"), "a", "b")
+    tested = exact(materialise(tile_pairs(keys, sketched, bands, labels), "forest"))
     open_pairs = tested.where(~F.col("linked"))
+    if led is not None:
+        tested = materialise(tested.unionByName(led).distinct(), "verified")
+    labels = connected_components(tested.where("linked"), "a", "b")
     while open_pairs.limit(1).count():
         # A forest lost an edge: its keys look for other pairs between components.
         ends = open_pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -427,7 +492,10 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     least = named.groupBy("component").agg(F.min("low").alias("least"))
     found = named.join(least, "component").select("digest", F.col("least"))
     out = sets.join(found, "digest", "left")
-    return out.select(id_col, "n_shingles", F.when(F.col("digest").isNull(), F.col(id_col)).otherwise(F.col("least")).alias("component_id"))
+    component = F.when(F.col("digest").isNull(), F.col(id_col)).otherwise(F.col("least.id")).alias("component_id")
+    named_by = F.struct(F.col(id_col).alias("id"), *keep) == F.col("least")
+    first = [F.when(F.col("digest").isNotNull() & F.col(id_col).isNotNull(), named_by).alias("first")] if keep else []
+    return out.select(id_col, *keep, "n_shingles", component, *first)
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from kindred.storage import materialise
 TEXT = ("doc_id", "text")
 NEAR_SHINGLE = 5
 NEAR_SIMILARITY = (80, 100)
-BROADCAST_IDS = 1_000_000
+BROADCAST_ROWS = 250_000  # of two numbers each
 
 
 def pack_columns(docs: DataFrame) -> DataFrame:
@@ -45,17 +45,25 @@ def drop_repeated_lines(docs: DataFrame, **options) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, *, shingle: int = NEAR_SHINGLE, similarity: tuple[int, int] = NEAR_SIMILARITY) -> DataFrame:
-    """The document of the smallest id of every group; texts without words and null ids stay."""
-    found = parity_join.jaccard_components(docs, shingle=shingle, similarity=similarity)
-    lost = found.where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
-    lost = materialise(lost, "lost")
-    few = lost.count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(lost) if few else lost, "doc_id", "left_anti").select(docs.columns)
-    repeated = found.where(F.col("n_shingles") > 0).groupBy("doc_id").count().where((F.col("count") > 1) & F.col("doc_id").isNotNull())
-    if repeated.limit(1).count():
-        again = kept.join(repeated.select("doc_id"), "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])
-        kept = kept.join(repeated.select("doc_id"), "doc_id", "left_anti").select(docs.columns).unionByName(again)
-    return kept
+    """One document of every group: that of the smallest id, ties by the text's hash.
+
+    A document is its id and text, so rows that share an id but not a text are
+    judged one by one; of rows equal in both one stays, the one whose other
+    columns hash lowest.  Texts without words and rows without an id stay.
+    """
+    known = F.xxhash64(F.coalesce("text", F.lit("")))
+    found = parity_join.jaccard_components(docs.select(*TEXT, known.alias("_text")), shingle=shingle, similarity=similarity, keep=("_text",))
+    rows = materialise(found.where(F.col("first").isNotNull()).groupBy("doc_id", "_text").agg(F.min("first").alias("first"), F.count("*").alias("n")), "groups")
+    lost, repeated = rows.where(~F.col("first")).select("doc_id", "_text"), rows.where(F.col("first") & (F.col("n") > 1)).select("doc_id", "_text")
+    n_lost, n_repeated = rows.agg(F.count_if(~F.col("first")), F.count_if(F.col("first") & (F.col("n") > 1))).first()
+    few = lambda some, n: F.broadcast(some) if n <= BROADCAST_ROWS else some
+    packed = pack_columns(docs).select(*TEXT, "_rest", known.alias("_text"))
+    kept = packed.join(few(lost, n_lost), ["doc_id", "_text"], "left_anti") if n_lost else packed
+    if n_repeated:
+        again = kept.join(few(repeated, n_repeated), ["doc_id", "_text"], "left_semi")
+        one = again.groupBy("doc_id", "_text").agg(F.min_by(F.struct("text", "_rest"), F.xxhash64("_rest")).alias("_one"))
+        kept = kept.join(few(repeated, n_repeated), ["doc_id", "_text"], "left_anti").select(*TEXT, "_rest").unionByName(one.select("doc_id", "_one.text", "_one._rest"))
+    return unpack_columns(kept, docs.columns)
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

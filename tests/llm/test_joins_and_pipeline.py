@@ -133,6 +133,31 @@ def test_near_copies_keep_one_of_repeated_rows_and_null_ids(spark):
     assert kept == [1, 3, None, None]
 
 
+def test_near_copies_judge_texts_not_ids(spark):
+    words = lambda c: " ".join(f"{c}{k}" for k in range(40))
+    rows = [(0, words("a")), (1, words("a")), (1, words("b")), (2, words("b") + " more"), (3, words("c")), (3, words("c") + " tail")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, _text long")
+    kept = stages.drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    got = [tuple(r) for r in kept.collect()]
+    assert sorted(i for i, _, _ in got) == [0, 1, 3]
+    assert {t[0] for _, t, _ in got} == {"a", "b", "c"}
+    assert stages.drop_near_copies(docs.limit(0)).count() == 0
+
+
+def test_a_large_group_is_compared_in_about_its_size(spark, monkeypatch):
+    monkeypatch.setattr(parity_join, "TILE", 32)
+    base = [f"w{k}" for k in range(300)]
+    texts = [" ".join(f"new{i}" if k == i % 300 else w for k, w in enumerate(base)) for i in range(1000)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(5000, texts[0] + " tail")], DOC)
+    placed = []
+    tiled = parity_join.tiled
+    monkeypatch.setattr(parity_join, "tiled", lambda keys, *a: placed.append((keys.count(), tiled(keys, *a).count())) or tiled(keys, *a))
+    got = parity_join.jaccard_components(docs)
+    assert {r["component_id"] for r in got.collect()} == {0}
+    assert all(met <= 2 * rows + 32 for rows, met in placed)
+
+
 def test_toxic_stage_keeps_unscored_columns(spark):
     docs = documents(spark, [(i, ("vile " if i % 5 == 0 else "kind ") + " ".join(f"w{(i * 7 + k) % 90}" for k in range(20))) for i in range(400)] + [(999, None)])
     labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(300)], "doc_id long, toxic int")
@@ -161,7 +186,7 @@ def test_old_refuted_pair_does_not_hide_an_untested_one(spark):
     """1-2 was refuted in an earlier round, 5-6 in the last; 3-4 alone can join the components {1, 3} and {2, 4}."""
     bits = {1: 0b111111, 2: 0b111111, 3: 0b111111 << 8, 4: 0b1111111 << 8, 5: 0xFFFFFFFF << 24, 6: 0xFFFFFFFF << 24}
     reps = spark.createDataFrame([(i, 100, bytearray(b.to_bytes(8, "little")), None) for i, b in bits.items()], "node long, n long, own binary, next binary")
-    keys = spark.createDataFrame([(7, i, True, 6) for i in bits], "key long, node long, own boolean, held long")
+    keys = spark.createDataFrame([(7, i, True, 1, 6) for i in bits], "key long, node long, own boolean, leader long, held long")
     labels = spark.createDataFrame([(1, 1), (3, 1), (2, 2), (4, 2)], "id long, component long")
     tested = spark.createDataFrame([(1, 3, True), (2, 4, True), (1, 2, False), (5, 6, False)], "a long, b long, linked boolean")
     partners = parity_join.refuted_partners(tested, tested.where("a = 5"))
