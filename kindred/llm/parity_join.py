@@ -201,6 +201,8 @@ def distinct_sets(docs: DataFrame, *, id_col: str, text_col: str, shingle: int,
 def join_keys(docs: DataFrame, bands: Bands, *, text_col: str, shingle: int, seed: int) -> DataFrame:
     """(key, node, own, leader, held): keys that several sets hold, the least of them and how many do.
 
+    Of keys that the same sets hold one stays.
+
     A task emits each distinct set once; only keys and numbers are shuffled.
     """
 
@@ -233,7 +235,10 @@ def join_keys(docs: DataFrame, bands: Bands, *, text_col: str, shingle: int, see
     met = materialise(keyed.join(materialise(shared, "shared"), "key"), "met")
     discard(keyed)
     rows = materialise(met.groupBy("key", "node", "own").agg(F.min("leader").alias("leader")), "rows")
-    out = materialise(rows.join(rows.groupBy("key").agg(F.count("*").alias("held")), "key"), "keys")
+    # Keys that the very same sets hold would give the same comparisons: one of them does.
+    holders = rows.groupBy("key").agg(F.count("*").alias("held"), F.bit_xor(F.xxhash64("node", "own")).alias("x"), F.bit_xor(F.xxhash64("own", "node", F.lit(1))).alias("y"))
+    kept = holders.groupBy("held", "x", "y").agg(F.min("key").alias("key")).select("key", "held")
+    out = materialise(rows.join(kept, "key"), "keys")
     discard(met, rows)
     return out
 
@@ -370,16 +375,16 @@ def _sketched(keys: DataFrame, reps: DataFrame) -> DataFrame:
     return rows.select("key", "node", "leader", "held", "n", F.when(F.col("own"), F.col("_own")).otherwise(F.col("_next")).alias("folded"))
 
 
-def tiled(keys: DataFrame, reps: DataFrame, labels: DataFrame | None = None, refuted: DataFrame | None = None) -> DataFrame:
+def tiled(keys: DataFrame, labels: DataFrame | None = None, refuted: DataFrame | None = None) -> DataFrame:
     """The texts of keys with the places (lo, hi) where they meet: pairs of tiles of about ``TILE`` texts.
 
     Where more than ``TILE`` texts hold a key, its leader has met them all and
     stays out, and the texts of its largest component (``most`` of ``held``)
     meet the tiles of the others alone.
     """
-    rows = _sketched(keys, reps).where((F.col("held") <= TILE) | (F.col("node") != F.col("leader")))
+    rows = keys.where((F.col("held") <= TILE) | (F.col("node") != F.col("leader")))
     rows = rows.withColumn("label", F.col("node")) if labels is None else rows.join(labels.select(F.col("id").alias("node"), F.col("component").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rows = rows.withColumn("refuted", F.lit(None).cast("array<long>")).withColumn("fresh", F.lit(False)) if refuted is None else rows.join(refuted, "node", "left").withColumn("fresh", F.coalesce("fresh", F.lit(False)))
+    rows = rows.withColumn("fresh", F.lit(False)) if refuted is None else rows.join(refuted.select("node", "fresh"), "node", "left").withColumn("fresh", F.coalesce("fresh", F.lit(False)))
     by_label = rows.where(F.col("held") > TILE).groupBy("key", "label").agg(F.count("*").alias("n"))
     largest = by_label.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("giant"), F.max("n").alias("most"))
     rows = rows.join(largest, "key", "left")
@@ -393,12 +398,15 @@ def tiled(keys: DataFrame, reps: DataFrame, labels: DataFrame | None = None, ref
     of_giant = F.transform(each(tiles), lambda x: F.struct((-1 - at(giants)).alias("lo"), x.alias("hi")))
     to_giant = F.transform(each(giants), lambda x: F.struct((-1 - x).alias("lo"), at(tiles).alias("hi")))
     places = F.when(inside, of_giant).when(F.col("most") > TILE, F.concat(own, to_giant)).otherwise(own)
-    return rows.withColumn("tile", F.when(inside, -1).otherwise(at(tiles))).withColumn("_at", F.explode(places)).select("*", "_at.lo", "_at.hi")
+    rows = rows.withColumn("tile", F.when(inside, -1).otherwise(at(tiles))).withColumn("_at", F.explode(places))
+    return rows.select("key", "node", "own", "tile", "label", "fresh", "_at.lo", "_at.hi")
 
 
 def tile_pairs(keys: DataFrame, reps: DataFrame, bands: Bands, labels: DataFrame | None = None, refuted: DataFrame | None = None) -> DataFrame:
-    """Forest pairs (a < b) of the texts that meet in ``tiled``."""
-    rows = tiled(keys, reps, labels, refuted)
+    """Forest pairs (a < b) of the texts that meet in ``tiled``; sketches join them last."""
+    known = reps.select("node", "n", F.col("own").alias("_own"), F.col("next").alias("_next"))
+    known = known.withColumn("refuted", F.lit(None).cast("array<long>")) if refuted is None else known.join(refuted.select("node", "refuted"), "node", "left")
+    rows = tiled(keys, labels, refuted).join(known, "node").withColumn("folded", F.when(F.col("own"), F.col("_own")).otherwise(F.col("_next")))
     met = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node").select("key", "lo", "hi", "node", "tile", "n", "label", "folded", "refuted", "fresh")
     return met.mapInArrow(_forest(bands), "a long, b long").distinct()
 
