@@ -1,7 +1,7 @@
 """The review store's tables, bound to the driver's star schema.
 
 A customer is a group of near-duplicates, an order one of its photos, the
-first lineitems of an order its trash history.  All columns are derived, so
+lineitems of an order its trash history.  All columns are derived, so
 the tables are scans with projections that prune and push down.
 """
 
@@ -59,9 +59,8 @@ def trash(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("l_returnflag") == "N", "trashed").when(F.col("l_returnflag") == "R", "restored").otherwise("purged")
     return (
         table(spark, sf_dir, "lineitem")
-        .where(F.col("l_linenumber") == 1)
         .select(
-            F.concat_ws("-", *(F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey"))).alias("trash_id"),
+            F.concat_ws("-", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))).alias("trash_id"),
             F.col("l_orderkey").alias("photo_id"),
             F.floor("l_extendedprice").cast("long").alias("size"),
             status.alias("status"),
@@ -85,7 +84,7 @@ def notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
 def media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seq, camera, taken_at, latitude, width, height, readable: metadata before a scan."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    rows = docs.select("doc_id", "lang", "source", "n_chars").join(labels.dropDuplicates(["doc_id"]), "doc_id", "left")
+    rows = docs.select("doc_id", "lang", "source", "n_chars").join(labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("toxic").alias("toxic")), "doc_id", "left")
     day = F.make_date(F.lit(2020), F.lit(1), F.lit(1)) + (F.col("doc_id") % 1000).cast("int")
     return rows.select(
         F.col("doc_id").alias("seq"),
@@ -118,11 +117,11 @@ groups AS (
 )
 TRASH_SQL = """
 trash AS (
-  SELECT l_orderkey || '-' || l_partkey || '-' || l_suppkey AS trash_id, l_orderkey AS photo_id,
+  SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS trash_id, l_orderkey AS photo_id,
          floor(l_extendedprice)::BIGINT AS size,
          CASE l_returnflag WHEN 'N' THEN 'trashed' WHEN 'R' THEN 'restored' ELSE 'purged' END AS status,
          l_shipdate AS deleted_at, l_shipdate + INTERVAL 30 DAY AS expires_at
-  FROM lineitem WHERE l_linenumber = 1)"""
+  FROM lineitem)"""
 MEDIA_SQL = """
 media AS (
   SELECT d.doc_id AS seq,

@@ -1,28 +1,41 @@
 """Exact Hamming range join of 64-bit hashes by multi-index hashing.
 
-Two hashes at distance t or less agree within t // 4 bits in one of four
-16-bit bands (Norouzi, Punjani & Fleet, 2012).  One side spells out every band
-value that close, the other its own; an equi-join on (band, value) and a check
-of the full distance leave exactly the pairs in range.  Equal hashes form
-classes first, so a hash that fills the table joins as one row.
+A hash is cut into bands.  Two hashes at distance t or less agree within r_i
+bits in some band i, whenever the radii r_i add up to t + 1 - bands (Norouzi,
+Punjani & Fleet, 2012; Qin et al., 2018).  One side spells out every band value
+that close, the other its own; an equi-join on (band, value), a check of the
+full distance, and a check that no earlier band meets leave each pair in range
+once.  Equal hashes form classes first, so a hash that fills the table joins
+as one row.  Up to ``FEW`` classes have four bands, and the short side is
+broadcast; more have three, whose longer values keep the candidates few, and
+are shuffled, where adaptive execution splits hot values.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from kindred.operators.components import connected_components
 from kindred.operators.hashing import hamming
 
-BANDS, WIDTH = 4, 16
+FEW = 100_000
 
 
-def masks(most: int) -> list[int]:
-    """All 16-bit masks of at most ``most`` bits."""
-    return [sum(1 << i for i in bits) for k in range(most + 1) for bits in combinations(range(WIDTH), k)]
+def masks(width: int, most: int) -> list[int]:
+    """All masks of ``width`` bits with at most ``most`` set."""
+    return [sum(1 << i for i in bits) for k in range(most + 1) for bits in combinations(range(width), k)]
+
+
+def band_plan(distance: int, bands: int) -> list[tuple[int, int, int]]:
+    """(lowest bit, width, radius) of each band; a negative radius means that the band is not needed."""
+    edges = [64 * i // bands for i in range(bands + 1)]
+    spare = distance + 1 - bands
+    radii = [spare // bands + (i < spare % bands) for i in range(bands)]
+    return [(a, b - a, r) for a, b, r in zip(edges, edges[1:], radii, strict=False)]
 
 
 def hash_classes(hashed: DataFrame, id_col: str, hash_col: str) -> DataFrame:
@@ -30,22 +43,54 @@ def hash_classes(hashed: DataFrame, id_col: str, hash_col: str) -> DataFrame:
     return hashed.where(F.col(hash_col).isNotNull()).groupBy(F.col(hash_col).alias("h")).agg(F.min(id_col).alias("rep"), F.count("*").alias("members"))
 
 
-def class_pairs(classes: DataFrame, distance: int) -> DataFrame:
-    """(a, b, dist): class representatives a < b within ``distance``."""
-    band = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("h", WIDTH * i).bitwiseAND(0xFFFF).cast("int").alias("value")) for i in range(BANDS)])).alias("k")
-    own = classes.select("rep", "h", band).select(F.col("rep").alias("b"), F.col("h").alias("hb"), "k.band", "k.value")
-    near = F.explode(F.array(*[F.lit(m) for m in masks(distance // BANDS)])).alias("mask")
-    wide = classes.select("rep", "h", band).select("rep", "h", "k", near).select(F.col("rep").alias("a"), F.col("h").alias("ha"), "k.band", F.col("k.value").bitwiseXOR(F.col("mask")).alias("value"))
-    found = wide.join(own, ["band", "value"]).where((F.col("a") < F.col("b")) & (hamming(F.col("ha"), F.col("hb")) <= distance))
-    return found.select("a", "b", hamming(F.col("ha"), F.col("hb")).alias("dist")).distinct()
+def class_pairs(classes: DataFrame, distance: int, few: int = FEW) -> DataFrame:
+    """(a, b, dist): class representatives a < b within ``distance``.
 
+    ``classes`` is read three times, so it should be a stored table.
+    """
+    small = classes.limit(few + 1).count() <= few
+    plan = band_plan(distance, 4 if small else 3)
+    value = lambda h, low, width: F.shiftrightunsigned(h, low).bitwiseAND((1 << width) - 1)
+    used = [(i, *band) for i, band in enumerate(plan) if band[2] >= 0]
+    own = classes.select(F.col("rep").alias("b"), F.col("h").alias("hb"), F.explode(F.array(*[F.struct(F.lit(i).alias("band"), value("h", low, width).alias("value")) for i, low, width, _ in used])).alias("k")).select("b", "hb", "k.*")
 
-def hash_groups(hashed: DataFrame, id_col: str, hash_col: str, distance: int) -> DataFrame:
-    """(id, label): single-link groups within ``distance``; label is the least id.
+    def near(i: int, low: int, width: int, radius: int) -> Column:
+        """The band's values within ``radius`` bits."""
+        spelt = F.array(*[F.lit(m).cast("long") for m in masks(width, radius)])
+        return F.transform(spelt, lambda m: F.struct(F.lit(i).alias("band"), value("h", low, width).bitwiseXOR(m).alias("value")))
+
+    wide = classes.select(F.col("rep").alias("a"), F.col("h").alias("ha"), F.explode(F.concat(*[near(*band) for band in used])).alias("k")).select("a", "ha", "k.*")
+    found = wide.join(F.broadcast(own) if small else own.hint("merge"), ["band", "value"])
+    first = reduce(lambda rest, k: F.when(hamming(value("ha", k[1], k[2]), value("hb", k[1], k[2])) <= k[3], k[0]).otherwise(rest), reversed(used), F.lit(-1))
+    dist = hamming(F.col("ha"), F.col("hb"))
+    return found.where((F.col("a") < F.col("b")) & (dist <= distance) & (F.col("band") == first)).select("a", "b", dist.alias("dist"))
+
+
+def hash_edges(hashed: DataFrame, id_col: str, hash_col: str, distance: int) -> DataFrame:
+    """(src, dst): edges whose components are the single-link groups within ``distance``."""
+    from kindred.storage import materialise
 
-    Every id appears; those without a partner label themselves.
+    classes = materialise(hash_classes(hashed, id_col, hash_col), "classes")
+    members = hashed.select(F.col(id_col).alias("src"), F.col(hash_col).alias("h")).join(classes.where("members > 1").select("h", F.col("rep").alias("dst")), "h").select("src", "dst")
+    return members.unionByName(class_pairs(classes, distance).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+
+
+def hash_groups_of(hashed: DataFrame, id_col: str, distances: dict[str, int]) -> list[DataFrame]:
+    """(id, label) for each hash column: single-link groups within its distance; label is the least id.
+
+    Every id appears; those without a partner label themselves.  The columns'
+    components are found together, as those of (column, id).
     """
-    classes = hash_classes(hashed, id_col, hash_col)
-    labels = connected_components(class_pairs(classes, distance), "a", "b")
-    named = classes.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("h", F.coalesce("component", "rep").alias("label"))
-    return hashed.select(F.col(id_col).alias("id"), F.col(hash_col).alias("h")).join(named, "h").select("id", "label")
+    from kindred.storage import materialise
+
+    vertex = lambda k, c: F.struct(F.lit(k).alias("k"), F.col(c).alias("id"))
+    edges = reduce(DataFrame.unionByName, (hash_edges(hashed, id_col, c, d).select(vertex(k, "src").alias("src"), vertex(k, "dst").alias("dst")) for k, (c, d) in enumerate(distances.items())))
+    labels = materialise(connected_components(edges).select(F.col("id.k").alias("k"), F.col("id.id").alias("id"), F.col("component.id").alias("label")), "labels")
+    every = hashed.select(F.col(id_col).alias("id"), *distances)
+    return [every.where(F.col(c).isNotNull()).select("id").join(labels.where(F.col("k") == k).drop("k"), "id", "left").select("id", F.coalesce("label", "id").alias("label")) for k, c in enumerate(distances)]
+
+
+def hash_groups(hashed: DataFrame, id_col: str, hash_col: str, distance: int) -> DataFrame:
+    """``hash_groups_of`` for one column."""
+    labels = connected_components(hash_edges(hashed, id_col, hash_col, distance))
+    return hashed.where(F.col(hash_col).isNotNull()).select(F.col(id_col).alias("id")).join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("label"))

@@ -11,39 +11,59 @@ whole batches, the others are array expressions.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import md5
 from math import isqrt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyspark.sql.functions as F
 import pyspark.sql.types as T
 from pyspark.sql import Column, DataFrame
 
 SIDE = 8
+BUCKETS = 64
+TEXTS = 512  # hashed at a time
 
 
-def word_bucket(word: Column, part: int = 0) -> Column:
-    """0-63 from byte ``part`` of the word's MD5."""
-    return F.conv(F.substring(F.md5(word), 2 * part + 1, 2), 16, 10).cast("int") % 64
+def word_bits(texts: pa.Array, part: int, found: tuple) -> np.ndarray:
+    """Hashes by byte ``part`` of the words' MD5; ``found`` is what ``_digested`` gives."""
+    owner, index, digests = found
+    n = len(texts)
+    counts = np.bincount(owner * BUCKETS + digests[:, part][index] % BUCKETS, minlength=n * BUCKETS).reshape(n, BUCKETS)[:, 1:]
+    above = (BUCKETS - 1) * counts > counts.sum(axis=1)[:, None]
+    return (above * (np.int64(1) << np.arange(BUCKETS - 2, -1, -1, dtype=np.int64))).sum(axis=1)
+
+
+def _digested(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text of each word, its place in the list of distinct words, their MD5 digests)."""
+    split = pc.split_pattern(texts, " ")
+    words = split.flatten().dictionary_encode()
+    raw = b"".join(md5(w, usedforsecurity=False).digest() for w in words.dictionary.cast(pa.large_binary()).to_pylist())
+    return np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy())), words.indices.to_numpy(), np.frombuffer(raw, np.uint8).reshape(-1, 16)
 
 
 def text_hashes(texts: DataFrame, key: str, text: str, parts: tuple[int, ...] = (0,)) -> DataFrame:
-    """``key`` and a 64-bit hash column h0, h1, ... for each MD5 byte in ``parts``.
+    """``key`` and a 64-bit hash column h0, h1, ... of every row for each MD5 byte in ``parts``.
 
-    Counts are partial sums per text before the shuffle, one row a text.
+    One narrow pass: each distinct word of a few texts is digested once, and
+    nothing is shuffled.  A null text is an empty one; repeated rows each give
+    a row.
     """
-    words = texts.select(key, F.explode(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), " ")).alias("w"))
-    coded = words.select(key, *(word_bucket(F.col("w").cast("binary"), p).alias(f"b{p}") for p in parts))
-    counts = coded.groupBy(key).agg(*(F.count_if(F.col(f"b{p}") == i).alias(f"c{p}_{i}") for p in parts for i in range(1, 64)))
-    out = []
-    for p in parts:
-        total = sum((F.col(f"c{p}_{i}") for i in range(2, 64)), F.col(f"c{p}_1"))
-        bits = F.lit(0).cast("long")
-        for i in range(1, 64):
-            bits = bits.bitwiseOR(F.when(63 * F.col(f"c{p}_{i}") > F.col(f"t{p}"), F.lit(1 << (63 - i))).otherwise(0).cast("long"))
-        out.append((p, total, bits))
-    totals = counts.withColumns({f"t{p}": total for p, total, _ in out})
-    return totals.select(key, *(bits.alias(f"h{p}") for p, _, bits in out))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), TEXTS):
+                part = batch.slice(at, TEXTS)
+                values = part.column("_text").cast(pa.large_string())
+                found = _digested(values)
+                yield pa.RecordBatch.from_pydict({key: part.column(key)} | {f"h{p}": pa.array(word_bits(values, p, found)) for p in parts})
+
+    used = texts.select(key, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_text"))
+    kind = used.schema[key].dataType.simpleString()
+    return used.mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"h{p} long" for p in parts))
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -23,6 +23,11 @@ def merge_union(groups: list[DataFrame]) -> DataFrame:
     return at_least_two(connected_components(edges).select("id", F.col("component").alias("label")))
 
 
+def merge_edges(edges: list[DataFrame]) -> DataFrame:
+    """The union of all algorithms' groups straight from their edges (src, dst): one run of components."""
+    return at_least_two(connected_components(reduce(DataFrame.unionByName, edges)).select("id", F.col("component").alias("label")))
+
+
 def merge_intersection(groups: list[DataFrame]) -> DataFrame:
     """Items that every algorithm puts into one group together.
 

@@ -12,6 +12,22 @@ def ancestors(path: str):
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
 
 
+def add_folder(folders: DataFrame, path: str, include_subfolders: bool = True) -> DataFrame:
+    """The table with one more folder; one that is, holds or lies in a watched folder is an error."""
+    fresh = folders.sparkSession.createDataFrame([(path, include_subfolders)], "path string, include_subfolders boolean")
+    conflict = folder_conflicts(folders, fresh).first()
+    if conflict is not None:
+        raise ValueError(f"{path} is {conflict['kind']} {conflict['existing_path']}" if conflict["kind"] != "same" else f"{path} is watched already")
+    return folders.unionByName(fresh, allowMissingColumns=True)
+
+
+def remove_folder(folders: DataFrame, path: str) -> DataFrame:
+    """The table without a folder; an unknown one is an error."""
+    if not folders.where(F.col("path") == path).limit(1).count():
+        raise KeyError(path)
+    return folders.where(F.col("path") != path)
+
+
 def folder_conflicts(existing: DataFrame, new: DataFrame) -> DataFrame:
     """(new_path, existing_path, kind): same, inside or around an existing folder.
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
@@ -50,22 +54,41 @@ def mark_read(read_ids: DataFrame, more: DataFrame) -> DataFrame:
 
 
 def throttle(events: DataFrame, key: str, interval_ms: int = 200) -> DataFrame:
-    """Leading-edge throttle per key: an event passes if the last passed one is far enough.
+    """Leading-edge throttle per key: an event passes if the last passed one is far enough: (key, id, ts).
 
     Whether an event passes depends on the ones before it, so a key's events
-    are folded in order: (key, id, ts).
+    are read in order; only the last passed time is held, whatever their
+    number.  Events without a time are left out; those without a key are one
+    key's.
     """
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["ts", "id"])
-        last, keep = None, []
-        for t in group["ts"].astype("int64") // 1000:
-            keep.append(last is None or t - last >= interval_ms * 1000)
-            last = t if keep[-1] else last
-        return group[keep]
-
-    rows = events.select(F.col(key).alias("key"), "id", F.col("ts").cast("timestamp_ntz").alias("ts"))
-    return rows.groupBy("key").applyInPandas(run, "key long, id long, ts timestamp_ntz")
+    gap = interval_ms * 1000
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, last = None, 0
+        for batch in batches:
+            keys = batch.column("key").to_pylist()
+            t = batch.column("ts").cast(pa.int64()).to_numpy()
+            keep, at = [], 0
+            while at < len(keys):
+                stop = bisect_right(keys, False, at, key=lambda k, own=keys[at]: k != own) if keys[at] != keys[-1] else len(keys)
+                if here is not None and here[0] == keys[at]:
+                    at += int(np.searchsorted(t[at:stop], last + gap))
+                while at < stop:
+                    here, last = (keys[at],), t[at]
+                    keep.append(at)
+                    at += max(1, int(np.searchsorted(t[at:stop], last + gap)))
+                at = stop
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    rows = events.select(F.col(key).alias("key"), "id", F.col("ts").cast("timestamp_ntz").alias("ts")).where(F.col("ts").isNotNull())
+    sorted_rows = rows.repartition("key").sortWithinPartitions("key", "ts", "id")
+    return sorted_rows.mapInArrow(run, rows.schema)
+
+
+def unread_count(log: DataFrame, read_ids: DataFrame, cleared_at: Column | None = None) -> DataFrame:
+    """One row: entries after the last clearing, and how many of them are unread."""
+    shown = log if cleared_at is None else log.where(F.col("ts") > cleared_at)
+    return with_read_flag(shown, read_ids).agg(F.count("*").alias("entries"), F.count_if(~F.col("is_read")).alias("unread"))
 
 
 def discoveries(events: DataFrame, key: str, counter: Column) -> DataFrame:

@@ -7,6 +7,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
 KEY = ("dir", "date_name", "low_ext")
+DATE_NAME = 17  # characters of a date name
 
 
 def date_source(original: Column, created: Column, birth: Column, modified: Column) -> tuple[Column, Column]:
@@ -43,32 +44,34 @@ def rename_plan(files: DataFrame) -> DataFrame:
 def rename_plan_around(files: DataFrame, occupied: DataFrame) -> DataFrame:
     """As ``rename_plan``, skipping names of ``occupied`` (path) and names given already.
 
-    Files of one directory share the names in use, so a directory is the unit.
+    A new name starts with its date name, which has one length, and ends in
+    its extension, so only files of one (directory, date name, extension) can
+    get in each other's way: they are the unit, with the names in use there.
     """
-    parts = named(files).select("seq", "dir", "path", "ext", "date_name", "low_ext", "same")
-    taken = occupied.select(F.col("path").alias("taken"), F.regexp_replace("path", "/[^/]*$", "").alias("dir")).groupBy("dir").agg(F.collect_set("taken").alias("taken"))
+    parts = named(files).select("seq", *KEY, "path", "ext", "same")
+    name = F.substring_index("path", "/", -1)
+    used = occupied.select(F.col("path").alias("taken"), F.regexp_replace("path", "/[^/]*$", "").alias("dir"), F.substring(name, 1, DATE_NAME).alias("date_name"), F.lower(F.regexp_extract(name, r"^.+(\.[^.]*)$", 1)).alias("low_ext"))
+    taken = used.groupBy(*KEY).agg(F.collect_set("taken").alias("taken"))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         used: set[str] = set()
         disk = set(group["taken"].iloc[0]) if group["taken"].iloc[0] is not None else set()
-        last: dict[tuple[str, str], int] = {}
-        out = []
+        last, out = 0, []
         for row in group.sort_values("seq").itertuples():
-            key = (row.date_name, row.low_ext)
-
-            def numbered(row=row, key=key) -> str:
-                last[key] = last.get(key, 0) + 1
-                return f"{row.dir}/{row.date_name}_{last[key]:03d}{row.ext}"
-
-            name = numbered() if row.same > 1 else f"{row.dir}/{row.date_name}{row.ext}"
-            while name in used or (name in disk and name != row.path):
-                name = numbered()
+            plain, numbered = f"{row.dir}/{row.date_name}{row.ext}", row.same > 1
+            while True:
+                if numbered:
+                    last += 1
+                name = f"{row.dir}/{row.date_name}_{last:03d}{row.ext}" if numbered else plain
+                if name not in used and (name not in disk or name == row.path):
+                    break
+                numbered = True
             used.add(name)
             if name != row.path:
                 out.append((row.seq, row.path, name))
         return pd.DataFrame(out, columns=["seq", "original_path", "renamed_path"])
 
-    return parts.join(taken, "dir", "left").groupBy("dir").applyInPandas(run, "seq long, original_path string, renamed_path string")
+    return parts.join(taken, list(KEY), "left").groupBy(*KEY).applyInPandas(run, "seq long, original_path string, renamed_path string")
 
 
 def rename_job(plan: DataFrame, total: int) -> DataFrame:

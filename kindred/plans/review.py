@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import pyspark.sql.functions as F
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
+
+from kindred.storage import materialise
 
 GROUP_COLUMNS = ("id", "file_count", "total_size", "reclaimable_size", "review_status", "decision")
 
@@ -30,7 +32,9 @@ def list_groups(groups: DataFrame, photos: DataFrame, trash: DataFrame, *, offse
         found = found.join(matching_groups(photos, search), "id", "left_semi")
     total = found.agg(F.count("*").alias("total"))
     page = found.orderBy("id").offset(offset)
-    page = page.limit(limit) if limit is not None else page
+    if limit is not None:
+        page = materialise(page.limit(limit), "page")
+        photos = photos.join(F.broadcast(page.select(F.col("id").alias("group_id"))), "group_id", "left_semi")  # at most ``limit`` rows
     masters = photos.where("is_master").select(F.col("id").alias("master_id"), F.col("filename").alias("master_filename"))
     purged = has_purged(photos, trash).withColumn("_purged", F.lit(True))
     named = page.join(masters, "master_id", "left").join(purged, "id", "left")
@@ -39,13 +43,13 @@ def list_groups(groups: DataFrame, photos: DataFrame, trash: DataFrame, *, offse
 
 
 def group_detail(photos: DataFrame, trash: DataFrame, group_ids: Column | None = None) -> DataFrame:
-    """Photos of the groups with their trash rows, best quality first.
+    """Photos of the groups with their trash rows; ``place`` 1 is a group's best quality.
 
     A photo that went to the trash more than once appears once per trash row.
     """
     chosen = photos if group_ids is None else photos.where(group_ids)
     rows = chosen.join(trash, chosen["id"] == trash["photo_id"], "left")
-    return rows.select("group_id", "id", "filename", "file_size", "quality", "is_master", "trash_id", F.col("status").alias("trash_status"))
+    return rows.select("group_id", "id", "filename", "file_size", "quality", "is_master", "trash_id", F.col("status").alias("trash_status"), F.row_number().over(Window.partitionBy("group_id").orderBy(F.desc("quality"), "id", "trash_id")).alias("place"))
 
 
 def pending_deletions(photos: DataFrame, groups: DataFrame, trash: DataFrame) -> DataFrame:
@@ -56,6 +60,11 @@ def pending_deletions(photos: DataFrame, groups: DataFrame, trash: DataFrame) ->
     return rows.where(F.col("trash_id").isNull() | (F.col("status") == "restored")).select(F.col("id").alias("photo_id"), "filename", "file_size", "group_id")
 
 
+def pending_size(pending: DataFrame) -> DataFrame:
+    """One row: photos still to be deleted, each once, and their bytes."""
+    return pending.groupBy("photo_id").agg(F.max("file_size").alias("size")).agg(F.count("*").alias("photos"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+
+
 def change_master(photos: DataFrame, groups: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(photos, groups) after ``chosen`` (group_id, photo_id) become masters.
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 
+from kindred.catalog import rollup
 from kindred.operators import clustering, hashing
-from kindred.operators.hamming import hash_groups
-from kindred.operators.merge import at_least_two, merge_groups
+from kindred.operators.hamming import hash_edges, hash_groups, hash_groups_of
+from kindred.operators.merge import at_least_two, merge_edges, merge_groups
 from kindred.storage import materialise
 
 
@@ -18,6 +20,7 @@ class HashAlgorithm:
     id: str
     name: str
     default_threshold: float
+    expression: Callable[[Column], Column]  # grey values to a 64-bit hash
 
 
 @dataclass(frozen=True)
@@ -26,6 +29,7 @@ class VerifyAlgorithm:
     name: str
     default_threshold: float
     at_least: bool  # the score must reach the threshold, not stay below it
+    score: Callable[[Column, Column], Column]  # of two rasters
 
 
 @dataclass(frozen=True)
@@ -47,7 +51,7 @@ def register(algorithm: HashAlgorithm | VerifyAlgorithm) -> None:
     (HASHES if isinstance(algorithm, HashAlgorithm) else VERIFIERS)[algorithm.id] = algorithm
 
 
-for _a in (HashAlgorithm("phash", "Perceptual hash", 8), HashAlgorithm("dhash", "Difference hash", 10), VerifyAlgorithm("ssim", "Structural similarity", 0.82, True), VerifyAlgorithm("nmse", "Normalised mean squared error", 0.05, False)):
+for _a in (HashAlgorithm("phash", "Perceptual hash", 8, hashing.perceptual_hash), HashAlgorithm("dhash", "Difference hash", 10, hashing.difference_hash), VerifyAlgorithm("ssim", "Structural similarity", 0.82, True, hashing.ssim), VerifyAlgorithm("nmse", "Normalised mean squared error", 0.05, False, hashing.nmse)):
     register(_a)
 
 # The scan presets.
@@ -69,13 +73,44 @@ def resolve(ids: tuple[str, ...], known: dict) -> list:
     return [known[i] for i in ids if i in known]
 
 
-def hash_column(algorithm: str):
-    return {"phash": hashing.perceptual_hash, "dhash": hashing.difference_hash}[algorithm](F.col("grey"))
+def verifier(algorithm: VerifyAlgorithm, threshold: float):
+    return algorithm.score, (lambda s: s >= threshold) if algorithm.at_least else (lambda s: s <= threshold)
 
 
-def verifier(algorithm: VerifyAlgorithm, threshold: float):
-    score = {"ssim": hashing.ssim, "nmse": hashing.nmse}[algorithm.id]
-    return score, (lambda s: s >= threshold) if algorithm.at_least else (lambda s: s <= threshold)
+def skipped(files: DataFrame) -> DataFrame:
+    """(path, reason) of the files a scan cannot use, each once: no raster, or an empty one.
+
+    ``files`` has path, grey and error (what decoding said, or null).
+    """
+    reason = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("grey").isNull(), "unreadable").when(F.size("grey") == 0, "empty")
+    return files.select("path", reason.alias("reason")).where(F.col("reason").isNotNull()).groupBy("path").agg(F.min("reason").alias("reason"))
+
+
+def scan_result(members: DataFrame, photos: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(groups, photos) that replace the stored ones after a scan.
+
+    ``members`` is what ``scan`` returns, ``photos`` has seq, path and
+    file_size; an unknown size is 0.
+    """
+    named = photos.select(F.col("seq").alias("member"), "path", F.coalesce("file_size", F.lit(0)).alias("file_size"))
+    rows = members.join(named, "member").select(F.col("member").alias("id"), "group_id", "path", "file_size", "quality", "is_master")
+    groups = rollup(rows).withColumn("review_status", F.lit("pending")).withColumn("decision", F.lit(None).cast("string"))
+    return groups, rows
+
+
+#: Which states of a scan may follow which.
+FOLLOWS = {"running": ("paused",), "paused": ("running",), "completed": ("running",), "failed": ("running", "paused"), "cancelled": ("running", "paused")}
+
+
+def set_status(scans: DataFrame, which: Column, status: str, now: Column, error: str | None = None) -> DataFrame:
+    """Scan rows after those of ``which`` go into ``status``, where their state allows it.
+
+    An end state also gets ``ended_at``, a failure its message.
+    """
+    hit = which & F.col("status").isin(*FOLLOWS[status])
+    ends = status in ("completed", "failed", "cancelled")
+    out = scans.withColumn("ended_at", F.when(hit & F.lit(ends), now)).withColumn("error_message", F.when(hit & F.lit(status == "failed"), F.lit(error)))
+    return out.withColumn("status", F.when(hit, status).otherwise(F.col("status")))
 
 
 def scan(rasters: DataFrame, preset: Preset, thresholds: dict[str, int] | None = None) -> DataFrame:
@@ -88,10 +123,13 @@ def scan(rasters: DataFrame, preset: Preset, thresholds: dict[str, int] | None =
     if not algorithms:
         raise ValueError("no hash algorithm")
     usable = rasters.where(F.col("grey").isNotNull())
-    hashed = materialise(usable.select(F.col("seq").alias("id"), *(hash_column(a.id).alias(a.id) for a in algorithms)), "hashes")
+    hashed = materialise(usable.select(F.col("seq").alias("id"), *(a.expression(F.col("grey")).alias(a.id) for a in algorithms)), "hashes")
     limits = {**preset.hash_thresholds, **(thresholds or {})}
-    sets = [hash_groups(hashed, "id", a.id, int(limits.get(a.id, a.default_threshold))) for a in algorithms]
-    merged = merge_groups(sets, preset.merge_strategy)
+    distances = {a.id: int(limits.get(a.id, a.default_threshold)) for a in algorithms}
+    if preset.merge_strategy == "union" and len(distances) > 1:
+        merged = merge_edges([hash_edges(hashed, "id", name, d) for name, d in distances.items()])
+    else:
+        merged = merge_groups(hash_groups_of(hashed, "id", distances), preset.merge_strategy)
     members = merged.select(F.col("label").alias("group_id"), F.col("id").alias("seq")).join(usable.select("seq", "grey"), "seq")
     checks = [verifier(a, preset.verify_thresholds.get(a.id, a.default_threshold)) for a in resolve(preset.verify_algorithms, VERIFIERS)]
     verified = clustering.verify(members, checks)

@@ -9,9 +9,10 @@ from kindred.catalog import RETENTION_DAYS
 
 
 def trash_page(trash: DataFrame, *, offset: int = 0, limit: int = 50) -> DataFrame:
-    """A page of trashed items, last deleted first; ties by id and size."""
+    """A page of trashed items, last deleted first; ties by id and size; ``total`` counts them all."""
     held = trash.where(F.col("status") == "trashed")
-    return held.orderBy(F.desc("deleted_at"), "trash_id", "size").offset(offset).limit(limit)
+    page = held.orderBy(F.desc("deleted_at"), "trash_id", "size").offset(offset).limit(limit)
+    return page.join(F.broadcast(held.agg(F.count("*").alias("total"))), how="left")  # one row
 
 
 def trash_summary(trash: DataFrame) -> DataFrame:

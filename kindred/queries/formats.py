@@ -122,15 +122,15 @@ def storage_stats(spark, sf):
     return stats.storage(table(spark, sf, "documents"), "n_chars", ["source", "lang"])
 
 
-_EXISTING = "SELECT DISTINCT regexp_replace(url, '/[^/]*$', '') AS path FROM pages WHERE page_id % 3 = 0"
-_NEW = "SELECT DISTINCT regexp_replace(url, '/[^/]*/[^/]*$', '') AS path FROM pages WHERE page_id % 3 = 1 UNION SELECT url FROM pages WHERE page_id % 3 = 0"
+_EXISTING = "SELECT DISTINCT regexp_replace(url, '/[^/]*$', '') AS path FROM pages"
+_NEW = "SELECT DISTINCT regexp_replace(url, '/[^/]*/[^/]*$', '') AS path FROM pages UNION SELECT url FROM pages"
 
 
 @query(f"WITH e AS ({_EXISTING}), n AS ({_NEW}) SELECT n.path AS new_path, e.path AS existing_path, CASE WHEN n.path = e.path THEN 'same' WHEN starts_with(n.path, e.path || '/') THEN 'inside' ELSE 'around' END AS kind FROM e JOIN n ON n.path = e.path OR starts_with(n.path, e.path || '/') OR starts_with(e.path, n.path || '/')")
 def folder_overlap_check(spark, sf):
     pages = table(spark, sf, "pages")
-    existing = pages.where("page_id % 3 = 0").select(T.dirname(F.col("url")).alias("path"))
-    new = pages.where("page_id % 3 = 1").select(F.regexp_replace("url", "/[^/]*/[^/]*$", "").alias("path")).union(pages.where("page_id % 3 = 0").select("url"))
+    existing = pages.select(T.dirname(F.col("url")).alias("path"))
+    new = pages.select(F.regexp_replace("url", "/[^/]*/[^/]*$", "").alias("path")).union(pages.select("url"))
     return folders.folder_conflicts(existing, new)
 
 
@@ -203,6 +203,18 @@ def notification_read_flags(spark, sf):
     return notes.with_read_flag(log, log.where("id % 3 = 0").select("id")).select("id", "is_read")
 
 
+@query("SELECT count(*) AS entries, count(*) FILTER (event_id % 3 <> 0) AS unread FROM events WHERE ts > TIMESTAMP '2024-01-02'")
+def notification_unread_count(spark, sf):
+    log = notifications(spark, sf)
+    return notes.unread_count(log, log.where("id % 3 = 0").select("id"), F.lit("2024-01-02").cast("timestamp_ntz"))
+
+
+@query("SELECT url AS path, CASE WHEN html IS NULL THEN 'unreadable' ELSE 'empty' END AS reason FROM pages WHERE coalesce(length(html), 0) = 0 OR page_id < 0")
+def scan_skipped_files(spark, sf):
+    rows = table(spark, sf, "pages").select(F.col("url").alias("path"), F.filter(F.split("html", ""), lambda x: x != "").alias("grey"), F.lit(None).cast("string").alias("error"))
+    return scans.skipped(rows)
+
+
 @query("SELECT DISTINCT event_id AS id FROM events WHERE event_id % 3 = 0 OR event_id % 5 = 0")
 def notification_mark_read(spark, sf):
     log = notifications(spark, sf)

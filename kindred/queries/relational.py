@@ -10,6 +10,7 @@ from kindred import catalog as C
 from kindred.catalog import GROUPS_SQL, MEDIA_SQL, PHOTOS_SQL, TRASH_SQL
 from kindred.operators.filters import MetadataFilter, keywords
 from kindred.plans import review, stats, trash
+from kindred.plans import scan as scans
 
 QUERIES, SQL = {}, {}
 NOW = "1998-01-01 00:00:00"
@@ -76,7 +77,7 @@ def group_has_purged(spark, sf):
     return review.has_purged(C.photos(spark, sf), C.trash(spark, sf))
 
 
-@query(f"WITH {PHOTOS_SQL}, {TRASH_SQL} SELECT group_id, p.id, filename, file_size, quality, is_master, trash_id, t.status AS trash_status FROM photos p LEFT JOIN trash t ON t.photo_id = p.id")
+@query(f"WITH {PHOTOS_SQL}, {TRASH_SQL} SELECT group_id, p.id, filename, file_size, quality, is_master, trash_id, t.status AS trash_status, row_number() OVER (PARTITION BY group_id ORDER BY quality DESC, p.id, trash_id) AS place FROM photos p LEFT JOIN trash t ON t.photo_id = p.id")
 def group_detail_left_join(spark, sf):
     return review.group_detail(C.photos(spark, sf), C.trash(spark, sf))
 
@@ -86,6 +87,25 @@ def pending_deletions(spark, sf):
     return review.pending_deletions(C.photos(spark, sf), C.groups(spark, sf), C.trash(spark, sf))
 
 
+@query(f"WITH {GROUPS_SQL}, {TRASH_SQL} SELECT count(*) AS photos, coalesce(sum(file_size), 0)::BIGINT AS bytes FROM photos p WHERE NOT is_master AND group_id IN (SELECT id FROM groups WHERE decision = 'duplicates_deleted') AND (id NOT IN (SELECT photo_id FROM trash) OR id IN (SELECT photo_id FROM trash WHERE status = 'restored'))")
+def pending_deletion_size(spark, sf):
+    return review.pending_size(review.pending_deletions(C.photos(spark, sf), C.groups(spark, sf), C.trash(spark, sf)))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'O' THEN 'failed' WHEN o_orderstatus = 'F' THEN 'completed' ELSE 'failed' END AS status, CASE WHEN o_orderstatus = 'O' THEN TIMESTAMP '" + NOW + "' END AS ended_at, CASE WHEN o_orderstatus = 'O' THEN 'disk full' END AS error_message FROM orders")
+def scan_failures(spark, sf):
+    """Every running scan fails; ended ones stay as they are."""
+    return scans.set_status(C.scans(spark, sf), F.lit(True), "failed", now(), "disk full").select("id", "status", "ended_at", "error_message")
+
+
+@query("WITH q AS (SELECT o_orderkey AS id, o_custkey AS group_id, floor(o_totalprice)::BIGINT AS file_size, floor(o_totalprice)::BIGINT % 101 AS quality FROM orders), m AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY quality DESC, id) = 1 AS is_master FROM q) SELECT group_id AS id, count(*) AS file_count, sum(file_size)::BIGINT AS total_size, (sum(file_size) - max(file_size) FILTER (is_master))::BIGINT AS reclaimable_size, max(id) FILTER (is_master) AS master_id, 'pending' AS review_status, CAST(NULL AS VARCHAR) AS decision FROM m GROUP BY group_id")
+def scan_result_groups(spark, sf):
+    """What a scan stores: all groups undecided again."""
+    photos = C.photos(spark, sf)
+    members = photos.select("group_id", F.col("id").alias("member"), "quality", "is_master")
+    return scans.scan_result(members, photos.select(F.col("id").alias("seq"), F.col("filename").alias("path"), "file_size"))[0]
+
+
 _CHOSEN = "chosen AS (SELECT group_id, min(id) AS photo_id FROM photos GROUP BY group_id)"
 
 
@@ -115,7 +135,7 @@ def mark_reviewed(spark, sf):
     return review.mark_reviewed(C.groups(spark, sf), F.lit(True), "kept_all", now()).select("id", "review_status", "decision", "reviewed_at", "decided_at")
 
 
-@query(f"WITH {TRASH_SQL} SELECT * FROM trash WHERE status = 'trashed' ORDER BY deleted_at DESC, trash_id, size LIMIT 50 OFFSET 20")
+@query(f"WITH {TRASH_SQL} SELECT *, (SELECT count(*) FROM trash WHERE status = 'trashed') AS total FROM trash WHERE status = 'trashed' ORDER BY deleted_at DESC, trash_id, size LIMIT 50 OFFSET 20")
 def trash_list_page(spark, sf):
     """A page: the limit is the feature."""
     return trash.trash_page(C.trash(spark, sf), offset=20, limit=50)

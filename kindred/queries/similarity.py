@@ -7,6 +7,7 @@ import pyspark.sql.functions as F
 from kindred.catalog import table
 from kindred.operators import clustering, hamming, hashing, merge
 from kindred.plans import scan as scans
+from kindred.storage import materialise
 
 QUERIES, SQL = {}, {}
 
@@ -48,8 +49,8 @@ g{k} AS (SELECT a{k}.doc_id AS id, m{k}.label FROM a{k} JOIN c{k} ON c{k}.h = a{
 BASE0, BASE01 = f"WITH RECURSIVE {H0}, {_ALL0}", f"WITH RECURSIVE {H0}, {_ALL0}, {H1}, {_ALL1}"
 
 
-def _hashed(spark, sf):
-    return hashing.text_hashes(table(spark, sf, "documents"), "doc_id", "text", (0, 1))
+def _hashed(spark, sf, parts=(0, 1)):
+    return hashing.text_hashes(table(spark, sf, "documents"), "doc_id", "text", parts)
 
 
 @query(f"{BASE01} SELECT a0.doc_id, a0.h AS h0, a1.h AS h1, lpad(to_hex(a0.h), 16, '0') AS hex0 FROM a0 JOIN a1 ON a0.doc_id = a1.doc_id".replace("to_hex", "printf('%x', ").replace("printf('%x', (a0.h)", "printf('%x', a0.h)"))
@@ -59,47 +60,45 @@ def text_hash(spark, sf):
 
 @query(f"{BASE0} SELECT h, min(doc_id) AS rep, count(*) AS members FROM a0 GROUP BY h")
 def exact_hash_classes(spark, sf):
-    return hamming.hash_classes(_hashed(spark, sf), "doc_id", "h0")
+    return hamming.hash_classes(_hashed(spark, sf, (0,)), "doc_id", "h0")
 
 
 def _pairs_sql(t: int) -> str:
     return f"{BASE0}, c AS (SELECT h, min(doc_id) AS rep FROM a0 GROUP BY h) SELECT x.rep AS a, y.rep AS b, bit_count(xor(x.h, y.h))::INT AS dist FROM c x JOIN c y ON x.rep < y.rep AND bit_count(xor(x.h, y.h)) <= {t}"
 
 
+def _classes(spark, sf):
+    return materialise(hamming.hash_classes(_hashed(spark, sf, (0,)), "doc_id", "h0"), "classes")
+
+
 @query(_pairs_sql(8))
 def hamming_pairs_t8(spark, sf):
-    return hamming.class_pairs(hamming.hash_classes(_hashed(spark, sf), "doc_id", "h0"), 8)
+    return hamming.class_pairs(_classes(spark, sf), 8)
 
 
 @query(_pairs_sql(4))
 def hamming_pairs_t4(spark, sf):
-    return hamming.class_pairs(hamming.hash_classes(_hashed(spark, sf), "doc_id", "h0"), 4)
+    return hamming.class_pairs(_classes(spark, sf), 4)
 
 
 @query(f"{BASE0}, {_group_sql(0, 8)} SELECT * FROM g0")
 def components_phash(spark, sf):
-    return hamming.hash_groups(_stored(spark, sf), "doc_id", "h0", 8)
+    return hamming.hash_groups(_stored(spark, sf, (0,)), "doc_id", "h0", 8)
 
 
-def _stored(spark, sf):
-    from kindred.storage import materialise
-
-    return materialise(_hashed(spark, sf), "hashes")
-
-
-def _two(spark, sf):
-    hashed = _stored(spark, sf)
-    return [hamming.hash_groups(hashed, "doc_id", h, 8) for h in ("h0", "h1")]
+def _stored(spark, sf, parts=(0, 1)):
+    return materialise(_hashed(spark, sf, parts), "hashes")
 
 
 @query(f"{BASE01}, {_group_sql(0, 8)}, {_group_sql(1, 8)}, e AS (SELECT id AS a, label AS b FROM g0 UNION SELECT id, label FROM g1 UNION SELECT label, id FROM g0 UNION SELECT label, id FROM g1), v AS (SELECT id, id AS label FROM g0 UNION SELECT e.b, v.label FROM v JOIN e ON e.a = v.id WHERE v.label < e.b), u AS (SELECT id, min(label) AS label FROM v GROUP BY id) SELECT id, label FROM u WHERE label IN (SELECT label FROM u GROUP BY label HAVING count(*) >= 2)")
 def merge_union(spark, sf):
-    return merge.merge_groups(_two(spark, sf), "union")
+    hashed = _stored(spark, sf)
+    return merge.merge_edges([hamming.hash_edges(hashed, "doc_id", h, 8) for h in ("h0", "h1")])
 
 
 @query(f"{BASE01}, {_group_sql(0, 8)}, {_group_sql(1, 8)} SELECT id, label FROM (SELECT g0.id, min(g0.id) OVER w AS label, count(*) OVER w AS n FROM g0 JOIN g1 ON g0.id = g1.id WINDOW w AS (PARTITION BY g0.label, g1.label)) x WHERE n >= 2")
 def merge_intersection(spark, sf):
-    return merge.merge_groups(_two(spark, sf), "intersection")
+    return merge.merge_groups(hamming.hash_groups_of(_stored(spark, sf), "doc_id", {"h0": 8, "h1": 8}), "intersection")
 
 
 @query(f"""{BASE0}, {_group_sql(0, 8)}, q AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id),

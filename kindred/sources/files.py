@@ -8,6 +8,9 @@ and empty files.
 from __future__ import annotations
 
 import os
+import re
+from pathlib import Path
+from urllib.parse import unquote
 
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
@@ -20,13 +23,16 @@ EMPTY = "path string, modificationTime timestamp, length long"
 
 
 def _listing(spark: SparkSession, folder: str, recursive: bool) -> DataFrame:
-    if "://" not in folder and not os.path.isdir(folder):
-        return spark.createDataFrame([], EMPTY)
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    rows = reader.load(folder if recursive else f"{folder.rstrip('/')}/*").select("path", "modificationTime", "length")
-    # The pattern also matches folders, whose files are not the folder's own.
-    own = folder.rstrip("/").split("://")[-1]
-    return rows if recursive else rows.where(dirname(F.col("path")).endswith(own))
+    if "://" not in folder:
+        if not os.path.isdir(folder):
+            return spark.createDataFrame([], EMPTY)
+        folder = Path(os.path.abspath(folder)).as_uri()
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "modificationTime", "length")
+    if recursive:
+        return rows
+    # A folder's own files have as many path parts more as it has itself; the scheme's slashes differ between the two.
+    own = re.sub(r"^(\w+):/+", r"\1:/", folder).rstrip("/")
+    return rows.where(F.url_decode(dirname(F.regexp_replace("path", r"^(\w+):/+", "$1:/"))) == unquote(own))
 
 
 def list_images(spark: SparkSession, folders: list[tuple[str, bool]]) -> DataFrame:
