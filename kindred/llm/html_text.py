@@ -2,14 +2,20 @@
 
 Each page's containers are scored by the text they hold outside links and
 outside elements that are furniture by tag, role or name; the page votes for
-the path of the deepest container that still holds most of it.  Paths are
-generalised: tag and class names without digits.  Spark counts the votes per
+the path of the deepest container that still holds most of it.  A vote never
+goes below an article nor below a container with text of its own, so headings
+and leads beside the body stay.  A name makes an element furniture only if all
+words of the class or id say so (``share-bar``, not ``search-history``).  Paths
+are generalised: tag and class names without digits.  Spark counts the votes per
 host, so that pages with little text follow the template the host's other
 pages agree on, and every page is extracted again with its host's paths, best
 voted first; a page with none of them falls back on its own vote.
 
-Only (host, path) counts are shuffled.  The ranked paths of up to
-``BROADCAST_HOSTS`` hosts are broadcast; beyond that they are joined.
+Only (host, path) counts are shuffled.  A path counts for its host with at
+least ``LEAST_SHARE`` of the votes, so a host has few, however many pages it
+has; a page of a rarer template has its own vote.  The ranked paths are
+broadcast while they have at most ``BROADCAST_CHARS`` characters; beyond that
+they are joined.
 
 Defined results: null html is empty; a page without text gives an empty text;
 pages without a host vote together as host ''; unclosed and misnested markup
@@ -26,19 +32,21 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame, SparkSession, Window
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 
 from kindred.llm.arrowtext import slices, small_batches
 from kindred.llm.url_filter import url_parts
+from kindred.storage import materialise
 
 MOST = 0.75  # share of a container's text that makes its child the better one
-PATHS = 8
-DEEPEST = 40  # containers below this depth share their path
-BROADCAST_HOSTS = 50_000
+LEAST_SHARE = 0.01
+DEEPEST = 40  # below this depth a path goes on as a hash of its rest
+BROADCAST_CHARS = 8 << 20
 
 # HTML's element groups and common names of page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe svg math object canvas audio video xmp".split())
+RAW = frozenset("script style title textarea noscript template iframe svg object canvas audio video xmp".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul button".split())
 CONTAINERS = frozenset("article body center div main section td".split())
 FURNITURE = frozenset("nav footer aside form dialog menu search select button fieldset option".split())
@@ -46,10 +54,13 @@ ROLES = frozenset("navigation banner contentinfo complementary search form alert
 NAMES = frozenset(
     "ad ads adsense advert adverts advertisement advertising alert banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright disclaimer discussion disqus footer gdpr header legal login masthead menu menus modal nav navbar navigation newsletter notice notices notification overlay pager pagination popular popup promo promotion recommended related replies reply respond search share sharebar sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar trending widget".split()
 )
+# Words that say nothing beside a name of furniture.
+LAYOUT = frozenset("a and area articles b bar block bottom box btn button buttons col column container content d div el entry footer global group header holder icon icons inner item items js left link links list main media module my nav on outer overlay page panel post posts right row section secondary site slot small sticky sub text the thread title to top ui unit user users view w wrap wrapper x".split())
 KEEPERS = frozenset(["html", "body", "main", "article"])
 CLOSES = {"li": ("li", {"ul", "ol", "menu", "dir"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"select"})}
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*+>|<\?[^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]{0,65536}"|'[^']{0,65536}'|[^'">]++){0,500}+|[^>]*+)>""", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*+(?:>|\Z)|<\?[^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)", re.S)
+STOP = re.compile(r"""=\s*+(["'])|>""")  # a quoted value begins, or the tag ends
 ATTRIBUTE = re.compile(r"""(?:^|[\s/"'])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|(?=[\s/]|$))""", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 DIGITS = re.compile(r"\d+")
@@ -60,13 +71,14 @@ class Page:
     """A page as blocks of text under a tree of containers."""
 
     def __init__(self, source: str | None):
-        self.parent, self.path = [-1], ["body"]
+        self.parent, self.path, self.article = [-1], ["body"], [False]
         self.blocks: list[tuple[str, int, int]] = []  # text, container, characters in links
         self._stack: list[tuple[str, int, bool, bool]] = [("body", 0, False, False)]  # tag, container, furniture, in an article
         self._depth = [0]
         self._open_tags: Counter[str] = Counter()
         self._text: list[str] = []
         self._links = self._in_link = 0
+        self._unclosed: set[str] = set()  # quotes of which the rest has none
         if source:
             self._read(source)
 
@@ -84,16 +96,32 @@ class Page:
             if tag is None:
                 continue
             tag = tag.lower()
+            begin, at = at, self._tag_end(source, at)
+            attributes = source[begin : at - 1]
             if tag in RAW:
-                if not found[1] and not found[3].endswith("/"):
+                if not found[1] and not (tag == "svg" and attributes.endswith("/")):  # HTML closes no script by a slash
                     stop = re.compile(rf"</{re.escape(tag)}\b[^>]*+>?", re.I).search(source, at)
                     at = stop.end() if stop else size
             elif found[1]:
                 self._close(tag)
             else:
-                self._open(tag, found[3])
+                self._open(tag, attributes)
         self._flush()
 
+    def _tag_end(self, source: str, at: int) -> int:
+        """The place behind a tag's ``>``; a quote that never closes is an ordinary character."""
+        while (found := STOP.search(source, at)) is not None:
+            if found[1] is None:
+                return found.end()
+            at = found.end()
+            if found[1] not in self._unclosed:
+                close = source.find(found[1], at)
+                if close < 0:
+                    self._unclosed.add(found[1])
+                else:
+                    at = close + 1
+        return len(source) + 1
+
     def _add(self, raw: str) -> None:
         text = html.unescape(raw) if "&" in raw else raw
         self._text.append(text)
@@ -134,8 +162,10 @@ class Page:
         furniture = furniture or self._furniture(tag, inside, *names)
         if tag in CONTAINERS:
             self.parent.append(node)
+            self.article.append(tag == "article")
             deep = self._depth[node] + 1
-            self.path.append(f"{self.path[node]}>{tag}{names[0]}" if deep <= DEEPEST else self.path[node])
+            path = f"{self.path[node]}>{tag}{names[0]}"
+            self.path.append(path if deep <= DEEPEST else f"{path.partition('#')[0] if deep == DEEPEST + 1 else self.path[node].partition('#')[0]}#{xxhash.xxh3_64_hexdigest(path)}")
             self._depth.append(deep)
             node = len(self.parent) - 1
         self._stack.append((tag, node, furniture, inside or tag in ("article", "main")))
@@ -173,8 +203,9 @@ class Page:
         if not judged or tag in KEEPERS:
             return False
         roles = {x[5:] for x in judged.split() if x.startswith("role=")}
-        words = {x.lower() for x in PART.findall(" ".join(x for x in judged.split() if not x.startswith("role=")))}
-        return bool(roles & ROLES) or bool(words & (NAMES - {"header", "byline"} if inside else NAMES))
+        names = NAMES - {"header", "byline"} if inside else NAMES
+        tokens = ({w.lower() for w in PART.findall(x)} for x in judged.split() if not x.startswith("role="))
+        return bool(roles & ROLES) or any(words & names and words <= NAMES | LAYOUT for words in tokens)
 
     def _pop_to(self, names: list[str], walls: set[str]) -> None:
         """Close open elements of ``names`` unless a wall is nearer."""
@@ -207,15 +238,19 @@ class Page:
         return total
 
     def vote(self) -> str | None:
-        """Path of the deepest container that holds most of the text of each one around it."""
+        """Path of the deepest container that holds most of the text of each one around it.
+
+        It is no deeper than an article, nor than a container with text of its own.
+        """
         total = self.totals()
+        own = {node for text, node, links in self.blocks if len(text) > links}
         if not total[0]:
             return None
         children: dict[int, list[int]] = {}
         for node in range(1, len(total)):
             children.setdefault(self.parent[node], []).append(node)
         at = 0
-        while at in children:
+        while at in children and at not in own and not self.article[at]:
             best = max(children[at], key=lambda n: (total[n], -n))
             if total[best] < MOST * total[at]:
                 break
@@ -236,29 +271,30 @@ class Page:
         return "\n".join(t for t, _, _ in self.blocks), None
 
 
-def host_paths(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", most: int = PATHS) -> DataFrame:
-    """(host, paths): each host's ``most`` best-voted paths, best first."""
+def host_paths(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", least: float = LEAST_SHARE) -> DataFrame:
+    """(host, paths): each host's paths with a share of at least ``least`` of its votes, best first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_pydict({"host": batch.column("host"), "path": pa.array([Page(x).vote() for x in batch.column("html").to_pylist()], pa.string())})
+            for part in slices(batch, "html"):
+                yield pa.RecordBatch.from_pydict({"host": part.column("host"), "path": pa.array([Page(x).vote() for x in part.column("html").to_pylist()], pa.string())})
 
     host, _ = url_parts(F.col(url_col))
     votes = pages.select(host.alias("host"), F.col(html_col).alias("html")).mapInArrow(run, "host string, path string").where(F.col("path").isNotNull())
-    counted = votes.groupBy("host", "path").agg(F.count("*").alias("votes"))
-    order = Window.partitionBy("host").orderBy(F.desc("votes"), "path")
-    ranked = counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
-    return ranked.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("rank", "path"))).alias("best")).select("host", F.col("best.path").alias("paths"))
+    counted = materialise(votes.groupBy("host", "path").agg(F.count("*").alias("votes")), "votes")
+    cast = counted.groupBy("host").agg(F.sum("votes").alias("cast"))
+    # At most 1 / least paths a host.
+    chosen = counted.join(cast, "host").where(F.col("votes") >= F.col("cast") * least)
+    ranked = chosen.groupBy("host").agg(F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("order"), "path"))).alias("best"))
+    return ranked.select("host", F.col("best.path").alias("paths"))
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``id_col``, url, text, n_chars and the path used, for every row."""
-    from kindred.storage import materialise
-
     best = materialise(host_paths(pages, url_col=url_col, html_col=html_col), "paths")
     host, _ = url_parts(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
-    few = best.count() <= BROADCAST_HOSTS
+    few = (best.agg(F.sum(F.length("host") + F.length(F.concat_ws("", "paths")) + 32)).first()[0] or 0) <= BROADCAST_CHARS
     rows = rows.join(F.broadcast(best) if few else best, "host", "left").select("id", "url", "html", "paths")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -51,7 +51,7 @@ def test_main_text_of_a_page():
     assert page.text([])[0] == "Title & more\nFirst para\nSecond para with link.\none\ntwo"
 
 
-@pytest.mark.parametrize(("source", "expected"), [(None, ""), ("", ""), ("plain  text", "plain text"), ("<p>a<div hidden>h</div>b", "a\nb"), ("<a href=x>only link</a>", "only link"), ('<p title="x>y">q</p>', "q"), ("a < b &lt; c", "a < b < c"), ("<!-- <p>no</p> --><p>yes", "yes"), ("<style>p{}</style><nav>menu</nav>", "")])
+@pytest.mark.parametrize(("source", "expected"), [(None, ""), ("", ""), ("plain  text", "plain text"), ("<p>a<div hidden>h</div>b", "a\nb"), ("<a href=x>only link</a>", "only link"), ('<p title="x>y">q</p>', "q"), ("a < b &lt; c", "a < b < c"), ("<!-- <p>no</p> --><p>yes", "yes"), ("<style>p{}</style><nav>menu</nav>", ""), ("x<script src=/a/>var a=1;</script>y", "xy"), ("<article><p class='search-history'>kept</p><div class='legal-news'>too</div><p>a <math><mi>x</mi></math></p><div class='share-bar'>no</div></article>", "kept\ntoo\na x"), ("<article><h1>Head</h1><p class=lead>lead</p><div>" + "long text " * 40 + "</div><div class=more>more</div></article>", "Head\nlead\n" + ("long text " * 40).strip() + "\nmore"), ("<p title=\"never closed>q</p>", "q"), ("<img src=\"data:" + "x" * 70_000 + "\" alt=\"a>b\">text", "text"), ("<div" + " a=b" * 600 + " c='>'>text", "text"), ("<div class=contenido><p>" + "uno dos " * 30 + "</p></div><div class=navegacion><a href=x>inicio</a></div>", ("uno dos " * 30).strip())])
 def test_small_pages(source, expected):
     assert html_text.Page(source).text([])[0] == expected
 
@@ -61,6 +61,13 @@ def test_deep_and_hostile_markup_ends():
         html_text.Page(source).text([])
 
 
+def test_deep_paths_stay_apart():
+    deep = "<div class=d>" * 60
+    page = html_text.Page(f"{deep}<div class=a><p>one two</p></div><div class=b><p>three</p></div>")
+    assert len(set(page.path)) == len(page.path)
+    assert max(map(len, page.path)) < 400
+
+
 def test_host_consensus_carries_thin_pages(spark):
     body = "<div class=story>{}</div><div class=promo2x>{}</div>"
     long, short = "word " * 80, "word"
