@@ -10,6 +10,7 @@ from kindred.functions import text as T
 from kindred.operators.filters import MetadataFilter, keywords
 from kindred.plans import folders, organize, review, trash
 from kindred.plans import notifications as notes
+from kindred.plans import scan as scans
 from kindred.sources import files, logs
 from kindred.streaming.notifications import throttle_stream
 
@@ -136,3 +137,31 @@ def test_templates_and_text(spark):
     assert (row["size"], row["none"]) == ("1.5 KB", "0 B")
     assert len(row["short"]) == 61
     assert (row["camel"], row["version"]) == ("Focal Length", "1.2")
+
+
+def test_flat_listing_of_empty_and_relative_folders(spark, tmp_path, monkeypatch):
+    for name in ("pics/oldpics/b.jpg", "pics/a b.jpg"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    (tmp_path / "none").mkdir()
+    monkeypatch.chdir(tmp_path)
+    names = lambda f: [r["filename"] for r in files.list_images(spark, [(f, False)]).collect()]
+    assert names("none") == []
+    assert names("pics") == ["a b.jpg"]
+
+
+def test_folders_are_added_and_removed(spark):
+    watched = spark.createDataFrame([("/a/b", True)], "path string, include_subfolders boolean")
+    assert sorted(r["path"] for r in folders.add_folder(watched, "/c").collect()) == ["/a/b", "/c"]
+    for taken in ("/a/b", "/a", "/a/b/x"):
+        with pytest.raises(ValueError, match="/a"):
+            folders.add_folder(watched, taken)
+    assert folders.remove_folder(watched, "/a/b").count() == 0
+    with pytest.raises(KeyError):
+        folders.remove_folder(watched, "/a")
+
+
+def test_skipped_files_have_one_reason_each(spark):
+    rows = [("p", [1], None), ("q", None, None), ("q", None, "broken"), ("r", [], None)]
+    got = scans.skipped(spark.createDataFrame(rows, "path string, grey array<int>, error string")).collect()
+    assert {(r["path"], r["reason"]) for r in got} == {("q", "broken"), ("r", "empty")}
