@@ -175,4 +175,4 @@ def ssim(a: Column, b: Column) -> Column:
     scores = F.transform(F.sequence(F.lit(0), across * across - 1), lambda k: _ssim_window(window(a, k), window(b, k)))
     mean = F.aggregate(scores, F.lit(0.0), lambda s, x: s + x) / (across * across)
     bad = (side * side != F.size(a)) | (F.size(a) != F.size(b)) | (side < SIDE)
-    return F.when(bad, F.raise_error(F.lit("rasters must be equal squares of at least 8 x 8")).cast("double")).otherwise(mean)
+    return F.when(bad, F.raise_error(F.lit("rasters must be equal squares of at least 8 x 8")).cast("double")).when(side == SIDE, _ssim_window(a, b)).otherwise(mean)  # one window needs no slices
