@@ -4,13 +4,16 @@ Unit vectors are rotated once; each group of ``dims`` rotated coordinates,
 spread evenly by a normal fit on a bounded sample and shifted by its own
 offset, gives one Hilbert ordering of all vectors.  Orderings are
 range-partitioned and ranked by Spark.  A query looks at the ``window`` share
-of each ordering around its own rank: it meets the blocks of ``block`` rows
-that its window covers, one block in memory at a time, and keeps the best of
-each; the orderings' answers merge and are ranked by the exact measure.
+of each ordering around its own rank, ``least`` rows at least: it meets the
+blocks that its window covers (a quarter of a window each, ``block`` rows at
+most), one block in memory at a time, and keeps the best of each.  Only there
+vectors travel as one byte a coordinate; the ``k + 1 + SPARE`` best of all
+orderings get the exact measure from the original vectors.
 
 The window is a share of the table, not a row count, because the share decides
-the recall; for isotropic data no ordering can do with less.  Equal vectors
-are indexed once, with their ``k + 1`` smallest ids, which loses no answer and
+the recall; for isotropic data no ordering can do with less, but many narrow
+windows find more than few wide ones of the same total.  Equal vectors are
+indexed once, with their ``k + 1`` smallest ids, which loses no answer and
 keeps a vector that fills a third of the table from filling a window.
 
 Defined results: vectors that are null, zero, of another length than most, or
@@ -31,11 +34,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 
 from kindred.storage import materialise
 
-CURVES = 16
-DIMS = 4
+CURVES = 32
+DIMS = 6
 BITS = 8
-WINDOW = 0.07
+WINDOW = 0.02
+LEAST = 128
 BLOCK = 2048
+SPARE = 5  # ranks that rounding to bytes may cost
 SAMPLE = 10_000
 SEED = 20_240_607
 
@@ -79,6 +84,30 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
+def to_bytes(x: np.ndarray) -> pa.Array:
+    """Rows rounded to one byte a coordinate, each on its own scale: cosines need no other."""
+    code = np.rint(x / np.abs(x).max(axis=1, keepdims=True) * 127).astype(np.int8)
+    return pa.array([row.tobytes() for row in code], pa.binary())
+
+
+def from_bytes(column: pa.Array) -> np.ndarray:
+    """Unit vectors, in single precision."""
+    code = np.frombuffer(b"".join(column.to_pylist()), np.int8).astype(np.float32)
+    return unit(code.reshape(len(column), -1))
+
+
+def code_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_pydict({"uid": batch.column("uid"), "asked": batch.column("asked"), "code": to_bytes(stack(batch.column("v")))})
+
+
+def exact_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        left, right = stack(batch.column("left")), stack(batch.column("right"))
+        score = (left * right).sum(axis=1) / (np.sqrt((left * left).sum(axis=1)) * np.sqrt((right * right).sum(axis=1)))
+        yield pa.RecordBatch.from_pydict({"asker": batch.column("asker"), "ids": batch.column("ids"), "score": pa.array(score)})
+
+
 class Orderings:
     """Rotation, spread and shifts shared by all rows; drawn from a fixed seed."""
 
@@ -112,7 +141,7 @@ def usable(vectors: DataFrame, vec_col: str, id_col: str) -> DataFrame:
     return good.where(F.size("v") == (sizes[0]["size"] if sizes else 0)).distinct()
 
 
-def search(vectors: DataFrame, is_query: Column, *, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", curves: int = CURVES, dims: int = DIMS, window: float = WINDOW, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, *, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", curves: int = CURVES, dims: int = DIMS, window: float = WINDOW, least: int = LEAST, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
     """The ``k`` nearest rows of every query row: query_id, rank, vec_id, score.
 
     ``is_query`` is a condition on column ``vec_id``.
@@ -144,20 +173,21 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 5, id_col: str = "v
     earlier = Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     shift = counts.select("curve", "part", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift"))
     ranked = part.join(shift, ["curve", "part"]).select("uid", "curve", (F.col("place") + F.col("shift")).alias("position"))
-    half = max(block // 2, int(np.ceil(total * window / 2)))
-    spot = ranked.join(distinct, "uid")
-    held = spot.select("curve", F.floor(F.col("position") / block).cast("long").alias("block"), F.lit(0).alias("role"), "uid", "v")
+    half = int(np.ceil(max(least, total * window) / 2))
+    block = min(block, max(1, half // 2))
+    spot = ranked.join(distinct.select("uid", "asked", "v").mapInArrow(code_rows, "uid long, asked boolean, code binary"), "uid")
+    held = spot.select("curve", F.floor(F.col("position") / block).cast("long").alias("block"), F.lit(0).alias("role"), "uid", "code")
     last = (total - 1) // block
     reach = F.sequence(F.greatest(F.lit(0), F.floor((F.col("position") - half) / block)).cast("long"), F.least(F.lit(last), F.floor((F.col("position") + half) / block)).cast("long"))
-    asking = spot.where("asked").select("curve", F.explode(reach).alias("block"), F.lit(1).alias("role"), "uid", "v")
+    asking = spot.where("asked").select("curve", F.explode(reach).alias("block"), F.lit(1).alias("role"), "uid", "code")
     met = held.unionByName(asking).repartition("curve", "block").sortWithinPartitions("curve", "block", "role")
-    top = k + 1
+    top = k + 1 + SPARE
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, ids, x, xu, nx = None, [], [], None, None
+        here, ids, x, xu = None, [], [], None
         for batch in batches:
             spot = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("curve", "block", "role")], axis=1)
-            uid, v = batch.column("uid").to_numpy(), stack(batch.column("v"))
+            uid, v = batch.column("uid").to_numpy(), from_bytes(batch.column("code"))
             cuts = [0, *(np.flatnonzero((np.diff(spot, axis=0) != 0).any(axis=1)) + 1), len(spot)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 curve, number, role = spot[a]
@@ -170,23 +200,20 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 5, id_col: str = "v
                 if not ids:
                     continue
                 if xu is None:
-                    own, held_x = np.concatenate(ids), np.concatenate(x)
-                    nx = np.sqrt((held_x * held_x).sum(axis=1))
-                    xu = held_x / nx[:, None]
+                    own, xu = np.concatenate(ids), np.concatenate(x)
                 for at in range(a, b, 256):
-                    q = v[at : min(b, at + 256)]
-                    near = unit(q) @ xu.T
-                    m = min(top + 2, near.shape[1])
+                    end = min(b, at + 256)
+                    near = v[at:end] @ xu.T
+                    m = min(top, near.shape[1])
                     pick = np.argpartition(-near, m - 1, axis=1)[:, :m]
-                    asked_rows = np.repeat(np.arange(len(q)), m)
-                    flat = pick.reshape(-1)
-                    left, right = q[asked_rows], held_x[flat]
-                    score = (left * right).sum(axis=1) / (np.sqrt((left * left).sum(axis=1)) * nx[flat])
-                    yield pa.RecordBatch.from_pydict({"asker": pa.array(uid[at : at + len(q)][asked_rows]), "uid": pa.array(own[flat]), "score": pa.array(score)})
-
-    found = met.mapInArrow(rerank, "asker long, uid long, score double").groupBy("asker", "uid").agg(F.max("score").alias("score"))
-    best = found.withColumn("n", F.row_number().over(Window.partitionBy("asker").orderBy(F.desc("score"), "uid"))).where(F.col("n") <= top + 2).drop("n")
-    named = best.join(distinct.select("uid", "ids"), "uid").select("asker", "score", F.explode("ids").alias("vec_id"))
+                    yield pa.RecordBatch.from_pydict({"asker": pa.array(np.repeat(uid[at:end], m)), "uid": pa.array(own[pick.reshape(-1)]), "near": pa.array(np.take_along_axis(near, pick, axis=1).reshape(-1))})
+
+    found = met.mapInArrow(rerank, "asker long, uid long, near float").groupBy("asker", "uid").agg(F.max("near").alias("near"))
+    best = found.withColumn("n", F.row_number().over(Window.partitionBy("asker").orderBy(F.desc("near"), "uid"))).where(F.col("n") <= top).select("asker", "uid")
+    pairs = best.join(distinct.select("uid", "ids", F.col("v").alias("right")), "uid").join(distinct.where("asked").select(F.col("uid").alias("asker"), F.col("v").alias("left")), "asker")
+    kind = distinct.schema["ids"].dataType.simpleString()
+    measured = pairs.select("asker", "ids", "left", "right").mapInArrow(exact_rows, f"asker long, ids {kind}, score double")
+    named = measured.select("asker", "score", F.explode("ids").alias("vec_id"))
     queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "v").join(distinct.where("asked").select("v", F.col("uid").alias("asker")), "v").select("query_id", "asker")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     out = queries.join(named, "asker").where(F.col("vec_id") != F.col("query_id")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

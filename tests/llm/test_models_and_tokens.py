@@ -46,12 +46,19 @@ def found(frame):
 
 
 def test_recall_on_the_embeddings(spark):
-    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
-    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = found(neighbours.search(vectors, F.col("vec_id") % 50 == 0, block=16))
-    expected = brute_neighbours(rows)
-    assert got.keys() == expected.keys()
-    assert np.mean([len(set(got[q]) & set(expected[q])) / 5 for q in expected]) >= 0.85
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    expected = brute_neighbours([tuple(r) for r in vectors.collect()])
+    for options, bar in (({}, 0.9), ({"window": 0.03, "least": 1, "block": 16}, 0.9)):
+        got = found(neighbours.search(vectors, F.col("vec_id") % 50 == 0, **options))
+        assert got.keys() == expected.keys()
+        assert np.mean([len(set(got[q]) & set(expected[q])) / 5 for q in expected]) >= bar
+
+
+def test_vectors_as_bytes():
+    x = np.random.default_rng(3).normal(size=(500, 64)) * np.logspace(-30, 30, 500)[:, None]
+    near = neighbours.from_bytes(neighbours.to_bytes(x))
+    exact = neighbours.unit(x)
+    assert np.abs(near @ near.T - exact @ exact.T).max() < 0.02
 
 
 def test_ties_bad_vectors_and_small_tables(spark):
