@@ -7,10 +7,12 @@ filter over the listed keys (one 64-bit block a key, so one memory access a
 test) lets possible hits through; those alone meet the list in an equi-join,
 which removes false positives, and the longest rule wins.
 
-Keys are tested once per distinct (host, path), so a host or page that holds a
-third of all rows is pre-aggregated first.  The filter's size is a parameter
-and stays the same however long the list is; a fuller filter passes more
-possible hits to the join and changes no result.
+The test is narrow: rows that cannot be hits are judged where they were read
+and are never shuffled, among them all null urls.  Possible hits meet the list
+once per distinct (host, path), and Spark may split a url that very many rows
+share when the verdicts come back, as it has one verdict.  The filter's size is
+a parameter and stays the same however long the list is; a fuller filter passes
+more possible hits to the join and changes no result.
 
 Defined results: a null url or one without ``://`` has empty host and path,
 fits no rule and gets the default verdict; a rule with a null host or path is
@@ -21,11 +23,10 @@ repeated rows each give a row; an empty list or table is fine.
 from __future__ import annotations
 
 import string
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 
@@ -76,17 +77,25 @@ def maybe_listed(h: np.ndarray, words: np.ndarray) -> np.ndarray:
     return (words[h % len(words)] & bits) == bits
 
 
-def possible_hits(candidates: DataFrame, words: np.ndarray) -> DataFrame:
-    """The rows whose ``key`` may be listed."""
-    shared = candidates.sparkSession.sparkContext.broadcast(words)
-    columns = candidates.columns
+def possible_hit(hashes: Column, words: np.ndarray, spark: SparkSession) -> Column:
+    """Whether the filter may hold any key of an array of hashes."""
+    shared = spark.sparkContext.broadcast(words)
+
+    @F.pandas_udf("boolean")
+    def test(keys: pd.Series) -> pd.Series:
+        size = np.array([len(k) for k in keys], np.int64)
+        if not size.sum():
+            return pd.Series(np.zeros(len(keys), bool))
+        maybe = maybe_listed(np.concatenate(keys.to_list()).astype(np.int64), shared.value)
+        owner = np.repeat(np.arange(len(keys)), size)
+        return pd.Series(np.bincount(owner[maybe], minlength=len(keys)) > 0)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            maybe = maybe_listed(batch.column("_hash").to_numpy(), shared.value)
-            yield batch.filter(pa.array(maybe)).select(columns)
+    return test(hashes)
 
-    return candidates.withColumn("_hash", F.xxhash64("key")).mapInArrow(run, candidates.schema)
+
+def possible_hits(candidates: DataFrame, words: np.ndarray) -> DataFrame:
+    """The rows whose ``key`` may be listed."""
+    return candidates.where(possible_hit(F.array(F.xxhash64("key")), words, candidates.sparkSession))
 
 
 def judge(pages: DataFrame, rules: DataFrame, *, url_col: str = "url", default: str = "allow", blocks: int = BLOCKS) -> DataFrame:
@@ -103,11 +112,14 @@ def judge(pages: DataFrame, rules: DataFrame, *, url_col: str = "url", default:
     words = build_filter(listed, blocks)
     labels = F.size(F.split("host", "[.]"))
     tails = [F.when((labels >= s["labels"]) & (F.length("path") >= s["prefix"]), F.concat(F.substring_index("host", ".", -s["labels"]), F.substring("path", 1, s["prefix"]))) for s in shapes]
-    candidates = parted.select("host", "path").distinct().select("host", "path", F.explode(F.array_compact(F.array(*tails) if tails else F.array().cast("array<string>"))).alias("key"))
+    keys = F.array_compact(F.array(*tails)) if tails else F.array().cast("array<string>")
+    marked = parted.withColumn("_keys", keys).withColumn("_maybe", possible_hit(F.transform("_keys", lambda k: F.xxhash64(k)), words, pages.sparkSession))
+    hits, others = marked.where("_maybe"), marked.where("NOT _maybe")
+    candidates = hits.select("host", "path", "_keys").distinct().select("host", "path", F.explode("_keys").alias("key"))
     found = possible_hits(candidates, words).join(listed.select("key", "verdict"), "key")
     best = found.groupBy("host", "path").agg(F.min(F.struct((-F.length("key")).alias("order"), "key", "verdict")).alias("_best"))
-    out = parted.join(best, ["host", "path"], "left")
-    return out.select(*kept, "host", "path", F.col("_best.key").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
+    judged = hits.join(best, ["host", "path"], "left").select(*kept, "host", "path", F.col("_best.key").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
+    return judged.unionByName(others.select(*kept, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict")))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
