@@ -206,6 +206,15 @@ def test_decontamination_of_empty_tables(spark):
     assert decontaminate.scan(docs(spark, ["a"]).limit(0), items).count() == 0
 
 
+def test_parts_give_the_spans_of_one_pass(spark):
+    table = docs(spark, ["x One two three. y", "three four FIVE", "one two three four five", "", None, "none of it"])
+    items = spark.createDataFrame([("a", "one two three"), ("b", "three four five"), ("b", "three four five"), (None, "none of it")], "item_id string, text string")
+    one, many = (sorted((r["doc_id"], r["hit_spans"], r["items"]) for r in decontaminate.scan(table, items, max_patterns_bytes=n).collect()) for n in (1 << 20, 40))
+    assert one == many
+    assert [x[2] for x in one] == [["a"], ["b"], ["a", "b"], [], [], []]
+    assert one[2][1] == [[0, 23]]
+
+
 def test_folds_use_crc32(spark):
     from kindred.llm.toxicity import fold
 
