@@ -17,7 +17,9 @@ def duck(sf_dir: str = SF):
 def plain(value):
     if hasattr(value, "tolist"):
         value = value.tolist()
-    return None if value is None or value is pd.NaT or value != value else value
+    if isinstance(value, float) and value.is_integer():
+        value = int(value)  # a column of integers with nulls
+    return None if value is None or value is pd.NaT or value is pd.NA or value != value else value
 
 
 def rows(frame: pd.DataFrame) -> list[str]:
