@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kindred.llm.conversation_trie import OP12_SQL, op12_conversation_trie
 from kindred.llm.decontaminate import op8_decontaminate
 from kindred.llm.html_text import op1_html_text
 from kindred.llm.language_model import op4_language_model
@@ -15,6 +16,8 @@ from kindred.llm.packing import op9_packing
 from kindred.llm.toxicity import op7_toxicity
 from kindred.llm.url_filter import OP5_SQL, op5_url_filter
 from kindred.llm.parity_join import op6_jaccard_join
+from kindred.llm.secret_ledger import OP11_SQL, op11_secret_scan
+from kindred.llm.spelling import OP13_SQL, op13_spelling_variants
 from kindred.llm.token_counts import op10_token_counts
 
 
@@ -30,6 +33,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontaminate": op8_decontaminate,
         "op9_packing": op9_packing,
         "op10_token_counts": op10_token_counts,
+        "op11_secret_scan": op11_secret_scan,
+        "op12_conversation_trie": op12_conversation_trie,
+        "op13_spelling_variants": op13_spelling_variants,
     }
 
 
@@ -37,4 +43,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_line_dedup": OP2_SQL,
         "op5_url_filter": OP5_SQL,
+        "op11_secret_scan": OP11_SQL,
+        "op12_conversation_trie": OP12_SQL,
+        "op13_spelling_variants": OP13_SQL,
     }
