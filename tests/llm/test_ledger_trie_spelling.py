@@ -154,12 +154,20 @@ def test_trie_equals_plain_rebuild(spark, seed):
 
 def test_trie_of_equal_conversations_long_ones_and_turnless_ones(spark):
     rows = [(c, t, "user", "same words here") for c in range(0, 400) for t in range(2)]
-    rows += [(1000, t, "user", f"turn {t % 7}") for t in range(3000)]
+    rows += [(1000, t, "user", f"turn {t % 7}") for t in range(120)]
     rows += [(2001, 0, "user", "w " * 50_000)]
     got = trie_rows(conversation_trie.prefix_trie(spark.createDataFrame(rows, TURN), chunk=2))
     assert got == plain_trie(rows)
 
 
+def test_a_very_long_conversation_is_one_path(spark):
+    rows = [(40, t, "user", "one two") for t in range(6000)] + [(60, t, "user", "one two") for t in range(6000)]
+    got = conversation_trie.prefix_trie(spark.createDataFrame(rows, TURN))
+    top = got.where("depth = 0").first()
+    assert got.count() == 6001 and (top.n_convs, top.n_children, top.n_leaves, top.saved_tokens) == (2, 1, 1, 12_000)
+    assert got.where("n_children <> 1").count() == 1
+
+
 def test_trie_without_rows_and_with_other_columns(spark):
     assert conversation_trie.prefix_trie(spark.createDataFrame([], TURN)).count() == 0
     rows = [(0, 0, "user", "a"), (1, 0, "user", "a")]
