@@ -166,6 +166,15 @@ def _ssim_window(a: Column, b: Column) -> Column:
     return ((2 * ma * mb + c1) * (2 * cov + c2)) / ((ma * ma + mb * mb + c1) * (va + vb + c2))
 
 
+def windows(grey: Column) -> Column:
+    """The whole 8 x 8 windows, side by side, of a square raster."""
+    side = F.floor(F.sqrt(F.size(grey))).cast("int")
+    across = F.floor(side / SIDE).cast("int")
+    corner = lambda k: F.floor(k / across).cast("int") * SIDE * side + k % across * SIDE
+    rows = lambda k: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(SIDE - 1)), lambda r: F.slice(grey, corner(k) + r * side + 1, SIDE)))
+    return F.when(side == SIDE, F.array(grey)).otherwise(F.transform(F.sequence(F.lit(0), across * across - 1), rows))
+
+
 def ssim(a: Column, b: Column) -> Column:
     """Mean structural similarity of the 8 x 8 windows, side by side, of square rasters."""
     side = F.floor(F.sqrt(F.size(a))).cast("int")

@@ -9,7 +9,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
 from kindred.catalog import rollup
-from kindred.operators import clustering, hashing
+from kindred.operators import bounds, clustering, hashing
 from kindred.operators.hamming import hash_edges, hash_groups, hash_groups_of
 from kindred.operators.merge import at_least_two, merge_edges, merge_groups
 from kindred.storage import materialise
@@ -30,6 +30,7 @@ class VerifyAlgorithm:
     default_threshold: float
     at_least: bool  # the score must reach the threshold, not stay below it
     score: Callable[[Column, Column], Column]  # of two rasters
+    bounded: Callable[[float], clustering.Verifier] | None = None  # with bounds, for a threshold
 
 
 @dataclass(frozen=True)
@@ -51,7 +52,7 @@ def register(algorithm: HashAlgorithm | VerifyAlgorithm) -> None:
     (HASHES if isinstance(algorithm, HashAlgorithm) else VERIFIERS)[algorithm.id] = algorithm
 
 
-for _a in (HashAlgorithm("phash", "Perceptual hash", 8, hashing.perceptual_hash), HashAlgorithm("dhash", "Difference hash", 10, hashing.difference_hash), VerifyAlgorithm("ssim", "Structural similarity", 0.82, True, hashing.ssim), VerifyAlgorithm("nmse", "Normalised mean squared error", 0.05, False, hashing.nmse)):
+for _a in (HashAlgorithm("phash", "Perceptual hash", 8, hashing.perceptual_hash), HashAlgorithm("dhash", "Difference hash", 10, hashing.difference_hash), VerifyAlgorithm("ssim", "Structural similarity", 0.82, True, hashing.ssim, bounds.ssim_verifier), VerifyAlgorithm("nmse", "Normalised mean squared error", 0.05, False, hashing.nmse, bounds.nmse_verifier)):
     register(_a)
 
 # The scan presets.
@@ -73,8 +74,10 @@ def resolve(ids: tuple[str, ...], known: dict) -> list:
     return [known[i] for i in ids if i in known]
 
 
-def verifier(algorithm: VerifyAlgorithm, threshold: float):
-    return algorithm.score, (lambda s: s >= threshold) if algorithm.at_least else (lambda s: s <= threshold)
+def verifier(algorithm: VerifyAlgorithm, threshold: float) -> clustering.Verifier:
+    if algorithm.bounded:
+        return algorithm.bounded(threshold)
+    return clustering.Verifier(algorithm.score, (lambda s: s >= threshold) if algorithm.at_least else (lambda s: s <= threshold))
 
 
 def skipped(files: DataFrame) -> DataFrame:

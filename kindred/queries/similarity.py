@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 
 from kindred.catalog import table
-from kindred.operators import clustering, hamming, hashing, merge
+from kindred.operators import bounds, clustering, hamming, hashing, merge
 from kindred.plans import scan as scans
 from kindred.storage import materialise
 
@@ -162,18 +162,32 @@ def verify_ssim_pairs(spark, sf):
     return clustering.group_pairs(_grey(spark, sf), hashing.ssim, ["group_id"]).withColumn("score", F.round("score", 6))
 
 
-@query()
+def _first_fit_sql(name: str, items: str, links: str) -> str:
+    """First fit of ``items`` (g, seq) over ``links`` (g, i, j) as CTE ``name`` (g, seq, cluster)."""
+    return f"""{name}_n AS (SELECT g, seq, row_number() OVER (PARTITION BY g ORDER BY seq) AS k FROM {items}),
+{name}_b AS (SELECT n.g, n.seq, n.k, coalesce(list(l.i) FILTER (l.i IS NOT NULL), []) AS before FROM {name}_n n LEFT JOIN {links} l ON l.g = n.g AND l.j = n.seq GROUP BY ALL),
+{name}_f AS (SELECT DISTINCT g, 0::BIGINT AS k, []::BIGINT[][] AS c FROM {items}
+  UNION ALL SELECT g, k, CASE WHEN spot IS NULL THEN list_append(c, [seq]) ELSE list_transform(c, lambda x, i: CASE WHEN i = spot THEN list_append(x, seq) ELSE x END) END
+  FROM (SELECT f.g, b.k, f.c, b.seq, list_position(list_transform(f.c, lambda x: list_has_all(b.before, x)), true) AS spot FROM {name}_f f JOIN {name}_b b ON b.g = f.g AND b.k = f.k + 1) s),
+{name}_e AS (SELECT g, arg_max(c, k) AS c FROM {name}_f GROUP BY g),
+{name} AS (SELECT g, unnest(x) AS seq, cluster FROM (SELECT g, unnest(c) AS x, (generate_subscripts(c, 1) - 1)::INT AS cluster FROM {name}_e) u)"""
+
+
+_SSIM = "SELECT group_id AS g, i, j, ((2 * ma * mb + 6.5025) * (2 * (ab - ma * mb) + 58.5225)) / ((ma * ma + mb * mb + 6.5025) * (qa - ma * ma + qb - mb * mb + 58.5225)) AS score FROM (SELECT group_id, i, j, list_sum(x) / 64.0 AS ma, list_sum(y) / 64.0 AS mb, list_sum([v * v FOR v IN x]) / 64.0 AS qa, list_sum([v * v FOR v IN y]) / 64.0 AS qb, list_sum([x[k + 1] * y[k + 1] FOR k IN range(64)]) / 64.0 AS ab FROM pr) s"
+_RECURSIVE = _PAIR.replace("WITH", "WITH RECURSIVE", 1)
+
+
+@query(f"{_RECURSIVE}, l AS (SELECT g, i, j FROM ({_SSIM}) z WHERE score >= 0.05), m AS (SELECT group_id AS g, seq FROM grey), {_first_fit_sql('f', 'm', 'l')} SELECT g AS group_id, seq, cluster FROM f")
 def greedy_ssim_clusters(spark, sf):
-    """Tested against first-fit on all pairs."""
-    members = _grey(spark, sf)
-    pairs = clustering.group_pairs(members, hashing.ssim, ["group_id"]).where(F.col("score") >= 0.05)
-    return clustering.greedy_clusters(members, pairs, ["group_id"])
+    return clustering.clustered(_grey(spark, sf), bounds.ssim_verifier(0.05), ["group_id"])
 
 
-@query()
+@query(f"""{_RECURSIVE}, l AS (SELECT g, i, j FROM ({_SSIM}) z WHERE score >= 0.0), m AS (SELECT group_id AS g, seq FROM grey), {_first_fit_sql('f', 'm', 'l')},
+n AS (SELECT g AS h, seq, cluster AS c0, g * 1000 + cluster AS g FROM f QUALIFY count(*) OVER (PARTITION BY g, cluster) >= 2),
+o AS (SELECT a.g, i, j FROM pr JOIN n a ON a.seq = i JOIN n b ON b.seq = j AND b.g = a.g WHERE list_sum([(x[k + 1] - y[k + 1]) * (x[k + 1] - y[k + 1]) FOR k IN range(64)]) / (64 * 65025.0) <= 0.013), {_first_fit_sql('e', 'n', 'o')}
+SELECT n.h AS group_id, n.seq, n.c0, e.cluster AS c1 FROM n JOIN e ON e.seq = n.seq QUALIFY count(*) OVER (PARTITION BY n.g, e.cluster) >= 2""")
 def verify_chain_ssim_nmse(spark, sf):
-    """Tested against first-fit chains on all pairs."""
-    chain = [(hashing.ssim, lambda s: s >= 0.0), (hashing.nmse, lambda s: s <= 0.013)]
+    chain = [bounds.ssim_verifier(0.0), bounds.nmse_verifier(0.013)]
     return clustering.verify(_grey(spark, sf), chain).select("group_id", "seq", "c0", "c1")
 
 
