@@ -2,11 +2,11 @@
 
 import pytest
 
-from kindred.queries import formats, relational, similarity
+from kindred.queries import commits, formats, relational, similarity
 from tests.helpers import SF, assert_same, duck
 
-ALL = {**relational.QUERIES, **formats.QUERIES, **similarity.QUERIES}
-SQL = {**relational.SQL, **formats.SQL, **similarity.SQL}
+ALL = {**relational.QUERIES, **formats.QUERIES, **similarity.QUERIES, **commits.QUERIES}
+SQL = {**relational.SQL, **formats.SQL, **similarity.SQL, **commits.SQL}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
