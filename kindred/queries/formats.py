@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pyspark.sql.functions as F
 
-from kindred.catalog import notifications, table
+from kindred.catalog import MEDIA_SQL, media, notifications, table
 from kindred.functions import text as T
 from kindred.plans import folders, organize, stats
 from kindred.plans import notifications as notes
@@ -215,6 +215,17 @@ def scan_skipped_files(spark, sf):
     return scans.skipped(rows)
 
 
+@query(f"""WITH {MEDIA_SQL} SELECT seq || '.jpg' AS path, CASE WHEN NOT readable THEN 'cannot be decoded' ELSE 'empty' END AS reason FROM media WHERE NOT readable OR width = 0 OR height = 0""")
+def scan_skip_reasons(spark, sf):
+    """Files that a scan passes over: what decoding said of them, or that they have no pixels."""
+    rows = media(spark, sf).select(
+        F.concat(F.col("seq").cast("string"), F.lit(".jpg")).alias("path"),
+        F.when(~F.col("readable"), "cannot be decoded").alias("error"),
+        F.when((F.col("width") > 0) & (F.col("height") > 0), F.array("width", "height")).otherwise(F.array().cast("array<bigint>")).alias("grey"),
+    )
+    return scans.skipped(rows)
+
+
 @query("SELECT DISTINCT event_id AS id FROM events WHERE event_id % 3 = 0 OR event_id % 5 = 0")
 def notification_mark_read(spark, sf):
     log = notifications(spark, sf)
