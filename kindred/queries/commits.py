@@ -1,4 +1,4 @@
-"""Queries over versions of the stored tables, each with its SQL."""
+"""Queries over stored tables: versions, kept aggregates, ordered pages; each with its SQL."""
 
 from __future__ import annotations
 
@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, Window
 
 from kindred import catalog as C
 from kindred.catalog import GROUPS_SQL, TRASH_SQL
-from kindred.plans import commits, organize
+from kindred.operators import pages, rollups
+from kindred.plans import commits, organize, review, trash
 from kindred.plans import scan as scans
 from kindred.queries.formats import _FILES, _PLAN, _files
 from kindred.sources.store import Snapshot, Store
@@ -85,3 +86,51 @@ def rename_job_log(spark, sf):
     done = commits.undo_rename_job(store, 1, at)
     jobs = done.table("rename_jobs").select(F.col("id").alias("job_id"), "status", "renamed", "undone_at")
     return done.table("renames").join(jobs, "job_id")
+
+
+_KEPT = "SELECT {k} AS step, count(*) AS total_files, coalesce(sum(size), 0)::BIGINT AS total_size, min(expires_at) AS next_cleanup FROM trash WHERE status = 'trashed'{where}"
+_LEFT = f" AND NOT (expires_at < TIMESTAMP '{AT}')"
+
+
+@query(f"""WITH {GROUPS_SQL}, {TRASH_SQL}, {{}}
+fresh AS (SELECT file_size AS size, TIMESTAMP '{AT}' + INTERVAL 30 DAY AS expires_at FROM photos WHERE NOT is_master AND id NOT IN (SELECT photo_id FROM trash WHERE status = 'trashed' AND NOT (expires_at < TIMESTAMP '{AT}') AND photo_id % 3 <> 0))
+{_KEPT.format(k=0, where="")} UNION ALL {_KEPT.format(k=1, where=_LEFT)} UNION ALL {_KEPT.format(k=2, where=_LEFT + " AND photo_id % 3 <> 0")}
+UNION ALL SELECT 3, count(*), coalesce(sum(size), 0)::BIGINT, min(expires_at) FROM (SELECT size, expires_at FROM trash WHERE status = 'trashed'{_LEFT} AND photo_id % 3 <> 0 UNION ALL SELECT size, expires_at FROM fresh) z""".replace("{}", ""))
+def trash_summary_kept(spark, sf):
+    """The trash summary from its stored aggregate, after purging, restoring and deleting; no step reads the whole trash for it."""
+    store, at = Store(spark), F.lit(AT).cast("timestamp_ntz")
+    rows = C.trash(spark, sf).select("photo_id", "size", "status", F.col("expires_at").cast("timestamp_ntz").alias("expires_at"))
+    store.commit({"trash": rows, "kept": rollups.TRASH.build(rows)})
+    shots = [store.snapshot()]
+    held = F.col("status") == "trashed"
+    for which, status in ((held & (F.col("expires_at") < at), "purged"), (held & (F.col("photo_id") % 3 == 0), "restored")):
+        now = shots[-1]
+        gone, come = rollups.changed(now.table("trash"), which, status=F.lit(status))
+        after = now.table("trash").withColumn("status", F.when(which, status).otherwise(F.col("status")))
+        shots.append(store.commit({"trash": after, "kept": rollups.TRASH.fold(now.table("kept"), gone, come)}, base=now))
+    now = shots[-1]
+    fresh = trash.move_to_trash(C.photos(spark, sf), now.table("trash"), ~F.col("is_master"), at).select(*rows.columns)
+    shots.append(store.commit({"kept": rollups.TRASH.fold(now.table("kept"), added=fresh)}, {"trash": fresh}, base=now))
+    return reduce(DataFrame.unionByName, (rollups.trash_summary(s.table("kept")).withColumn("step", F.lit(k)) for k, s in enumerate(shots)))
+
+
+_REVIEW = "SELECT {k} AS step, count(*) AS total_groups, coalesce(sum(file_count), 0)::BIGINT AS total_photos, coalesce(sum(reclaimable_size), 0)::BIGINT AS reclaimable_size, count(*) FILTER ({p}) AS pending_groups, coalesce(sum(reclaimable_size) FILTER ({p}), 0)::BIGINT AS pending_size FROM groups"
+
+
+@query(f"""WITH {GROUPS_SQL} {_REVIEW.format(k=0, p="review_status = 'pending'")} UNION ALL {_REVIEW.format(k=1, p="review_status = 'pending' AND id % 2 = 1")}""")
+def review_summary_kept(spark, sf):
+    """Statistics of all and of undecided groups, kept while half of the groups are marked."""
+    groups = C.groups(spark, sf)
+    which = F.col("id") % 2 == 0
+    before = rollups.GROUPS.build(groups)
+    after = rollups.GROUPS.fold(before, groups.where(which), review.mark_reviewed(groups.where(which), F.lit(True), "kept_all", F.lit(AT).cast("timestamp_ntz")))
+    return rollups.review_summary(before).withColumn("step", F.lit(0)).unionByName(rollups.review_summary(after).withColumn("step", F.lit(1)))
+
+
+@query(f"""WITH {TRASH_SQL}, held AS (SELECT * FROM trash WHERE status = 'trashed'), placed AS (SELECT *, row_number() OVER (ORDER BY deleted_at DESC, trash_id, size) AS k, count(*) OVER () AS total FROM held)
+SELECT * EXCLUDE (k) FROM placed WHERE k > total // 2 AND k <= total // 2 + 50""")
+def trash_page_deep(spark, sf):
+    """The page in the middle of the trash, from an order index; the limit is the feature."""
+    held = C.trash(spark, sf).where(F.col("status") == "trashed")
+    index = pages.build(held, [F.desc("deleted_at"), F.asc("trash_id"), F.asc("size")], range_rows=5000)
+    return index.page(index.total // 2, 50).withColumn("total", F.lit(index.total).cast("bigint"))
