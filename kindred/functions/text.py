@@ -58,6 +58,11 @@ def format_date_time(ts: Column, hours_24: bool = True) -> Column:
     return F.coalesce(F.date_format(ts, "MMM d, yyyy, HH:mm" if hours_24 else "MMM d, yyyy, hh:mm a"), F.lit(DASH))
 
 
+def format_date_compact(ts: Column, hours_24: bool = True) -> Column:
+    """Day and time without the year."""
+    return F.date_format(ts, "MMM d HH:mm" if hours_24 else "MMM d hh:mm a")
+
+
 def relative_time(ts: Column, now: Column) -> Column:
     s = F.floor((F.unix_micros(now.cast("timestamp")) - F.unix_micros(ts.cast("timestamp"))) / 1_000_000)
     step = lambda size, unit: F.concat(_number(s / size), F.lit(f"{unit} ago"))

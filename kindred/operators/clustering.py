@@ -66,31 +66,35 @@ def classes(members: DataFrame, verifier: Verifier, keys: list[str]) -> DataFram
     return members.join(equal, [*keys, "grey"]).select(*keys, "seq", "grey", F.when(F.col("_own"), F.col("_first")).otherwise(F.col("seq")).alias("first"))
 
 
+def _met(items: DataFrame, verifier: Verifier, keys: list[str], *carried: str) -> DataFrame:
+    """Pairs that features cannot rule out, with ``carried`` columns of both sides (_i and _j at their ends).
+
+    One join on the group and the first band: a pair is never shuffled, only
+    items are, one of the sides three times.
+    """
+    known = items.select(*keys, "seq", *carried, (verifier.features(F.col("grey")) if verifier.features else F.lit(0)).alias("f"))
+    side = lambda rows, s: rows.select(*keys, *cells, F.col("seq").alias(s), F.col("f").alias(f"f_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in carried))
+    cells: list[str] = []
+    other = known
+    if verifier.bands:
+        number, width = verifier.bands[0]
+        cells = ["_band"]
+        known = known.withColumn("_band", F.floor(number(F.col("f")) / width))
+        other = known.withColumn("_band", F.explode(F.sequence(F.col("_band") - 1, F.col("_band") + 1)))  # within a width: this band or the next
+    near = reduce(lambda c, x: c & (F.abs(x[0](F.col("f_i")) - x[0](F.col("f_j"))) <= x[1]), verifier.bands, F.col("i") < F.col("j"))
+    met = side(known, "i").join(side(other, "j"), [*keys, *cells]).where(near)
+    return met.where(verifier.possible(F.col("f_i"), F.col("f_j"))) if verifier.possible else met
+
+
 def candidate_pairs(items: DataFrame, verifier: Verifier, keys: list[str]) -> DataFrame:
     """keys, i, j of pairs that features cannot rule out; all pairs without features."""
-    if verifier.features is None:
-        a, b = items.select(*keys, F.col("seq").alias("i")), items.select(*keys, F.col("seq").alias("j"))
-        return a.join(b, keys).where(F.col("i") < F.col("j"))
-    known = items.select(*keys, "seq", verifier.features(F.col("grey")).alias("f"))
-    for k, (number, width) in enumerate(verifier.bands):
-        known = known.withColumn(f"_b{k}", F.floor(number(F.col("f")) / width))
-    cells = [f"_b{k}" for k in range(len(verifier.bands))]
-    a = known.select(*keys, *cells, F.col("seq").alias("i"), F.col("f").alias("fi"))
-    b = known.select(*keys, *cells, F.col("seq").alias("j"), F.col("f").alias("fj"))
-    for cell in cells:  # a number within a width is in this band or the next
-        b = b.withColumn(cell, F.explode(F.sequence(F.col(cell) - 1, F.col(cell) + 1)))
-    near = reduce(lambda c, x: c & (F.abs(x[0](F.col("fi")) - x[0](F.col("fj"))) <= x[1]), verifier.bands, F.col("i") < F.col("j"))
-    met = a.join(b, [*keys, *cells]).where(near)
-    return met.where(verifier.possible(F.col("fi"), F.col("fj")) if verifier.possible else F.lit(True)).select(*keys, "i", "j")
+    return _met(items, verifier, keys).select(*keys, "i", "j")
 
 
 def linked_pairs(items: DataFrame, verifier: Verifier, keys: list[str]) -> DataFrame:
-    """keys, i, j of pairs that pass; rasters are fetched for candidates only."""
-    rasters = items.select(*keys, "seq", "grey")
-    first = rasters.withColumnsRenamed({"seq": "i", "grey": "_a"})
-    second = rasters.withColumnsRenamed({"seq": "j", "grey": "_b"})
-    met = candidate_pairs(items, verifier, keys).join(first, [*keys, "i"]).join(second, [*keys, "j"])
-    return met.where(verifier.accepts(verifier.score(F.col("_a"), F.col("_b")))).select(*keys, "i", "j")
+    """keys, i, j of pairs that pass; only candidates are scored."""
+    met = _met(items, verifier, keys, "grey")
+    return met.where(verifier.accepts(verifier.score(F.col("grey_i"), F.col("grey_j")))).select(*keys, "i", "j")
 
 
 def _folded(members: DataFrame, links: DataFrame) -> DataFrame:

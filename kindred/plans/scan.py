@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -69,6 +70,27 @@ def detect_preset(config: Preset) -> str:
     return next((name for name, preset in PRESETS.items() if preset == config), "custom")
 
 
+CONFIG = "hash_algorithms array<string>, hash_thresholds map<string,int>, merge_strategy string, verify_algorithms array<string>, verify_thresholds map<string,double>"
+
+
+def config_presets(configs: Column) -> Column:
+    """The preset of a stored JSON configuration, else ``custom``; orders of map entries do not matter."""
+    given = F.from_json(configs, CONFIG)
+    sorted_map = lambda m: F.array_sort(F.map_entries(m))
+    out = F.lit("custom")
+    for name, p in PRESETS.items():
+        entries = lambda d, kind: sorted_map(F.from_json(F.lit(json.dumps(d)), f"map<string,{kind}>"))
+        same = (
+            (given["hash_algorithms"] == F.array(*map(F.lit, p.hash_algorithms)))
+            & (sorted_map(given["hash_thresholds"]) == entries(p.hash_thresholds, "int"))
+            & (given["merge_strategy"] == p.merge_strategy)
+            & (given["verify_algorithms"] == F.array(*map(F.lit, p.verify_algorithms)))
+            & (sorted_map(given["verify_thresholds"]) == entries(p.verify_thresholds, "double"))
+        )
+        out = F.when(F.coalesce(same, F.lit(False)), name).otherwise(out)
+    return out
+
+
 def resolve(ids: tuple[str, ...], known: dict) -> list:
     """Registered algorithms of these ids; unknown ones are left out."""
     return [known[i] for i in ids if i in known]

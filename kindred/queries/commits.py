@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, Window
 
 from kindred import catalog as C
 from kindred.catalog import GROUPS_SQL, TRASH_SQL
-from kindred.operators import pages, rollups
+from kindred.functions import text as T
+from kindred.operators import pages, rollups, trigrams
 from kindred.plans import commits, organize, review, trash
 from kindred.plans import scan as scans
 from kindred.queries.formats import _FILES, _PLAN, _files
@@ -134,3 +135,51 @@ def trash_page_deep(spark, sf):
     held = C.trash(spark, sf).where(F.col("status") == "trashed")
     index = pages.build(held, [F.desc("deleted_at"), F.asc("trash_id"), F.asc("size")], range_rows=5000)
     return index.page(index.total // 2, 50).withColumn("total", F.lit(index.total).cast("bigint"))
+
+
+@query("SELECT o_orderkey AS id, lower(o_orderpriority) || '_' || o_orderkey || '.jpg' AS text FROM orders WHERE lower(o_orderpriority) || '_' || o_orderkey || '.jpg' ILIKE '%URGENT_1%23%'")
+def photo_search_indexed(spark, sf):
+    """Photos by part of their name, candidates from the trigram index."""
+    return trigrams.build(C.photos(spark, sf).select("id", F.col("filename").alias("text"))).search("%URGENT_1%23%")
+
+
+_MOVES = (("paused", 2), ("running", 3), ("completed", 5), ("failed", 7), ("cancelled", 11))
+
+
+def _moves_sql() -> str:
+    state, ended, error = "CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'running' ELSE 'failed' END", "NULL::TIMESTAMP", "NULL::VARCHAR"
+    parts = [f"s0 AS (SELECT o_orderkey AS id, {state} AS status FROM orders)"]
+    out = []
+    for k, (status, each) in enumerate(_MOVES):
+        allowed = ", ".join(f"'{x}'" for x in scans.FOLLOWS[status])
+        hit = f"id % {each} = 0 AND status IN ({allowed})"
+        ends = status in ("completed", "failed", "cancelled")
+        parts.append(f"t{k} AS (SELECT id, CASE WHEN {hit} THEN '{status}' ELSE status END AS status, CASE WHEN {hit} AND {ends} THEN TIMESTAMP '{AT}' END AS ended_at, CASE WHEN {hit} AND {status == 'failed'} THEN 'lost' END AS error_message FROM s{k}), s{k + 1} AS (SELECT id, status FROM t{k})")
+        out.append(f"SELECT {k} AS step, status, count(*) AS n, count(ended_at) AS ended, count(error_message) AS errors FROM t{k} GROUP BY status")
+    return f"WITH {', '.join(parts)} {' UNION ALL '.join(out)}"
+
+
+@query(_moves_sql())
+def scan_state_moves(spark, sf):
+    """All moves between the states of a scan, one after the other: how many scans are where after each."""
+    now, out = C.scans(spark, sf).select("id", "status"), []
+    for k, (status, each) in enumerate(_MOVES):
+        after = scans.set_status(now, F.col("id") % each == 0, status, F.lit(AT).cast("timestamp_ntz"), "lost")
+        out.append(after.groupBy("status").agg(F.count("*").alias("n"), F.count("ended_at").alias("ended"), F.count("error_message").alias("errors")).withColumn("step", F.lit(k)))
+        now = after.select("id", "status")
+    return reduce(DataFrame.unionByName, out)
+
+
+@query("SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'custom' WHEN 1 THEN 'conservative' ELSE CASE o_orderkey % 2 WHEN 0 THEN 'fast' ELSE 'custom' END END AS preset FROM orders")
+def scan_config_presets(spark, sf):
+    """Which preset each stored scan was run with, from its JSON settings."""
+    config = """{"hash_algorithms": ["%s"], "hash_thresholds": {"%s": %d}, "merge_strategy": "union", "verify_algorithms": ["ssim"], "verify_thresholds": {"ssim": %s}}"""
+    key = F.col("o_orderkey")
+    fast = F.when(key % 2 == 0, config % ("dhash", "dhash", 8, 0.75)).otherwise(config % ("dhash", "dhash", 8, 0.76))
+    stored = F.when(key % 3 == 0, F.when(key % 2 == 0, "{}").otherwise("not json")).when(key % 3 == 1, config % ("phash", "phash", 6, 0.85)).otherwise(fast)
+    return C.table(spark, sf, "orders").select(key.alias("id"), scans.config_presets(stored).alias("preset"))
+
+
+@query("SELECT event_id AS id, strftime(ts, '%b %-d %H:%M') AS compact, strftime(ts, '%b %-d %I:%M %p') AS compact_12 FROM events")
+def format_compact_dates(spark, sf):
+    return C.table(spark, sf, "events").select(F.col("event_id").alias("id"), T.format_date_compact(F.col("ts")).alias("compact"), T.format_date_compact(F.col("ts"), False).alias("compact_12"))
