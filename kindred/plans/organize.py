@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
+from kindred.storage import discard, materialise
+
 KEY = ("dir", "date_name", "low_ext")
 DATE_NAME = 17  # characters of a date name
 
@@ -21,6 +22,11 @@ def date_name(when: Column) -> Column:
     return F.date_format(when, "yyyy-MM-dd_HHmmss")
 
 
+def numbered_tail(number: Column) -> Column:
+    """``_007``; numbers of more than three digits stay whole."""
+    return F.format_string("_%03d", number)
+
+
 def named(files: DataFrame) -> DataFrame:
     """Add date_name, low_ext and the number of files of the same key.
 
@@ -36,42 +42,73 @@ def rename_plan(files: DataFrame) -> DataFrame:
     The count and the number share one partitioning by (dir, name, extension).
     """
     order = Window.partitionBy(*KEY).orderBy("seq")
-    number = F.when(F.col("same") > 1, F.concat(F.lit("_"), F.lpad(F.row_number().over(order).cast("string"), 3, "0"))).otherwise("")
+    number = F.when(F.col("same") > 1, numbered_tail(F.row_number().over(order))).otherwise("")
     planned = named(files).withColumn("renamed_path", F.concat("dir", F.lit("/"), "date_name", number, "ext"))
     return planned.where(F.col("renamed_path") != F.col("path")).select("seq", F.col("path").alias("original_path"), "renamed_path")
 
 
+def _name_parts(path: Column) -> list[Column]:
+    """Directory, date name, extension and number of a path that a rename could have made; 0 without number, null for other names."""
+    name = F.substring_index(path, "/", -1)
+    ext = F.regexp_extract(name, r"^.+(\.[^.]*)$", 1)
+    tail = F.substring(name, F.lit(DATE_NAME + 1), F.length(name) - DATE_NAME - F.length(ext))
+    number = F.substring(tail, 2, 20).try_cast("long")
+    n = F.when(tail == "", F.lit(0).cast("long")).when((number > 0) & (tail == numbered_tail(number)), number)
+    return [F.regexp_replace(path, "/[^/]*$", "").alias("dir"), F.substring(name, 1, DATE_NAME).alias("date_name"), ext.alias("ext"), n.alias("n")]
+
+
 def rename_plan_around(files: DataFrame, occupied: DataFrame) -> DataFrame:
     """As ``rename_plan``, skipping names of ``occupied`` (path) and names given already.
 
-    A new name starts with its date name, which has one length, and ends in
-    its extension, so only files of one (directory, date name, extension) can
-    get in each other's way: they are the unit, with the names in use there.
+    One by one, a file takes the next number of its (directory, date name,
+    extension) that is not occupied by another file.  Those numbers are the
+    least ones that rise along a key's files and avoid occupied names, so they
+    are found for all files at once: the start skips the numbers nobody of the
+    key can take, by running counts; each round moves files that stand on an
+    occupied name to the end of that run of names and those behind them after
+    them, until nothing moves.  Only names whose owner is in the key, and
+    extensions that differ in case, need rounds; a round never overshoots.
+    Files without date or path keep their names.
     """
-    parts = named(files).select("seq", *KEY, "path", "ext", "same")
-    name = F.substring_index("path", "/", -1)
-    used = occupied.select(F.col("path").alias("taken"), F.regexp_replace("path", "/[^/]*$", "").alias("dir"), F.substring(name, 1, DATE_NAME).alias("date_name"), F.lower(F.regexp_extract(name, r"^.+(\.[^.]*)$", 1)).alias("low_ext"))
-    taken = used.groupBy(*KEY).agg(F.collect_set("taken").alias("taken"))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        used: set[str] = set()
-        disk = set(group["taken"].iloc[0]) if group["taken"].iloc[0] is not None else set()
-        last, out = 0, []
-        for row in group.sort_values("seq").itertuples():
-            plain, numbered = f"{row.dir}/{row.date_name}{row.ext}", row.same > 1
-            while True:
-                if numbered:
-                    last += 1
-                name = f"{row.dir}/{row.date_name}_{last:03d}{row.ext}" if numbered else plain
-                if name not in used and (name not in disk or name == row.path):
-                    break
-                numbered = True
-            used.add(name)
-            if name != row.path:
-                out.append((row.seq, row.path, name))
-        return pd.DataFrame(out, columns=["seq", "original_path", "renamed_path"])
-
-    return parts.join(taken, list(KEY), "left").groupBy(*KEY).applyInPandas(run, "seq long, original_path string, renamed_path string")
+    parts = named(files).where(F.col("date_name").isNotNull()).select("seq", *KEY, "path", "ext", "same")
+    own_dir, own_date, own_ext, own_n = _name_parts(F.col("path"))
+    own = F.when((own_dir == F.col("dir")) & (own_date == F.col("date_name")) & (own_ext == F.col("ext")), own_n)
+    used = occupied.select(*_name_parts(F.col("path"))).where("n IS NOT NULL").distinct().withColumn("low_ext", F.lower("ext"))
+
+    plain = F.concat("dir", F.lit("/"), "date_name", "ext")
+    single = parts.where("same = 1").join(used.where("n = 0").select("dir", "date_name", "ext", F.lit(True).alias("held")), ["dir", "date_name", "ext"], "left")
+    around = F.coalesce("held", F.lit(False)) & (F.col("path") != plain)
+    kept = single.where(~around).select("seq", F.col("path").alias("original_path"), plain.alias("renamed_path"))
+    asking = parts.where("same > 1").drop("same").unionByName(single.where(around).drop("same", "held"))
+    place = F.row_number().over(Window.partitionBy(*KEY).orderBy("seq", "path")).cast("long")
+    asking = materialise(asking.select("seq", *KEY, "path", "ext", own.alias("own"), place.alias("place")), "asking")
+
+    taken = used.where("n > 0").select(*KEY, "ext", "n")
+    rank = F.row_number().over(Window.partitionBy(*KEY, "ext").orderBy("n"))
+    runs = materialise(taken.withColumn("run", F.col("n") - rank).groupBy(*KEY, "ext", "run").agg(F.min("n").alias("low"), F.max("n").alias("high")).drop("run"), "runs")
+
+    # Numbers that no file of the key can take: occupied under each of its extensions, and none's own.
+    exts = asking.select(*KEY, "ext").distinct()
+    barred = taken.join(exts, [*KEY, "ext"]).groupBy(*KEY, "n").agg(F.count("*").alias("under")).join(exts.groupBy(*KEY).agg(F.count("*").alias("exts")), list(KEY)).where("under = exts")
+    barred = barred.join(asking.where("own > 0").select(*KEY, F.col("own").alias("n")).distinct(), [*KEY, "n"], "left_anti")
+    free_below = F.col("n") - F.row_number().over(Window.partitionBy(*KEY).orderBy("n"))
+    marks = barred.select(*KEY, free_below.alias("at"), F.lit(1).alias("mark"))
+    both = asking.withColumn("at", F.col("place")).withColumn("mark", F.lit(0)).unionByName(marks, allowMissingColumns=True)
+    sofar = F.sum("mark").over(Window.partitionBy(*KEY).orderBy("at", "mark").rowsBetween(Window.unboundedPreceding, 0))
+    state = both.withColumn("n", F.col("place") + sofar).where("mark = 0").drop("at", "mark")
+
+    state, moved = materialise(state.withColumn("moved", F.lit(False)), "names"), True
+    while moved:
+        both = state.drop("moved").withColumn("low", F.col("n")).withColumn("mark", F.lit(1)).unionByName(runs.withColumn("mark", F.lit(0)), allowMissingColumns=True)
+        high = F.last("high", ignorenulls=True).over(Window.partitionBy(*KEY, "ext").orderBy("low", "mark").rowsBetween(Window.unboundedPreceding, 0))
+        stands = both.withColumn("high", high).where("mark = 1")
+        free = F.when(F.col("high") >= F.col("n"), F.when(F.col("own").between(F.col("n"), F.col("high")), F.col("own")).otherwise(F.col("high") + 1)).otherwise(F.col("n"))
+        pushed = F.col("place") + F.max(free - F.col("place")).over(Window.partitionBy(*KEY).orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+        after = materialise(stands.withColumn("to", pushed).select("seq", *KEY, "path", "ext", "own", "place", F.col("to").alias("n"), (F.col("to") > F.col("n")).alias("moved")), "names")
+        discard(state)
+        state, moved = after, not after.where("moved").isEmpty()
+    given = state.select("seq", F.col("path").alias("original_path"), F.concat("dir", F.lit("/"), "date_name", numbered_tail(F.col("n")), "ext").alias("renamed_path"))
+    return kept.unionByName(given).where(F.col("renamed_path") != F.col("original_path"))
 
 
 def rename_job(plan: DataFrame, total: int) -> DataFrame:

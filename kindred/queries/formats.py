@@ -147,7 +147,7 @@ def _files(spark, sf):
     return rows.withColumn("path", F.concat("dir", F.lit("/img_"), F.col("seq").cast("string"), "ext"))
 
 
-_PLAN = "SELECT seq, path AS original_path, dir || '/' || date_name || CASE WHEN count(*) OVER w > 1 THEN '_' || lpad((row_number() OVER (w ORDER BY seq))::VARCHAR, 3, '0') ELSE '' END || ext AS renamed_path FROM files WINDOW w AS (PARTITION BY dir, date_name, low_ext)"
+_PLAN = "SELECT seq, path AS original_path, dir || '/' || date_name || CASE WHEN count(*) OVER w > 1 THEN printf('_%03d', row_number() OVER (w ORDER BY seq)) ELSE '' END || ext AS renamed_path FROM files WINDOW w AS (PARTITION BY dir, date_name, low_ext)"
 
 
 @query(f"WITH {_FILES} {_PLAN}")
@@ -173,9 +173,18 @@ def rename_job_totals(spark, sf):
     return organize.rename_job(organize.rename_plan(files), files.count())
 
 
-@query()
+_SAME_KEY = "{0}.dir = {1}.dir AND {0}.date_name = {1}.date_name AND {0}.low_ext = {1}.low_ext"
+
+
+@query(f"""WITH RECURSIVE {_FILES}, plan AS ({_PLAN}), taken AS (SELECT renamed_path AS path FROM plan WHERE renamed_path <> original_path AND seq % 5 = 0),
+counted AS (SELECT *, count(*) OVER (PARTITION BY dir, date_name, low_ext) AS same, dir || '/' || date_name || ext AS plain FROM files),
+asking AS (SELECT *, row_number() OVER (PARTITION BY dir, date_name, low_ext ORDER BY seq) AS place FROM counted WHERE same > 1 OR (plain <> path AND plain IN (SELECT path FROM taken))),
+walk AS (SELECT dir, date_name, low_ext, 1::BIGINT AS place, 1::BIGINT AS n FROM asking WHERE place = 1
+  UNION ALL SELECT w.dir, w.date_name, w.low_ext, w.place + CASE WHEN t.path IS NULL OR t.path = a.path THEN 1 ELSE 0 END, w.n + 1
+  FROM walk w JOIN asking a ON {_SAME_KEY.format("a", "w")} AND a.place = w.place LEFT JOIN taken t ON t.path = a.dir || '/' || a.date_name || printf('_%03d', w.n) || a.ext)
+SELECT seq, path AS original_path, plain AS renamed_path FROM counted c WHERE plain <> path AND NOT EXISTS (SELECT 1 FROM asking a WHERE a.seq = c.seq)
+UNION ALL SELECT a.seq, a.path, max(a.dir || '/' || a.date_name || printf('_%03d', w.n) || a.ext) FROM asking a JOIN (SELECT dir, date_name, low_ext, place, max(n) AS n FROM walk GROUP BY ALL) w ON {_SAME_KEY.format("a", "w")} AND a.place = w.place GROUP BY a.seq, a.path HAVING max(a.dir || '/' || a.date_name || printf('_%03d', w.n) || a.ext) <> a.path""")
 def rename_plan_around_existing(spark, sf):
-    """Tested against the sequential rule."""
     files = _files(spark, sf)
     taken = organize.rename_plan(files).where("seq % 5 = 0").select(F.col("renamed_path").alias("path"))
     return organize.rename_plan_around(files, taken)

@@ -17,8 +17,8 @@ def test_query_matches_sql(spark, name):
 
 
 def test_queries_without_sql_have_a_test_of_their_own():
-    # The scan is held against plain loops in test_clusters.py, the renames below.
-    assert set(ALL) - set(SQL) == {"scan_rasters_balanced", "rename_plan_around_existing"}
+    # The scan is held against plain loops in test_clusters.py.
+    assert set(ALL) - set(SQL) == {"scan_rasters_balanced"}
 
 
 def test_renames_around_existing_names_equal_the_sequential_rule(spark):

@@ -1,6 +1,8 @@
 """Renames, notifications, folders, filters, trash, sources and streams."""
 
 import json
+import random
+from collections import Counter
 from datetime import date, datetime
 
 import pyspark.sql.functions as F
@@ -37,6 +39,56 @@ def test_rename_around_nothing_is_the_plain_plan(spark):
     assert key(organize.rename_plan(rows)) == key(organize.rename_plan_around(rows, spark.createDataFrame([], "path string")))
 
 
+def sequential_names(files, disk):
+    """The rule, one file after the other; files are (seq, dir, path, ext, date)."""
+    key = lambda f: (f[1], f[4].strftime("%Y-%m-%d_%H%M%S"), f[3].lower())
+    same, last, used, out = Counter(map(key, files)), Counter(), set(), {}
+    for f in sorted(files):
+        k, stem = key(f), f"{f[1]}/{key(f)[1]}"
+        name = stem + f[3] if same[k] == 1 else None
+        while name is None or name in used or (name in disk and name != f[2]):
+            last[k] += 1
+            name = f"{stem}_{last[k]:03d}{f[3]}"
+        used.add(name)
+        if name != f[2]:
+            out[f[0]] = name
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_rename_around_equals_the_sequential_rule(spark, seed):
+    """Many keys of one call: own names in any order, two spellings of the extension, dense and sparse names in use."""
+    rng = random.Random(seed)
+    files, disk, seq = [], set(), 0
+    for d in range(12):
+        stem = f"d{d}/{T0.strftime('%Y-%m-%d_%H%M%S')}"
+        exts = rng.choice([[".jpg"], [".jpg", ".JPG"]])
+        many = rng.choice([1, 2, 5, 12])
+        names = [f"{stem}_{n:03d}{e}" for n in range(1, 16) for e in exts] + [stem + e for e in exts]
+        rng.shuffle(names)
+        named_already = rng.choice([0.0, 0.5, 1.0])
+        for k in range(many):
+            seq += 1
+            path = names.pop() if rng.random() < named_already else f"d{d}/x{k}.jpg"
+            files.append((seq, f"d{d}", path, "." + path.rsplit(".", 1)[1], T0))
+            disk.add(path)
+        disk |= {x for x in names if rng.random() < rng.choice([0.1, 0.8])}
+    disk |= {"d0/other.jpg", f"d1/{T0.strftime('%Y-%m-%d_%H%M%S')}_1.jpg", "top.jpg"}
+    rows = organize.rename_plan_around(spark.createDataFrame(files, FILE), spark.createDataFrame([(p,) for p in disk] + [(None,)], "path string"))
+    assert {r["seq"]: r["renamed_path"] for r in rows.collect()} == sequential_names(files, disk)
+
+
+def test_rename_numbers_past_three_digits_and_files_without_date(spark):
+    files = [(i, "d", f"d/{i}.jpg", ".jpg", T0) for i in range(1, 1203)] + [(5000, "d", "d/z.jpg", ".jpg", None)]
+    rows = spark.createDataFrame(files, FILE)
+    stem = f"d/{T0.strftime('%Y-%m-%d_%H%M%S')}"
+    plain = {r["seq"]: r["renamed_path"] for r in organize.rename_plan(rows).collect()}
+    assert plain[1000] == f"{stem}_1000.jpg" and len(set(plain.values())) == len(plain) == 1202
+    disk = {f"{stem}_{n:03d}.jpg" for n in range(2, 1100, 2)}
+    around = {r["seq"]: r["renamed_path"] for r in organize.rename_plan_around(rows, spark.createDataFrame([(p,) for p in disk], "path string")).collect()}
+    assert around == sequential_names(files[:-1], disk)
+
+
 def events(spark, seconds):
     return spark.createDataFrame([(1, i, datetime(2024, 1, 1, 0, 0, 0, int(s * 1000) % 1_000_000)) for i, s in enumerate(seconds)], "user_id long, id long, ts timestamp_ntz")
 
