@@ -5,28 +5,29 @@ Texts become token ids once, in a narrow Arrow job, and leave as pieces
 then on.  Lengths are at most ``capacity``, so the count of pieces per length
 is a table of bounded size however large the corpus is.  Bin completion
 (Fukunaga & Korf, "Bin completion algorithms for multicontainer packing",
-2007) plans on that table: it takes the largest length left, enumerates the
-undominated fillings around it depth first, prunes by a waste bound against
-the best-fit incumbent, and applies the best filling as often as the counts
-allow.  The plan is a list of (filling, times), whose size does not depend on
-the number of documents.
+2007) plans on that table: it takes the largest length left, branches on the
+undominated fillings around it, prunes by lower bounds against the incumbent,
+best fit at first, and uses a filling as often as the counts allow.  The plan is
+a list of (filling, times), whose size does not depend on the number of
+documents.
 
 Pieces then find their places in Spark without ordering a whole length in one
 task: rows are numbered inside hash buckets of a length, bucket counts are
 turned into offsets, and the global number of a piece within its length picks
 its slot from the plan by a range lookup.
 
-Defined results: null text counts as empty (one token, the end mark); repeated
-rows are packed one by one; an empty table gives no pieces.
+Defined results: null text counts as empty (one token, the end mark); very long
+texts are encoded whole and cut into full pieces and a rest; pieces of equal
+length are placed in the order of hash buckets, then id; repeated rows are
+packed one by one; an empty table gives no pieces.
 """
 
 from __future__ import annotations
 
 import os
 import zlib
-from bisect import bisect_right
-from collections.abc import Iterator
-from itertools import chain
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,9 @@ from kindred.storage import materialise
 
 CAPACITY = 4096
 END_ID = 1
-NODE_BUDGET = 200
-DESCENTS = 8
+STEPS = 20_000  # fillings and nodes of the search
+BOUNDS = 8  # lower bounds a node is held against
+STARTS = 32
 BUCKET_ROWS = 1_000
 CACHED_WORDS = 150_000
 JOINED, ENCODED_RUNS = 64, 64  # words a call of the library gets as one text, texts of a call
@@ -159,113 +161,191 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text
 Filling = tuple[tuple[int, int], ...]  # (length, pieces of it), longest first
 
 
-def fillings(room: int, sizes: list[int], left: dict[int, int], budget: int, keep: int = 2) -> list[Filling]:
-    """The fullest undominated fillings of ``room``, fullest first.
+def fillings(room: int, sizes: list[int], most: dict[int, int]) -> Iterator[tuple[int, Filling]]:
+    """All undominated fillings of ``room``, lazily, with their sums: fullest first, of equal sums the one of longer pieces.
 
-    Depth first over ``sizes`` (ascending, all present), longest fitting first
-    and as many of it as fit.  A filling with room for another piece is
-    dominated by the one that holds it, so only maximal ones are leaves; a
-    branch is pruned when everything shorter together cannot beat the fullest
-    leaf so far.  An exact filling ends the search, as ``budget`` leaves do.
+    ``sizes`` ascends, ``most`` tells how many pieces of each there are.  Bit t
+    of ``reach[k]`` says that pieces of the first k sizes can sum to t, so no
+    branch is a dead end.  A filling with room for another piece is dominated
+    by the one that holds it and left out.
     """
-    total = [0]
+    sizes = sizes[: bisect_right(sizes, room)]
+    most = {s: most[s] for s in sizes}  # the caller's counts change before the next filling is asked for
+    inside, reach = (1 << room + 1) - 1, [1]
     for s in sizes:
-        total.append(total[-1] + s * left[s])
-    found: list[tuple[int, Filling]] = []
-    chosen: list[list[int]] = []
-    space, leaves, fullest = room, 0, -1
-    at = bisect_right(sizes, space) - 1
-    while True:
-        while at >= 0 and space:
-            s = sizes[at]
-            times = min(left[s], space // s)
-            if times:
-                chosen.append([at, times])
-                space -= s * times
-            at = min(at - 1, bisect_right(sizes, space) - 1)
-        if room - space > fullest:
-            fullest = room - space
-            found.append((fullest, tuple((sizes[k], n) for k, n in chosen)))
-        leaves += 1
-        if not space or leaves >= budget:
-            break
-        while chosen:
-            k, n = chosen[-1]
-            space += sizes[k]
-            if n == 1:
-                chosen.pop()
-            else:
-                chosen[-1][1] = n - 1
-            at = k - 1
-            if at >= 0 and room - space + min(space, total[k]) > fullest:
-                break
-        else:
-            break
-    return [f for _, f in sorted(found, reverse=True)[:keep]]
+        sums, left, step = reach[-1], min(most[s], room // s), 1
+        while left > 0:
+            sums |= sums << s * min(step, left) & inside
+            left, step = left - step, 2 * step
+        reach.append(sums)
+    open_sums = reach[-1]
+    while open_sums:
+        total = open_sums.bit_length() - 1
+        open_sums ^= 1 << total
+        # (number of sizes still to choose from, what they must sum to, what was chosen)
+        branches: list[tuple[int, int, Filling]] = [(len(sizes), total, ())]
+        while branches:
+            k, rest, chosen = branches.pop()
+            if not rest:
+                used = dict(chosen)
+                spare = next((s for s in sizes if most[s] > used.get(s, 0)), room + 1)
+                if spare > room - total:
+                    yield total, chosen
+                continue
+            k = bisect_right(sizes, rest, 0, k)
+            s = sizes[k - 1]
+            for n in range(min(most[s], rest // s) + 1):
+                if reach[k - 1] >> rest - s * n & 1:
+                    branches.append((k - 1, rest - s * n, (*chosen, (s, n)) if n else chosen))
 
 
-def _times(filling: Filling, left: dict[int, int]) -> int:
-    """How often a filling can be used."""
-    return min(left[s] // n for s, n in filling)
+def bins(plan: list[tuple[Filling, int]]) -> int:
+    return sum(times for _, times in plan)
 
 
-def _use(filling: Filling, times: int, left: dict[int, int], sizes: list[int]) -> None:
-    for s, n in filling:
-        left[s] -= n * times
-        if not left[s]:
-            del left[s]
-            sizes.remove(s)
+def _weights(s: int, capacity: int) -> list[int]:
+    """What a piece counts for in each lower bound: its length, and dual feasible functions (Fekete & Schepers, 2001)."""
+    return [s] + [s * k if (k + 1) * s % capacity == 0 else (k + 1) * s // capacity * capacity for k in range(1, BOUNDS)]
 
 
-def bins(plan: list[tuple[Filling, int]]) -> int:
-    return sum(times for _, times in plan)
+def _least(rest: list[int], capacity: int) -> int:
+    """Bins that pieces of these summed weights need at least."""
+    return max(-(-x // (max(k, 1) * capacity)) for k, x in enumerate(rest))
 
 
-def _complete(counts: dict[int, int], capacity: int, budget: int, most: int, other: frozenset[int] = frozenset()) -> list[tuple[Filling, int]] | None:
-    """One descent of bin completion; None once its waste bound reaches ``most`` bins.
+def _summed(pieces: Iterable[tuple[int, int]], capacity: int) -> list[int]:
+    out = [0] * BOUNDS
+    for s, n in pieces:
+        for k, x in enumerate(_weights(s, capacity)):
+            out[k] += n * x
+    return out
 
-    At the wasteful steps listed in ``other`` the second-fullest filling is taken.
-    """
-    left, sizes = dict(counts), sorted(counts)
-    plan: list[tuple[Filling, int]] = []
-    made, rest, wasteful = 0, sum(s * n for s, n in counts.items()), 0
-    while sizes:
-        if made - (-rest // capacity) >= most:
-            return None
-        first = sizes[-1]
-        left[first] -= 1
-        around = fillings(capacity - first, sizes, left, budget)
-        left[first] += 1
-        pick = around[0]
-        if first + sum(s * n for s, n in pick) < capacity:
-            wasteful += 1
-            if wasteful in other and len(around) > 1:
-                pick = around[1]
-        whole = dict(pick)
-        whole[first] = whole.get(first, 0) + 1
-        filling = tuple(sorted(whole.items(), reverse=True))
-        times = _times(filling, left)
-        _use(filling, times, left, sizes)
+
+def least_bins(counts: dict[int, int], capacity: int = CAPACITY) -> int:
+    """A lower bound of the number of bins, the waste bound ceil(tokens / capacity) among others."""
+    return _least(_summed(counts.items(), capacity), capacity)
+
+
+class _Table:
+    """Pieces left, by length."""
+
+    def __init__(self, counts: dict[int, int]):
+        self.left, self.sizes = dict(counts), sorted(counts)
+
+    def use(self, filling: Filling, times: int) -> None:
+        for s, n in filling:
+            self.left[s] -= n * times
+            if not self.left[s]:
+                del self.left[s], self.sizes[bisect_left(self.sizes, s)]
+
+    def give_back(self, filling: Filling, times: int) -> None:
+        for s, n in filling:
+            if s not in self.left:
+                insort(self.sizes, s)
+                self.left[s] = 0
+            self.left[s] += n * times
+
+    def times(self, filling: Filling) -> int:
+        """How often a filling can be used."""
+        return min(self.left[s] // n for s, n in filling)
+
+
+def best_fit(counts: dict[int, int], capacity: int = CAPACITY, above: int = 0) -> list[tuple[Filling, int]]:
+    """Each bin takes the longest piece that still fits, until none does; around pieces of at most ``above`` the fullest filling."""
+    table, plan = _Table(counts), []
+    while table.sizes:
+        first = table.sizes[-1]
+        filling = _longest(table, capacity) if first > above else next(_around(first, table, capacity))
+        times = table.times(filling)
+        table.use(filling, times)
         plan.append((filling, times))
-        made += times
-        rest -= times * sum(s * n for s, n in filling)
     return plan
 
 
-def plan_bins(counts: dict[int, int], capacity: int = CAPACITY, budget: int = NODE_BUDGET, descents: int = DESCENTS) -> list[tuple[Filling, int]]:
+def _longest(table: _Table, capacity: int) -> Filling:
+    filling, room, at = [], capacity, len(table.sizes)
+    while at := bisect_right(table.sizes, room, 0, at):
+        s = table.sizes[at - 1]
+        filling.append((s, min(table.left[s], room // s)))
+        room -= s * filling[-1][1]
+        at -= 1
+    return tuple(filling)
+
+
+def _around(first: int, table: _Table, capacity: int) -> Iterator[Filling]:
+    """The undominated fillings of a bin that holds a piece of length ``first``."""
+    left = dict(table.left)
+    left[first] -= 1
+    for _, chosen in fillings(capacity - first, table.sizes if left[first] else table.sizes[:-1], left):
+        whole = dict(chosen)
+        whole[first] = whole.get(first, 0) + 1
+        yield tuple(sorted(whole.items(), reverse=True))
+
+
+def plan_bins(counts: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -> list[tuple[Filling, int]]:
     """Fillings and how often each is used; ``counts[n]`` pieces have length n.
 
-    Branch and bound: best fit (bin completion with one leaf a bin) is the
-    first incumbent, then descents that differ in one choice replace it when
-    they need fewer bins.  The search ends when an incumbent meets the waste
-    bound ceil(tokens / capacity).
+    Branch and bound.  The first incumbent is the best of the best-fit plans,
+    which differ in the length from which on they complete bins.  A node takes the
+    longest piece left and branches on the undominated fillings around it, used
+    as often as the counts allow or once; choices are undone and the next
+    filling tried, and what cannot beat the incumbent by the lower bounds is
+    pruned.  Passes allow 0, 1, 2, ... departures from the fullest filling on a
+    path (limited discrepancy search, Harvey & Ginsberg, 1995).  The search ends
+    with the best possible number when the incumbent meets the lower bound or a
+    pass left nothing out, and with the incumbent after ``steps`` fillings and
+    nodes.  More steps go on with the same search, so they never give more bins.
     """
-    bound = -(-sum(s * n for s, n in counts.items()) // capacity)
-    best = _complete(counts, capacity, 1, 1 << 62) or []
-    for k in range(descents):
+    best, bound, sizes = best_fit(counts, capacity), least_bins(counts, capacity), sorted(counts)
+    for k in range(STARTS if bins(best) > bound else 0):
+        best = min(best, best_fit(counts, capacity, sizes[-1 - len(sizes) * k // STARTS]), key=bins)
         if bins(best) <= bound:
             break
-        best = _complete(counts, capacity, budget, bins(best), frozenset([k] if k else [])) or best
+    fewest = bins(best)
+    table, rest, taken = _Table(counts), _summed(counts.items(), capacity), 0
+
+    def options() -> Iterator[tuple[Filling, int]]:
+        nonlocal taken
+        for filling in _around(table.sizes[-1], table, capacity):
+            taken += 1
+            times = table.times(filling)  # nodes below have given back what they used
+            yield filling, times
+            if times > 1:
+                yield filling, 1
+
+    departures, cut = 0, fewest > bound
+    while cut and fewest > bound and taken < steps:
+        cut = False
+        path: list[tuple[Filling, int, list[int]]] = []
+        nodes = [(enumerate(options()), 0)]
+        made = 0
+        while nodes and taken < steps and fewest > bound:
+            choices, departed = nodes[-1]
+            for k, (filling, times) in choices:
+                if departed + k > departures:
+                    cut = True
+                    break
+                after = [x - times * y for x, y in zip(rest, _summed(filling, capacity), strict=True)]
+                if made + times + _least(after, capacity) >= fewest:
+                    continue
+                path.append((filling, times, rest))
+                table.use(filling, times)
+                rest, made = after, made + times
+                if table.sizes:
+                    taken += 1
+                    nodes.append((enumerate(options()), departed + k))
+                else:
+                    best, fewest = [(f, n) for f, n, _ in path], made
+                    nodes.append((iter(()), 0))
+                break
+            if nodes[-1][0] is choices:  # nothing left to try here
+                nodes.pop()
+                if path:
+                    filling, times, rest = path.pop()
+                    table.give_back(filling, times)
+                    made -= times
+        table, rest = _Table(counts), _summed(counts.items(), capacity)
+        departures += 1
     return best
 
 
@@ -288,15 +368,15 @@ def _slots(plan: list[tuple[Filling, int]]) -> dict[str, np.ndarray]:
     return dict(zip(("length", "low", "per", "sequence", "offset"), table.T, strict=True))
 
 
-def pack(cut: DataFrame, *, capacity: int = CAPACITY, id_col: str = "doc_id", budget: int = NODE_BUDGET, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def pack(cut: DataFrame, *, capacity: int = CAPACITY, id_col: str = "doc_id", steps: int = STEPS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Add sequence_id and offset to the stored pieces of ``pieces``.
 
-    ``cut`` is read twice, so it must be a stored table.  The plan that is
+    ``cut`` is read twice, so it must be a stored table.  ``steps`` bounds the search of ``plan_bins``.  The plan that is
     broadcast has at most a few rows per length, whatever the row count.
     """
     spark = cut.sparkSession
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
-    plan = spark.sparkContext.broadcast(_slots(plan_bins(counts, capacity, budget)))
+    plan = spark.sparkContext.broadcast(_slots(plan_bins(counts, capacity, steps)))
     # A bucket holds about ``bucket_rows`` pieces, so each length has as many as its pieces ask for.
     buckets = F.broadcast(spark.createDataFrame([(s, -(-n // bucket_rows)) for s, n in counts.items()], "length long, _buckets long"))  # at most ``capacity`` rows
     spread = cut.join(buckets, "length").withColumn("_bucket", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), "_buckets")).drop("_buckets")

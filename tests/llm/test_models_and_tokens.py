@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import product
 
 import numpy as np
 import public_tokenizers
@@ -189,8 +190,8 @@ def test_plans_hold_every_piece_once(lengths):
         for s, n in filling:
             used[s] += n * times
     assert used == Counter(lengths)
-    best = packing.bins(packing._complete(dict(Counter(lengths)), 40, 1, 1 << 62) or [])
-    assert -(-sum(lengths) // 40) <= packing.bins(plan) <= best
+    best = packing.bins(packing.best_fit(dict(Counter(lengths)), 40))
+    assert -(-sum(lengths) // 40) <= packing.least_bins(dict(Counter(lengths)), 40) <= packing.bins(plan) <= best
 
 
 def test_bin_completion_beats_best_fit():
@@ -199,6 +200,60 @@ def test_bin_completion_beats_best_fit():
     assert packing.bins(packing.plan_bins({1: 100_000, 5: 3}, 4096)) == 25
 
 
+def fewest_bins(items, capacity):
+    """The optimum by trying every bin for every item."""
+    items, best = sorted(items, reverse=True), len(items)
+
+    def place(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(items):
+            best = len(rooms)
+            return
+        for room in set(rooms):
+            if room >= items[i]:
+                rest = list(rooms)
+                rest.remove(room)
+                place(i + 1, [*rest, room - items[i]])
+        place(i + 1, [*rooms, capacity - items[i]])
+
+    place(0, [])
+    return best
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.sampled_from([10, 20, 50, 100]).flatmap(lambda c: st.tuples(st.just(c), st.lists(st.integers(max(1, c // 8), c), max_size=9))))
+def test_bin_completion_equals_the_exhaustive_optimum(case):
+    capacity, lengths = case
+    assert packing.bins(packing.plan_bins(dict(Counter(lengths)), capacity)) == fewest_bins(lengths, capacity)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(0, 30), st.lists(st.integers(1, 9), max_size=5, unique=True), st.integers(1, 3))
+def test_fillings_are_all_undominated_ones_fullest_first(room, sizes, copies):
+    sizes, most = sorted(sizes), {s: copies for s in sizes}
+    found = list(packing.fillings(room, sizes, most))
+    expected = set()
+    for many in product(range(copies + 1), repeat=len(sizes)):
+        total = sum(s * n for s, n in zip(sizes, many, strict=True))
+        if total <= room and all(n == copies or total + s > room for s, n in zip(sizes, many, strict=True)):
+            expected.add((total, tuple((s, n) for s, n in zip(sizes[::-1], many[::-1], strict=True) if n)))
+    assert len(found) == len(set(found)) and set(found) == expected
+    assert [t for t, _ in found] == sorted((t for t, _ in found), reverse=True)
+
+
+@pytest.mark.parametrize(("low", "high", "gap"), [(800, 1500, 2), (700, 1300, 8), (1000, 2000, 24), (1, 4096, 5)])
+def test_more_steps_never_need_more_bins(low, high, gap):
+    """1,500 lengths; ``gap``: bins above the lower bound."""
+    rng = np.random.default_rng(5)
+    counts = dict(Counter(rng.integers(low, high + 1, 1500).tolist()))
+    made = [packing.bins(packing.plan_bins(counts, 4096, steps)) for steps in (0, 300, 3000)]
+    print(low, high, made, packing.least_bins(counts))
+    assert made == sorted(made, reverse=True)
+    assert made[-1] - packing.least_bins(counts) <= gap
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
