@@ -80,6 +80,42 @@ def test_host_consensus_carries_thin_pages(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+LONG = "long text " * 40
+
+
+@pytest.mark.parametrize(
+    ("source", "expected"),
+    [
+        ("<div class=wrap><div class=title>Title</div><div class=lead>Lead</div><div class=body>{}</div><div class=more>more</div></div>", "Title\nLead\n{}"),
+        ("<article><h2 id=search>Search</h2><p>{}<h2 id=comments>Comments</h2><h2 id=navigation>Way</h2><p class=notice>mind</article>", "Search\n{}\nComments\nWay\nmind"),
+        ("<article><p>{}<section id=discussion><p>we discuss <a href=x>it</a></section><div class=menu>soup and bread</div><table class=popular><tr><td>names</table></article>", "{}\nwe discuss it\nsoup and bread\nnames"),
+        ("<article><p>{}<div class=menu><a href=x>home</a> <a href=y>news</a></div><div class=notice>closed today</div></article>", "{}"),
+        ("<article><p>{}<div class=commentarea>a</div><div class=fb_comments_v2>b</div><div class=kommentare>c</div><div class=werbung>d</div></article>", "{}"),
+        ("<ul><li><a href=x>home</a><li><a href=y>news</a></ul><p>{}", "{}"),
+        ("<p>{}<object data=x>in place of it</object>", "{} in place of it"),
+    ],
+)
+def test_articles_lose_and_leak_nothing(source, expected):
+    assert html_text.Page(source.format(LONG)).text([])[0] == expected.format(LONG.strip())
+
+
+@pytest.mark.parametrize("chars", [html_text.BROADCAST_CHARS, 0])
+def test_consensus_keeps_stories_beside_teasers_and_drops_what_a_host_repeats(spark, chars):
+    """Both with the hosts' paths broadcast and joined."""
+    rows = [(i, "http://a.example/", f"<main><article>{LONG}{i}</article></main>") for i in range(6)]
+    rows += [(6, "http://a.example/", f"<main><article>TEASER</article><div class=story>{LONG}</div></main>")]
+    rows += [(10 + i, "http://b.example/", f"<div class=w><div class=x>Read us daily</div><div class=t>Title {i}</div><div class=s>{LONG}{i}</div></div>") for i in range(4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract(pages, broadcast_chars=chars).collect()}
+    assert got == {**{i: f"{LONG}{i}" for i in range(6)}, 6: LONG.strip(), **{10 + i: f"Title {i}\n{LONG}{i}" for i in range(4)}}
+
+
+def test_hosts_votes_tie_by_name(spark):
+    rows = [(i, "http://a.example/", f"<div class={c}>{LONG}{i}</div>") for i, c in enumerate("baab")]
+    (host,) = html_text.host_paths(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert (host["paths"], host["lost"]) == (["body>div.a", "body>div.b"], [])
+
+
 def test_article_pages_are_whole(spark):
     from html import unescape
 
