@@ -20,10 +20,15 @@ twice or more in training, or once there and again in a text to be scored only.
 A pair of a training text that is not stored occurs once, so no count is lost.
 
 Scoring reads the texts with broadcast tables of bounded size: the ``frequent``
-most frequent words, the ``max_pairs`` most frequent pairs, and a Bloom filter
-each of the other words and pairs seen twice or more; a word or pair of a
-training text that is in neither occurs once.  All other tokens leave their
-text as (row, pair) and get their counts by joins with the whole tables.  The
+most frequent words, the ``max_pairs`` most frequent pairs, and Bloom filters.
+One holds the other pairs seen twice or more; a pair of a training text that is
+in neither occurs once.  The counts of the other words are spelt in a filter of
+their binary digits (``Spelt``).  A filter may add digits, so every counted
+word is read back through it, and those that come out wrong go into a second
+filter, the doubts: a word of a training text that is not in doubt has the
+count it spells.  What is left, words in doubt and unlisted words of texts
+to be scored only, gets its counts by joins with the whole tables, as do the
+repeated pairs that are not listed; they leave their text as (row, pair).  The
 bounds decide which way a count is fetched, never its value; what is hot is
 broadcast, so the joins meet no hot key.
 
@@ -50,7 +55,7 @@ from kindred.storage import discard, materialise
 END = np.uint64(0x5851F42D4C957F2D)  # the end token's hash
 FREQUENT = 1 << 20
 MAX_PAIRS = 2_000_000
-WORD_BLOCKS = 1 << 19  # 64-bit blocks of the words' filter: 4 MB
+WORD_BLOCKS = 1 << 19  # 64-bit blocks of each of the words' two filters: 4 MB
 PAIR_BLOCKS = 1 << 21  # of the pairs' filter: 16 MB
 BUCKETS = 24
 STEP = 3  # cells per doubling of a ratio
@@ -82,7 +87,7 @@ def before(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 class Counted:
-    """Broadcast counts by hash: the most frequent keys, and a filter of the others seen twice."""
+    """Broadcast counts by hash: the most frequent keys, and a filter over the others."""
 
     def __init__(self, listed: pa.Table, repeated: np.ndarray):
         key = listed.column("key").to_numpy()
@@ -114,10 +119,50 @@ class Counted:
         return self.main[at], self.total[at] + single, other & ~single
 
 
+class Spelt(Counted):
+    """Counts of words: the most frequent ones listed, the digits of the others' in a filter.
+
+    A digit is a key of its own, the word's hash XOR a number for the digit's
+    place.  Spelt are total - 1 and, as ``main`` is asked for in texts of the
+    deleted part only, held - 1, so that words seen once take no room.
+    """
+
+    def __init__(self, listed: pa.Table, digits: np.ndarray, places: int, doubts: np.ndarray | None = None):
+        super().__init__(listed, digits)
+        self.places, self.doubts = places, doubts
+
+    def spell(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(total, held) of words that are not listed, as the filter has them."""
+        total, held = np.ones(len(keys), np.int64), np.ones(len(keys), np.int64)
+        for k in range(self.places):
+            total += maybe_listed(keys ^ digit_place(k, False), self.repeated).astype(np.int64) << k
+            held += maybe_listed(keys ^ digit_place(k, True), self.repeated).astype(np.int64) << k
+        return total, held
+
+    def counts(self, h: np.ndarray, training: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keys, back = np.unique(h, return_inverse=True)
+        at = self.find(keys)
+        main, total, doubt = self.main[at], self.total[at], np.zeros(len(keys), bool)
+        other = np.flatnonzero(at == len(self.keys))
+        spelt, held = self.spell(keys[other].view(np.int64))
+        main[other], total[other] = spelt - held, spelt
+        doubt[other] = maybe_listed(keys[other].view(np.int64), self.doubts)
+        # The spelt count stands for counted words only, which those of other texts need not be.
+        unlisted = np.zeros(len(keys), bool)
+        unlisted[other] = True
+        left = np.where(training, doubt[back], unlisted[back])
+        return np.where(left, 0, main[back]), np.where(left, 0, total[back]), left
+
+
+def digit_place(k: int, held: bool) -> np.int64:
+    """The number that stands for a digit's place in the key of the filter."""
+    return mix(np.array([2 * k + held + 1], np.uint64)).view(np.int64)[0]
+
+
 class Tokens:
     """The tokens of texts: pairs, and the counts of words and contexts."""
 
-    def __init__(self, values: pa.Array, training: np.ndarray, vocabulary: Counted):
+    def __init__(self, values: pa.Array, training: np.ndarray, vocabulary: Spelt):
         self.word, self.ends = tokens(values)
         self.ctx = before(self.word, self.ends)
         self.pair = pair_keys(self.ctx, self.word)
@@ -198,14 +243,45 @@ def repeated_filter(keys: DataFrame, blocks: int) -> np.ndarray:
     return out
 
 
-def counted(table: DataFrame, most: int, blocks: int, columns: tuple[str, ...] = ("key", "main", "total")) -> Counted:
-    """The ``most`` most frequent keys (ties at the edge stay out) and a filter of the other repeated ones."""
+def least_listed(table: DataFrame, most: int) -> int:
+    """The count from which on keys are listed, ``most`` of them at most (ties at the edge stay out)."""
     counts = table.groupBy("total").agg(F.count("*").alias("n"))
     reached = counts.withColumn("sofar", F.sum("n").over(Window.orderBy(F.desc("total"))))  # a row for each count there is
     least = reached.where(F.col("sofar") <= most).agg(F.min("total")).first()[0]
-    least = least if least is not None else 1 << 62
-    repeated = repeated_filter(table.where((F.col("total") > 1) & (F.col("total") < least)), blocks)
-    out = Counted(table.where((F.col("total") >= least) & (F.col("total") > 0)).select(*columns).toArrow(), repeated)
+    return least if least is not None else 1 << 62
+
+
+def counted(pairs: DataFrame, most: int, blocks: int) -> Counted:
+    """The ``most`` most frequent pairs and a filter of the other repeated ones."""
+    least = least_listed(pairs, most)
+    repeated = repeated_filter(pairs.where((F.col("total") > 1) & (F.col("total") < least)), blocks)
+    out = Counted(pairs.where((F.col("total") >= least) & (F.col("total") > 0)).select("key", "total").toArrow(), repeated)
+    give_back()
+    return out
+
+
+def spelt(table: DataFrame, most: int, blocks: int) -> Spelt:
+    """The ``most`` most frequent words, the digits of the others' counts, and the words these are wrong for."""
+    least = least_listed(table, most)
+    others = table.where(F.col("total") < least).select("key", "total", (F.col("total") - F.col("main")).alias("held"))
+    places = int((others.agg(F.max("total")).first()[0] or 1) - 1).bit_length()
+    listed = table.where(F.col("total") >= least).select("key", "main", "total").toArrow()
+    digit = lambda c, k: F.when(F.col(c) > 0, F.shiftright(F.col(c) - 1, k).bitwiseAND(1) == 1)
+    digits = [F.when(digit(c, k), F.col("key").bitwiseXOR(F.lit(int(digit_place(k, c == "held"))))) for k in range(places) for c in ("total", "held")]
+    set_digits = others.where("total > 1").select(F.explode(F.array_compact(F.array(*digits))).alias("key")) if digits else others.select("key").limit(0)
+    out = Spelt(listed, repeated_filter(set_digits, blocks), places)
+    give_back()
+    shared = table.sparkSession.sparkContext.broadcast(out)
+
+    def wrong(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, total, held = (batch.column(c).to_numpy() for c in ("key", "total", "held"))
+            told, told_held = shared.value.spell(key)
+            at = np.flatnonzero((told != total) | ((held > 0) & (told_held != held)))
+            yield pa.RecordBatch.from_pydict({"key": pa.array(key[at])})
+
+    out.doubts = repeated_filter(others.mapInArrow(wrong, "key long"), blocks)
+    shared.destroy()
     give_back()
     return out
 
@@ -227,8 +303,8 @@ def lm_scores(docs: DataFrame, training: Column, deleted: Column, *, id_col: str
     pair_counts = used.mapInArrow(_count_pairs, "key long, main long, held long, asked long").groupBy("key").agg(*sums, F.max("asked").alias("asked"))
     stored = pair_counts.select("key", "main", total, "asked").where((F.col("total") > 1) | ((F.col("total") > 0) & (F.col("asked") > 0)))
     pairs = materialise(stored.drop("asked"), "pairs")
-    vocabulary = spark.sparkContext.broadcast(counted(word_table, frequent, WORD_BLOCKS))
-    listed = spark.sparkContext.broadcast(counted(pairs, max_pairs, PAIR_BLOCKS, ("key", "total")))
+    vocabulary = spark.sparkContext.broadcast(spelt(word_table, frequent, WORD_BLOCKS))
+    listed = spark.sparkContext.broadcast(counted(pairs, max_pairs, PAIR_BLOCKS))
     give_back()
 
     def seldom(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

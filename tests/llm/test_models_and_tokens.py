@@ -107,7 +107,7 @@ def test_language_model_counts_and_gain(spark):
     assert a["score"][held].sum() > a["base_score"][held].sum()
 
 
-def test_language_model_counts_all_pairs(spark):
+def test_language_model_counts_all_pairs(spark, monkeypatch):
     rows = [(i, t) for i, t in enumerate(["a b c", "a b d", "c d x", "x y", "a b c y", "b a", "d c b a b", "q r q r", None, "x y z a b"] * 3)] + [(99, "a new b c r q"), (98, "a b " * 9)]
     docs = spark.createDataFrame(rows, DOC)
     training, deleted = F.col("doc_id") < 98, F.col("doc_id") % 5 == 1
@@ -128,6 +128,30 @@ def test_language_model_counts_all_pairs(spark):
         got = {r["doc_id"]: r["score"] for r in language_model.lm_scores(docs, training, deleted, **o).collect()}
         assert got.keys() == expected.keys()
         assert all(math.isclose(got[i], expected[i], rel_tol=1e-9) for i in got), o
+    for blocks in (1, 2):  # digits by chance: doubts and joins settle them
+        monkeypatch.setattr(language_model, "WORD_BLOCKS", blocks)
+        got = {r["doc_id"]: r["score"] for r in language_model.lm_scores(docs, training, deleted, frequent=2).collect()}
+        assert all(math.isclose(got[i], expected[i], rel_tol=1e-9) for i in expected), blocks
+
+
+def test_language_model_spelt_counts(spark):
+    rng = np.random.default_rng(3)
+    key = rng.integers(-(1 << 62), 1 << 62, 3000)
+    total = rng.geometric(0.2, 3000) ** 2
+    held = rng.binomial(total, 0.3)
+    table = spark.createDataFrame(list(zip(key.tolist(), (total - held).tolist(), total.tolist(), strict=True)), "key long, main long, total long")
+    open_words = {}
+    for blocks in (1 << 13, 1 << 8, 8):
+        found = language_model.spelt(table, 200, blocks)
+        main, counted, left = found.counts(key.view(np.uint64), np.ones(3000, bool))
+        assert (counted[~left] == total[~left]).all()
+        assert (main[~left & (held > 0)] == (total - held)[~left & (held > 0)]).all()
+        assert not counted[left].any()
+        assert len(found.keys) <= 200
+        open_words[blocks] = left.mean()
+        assert found.counts(key.view(np.uint64), np.zeros(3000, bool))[2].sum() == 3000 - len(found.keys)
+    assert open_words[1 << 13] < 0.02 < open_words[8]
+    assert not language_model.spelt(table.where("total = 1"), 5, 8).doubts.any()
 
 
 def test_language_model_is_a_distribution():
