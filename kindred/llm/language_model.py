@@ -60,6 +60,8 @@ PAIR_BLOCKS = 1 << 21  # of the pairs' filter: 16 MB
 BUCKETS = 24
 STEP = 3  # cells per doubling of a ratio
 EM_ROUNDS = 60
+ROWS_OUT = 1 << 15  # of a batch that leaves Python, which the JVM holds as a whole
+SCORED_BYTES = 1 << 20  # of text scored at a time; sums are by text, so small slices cost nothing
 ADD = 0.1
 
 
@@ -174,11 +176,16 @@ class Tokens:
         self.ctx_main, self.ctx_total, self.ctx_open = shifted(self.main, end_main), shifted(self.total, end_total), shifted(self.open, end_open)
 
 
+def in_rows(made: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of bounded length."""
+    return (made.slice(a, ROWS_OUT) for a in range(0, len(made), ROWS_OUT))
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
             h, ends = tokens(texts(part))
-            yield _sums(h, held=np.repeat(np.asarray(part.column("held")), np.diff(ends)))
+            yield from in_rows(_sums(h, held=np.repeat(np.asarray(part.column("held")), np.diff(ends))))
 
 
 def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +193,7 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, "text"):
             h, ends = tokens(texts(part))
             training, held = (np.repeat(np.asarray(part.column(c)), np.diff(ends)) for c in ("training", "held"))
-            yield _sums(pair_keys(before(h, ends), h), held=held, asked=~training)
+            yield from in_rows(_sums(pair_keys(before(h, ends), h), held=held, asked=~training))
 
 
 def _sums(keys: np.ndarray, **marks: np.ndarray) -> pa.RecordBatch:
@@ -315,14 +322,14 @@ def lm_scores(docs: DataFrame, training: Column, deleted: Column, *, id_col: str
                 at = np.flatnonzero(t.open | t.ctx_open)
                 at = at[np.unique(t.pair[at] ^ (t.open[at] * np.uint64(1) + t.ctx_open[at] * np.uint64(2)), return_index=True)[1]]
                 asked = {c: pa.array(h[at].view(np.int64), mask=~o[at]) for c, h, o in (("word", t.word, t.open), ("ctx", t.ctx, t.ctx_open))}
-                yield pa.RecordBatch.from_pydict({"key": pa.array(t.pair[at].view(np.int64))} | asked)
+                yield from in_rows(pa.RecordBatch.from_pydict({"key": pa.array(t.pair[at].view(np.int64))} | asked))
 
     def heldout(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 t = Tokens(texts(part), np.asarray(part.column("training")), vocabulary.value)
                 _, at, times = np.unique(t.pair, return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_pydict({"key": pa.array(t.pair[at].view(np.int64)), "held": pa.array(times.astype(np.int64)), "c1": pa.array(t.main[at]), "c2": pa.array(t.ctx_main[at])})
+                yield from in_rows(pa.RecordBatch.from_pydict({"key": pa.array(t.pair[at].view(np.int64)), "held": pa.array(times.astype(np.int64)), "c1": pa.array(t.main[at]), "c2": pa.array(t.ctx_main[at])}))
 
     by = lambda name, tag: word_table.select(F.col("key").alias(name), F.col("main").alias(f"main{tag}"), F.col("total").alias(f"total{tag}"))
     asked = used.select("text", "training").mapInArrow(seldom, "key long, word long, ctx long").groupBy("key").agg(F.max("word").alias("word"), F.max("ctx").alias("ctx"))
@@ -339,7 +346,7 @@ def lm_scores(docs: DataFrame, training: Column, deleted: Column, *, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SCORED_BYTES):
                 made, more = _score(Tokens(texts(part), np.asarray(part.column("training")), vocabulary.value), listed.value, weights, n, v)
                 none = len(more["key"])
                 at = pa.array(np.concatenate((np.arange(len(part)), more.pop("text"))))
@@ -347,7 +354,7 @@ def lm_scores(docs: DataFrame, training: Column, deleted: Column, *, id_col: str
                 pad = {c: pa.array(np.concatenate((x, np.zeros(none, x.dtype)))) for c, x in made.items()}
                 pad |= {c: pa.array(np.concatenate((own.get(c, np.zeros(len(part), x.dtype)), x))) for c, x in more.items()}
                 ids = part.column(id_col).take(pa.array(np.concatenate((np.arange(len(part)), np.zeros(none, np.int64))), mask=np.arange(len(part) + none) >= len(part)))
-                yield pa.RecordBatch.from_pydict({id_col: ids, "_row": part.column("_row").take(at)} | pad)
+                yield from in_rows(pa.RecordBatch.from_pydict({id_col: ids, "_row": part.column("_row").take(at)} | pad))
 
     rows = marked.drop("held").withColumn("_row", F.monotonically_increasing_id())
     kind = rows.schema[id_col].dataType.simpleString()
