@@ -45,12 +45,22 @@ def _digested(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy())), words.indices.to_numpy(), np.frombuffer(raw, np.uint8).reshape(-1, 16)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over all cores, if they come in fewer splits; at most a split a core is moved."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if rows.isStreaming or rows.rdd.getNumPartitions() >= cores:
+        return rows
+    return rows.repartition(cores)
+
+
 def text_hashes(texts: DataFrame, key: str, text: str, parts: tuple[int, ...] = (0,)) -> DataFrame:
     """``key`` and a 64-bit hash column h0, h1, ... of every row for each MD5 byte in ``parts``.
 
     One narrow pass: each distinct word of a few texts is digested once, and
-    nothing is shuffled.  A null text is an empty one; repeated rows each give
-    a row.
+    nothing is shuffled, unless the scan has fewer splits than the cluster has
+    cores (one row group is one task, whatever it holds): then its rows are
+    dealt out first.  A null text is an empty one; repeated rows each give a
+    row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,7 +73,7 @@ def text_hashes(texts: DataFrame, key: str, text: str, parts: tuple[int, ...] =
 
     used = texts.select(key, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_text"))
     kind = used.schema[key].dataType.simpleString()
-    return used.mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"h{p} long" for p in parts))
+    return spread(used).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"h{p} long" for p in parts))
 
 
 def hamming(a: Column, b: Column) -> Column:

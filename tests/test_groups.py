@@ -45,14 +45,15 @@ def test_hex_round_trip(spark):
     assert {r["x"] for r in rows.select(hex_hash(F.col("h")).alias("x")).collect()} == {ZEROS, "8000000000000001", ONES}
 
 
+@pytest.mark.parametrize("few", [0, hamming.FEW])
 @pytest.mark.parametrize("distance", [0, 3, 4, 8, 11])
-def test_pairs_equal_brute_force(spark, distance):
+def test_pairs_equal_brute_force(spark, distance, few):
     draw = random.Random(distance)
     base = [draw.getrandbits(64) for _ in range(40)]
     values = base + [b ^ sum(1 << i for i in draw.sample(range(64), draw.randint(0, 12))) for b in base for _ in range(3)]
     signed = [int(np.uint64(v).view(np.int64)) for v in values]
     rows = spark.createDataFrame(list(enumerate(signed)), "id long, h long")
-    found = {(r["a"], r["b"], r["dist"]) for r in hamming.class_pairs(hamming.hash_classes(rows, "id", "h"), distance).collect()}
+    found = {(r["a"], r["b"], r["dist"]) for r in hamming.class_pairs(hamming.hash_classes(rows, "id", "h"), distance, few).collect()}
     first = {}
     for i, v in enumerate(values):
         first.setdefault(v, i)
