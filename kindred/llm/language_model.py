@@ -61,7 +61,7 @@ BUCKETS = 24
 STEP = 3  # cells per doubling of a ratio
 EM_ROUNDS = 60
 ROWS_OUT = 1 << 15  # of a batch that leaves Python, which the JVM holds as a whole
-SCORED_BYTES = 1 << 20  # of text scored at a time; sums are by text, so small slices cost nothing
+SCORED_BYTES = 1 << 20  # of text scored at a time; sums are by text, so slices need not be large
 ADD = 0.1
 
 
