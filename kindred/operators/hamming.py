@@ -1,28 +1,41 @@
 """Exact Hamming range join of 64-bit hashes by multi-index hashing.
 
-A hash is cut into bands.  Two hashes at distance t or less agree within r_i
-bits in some band i, whenever the radii r_i add up to t + 1 - bands (Norouzi,
-Punjani & Fleet, 2012; Qin et al., 2018).  One side spells out every band value
-that close, the other its own; an equi-join on (band, value), a check of the
-full distance, and a check that no earlier band meets leave each pair in range
-once.  Equal hashes form classes first, so a hash that fills the table joins
-as one row.  Up to ``FEW`` classes have four bands, and the short side is
-broadcast; more have three, whose longer values keep the candidates few, and
-are shuffled, where adaptive execution splits hot values.
+Equal hashes form classes first, so a hash that fills the table joins as one
+row.  Classes are dealt into tiles of bounded size, and every two tiles meet in
+one place, so a class is shuffled once a tile and nothing else is: pairs are
+found where two tiles meet, with arrays.
+
+There a hash is cut into bands.  Two hashes at distance t or less agree within
+r_i bits in some band i, whenever the radii r_i add up to t + 1 - bands
+(Norouzi, Punjani & Fleet, 2012; Qin et al., 2018).  One tile looks up every
+band value that close in a table of the other's; a check of the full distance,
+and a check that no earlier band meets leave each pair in range once.  Tiles
+with fewer classes than values to look up are compared all with all.
+
+Links in range may be far more than classes, so groups never write them: a
+tile's own links become labels, and two tiles give the forest that joins their
+labels.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 import pyspark.sql.functions as F
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 
 from kindred.operators.components import connected_components
-from kindred.operators.hashing import hamming
 
-FEW = 100_000
+TILE = 1 << 17  # classes, about
+LEAST_TILE = 1024
+SPREAD = 8  # tiles of smaller tables, for all cores
+PLACES = 1000  # tasks at most
+FEW = 2  # classes a value to look up from which bands pay
+AT_ONCE = 1 << 18  # values looked up, or candidates compared
 
 
 def masks(width: int, most: int) -> list[int]:
@@ -43,27 +56,174 @@ def hash_classes(hashed: DataFrame, id_col: str, hash_col: str) -> DataFrame:
     return hashed.where(F.col(hash_col).isNotNull()).groupBy(F.col(hash_col).alias("h")).agg(F.min(id_col).alias("rep"), F.count("*").alias("members"))
 
 
+def _value(h: np.ndarray, low: int, width: int) -> np.ndarray:
+    return ((h >> np.uint64(low)) & np.uint64((1 << width) - 1)).astype(np.int64)
+
+
+def _all_pairs(a: np.ndarray, b: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(i, j, distance) of a and b in range, all with all."""
+    step = max(1, AT_ONCE // max(1, len(b)))
+    for at in range(0, len(a), step):
+        apart = np.bitwise_count(a[at : at + step, None] ^ b)
+        i, j = np.nonzero(apart <= distance)
+        yield i + at, j, apart[i, j]
+
+
+def _banded_pairs(a: np.ndarray, b: np.ndarray, distance: int, plan: list[tuple[int, int, int]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The same by bands, each pair at its first one."""
+    for k, (low, width, radius) in enumerate(plan):
+        value = _value(b, low, width)
+        order = np.argsort(value, kind="stable")
+        begin = np.zeros((1 << width) + 1, np.int32)
+        np.cumsum(np.bincount(value, minlength=1 << width), out=begin[1:])
+        there, spelt = b[order], np.array(masks(width, radius))
+        step = max(1, AT_ONCE // len(spelt))
+        for at in range(0, len(a), step):
+            asked = (_value(a[at : at + step], low, width)[:, None] ^ spelt).ravel()
+            n = begin[asked + 1] - begin[asked]
+            some = np.flatnonzero(n)
+            total = np.cumsum(n[some], dtype=np.int64)
+            cuts = np.searchsorted(total, np.arange(0, total[-1] if len(total) else 0, AT_ONCE), side="right").tolist()
+            for x, y in zip(cuts, [*cuts[1:], len(some)], strict=True):
+                part = some[x:y]
+                held = n[part].astype(np.int64)
+                i = np.repeat(part // len(spelt) + at, held)
+                j = np.arange(len(i)) + np.repeat(begin[asked[part]] - (np.cumsum(held) - held), held)
+                apart = a[i] ^ there[j]
+                far = np.bitwise_count(apart)
+                ok = np.flatnonzero(far <= distance)
+                for low0, width0, radius0 in plan[:k]:
+                    ok = ok[np.bitwise_count(_value(apart[ok], low0, width0)) > radius0]
+                yield i[ok], order[j[ok]], far[ok]
+
+
+def near_pairs(a: np.ndarray, b: np.ndarray, distance: int, few: int = FEW) -> Iterator[tuple[np.ndarray, ...]]:
+    """(i, j, distance) of the elements of a and b within ``distance``, each pair once."""
+    plan = [p for p in band_plan(distance, 3) if p[2] >= 0]
+    bands = few == 0 or len(b) > few * sum(len(masks(width, radius)) for _, width, radius in plan)
+    return _banded_pairs(a, b, distance, plan) if bands else _all_pairs(a, b, distance)
+
+
+def _dealt(classes: DataFrame, tiles: int, own: bool) -> DataFrame:
+    """``classes`` with their tile, at the places (lo, hi) where it meets the others; ``own``: itself alone."""
+    tile = F.pmod(F.xxhash64("h"), F.lit(tiles)).cast("int")
+    if own:
+        rows = classes.withColumn("tile", tile).withColumn("lo", tile).withColumn("hi", tile)
+        return rows.repartition(min(2 * tiles, PLACES), "lo", "hi").sortWithinPartitions("lo", "hi")
+    places = F.transform(F.sequence(F.lit(0), F.lit(tiles - 1)), lambda x: F.struct(F.least(tile, x).alias("lo"), F.greatest(tile, x).alias("hi")))
+    rows = classes.withColumn("tile", tile).withColumn("_at", F.explode(places)).select(*classes.columns, "tile", "_at.lo", "_at.hi")
+    return rows.repartition(min(tiles * (tiles + 1), PLACES), "lo", "hi").sortWithinPartitions("lo", "hi", "tile")
+
+
+def _tiles(classes: DataFrame) -> int:
+    n = classes.count()
+    return max(1, -(-n // TILE), min(SPREAD, -(-n // LEAST_TILE)))
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each place (lo, hi); batches come in its order."""
+    held: list[pa.RecordBatch] = []
+    here = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        spot = np.stack([batch.column(c).to_numpy() for c in ("lo", "hi")], axis=1)
+        cuts = [0, *(np.flatnonzero((np.diff(spot, axis=0) != 0).any(axis=1)) + 1).tolist(), len(spot)]
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            if held and tuple(spot[x]) != here:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            here = tuple(spot[x])
+            held.append(batch.slice(x, y - x))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _sides(place: pa.Table) -> tuple[np.ndarray, int, int]:
+    """(hashes, where the second tile begins, where the first ends); one tile alone is both."""
+    h, tile = place["h"].to_numpy().view(np.uint64), place["tile"].to_numpy()
+    cut = int(np.searchsorted(tile, tile[0], side="right"))
+    return (h, cut, cut) if cut < len(h) else (h, 0, len(h))
+
+
+def _met(place: pa.Table, distance: int, few: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(i, j, distance) of the rows in range of a place."""
+    h, second, first = _sides(place)
+    for i, j, far in near_pairs(h[:first], h[second:], distance, few):
+        if not second:
+            once = i < j
+            i, j, far = i[once], j[once], far[once]
+        yield i, j + second, far
+
+
 def class_pairs(classes: DataFrame, distance: int, few: int = FEW) -> DataFrame:
     """(a, b, dist): class representatives a < b within ``distance``.
 
-    ``classes`` is read three times, so it should be a stored table.
+    ``classes`` is read twice, so it should be a stored table.
     """
-    small = classes.limit(few + 1).count() <= few
-    plan = band_plan(distance, 4 if small else 3)
-    value = lambda h, low, width: F.shiftrightunsigned(h, low).bitwiseAND((1 << width) - 1)
-    used = [(i, *band) for i, band in enumerate(plan) if band[2] >= 0]
-    own = classes.select(F.col("rep").alias("b"), F.col("h").alias("hb"), F.explode(F.array(*[F.struct(F.lit(i).alias("band"), value("h", low, width).alias("value")) for i, low, width, _ in used])).alias("k")).select("b", "hb", "k.*")
 
-    def near(i: int, low: int, width: int, radius: int) -> Column:
-        """The band's values within ``radius`` bits."""
-        spelt = F.array(*[F.lit(m).cast("long") for m in masks(width, radius)])
-        return F.transform(spelt, lambda m: F.struct(F.lit(i).alias("band"), value("h", low, width).bitwiseXOR(m).alias("value")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for place in _places(batches):
+            lo, hi, reps = place["lo"][0].as_py(), place["hi"][0].as_py(), place["rep"].combine_chunks()
+            if lo != hi and place["tile"][0] == place["tile"][-1]:
+                continue  # the other tile is empty
+            for i, j, far in _met(place, distance, few):
+                yield pa.RecordBatch.from_pydict({"a": reps.take(pa.array(i)), "b": reps.take(pa.array(j)), "dist": pa.array(far.astype(np.int32))})
+
+    kind = classes.schema["rep"].dataType.simpleString()
+    found = _dealt(classes.select("h", "rep"), _tiles(classes), own=False).mapInArrow(run, f"a {kind}, b {kind}, dist int")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "dist")
+
+
+def _joined(root: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Components of numbered nodes: ``root`` (each its own, or a root) after linking all pairs; the least number is the root."""
+    for x, y in pairs:
+        while True:
+            x, y = root[x], root[y]
+            apart = x != y
+            x, y = x[apart], y[apart]
+            if not len(x):
+                break
+            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+            while True:
+                further = root[root]
+                if np.array_equal(further, root):
+                    break
+                root = further
+    return root
+
+
+def class_forest(classes: DataFrame, distance: int, few: int = FEW) -> DataFrame:
+    """(src, dst): edges between representatives whose components are those of ``class_pairs``.
+
+    At most one edge a class from its own tile, and where two tiles meet fewer
+    than they have labels together.
+    """
+    from kindred.storage import materialise
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for place in _places(batches):
+            root = _joined(np.arange(len(place)), ((i, j) for i, j, _ in _met(place, distance, few)))
+            reps = place["rep"].combine_chunks()
+            yield pa.RecordBatch.from_pydict({"h": place["h"].combine_chunks(), "rep": reps, "label": reps.take(pa.array(root))})
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for place in _places(batches):
+            if place["tile"][0] == place["tile"][-1]:
+                continue  # one tile alone was done before
+            coded = place["label"].combine_chunks().dictionary_encode()
+            label, named = coded.indices.to_numpy(), coded.dictionary
+            root = _joined(np.arange(len(named)), ((label[i], label[j]) for i, j, _ in _met(place, distance, few)))
+            moved = np.flatnonzero(root != np.arange(len(root)))
+            yield pa.RecordBatch.from_pydict({"src": named.take(pa.array(moved)), "dst": named.take(pa.array(root[moved]))})
 
-    wide = classes.select(F.col("rep").alias("a"), F.col("h").alias("ha"), F.explode(F.concat(*[near(*band) for band in used])).alias("k")).select("a", "ha", "k.*")
-    found = wide.join(F.broadcast(own) if small else own.hint("merge"), ["band", "value"])
-    first = reduce(lambda rest, k: F.when(hamming(value("ha", k[1], k[2]), value("hb", k[1], k[2])) <= k[3], k[0]).otherwise(rest), reversed(used), F.lit(-1))
-    dist = hamming(F.col("ha"), F.col("hb"))
-    return found.where((F.col("a") < F.col("b")) & (dist <= distance) & (F.col("band") == first)).select("a", "b", dist.alias("dist"))
+    kind = classes.schema["rep"].dataType.simpleString()
+    tiles = _tiles(classes)
+    labels = materialise(_dealt(classes.select("h", "rep"), tiles, own=True).mapInArrow(alone, f"h long, rep {kind}, label {kind}"), "tiles")
+    inner = labels.where(F.col("rep") != F.col("label")).select(F.col("rep").alias("src"), F.col("label").alias("dst"))
+    if tiles == 1:
+        return inner
+    return inner.unionByName(_dealt(labels, tiles, own=False).mapInArrow(across, f"src {kind}, dst {kind}"))
 
 
 def hash_edges(hashed: DataFrame, id_col: str, hash_col: str, distance: int) -> DataFrame:
@@ -72,7 +232,7 @@ def hash_edges(hashed: DataFrame, id_col: str, hash_col: str, distance: int) ->
 
     classes = materialise(hash_classes(hashed, id_col, hash_col), "classes")
     members = hashed.select(F.col(id_col).alias("src"), F.col(hash_col).alias("h")).join(classes.where("members > 1").select("h", F.col("rep").alias("dst")), "h").select("src", "dst")
-    return members.unionByName(class_pairs(classes, distance).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    return members.unionByName(class_forest(classes, distance))
 
 
 def hash_groups_of(hashed: DataFrame, id_col: str, distances: dict[str, int]) -> list[DataFrame]:

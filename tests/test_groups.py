@@ -61,6 +61,34 @@ def test_pairs_equal_brute_force(spark, distance, few):
     assert found == {(i, j, (v ^ w).bit_count()) for i, v in reps for j, w in reps if i < j and (v ^ w).bit_count() <= distance}
 
 
+@pytest.mark.parametrize("few", [0, hamming.FEW])
+def test_tiles_lose_and_repeat_no_pair(spark, monkeypatch, few):
+    monkeypatch.setattr(hamming, "LEAST_TILE", 30)
+    monkeypatch.setattr(hamming, "AT_ONCE", 500)  # candidates come in several parts
+    draw = random.Random(9)
+    values = list({b ^ sum(1 << i for i in draw.sample(range(64), draw.randint(0, 9))) for b in (0, (1 << 63) + 77) for _ in range(100)})
+    rows = spark.createDataFrame([(i, int(np.uint64(v).view(np.int64))) for i, v in enumerate(values)], "id long, h long")
+    classes = hamming.hash_classes(rows, "id", "h")
+    found = sorted(tuple(r) for r in hamming.class_pairs(classes, 8, few).collect())
+    pairs = sorted((i, j, (v ^ w).bit_count()) for i, v in enumerate(values) for j, w in enumerate(values) if i < j and (v ^ w).bit_count() <= 8)
+    assert found == pairs
+    root = list(range(len(values)))
+    for a, b, _ in pairs:
+        x, y = sorted((root[a], root[b]))
+        root = [x if r == y else r for r in root]
+    labels = {r["id"]: r["component"] for r in connected_components(hamming.class_forest(classes, 8, few)).collect()}
+    assert [labels.get(i, i) for i in range(len(values))] == root
+
+
+def test_groups_write_forests_instead_of_all_pairs(spark):
+    """The links of a large group are not written, as they are with its square."""
+    rows = spark.createDataFrame([(i, sum(1 << (8 * k + d) for k, d in enumerate((i % 8, i // 8 % 8, i // 64)))) for i in range(512)], "id long, h long")
+    assert hamming.class_pairs(hamming.hash_classes(rows, "id", "h"), 8).count() == 512 * 511 // 2
+    edges = hamming.hash_edges(rows, "id", "h", 8)
+    assert edges.count() == 511
+    assert {r["component"] for r in connected_components(edges).collect()} == {0}
+
+
 def labelled(spark, groups, universe="abcde"):
     label = {x: min(g) for g in groups for x in g}
     return spark.createDataFrame([(x, label.get(x, x)) for x in universe], "id string, label string")
