@@ -14,8 +14,9 @@ that at least the squared difference of their means.
 
 from __future__ import annotations
 
-from math import acosh, asinh, cosh, sqrt, tanh
+from math import acosh, asinh, cosh, isqrt, sqrt, tanh
 
+import numpy as np
 import pyspark.sql.functions as F
 from pyspark.sql import Column
 
@@ -63,11 +64,32 @@ def ssim_at_most(a: Column, b: Column) -> Column:
     return _mean(F.zip_with(light, texture, lambda x, y: x * y)) + ROUNDING
 
 
+def ssim_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``hashing.ssim`` of all rasters of a with all of b, to the bit: sums are whole numbers, the rest in the same order."""
+    side, one = isqrt(a.shape[1]), hashing.SIDE
+    across, size = side // one, one * one
+    total = np.zeros((len(a), len(b)))
+    for k in range(across * across):
+        y, x = k // across * one, k % across * one
+        u, v = (w.reshape(-1, side, side)[:, y : y + one, x : x + one].reshape(-1, size) for w in (a, b))
+        (mu, qu), (mv, qv) = ((w.sum(axis=1) / size, (w * w).sum(axis=1) / size) for w in (u, v))
+        both = mu[:, None] * mv
+        cov = u @ v.T / size - both
+        light = (mu * mu)[:, None] + mv * mv + C1
+        total += ((2 * mu[:, None] * mv + C1) * (2 * cov + C2)) / (light * ((qu - mu * mu)[:, None] + (qv - mv * mv) + C2))
+    return total / (across * across)
+
+
+def nmse_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``hashing.nmse`` of all rasters of a with all of b."""
+    return ((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * (a @ b.T)) / (a.shape[1] * (255.0 * 255.0))
+
+
 def ssim_verifier(threshold: float) -> Verifier:
     """SSIM of at least ``threshold``."""
     tops = {"light": asinh(255 / sqrt(C1 / 2)), "texture": asinh(127.5 / sqrt(C2 / 2))}
     bands = tuple((lambda f, n=name: f[n], width) for name, top in tops.items() if (width := reach(threshold, top)) is not None)
-    return Verifier(hashing.ssim, lambda s: s >= threshold, window_statistics, lambda a, b: ssim_at_most(a, b) >= threshold, bands)
+    return Verifier(hashing.ssim, lambda s: s >= threshold, window_statistics, lambda a, b: ssim_at_most(a, b) >= threshold, bands, lambda a, b: ssim_matrix(a, b) >= threshold)
 
 
 def block_means(grey: Column) -> Column:
@@ -80,4 +102,4 @@ def nmse_verifier(threshold: float) -> Verifier:
     """Mean squared error over 255 squared of at most ``threshold``."""
     least = lambda a, b: _mean(F.zip_with(a["blocks"], b["blocks"], lambda x, y: (x - y) * (x - y))) / (255.0 * 255.0)
     bands = ((lambda f: f["mean"], 255 * sqrt(threshold) + ROUNDING),) if threshold >= 0 else ()
-    return Verifier(hashing.nmse, lambda s: s <= threshold, block_means, lambda a, b: least(a, b) <= threshold + ROUNDING, bands)
+    return Verifier(hashing.nmse, lambda s: s <= threshold, block_means, lambda a, b: least(a, b) <= threshold + ROUNDING, bands, lambda a, b: nmse_matrix(a, b) <= threshold)

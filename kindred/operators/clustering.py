@@ -2,8 +2,10 @@
 
 ``first_fit`` puts every item, in order, into the first cluster whose every
 member it is linked with.  Groups of at most ``SMALL`` members fold over their
-sorted items inside one expression.  Larger ones decide in rounds of joins, in
-which many items decide at once and no task holds a group:
+sorted items inside one expression.  Larger ones of a verifier that can test
+arrays go block by block (``firstfit``); where only their links are given, they
+decide in rounds of joins, in which many items decide at once and no task holds
+a group:
 
 * a cluster is named by its first member, so the order of clusters is known;
 * an item is a candidate of a cluster while it is linked with all its members;
@@ -28,9 +30,11 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
+from kindred.operators.firstfit import first_fit
 from kindred.storage import discard, materialise
 
 SMALL = 200
@@ -42,7 +46,8 @@ class Verifier:
 
     ``features`` makes a small struct of a raster, ``possible`` tells from two
     of them whether the pair can pass, ``bands`` are numbers of a struct that
-    differ by at most a width in every pair that passes.
+    differ by at most a width in every pair that passes.  ``links`` is the test
+    of all rasters of one array with all of another, exactly as score and test.
     """
 
     score: Callable[[Column, Column], Column]
@@ -50,6 +55,7 @@ class Verifier:
     features: Callable[[Column], Column] | None = None
     possible: Callable[[Column, Column], Column] | None = None
     bands: tuple[tuple[Callable[[Column], Column], float], ...] = ()
+    links: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
 
 
 def group_pairs(members: DataFrame, score: Callable[[Column, Column], Column], keys: list[str]) -> DataFrame:
@@ -144,6 +150,11 @@ def _in_rounds(members: DataFrame, links: DataFrame) -> DataFrame:
         discard(now)
         now = after
     discard(near)
+    return _numbered(now)
+
+
+def _numbered(now: DataFrame) -> DataFrame:
+    """_g, seq, cluster: clusters in the order of their seeds."""
     seeds = now.where(F.col("seq") == F.col("seed")).select("_g", "seed")
     numbered = seeds.withColumn("cluster", F.row_number().over(Window.partitionBy("_g").orderBy("seed")) - 1)
     return now.join(numbered, ["_g", "seed"]).select("_g", "seq", "cluster")
@@ -171,8 +182,14 @@ def clustered(members: DataFrame, verifier: Verifier, keys: list[str], *, small:
     """keys, seq and cluster of a group's members under one verifier, copies counted once."""
     known = materialise(classes(members, verifier, keys), "classes")
     items = known.where(F.col("seq") == F.col("first")).select(*keys, "seq", "grey")
-    links = materialise(linked_pairs(items, verifier, keys), "links")
-    found = greedy_clusters(items, links, keys, small=small)
+    large = materialise(items.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > small).select(*keys), "large_groups") if verifier.links else None
+    some = large is not None and not large.isEmpty()
+    few = items.join(large, keys, "left_anti") if some else items
+    links = materialise(linked_pairs(few, verifier, keys), "links")
+    found = greedy_clusters(few, links, keys, small=small)
+    if some:
+        many = items.join(large, keys, "left_semi").select(F.struct(*keys).alias("_g"), F.col("seq").cast("bigint").alias("seq"), "grey")
+        found = found.unionByName(_numbered(first_fit(many, verifier.links)).select("_g.*", "seq", F.col("cluster").cast("int").alias("cluster")))
     return known.select(*keys, "seq", "first").join(found.withColumnRenamed("seq", "first"), [*keys, "first"]).select(*keys, "seq", "cluster")
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pyspark.sql.functions as F
 import pytest
 
-from kindred.operators import bounds, clustering, hashing
+from kindred.operators import bounds, clustering, firstfit, hashing
 from kindred.queries import similarity
 from tests.helpers import SF
 
@@ -156,3 +156,28 @@ def test_raster_scan_equals_plain_loops(spark):
             best = min(members, key=lambda x: (-quality[x], x))
             expected |= {(members[0], x, x == best) for x in members if len(members) >= 2}
     assert expected and got == expected
+
+
+@pytest.mark.parametrize(("keep", "threshold"), [(2, 0.3), (64, 0.05)])
+def test_blocks_of_a_large_group_equal_first_fit(spark, monkeypatch, keep, threshold):
+    """Groups above the bound go block by block and their links, a square of the members, are never asked for."""
+    monkeypatch.setattr(firstfit, "BLOCK", 20)
+    monkeypatch.setattr(firstfit, "KEEP", keep)
+    draw = np.random.default_rng(3)
+    grey = draw.integers(90, 160, (90, 64))
+    grey[40:60] = grey[:20] + draw.integers(-9, 9, (20, 64))
+    rows = [(g, 2 * i + g, grey[(i * (g + 1)) % 90].tolist()) for g in (0, 1) for i in range(90 if not g else 45)]
+    members = spark.createDataFrame(rows, "group_id long, seq long, grey array<int>")
+    verifier = bounds.ssim_verifier(threshold)
+    asked = []
+    real = clustering.linked_pairs
+    monkeypatch.setattr(clustering, "linked_pairs", lambda *a: asked.append(real(*a)) or asked[-1])
+    got = {(r.group_id, r.seq): r.cluster for r in clustering.clustered(members, verifier, ["group_id"], small=50).collect()}
+    assert asked[0].where("group_id = 0").isEmpty()
+    scores = {g: bounds.ssim_matrix(*[np.array([r[2] for r in rows if r[0] == g], float)] * 2) for g in (0, 1)}
+    plain = {(r.group_id, r.i, r.j): r.score for r in clustering.group_pairs(members, hashing.ssim, ["group_id"]).collect()}
+    for g in (0, 1):
+        order = [r[1] for r in rows if r[0] == g]
+        assert all(scores[g][a, b] == plain[g, x, y] for a, x in enumerate(order) for b, y in enumerate(order) if a < b)
+        linked = {(x, y) for h, x, y in plain if h == g and plain[h, x, y] >= threshold}
+        assert {s: c for (h, s), c in got.items() if h == g} == first_fit(order, linked)
