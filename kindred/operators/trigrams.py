@@ -24,6 +24,9 @@ from kindred.storage import shared_dir
 
 FOLDERS = 64
 RAREST = 3
+DEAL = 4  # parts of a folder at least
+DEAL_ROWS = 1_000_000  # indexed rows a part
+TASKS_A_PART = 16
 
 
 def _grams(text: Column) -> Column:
@@ -91,8 +94,10 @@ def build(rows: DataFrame, *, folders: int = FOLDERS) -> TrigramIndex:
     rows.select("id", "text").write.parquet(f"{path}/rows")
     stored = spark.read.schema(rows.select("id", "text").schema).parquet(f"{path}/rows")
     postings = stored.select(F.explode(_grams(F.col("text"))).alias("gram"), "id").withColumn("_folder", _folder(F.col("gram"), folders))
-    # Frequent trigrams are spread by their rows, so no task gets one whole.
-    dealt = postings.repartition(F.col("_folder"), F.pmod(F.xxhash64("id"), F.lit(4))).sortWithinPartitions("_folder", "gram")
+    # Frequent trigrams are spread by their rows, so no task gets one whole; parts and tasks follow the rows, so none grows with them.
+    n = stored.count()
+    part = F.pmod(F.xxhash64("id"), F.lit(max(DEAL, -(-n // DEAL_ROWS))))
+    dealt = postings.repartition(max(1, -(-n * TASKS_A_PART // DEAL_ROWS)), F.col("_folder"), part).sortWithinPartitions("_folder", "gram")
     dealt.write.partitionBy("_folder").parquet(f"{path}/postings")
     counts = postings.groupBy("gram", "_folder").agg(F.count("*").alias("n"))
     counts.repartition("_folder").sortWithinPartitions("_folder", "gram").write.partitionBy("_folder").parquet(f"{path}/counts")

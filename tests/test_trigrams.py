@@ -59,3 +59,13 @@ def test_every_move_between_scan_states(spark):
             assert after[i].status == (status if moved else before)
             assert (after[i].ended_at is not None) == (moved and status in ("completed", "failed", "cancelled"))
             assert after[i].error_message == ("why" if moved and status == "failed" else None)
+
+
+def test_tasks_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(trigrams, "DEAL_ROWS", 100)
+    rows = spark.range(2000).select("id", F.concat(F.lit("img_"), F.col("id").cast("string")).alias("text"))
+    index = trigrams.build(rows, folders=2)
+    held = spark.read.parquet(f"{index.path}/postings")
+    largest = held.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0]
+    assert largest < held.count() / 9  # of two folders in four parts each, one part holds an eighth at least
+    assert sorted(r.id for r in index.search("%g_19%").collect()) == sorted(i for i in range(2000) if str(i).startswith("19"))
