@@ -7,8 +7,8 @@ distance of two sketches can only be smaller than the symmetric difference.
 The sketch's 64-bit words deal the elements into that many blocks, so with
 more blocks than allowed differences some blocks must be equal: the XOR of the
 hashes in a block is a join key (pigeonhole), within bands of similar set
-sizes.  A few more blocks than needed let every text leave out its emptiest
-ones, which would join unrelated texts.
+sizes.  More blocks than needed let every text leave out some: its empty ones,
+then the keys that most other texts hold, which would join unrelated texts.
 
 * equal sets meet first, by digest, and go on as one;
 * the texts of a key that many hold first meet one leader, so that most of a
@@ -17,7 +17,8 @@ ones, which would join unrelated texts.
   and give a spanning forest of the pairs that pass, not all pairs; texts of a
   key's largest component meet only those outside of it;
 * every candidate pair is verified on the exact sets.  Where verification
-  breaks a forest, the tiles run again with the links known so far and
+  breaks a forest, the keys that both texts of a refuted pair hold run again,
+  for the texts linked to one of such a pair, with the links known so far and
   without any pair refuted so far, until no candidate joins two components.
 
 So no link between different texts is lost, no key's texts meet in one task
@@ -48,7 +49,7 @@ from kindred.storage import discard, materialise
 
 SHINGLE = 3
 SIMILARITY = (90, 100)
-SPARE = 0.1  # more blocks than differences allowed
+SPARE = 0.3  # more blocks than differences allowed
 TILE = 512
 
 
@@ -198,12 +199,39 @@ def distinct_sets(docs: DataFrame, *, id_col: str, text_col: str, shingle: int,
     raise RuntimeError("no seed gives every set its own number")
 
 
+def empty_blocks(elements: np.ndarray, blocks: int) -> int:
+    """How many of a set's blocks hold nothing."""
+    return blocks - len(np.unique((elements >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)))
+
+
+def one_of_equal(rows: DataFrame) -> DataFrame:
+    """One of the keys that the very same sets hold, which would give the same comparisons.
+
+    (key, node, own, spare, leader, held, stands): the least set of a key, how
+    many hold it and for how many keys it stands; keys of one set go.
+    """
+    holders = rows.groupBy("key").agg(F.count("*").alias("held"), F.min("node").alias("leader"), F.bit_xor(F.xxhash64("node", "own")).alias("x"), F.bit_xor(F.xxhash64("own", "node", F.lit(1))).alias("y"))
+    kept = holders.where("held > 1").groupBy("held", "x", "y").agg(F.min("key").alias("key"), F.min("leader").alias("leader"), F.count("*").alias("stands"))
+    return rows.join(kept.select("key", "leader", "held", "stands"), "key")
+
+
+def without_hot(rows: DataFrame) -> DataFrame:
+    """Rows of ``one_of_equal`` without the keys each set spares: those that most sets hold, ``spare`` a set and band at most.
+
+    A key counts as many times as it stands for keys, so no two sets that may
+    link lose all of theirs.
+    """
+    hottest = Window.partitionBy("node", "own").orderBy(F.desc(F.col("held") / F.col("stands")), "key")
+    return rows.select("key", "node", "own", "spare", F.sum("stands").over(hottest).alias("_left")).where("_left > spare").drop("_left")
+
+
 def join_keys(docs: DataFrame, bands: Bands, *, text_col: str, shingle: int, seed: int) -> DataFrame:
     """(key, node, own, leader, held): keys that several sets hold, the least of them and how many do.
 
-    Of keys that the same sets hold one stays.
+    Of keys that the same sets hold one stays, and sets spare their hottest.
 
-    A task emits each distinct set once; only keys and numbers are shuffled.
+    A task emits each distinct set once; only keys and numbers are shuffled,
+    once: a key's rows meet, and those of a single set end there.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +242,7 @@ def join_keys(docs: DataFrame, bands: Bands, *, text_col: str, shingle: int, see
                     done.clear()
                 sets = [x for x in shingle_sets(texts(part, text_col), shingle) if len(x)]
                 digests = _digests(sets, seed)
-                keys, owner, which = [], [], []
+                keys, owner, which, spare = [], [], [], []
                 for x, digest, node in zip(sets, digests, _nodes(digests), strict=True):
                     if digest in done:
                         continue
@@ -222,27 +250,42 @@ def join_keys(docs: DataFrame, bands: Bands, *, text_col: str, shingle: int, see
                     for k in range(1 + bands.reaches(len(x))):
                         band = bands.of(len(x)) + k
                         blocks, leave = bands.blocks(band)
-                        found = block_keys(x, blocks, band, leave)
+                        empty = min(leave, empty_blocks(x, blocks))
+                        found = block_keys(x, blocks, band, empty)
                         keys.append(found)
                         owner.append(np.full(len(found), node))
                         which.append(np.full(len(found), k == 0))
+                        spare.append(np.full(len(found), leave - empty, np.int32))
                 if keys:
-                    yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(keys).view(np.int64)), "node": pa.array(np.concatenate(owner)), "own": pa.array(np.concatenate(which))})
+                    yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(keys).view(np.int64)), "node": pa.array(np.concatenate(owner)), "own": pa.array(np.concatenate(which)), "spare": pa.array(np.concatenate(spare))})
 
-    keyed = materialise(docs.select(text_col).mapInArrow(run, "key long, node long, own boolean"), "blocks")
-    shared = keyed.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("_most")).where(F.col("leader") != F.col("_most")).select("key", "leader")
+    keyed = docs.select(text_col).mapInArrow(run, "key long, node long, own boolean, spare int")
+    of_key = Window.partitionBy("key")
+    met = keyed.withColumn("_least", F.min("node").over(of_key)).withColumn("_most", F.max("node").over(of_key)).where("_least <> _most")
     # Stored before it is counted, so that a hot key's rows may be split.
-    met = materialise(keyed.join(materialise(shared, "shared"), "key"), "met")
-    discard(keyed)
-    rows = materialise(met.groupBy("key", "node", "own").agg(F.min("leader").alias("leader")), "rows")
-    # Keys that the very same sets hold would give the same comparisons: one of them does.
-    holders = rows.groupBy("key").agg(F.count("*").alias("held"), F.bit_xor(F.xxhash64("node", "own")).alias("x"), F.bit_xor(F.xxhash64("own", "node", F.lit(1))).alias("y"))
-    kept = holders.groupBy("held", "x", "y").agg(F.min("key").alias("key")).select("key", "held")
-    out = materialise(rows.join(kept, "key"), "keys")
-    discard(met, rows)
+    rows = materialise(met.select("key", "node", "own", "spare").distinct(), "rows")
+    cool = materialise(without_hot(one_of_equal(rows)), "cool")
+    out = materialise(one_of_equal(cool).drop("spare", "stands"), "keys")
+    discard(rows, cool)
     return out
 
 
+def broken_rows(keys: DataFrame, open_pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``keys`` that may hold an untested pair between two components.
+
+    A tree of a key's forest came apart where one of its edges was refuted, so
+    both texts of an open pair hold the key, and every text of that tree is
+    linked to a text of some open pair.
+    """
+    ends = open_pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    known = labels.select(F.col("id").alias("node"), "component")
+    near = known.join(known.join(ends, "node", "left_semi").select("component").distinct(), "component", "left_semi").select("node")
+    rows = keys.join(ends.unionByName(near).distinct(), "node", "left_semi")
+    held = rows.select("key", "node")
+    first = open_pairs.select("a", F.col("b").alias("node")).join(held.withColumnRenamed("node", "a"), "a").select("key", "node")
+    return rows.join(held.join(first, ["key", "node"], "left_semi").select("key").distinct(), "key", "left_semi")
+
+
 def read_sets(docs: DataFrame, wanted: DataFrame, make, fields: str, *, id_col: str, text_col: str, shingle: int, seed: int) -> DataFrame:
     """``make(set)`` as a row of ``fields`` for the sets of ``wanted`` (node, digest, low), with their node.
 
@@ -486,9 +529,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     labels = connected_components(tested.where("linked"), "a", "b")
     while open_pairs.limit(1).count():
         # A forest lost an edge: its keys look for other pairs between components.
-        ends = open_pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         partners = refuted_partners(tested, open_pairs)
-        again = keys.join(keys.join(ends, "node", "left_semi").select("key").distinct(), "key", "left_semi")
+        again = materialise(broken_rows(keys, open_pairs, labels), "again")
         fresh = materialise(tile_pairs(again, sketched, bands, labels, partners).join(tested, ["a", "b"], "left_anti"), "forest")
         if not fresh.limit(1).count():
             break  # no key has an untested pair between components

@@ -192,3 +192,44 @@ def test_old_refuted_pair_does_not_hide_an_untested_one(spark):
     partners = parity_join.refuted_partners(tested, tested.where("a = 5"))
     got = parity_join.tile_pairs(keys, reps, Bands(90, 100), labels, partners).collect()
     assert [tuple(r) for r in got] == [(3, 4)]
+
+
+def held_rows(keys):
+    """Rows of ``one_of_equal`` for {key: (nodes, spare, stands)}."""
+    return [(k, n, True, spare, len(nodes), stands) for k, (nodes, spare, stands) in keys.items() for n in nodes]
+
+
+def test_sets_spare_their_hottest_keys_and_never_more_than_they_may(spark):
+    keys = {1: (range(100), 2, 1), 2: (range(50), 2, 1), 3: (range(10), 2, 1), 4: ((0, 1), 2, 1), 5: ((8, 9), 2, 3)}
+    rows = spark.createDataFrame(held_rows(keys), "key long, node long, own boolean, spare int, held long, stands long")
+    left = {}
+    for r in parity_join.without_hot(rows).collect():
+        left.setdefault(r["node"], set()).add(r["key"])
+    assert left[0] == {3, 4} and left[8] == {3, 5} and left[5] == {3}
+    assert not any(n in left for n in range(10, 100))
+
+
+def test_repair_takes_keys_of_both_texts_and_what_is_linked_to_them(spark):
+    """One refuted pair used to bring every text of every key of either end."""
+    keys = [(1, n) for n in range(100)] + [(2, n) for n in (0, 1, 50)] + [(3, n) for n in (0, *range(60, 90))] + [(4, n) for n in (1, 50)]
+    keys = spark.createDataFrame(keys, "key long, node long")
+    pairs = spark.createDataFrame([(0, 1)], "a long, b long")
+    labels = spark.createDataFrame([(0, 0), (50, 0), (60, 60), (61, 60)], "id long, component long")
+    got = sorted((r["key"], r["node"]) for r in parity_join.broken_rows(keys, pairs, labels).collect())
+    assert got == [(1, 0), (1, 1), (1, 50), (2, 0), (2, 1), (2, 50)]
+
+
+def test_unrelated_texts_with_common_passages_hardly_share_keys(spark):
+    """Blocks of one common shingle used to join texts that share nothing else."""
+    draw = random.Random(7)
+    phrases = [" ".join(f"p{k}x{j}" for j in range(3)) for k in range(40)]
+    rows = []
+    for i in range(120):
+        parts = [" ".join(f"d{i}w{k}n{j}" for j in range(4)) for k in range(50)]
+        for phrase in draw.sample(phrases, 12):
+            parts.insert(draw.randrange(len(parts)), phrase)
+        rows.append((i, " ".join(parts)))
+    docs = spark.createDataFrame(rows, DOC)
+    sets, reps, seed = parity_join.distinct_sets(docs, id_col="doc_id", text_col="text", shingle=3)
+    keys = parity_join.join_keys(docs, Bands(80, 100), text_col="text", shingle=3, seed=seed)
+    assert keys.count() <= 30
