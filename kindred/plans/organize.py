@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+from math import inf
+
+import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
-
-from kindred.storage import discard, materialise
+from pyspark.sql.types import LongType, StructField, StructType
 
 KEY = ("dir", "date_name", "low_ext")
+GIVEN = ("seq", "path", "dir", "date_name", "ext")
 DATE_NAME = 17  # characters of a date name
 
 
@@ -27,13 +32,14 @@ def numbered_tail(number: Column) -> Column:
     return F.format_string("_%03d", number)
 
 
-def named(files: DataFrame) -> DataFrame:
-    """Add date_name, low_ext and the number of files of the same key.
+def keyed(files: DataFrame) -> DataFrame:
+    """Add date_name and low_ext; ``files`` has seq, dir, ext, path and date."""
+    return files.withColumn("date_name", date_name(F.col("date"))).withColumn("low_ext", F.lower("ext"))
 
-    ``files`` has seq, dir, ext, path and date.
-    """
-    keyed = files.withColumn("date_name", date_name(F.col("date"))).withColumn("low_ext", F.lower("ext"))
-    return keyed.withColumn("same", F.count("*").over(Window.partitionBy(*KEY)))
+
+def named(files: DataFrame) -> DataFrame:
+    """``keyed`` with the number of files of the same key."""
+    return keyed(files).withColumn("same", F.count("*").over(Window.partitionBy(*KEY)))
 
 
 def rename_plan(files: DataFrame) -> DataFrame:
@@ -57,58 +63,76 @@ def _name_parts(path: Column) -> list[Column]:
     return [F.regexp_replace(path, "/[^/]*$", "").alias("dir"), F.substring(name, 1, DATE_NAME).alias("date_name"), ext.alias("ext"), n.alias("n")]
 
 
+def _give_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers of the files of each key, 0 for the plain name.
+
+    Rows come by key and number: names in use (mark 0) by their own, files
+    (mark 1) by their place, below which none takes a number.  The file that
+    has waited longest is offered each number in turn; those that wait are as
+    many as numbers were skipped.
+    """
+    key, number, used, used_at = None, 1, set(), None
+    waiting: deque = deque()
+
+    def offer(until: float) -> Iterator[tuple]:
+        """Files that take a number below ``until``."""
+        nonlocal number
+        while waiting and number < until:
+            ext, own = waiting[0][:2]
+            if used_at != number or ext not in used or own == number:
+                yield (*waiting.popleft()[2:], number)
+            number += 1
+
+    types = None
+    for batch in batches:
+        types = types or [batch.schema.field(c).type for c in GIVEN] + [pa.int64()]
+        given: list[tuple] = []
+        for d, date, low_ext, at, mark, many, home, own, *row in zip(*(batch.column(c).to_pylist() for c in (*KEY, "at", "mark", "many", "home", "own", *GIVEN)), strict=True):
+            if (d, date, low_ext) != key:
+                given += offer(inf)
+                key, number, used, used_at, plain = (d, date, low_ext), 1, set(), None, set()
+            if at != used_at:
+                given += offer(at)
+                used, used_at = set(), at
+            ext = row[-1]
+            if not mark:
+                (used if at else plain).add(ext)
+            elif many or (ext in plain and not home):
+                waiting.append((ext, own, *row))
+            else:
+                given.append((*row, 0))
+        yield _given_batch(given, types)
+    if types:
+        yield _given_batch(list(offer(inf)), types)
+
+
+def _given_batch(given: list[tuple], types: list[pa.DataType]) -> pa.RecordBatch:
+    columns = zip(*given, strict=True) if given else ([] for _ in types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[*GIVEN, "n"])
+
+
 def rename_plan_around(files: DataFrame, occupied: DataFrame) -> DataFrame:
     """As ``rename_plan``, skipping names of ``occupied`` (path) and names given already.
 
     One by one, a file takes the next number of its (directory, date name,
-    extension) that is not occupied by another file.  Those numbers are the
-    least ones that rise along a key's files and avoid occupied names, so they
-    are found for all files at once: the start skips the numbers nobody of the
-    key can take, by running counts; each round moves files that stand on an
-    occupied name to the end of that run of names and those behind them after
-    them, until nothing moves.  Only names whose owner is in the key, and
-    extensions that differ in case, need rounds; a round never overshoots.
+    extension) that is not occupied by another file.  Files and names in use
+    meet once, by key, and each key is gone through in order of numbers, so
+    what is shuffled does not depend on how many names are skipped.
     Files without date or path keep their names.
     """
-    parts = named(files).where(F.col("date_name").isNotNull()).select("seq", *KEY, "path", "ext", "same")
     own_dir, own_date, own_ext, own_n = _name_parts(F.col("path"))
     own = F.when((own_dir == F.col("dir")) & (own_date == F.col("date_name")) & (own_ext == F.col("ext")), own_n)
-    used = occupied.select(*_name_parts(F.col("path"))).where("n IS NOT NULL").distinct().withColumn("low_ext", F.lower("ext"))
-
-    plain = F.concat("dir", F.lit("/"), "date_name", "ext")
-    single = parts.where("same = 1").join(used.where("n = 0").select("dir", "date_name", "ext", F.lit(True).alias("held")), ["dir", "date_name", "ext"], "left")
-    around = F.coalesce("held", F.lit(False)) & (F.col("path") != plain)
-    kept = single.where(~around).select("seq", F.col("path").alias("original_path"), plain.alias("renamed_path"))
-    asking = parts.where("same > 1").drop("same").unionByName(single.where(around).drop("same", "held"))
-    place = F.row_number().over(Window.partitionBy(*KEY).orderBy("seq", "path")).cast("long")
-    asking = materialise(asking.select("seq", *KEY, "path", "ext", own.alias("own"), place.alias("place")), "asking")
-
-    taken = used.where("n > 0").select(*KEY, "ext", "n")
-    rank = F.row_number().over(Window.partitionBy(*KEY, "ext").orderBy("n"))
-    runs = materialise(taken.withColumn("run", F.col("n") - rank).groupBy(*KEY, "ext", "run").agg(F.min("n").alias("low"), F.max("n").alias("high")).drop("run"), "runs")
-
-    # Numbers that no file of the key can take: occupied under each of its extensions, and none's own.
-    exts = asking.select(*KEY, "ext").distinct()
-    barred = taken.join(exts, [*KEY, "ext"]).groupBy(*KEY, "n").agg(F.count("*").alias("under")).join(exts.groupBy(*KEY).agg(F.count("*").alias("exts")), list(KEY)).where("under = exts")
-    barred = barred.join(asking.where("own > 0").select(*KEY, F.col("own").alias("n")).distinct(), [*KEY, "n"], "left_anti")
-    free_below = F.col("n") - F.row_number().over(Window.partitionBy(*KEY).orderBy("n"))
-    marks = barred.select(*KEY, free_below.alias("at"), F.lit(1).alias("mark"))
-    both = asking.withColumn("at", F.col("place")).withColumn("mark", F.lit(0)).unionByName(marks, allowMissingColumns=True)
-    sofar = F.sum("mark").over(Window.partitionBy(*KEY).orderBy("at", "mark").rowsBetween(Window.unboundedPreceding, 0))
-    state = both.withColumn("n", F.col("place") + sofar).where("mark = 0").drop("at", "mark")
-
-    state, moved = materialise(state.withColumn("moved", F.lit(False)), "names"), True
-    while moved:
-        both = state.drop("moved").withColumn("low", F.col("n")).withColumn("mark", F.lit(1)).unionByName(runs.withColumn("mark", F.lit(0)), allowMissingColumns=True)
-        high = F.last("high", ignorenulls=True).over(Window.partitionBy(*KEY, "ext").orderBy("low", "mark").rowsBetween(Window.unboundedPreceding, 0))
-        stands = both.withColumn("high", high).where("mark = 1")
-        free = F.when(F.col("high") >= F.col("n"), F.when(F.col("own").between(F.col("n"), F.col("high")), F.col("own")).otherwise(F.col("high") + 1)).otherwise(F.col("n"))
-        pushed = F.col("place") + F.max(free - F.col("place")).over(Window.partitionBy(*KEY).orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
-        after = materialise(stands.withColumn("to", pushed).select("seq", *KEY, "path", "ext", "own", "place", F.col("to").alias("n"), (F.col("to") > F.col("n")).alias("moved")), "names")
-        discard(state)
-        state, moved = after, not after.where("moved").isEmpty()
-    given = state.select("seq", F.col("path").alias("original_path"), F.concat("dir", F.lit("/"), "date_name", numbered_tail(F.col("n")), "ext").alias("renamed_path"))
-    return kept.unionByName(given).where(F.col("renamed_path") != F.col("original_path"))
+    asking = keyed(files).where(F.col("date_name").isNotNull()).select(*KEY, "seq", "path", "ext", F.lit(1).alias("mark"))
+    used = occupied.select(*_name_parts(F.col("path"))).where("n IS NOT NULL").withColumn("low_ext", F.lower("ext")).withColumn("mark", F.lit(0))
+    both = asking.unionByName(used, allowMissingColumns=True).repartition(*KEY)
+    order = Window.partitionBy(*KEY, "mark").orderBy("seq", "path")
+    placed = both.withColumn("place", F.row_number().over(order).cast("long")).withColumn("many", (F.col("place") > 1) | F.lead(F.lit(1)).over(order).isNotNull())
+    home = F.coalesce(F.col("path") == F.concat("dir", F.lit("/"), "date_name", "ext"), F.lit(False))
+    rows = placed.select(*KEY, "seq", "path", "ext", "mark", "many", F.when(F.col("mark") == 1, F.col("place")).otherwise(F.col("n")).alias("at"), home.alias("home"), F.when(F.col("mark") == 1, own).alias("own"))
+    given = rows.sortWithinPartitions(*KEY, "at", "mark").mapInArrow(_give_numbers, StructType([*(rows.schema[c] for c in GIVEN), StructField("n", LongType())]))
+    number = F.when(F.col("n") > 0, numbered_tail(F.col("n"))).otherwise("")
+    renamed = given.select("seq", F.col("path").alias("original_path"), F.concat("dir", F.lit("/"), "date_name", number, "ext").alias("renamed_path"))
+    return renamed.where(F.col("renamed_path") != F.col("original_path"))
 
 
 def rename_job(plan: DataFrame, total: int) -> DataFrame:

@@ -89,6 +89,17 @@ def test_rename_numbers_past_three_digits_and_files_without_date(spark):
     assert around == sequential_names(files[:-1], disk)
 
 
+def test_rename_around_shuffles_once_however_many_names_are_skipped(spark, monkeypatch):
+    """Each further skip that waits for one before used to take a round and a table of its own."""
+    stem = f"d/{T0.strftime('%Y-%m-%d_%H%M%S')}"
+    files = [(i, "d", f"d/{i}.jpg", ".jpg" if i % 2 else ".JPG", T0) for i in range(1, 60)]
+    disk = {f"{stem}_{n:03d}{e}" for n in range(1, 90, 3) for e in ((".jpg",), (".JPG",), (".jpg", ".JPG"))[n % 3]}
+    plan = organize.rename_plan_around(spark.createDataFrame(files, FILE), spark.createDataFrame([(p,) for p in disk], "path string"))
+    assert {r["seq"]: r["renamed_path"] for r in plan.collect()} == sequential_names(files, disk)
+    shown = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert shown.count("RepartitionByExpression") == 1 and "Join" not in shown
+
+
 def events(spark, seconds):
     return spark.createDataFrame([(1, i, datetime(2024, 1, 1, 0, 0, 0, int(s * 1000) % 1_000_000)) for i, s in enumerate(seconds)], "user_id long, id long, ts timestamp_ntz")
 
