@@ -24,6 +24,14 @@ def small_batches(spark: SparkSession, rows: int = 2000, size: int = 4 << 20) ->
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
+def small_scans(spark: SparkSession, rows: int = 512) -> None:
+    """Bound the rows that a scan decodes at once, which for texts are arrays of many MB in the executor's heap.
+
+    The heap grows for arrays of that size sooner than it is collected.  The setting stays with the session.
+    """
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(rows))
+
+
 def give_back() -> None:
     """Return freed memory to the system: workers live on and serve other operators."""
     pa.default_memory_pool().release_unused()
@@ -67,6 +75,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 _PLACES = 48
+_HASHED = 1 << 13
 
 
 def _table() -> np.ndarray:
@@ -78,19 +87,29 @@ _TABLE = _table()
 
 
 def hash_strings(values: pa.Array) -> np.ndarray:
-    """64-bit hashes of the strings' UTF-8 bytes: tabulation up to 48 bytes, xxh3 beyond."""
+    """64-bit hashes of the strings' UTF-8 bytes: tabulation up to 48 bytes, xxh3 beyond.
+
+    Tabulation takes some tens of bytes a byte, so it goes by blocks of strings.
+    """
     values = values.cast(pa.large_binary())
     if not len(values):
         return np.zeros(0, np.uint64)
     ends = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
     data = np.frombuffer(values.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
     starts, size = ends[:-1] - ends[0], np.diff(ends)
-    place = np.arange(len(data)) - np.repeat(starts, size)
-    each = _TABLE[np.minimum(place, _PLACES - 1), data]
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(each)))
-    out = mix(total[starts + size] - total[starts] + _TABLE[_PLACES, size & 255])
+    out = np.empty(len(values), np.uint64)
+    short = np.flatnonzero(size <= _PLACES)
+    for at in range(0, len(short), _HASHED):
+        some = short[at : at + _HASHED]
+        n = size[some]
+        end = np.cumsum(n)
+        place = np.arange(end[-1]) - np.repeat(end - n, n)
+        each = _TABLE[place, data[np.repeat(starts[some], n) + place]]
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(each)))
+        out[some] = mix(total[end] - total[end - n] + _TABLE[_PLACES, n])
+    raw = memoryview(data)
     for i in np.flatnonzero(size > _PLACES):
-        out[i] = xxhash.xxh3_64_intdigest(values[i].as_py())
+        out[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : starts[i] + size[i]])
     return out
 
 

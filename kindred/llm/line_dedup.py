@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyspark.sql.functions as F
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 from kindred.llm.arrowtext import hash_strings, slices, small_batches, texts
@@ -140,9 +141,8 @@ def twice_filter(docs: DataFrame, text_col: str = "text", min_chars: int = MIN_C
     return out
 
 
-def confirmed_lines(docs: DataFrame, twice: np.ndarray, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
-    """(confirmed digests with the id that keeps them, suspects as (digest, id))."""
-    shared = docs.sparkSession.sparkContext.broadcast(twice)
+def confirmed_lines(docs: DataFrame, shared: Broadcast, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
+    """(confirmed digests with the id that keeps them, suspects as (digest, id)); ``shared`` is the broadcast twice filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,10 +203,9 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """One row per document row: its id, ``keep`` columns, counts and the kept text."""
     spark = docs.sparkSession
     columns = list(dict.fromkeys((id_col, *keep)))
-    twice = twice_filter(docs, text_col, min_chars, filter_words)
-    confirmed, suspects = confirmed_lines(docs, twice, id_col=id_col, text_col=text_col, min_chars=min_chars, min_docs=min_docs)
+    shared = spark.sparkContext.broadcast(twice_filter(docs, text_col, min_chars, filter_words))
+    confirmed, suspects = confirmed_lines(docs, shared, id_col=id_col, text_col=text_col, min_chars=min_chars, min_docs=min_docs)
     confirmed = materialise(confirmed, "lines")
-    shared = spark.sparkContext.broadcast(twice)
     used = docs.select(*dict.fromkeys((*columns, text_col)))
     few = None
     if confirmed.count() <= broadcast_keys:

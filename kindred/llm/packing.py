@@ -378,7 +378,9 @@ def pack(cut: DataFrame, *, capacity: int = CAPACITY, id_col: str = "doc_id", st
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
     plan = spark.sparkContext.broadcast(_slots(plan_bins(counts, capacity, steps)))
     # A bucket holds about ``bucket_rows`` pieces, so each length has as many as its pieces ask for.
-    buckets = F.broadcast(spark.createDataFrame([(s, -(-n // bucket_rows)) for s, n in counts.items()], "length long, _buckets long"))  # at most ``capacity`` rows
+    # An Arrow table, as rows would start Python workers that stay beside those of the operators.
+    dealt = pa.table({"length": pa.array(list(counts), pa.int64()), "_buckets": pa.array([-(-n // bucket_rows) for n in counts.values()], pa.int64())})
+    buckets = F.broadcast(spark.createDataFrame(dealt))  # at most ``capacity`` rows
     spread = cut.join(buckets, "length").withColumn("_bucket", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), "_buckets")).drop("_buckets")
     sizes = spread.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -372,3 +372,13 @@ def test_token_counts_of_documents(spark, library):
     assert got == sorted((i, len((t or "").encode()), n := len(library.encode(t or "")), n > 4096) for i, t in rows)
     sample = registry.queries()["op10_token_counts"](spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), "doc_id").collect()
     assert all(r["n_tokens"] == len(library.encode(r["text"])) for r in sample)
+
+
+def test_packing_plan_starts_no_rdd_workers(spark, monkeypatch):
+    """Rows made on the driver would go through Python workers of their own, which stay for a minute."""
+    docs = spark.createDataFrame([(i, "word " * (i % 50)) for i in range(300)], "doc_id long, text string").localCheckpoint()
+    monkeypatch.setattr(type(spark), "_createFromLocal", lambda *a, **b: pytest.fail("rows go through an RDD"))
+    path = public_tokenizers.path("word_bpe_49k.json")
+    packed = packing.pack_documents(docs, path).collect()
+    assert len(packed) == 300 and len({r["doc_id"] for r in packed}) == 300
+    assert packing.pack_documents(docs.limit(0), path).count() == 0

@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
+import pyarrow as pa
 import pyspark.sql.functions as F
 import pytest
 
@@ -256,3 +258,16 @@ def test_folds_use_crc32(spark):
 
     got = {r["id"]: r["f"] for r in spark.range(50).select("id", fold("id", 10).alias("f")).collect()}
     assert got == {i: zlib.crc32(str(i).encode()) % 10 for i in range(50)}
+
+
+def test_hashes_of_strings_need_little_memory_beside_them():
+    rng = random.Random(3)
+    values = pa.array(["".join(rng.choice("abcé \U0001f600") for _ in range(rng.choice((0, 1, 7, 24, 30, 48, 200)))) for _ in range(30_000)])
+    hash_strings(values[:10])
+    tracemalloc.start()
+    found = hash_strings(values)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20  # 106 MB when all bytes were tabulated at once
+    assert found.tolist() == [int(hash_strings(values[i : i + 1])[0]) for i in range(100)] + found[100:].tolist()
+    assert (hash_strings(values[5_000:25_000]) == found[5_000:25_000]).all()
