@@ -28,6 +28,7 @@ import os
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -66,33 +67,38 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = pa.array([], pa.large_string())
         self.flat, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
-    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids and their numbers, ``JOINED`` words a call with a one-token mark between them."""
-        runs = [words[at : at + JOINED] for at in range(0, len(words), JOINED)]
-        if any(MARK in w for w in words):
-            runs = [[w] for w in words]
+        apart = pc.any(pc.match_substring(words, MARK)).as_py()
+        ends = np.append(np.arange(0, len(words), 1 if apart else JOINED), len(words))
+        runs = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words), pa.scalar(f" {MARK} ", pa.large_string())).to_pylist()
         flat, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for at in range(0, len(runs), ENCODED_RUNS):
-            some = runs[at : at + ENCODED_RUNS]
-            coded = self.tokenizer.encode_batch_fast([f" {MARK} ".join(r) for r in some], add_special_tokens=False)
-            for run, x in zip(some, coded, strict=True):
-                ids = np.array(x.ids, np.uint32)
-                cuts = np.flatnonzero(ids == self.mark) if len(run) > 1 else np.zeros(0, np.int64)
-                sizes.append(np.diff(np.concatenate(([-1], cuts, [len(ids)]))) - 1)
-                flat.append(np.delete(ids, cuts))
+            coded = [x.ids for x in self.tokenizer.encode_batch_fast(runs[at : at + ENCODED_RUNS], add_special_tokens=False)]
+            if apart:
+                flat.append(np.array(list(chain.from_iterable(coded)), np.uint32))
+                sizes.append(np.array([len(x) for x in coded], np.int64))
+                continue
+            for x in coded:
+                x.append(self.mark)  # every word has one behind it
+            ids = np.array(list(chain.from_iterable(coded)), np.uint32)
+            cuts = ids == self.mark
+            sizes.append(np.diff(np.flatnonzero(cuts), prepend=-1) - 1)
+            flat.append(ids[~cuts])
         return np.concatenate(flat), np.concatenate(sizes)
 
     def ids(self, values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a batch of texts and the offsets of each text's ids."""
         parts = pc.ascii_split_whitespace(values)
         coded = parts.flatten().dictionary_encode()
-        index, listed = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        place = np.fromiter((self.known.get(w, -1) for w in listed), np.int64, len(listed))
+        index, listed = coded.indices.to_numpy(), coded.dictionary
+        place = pc.fill_null(pc.index_in(listed, value_set=self.known), -1).to_numpy().astype(np.int64)
         fresh = np.flatnonzero(place < 0)
-        flat, size = self._encode([listed[i] for i in fresh])
+        words = listed.take(pa.array(fresh))
+        flat, size = self._encode(words)
         place[fresh] = len(self.sizes) + np.arange(len(fresh))
         flat, size = np.concatenate((self.flat, flat)), np.concatenate((self.sizes, size))
         start = np.cumsum(size) - size
@@ -100,13 +106,12 @@ class WordIds:
         many = size[word]
         ends = np.concatenate(([0], np.cumsum(many)))
         ids = flat[np.repeat(start[word] - ends[:-1], many) + np.arange(ends[-1])]
-        self._remember([listed[i] for i in fresh], np.bincount(index, minlength=len(listed))[fresh] > 1, flat[len(self.flat) :], size[len(self.sizes) :])
+        self._remember(words, np.bincount(index, minlength=len(listed))[fresh] > 1, flat[len(self.flat) :], size[len(self.sizes) :])
         return ids, ends[parts.offsets.to_numpy()]
 
-    def _remember(self, fresh: list[str], often: np.ndarray, flat: np.ndarray, size: np.ndarray) -> None:
+    def _remember(self, fresh: pa.Array, often: np.ndarray, flat: np.ndarray, size: np.ndarray) -> None:
         often &= np.cumsum(often) + len(self.known) <= CACHED_WORDS
-        for k, i in enumerate(np.flatnonzero(often), len(self.known)):
-            self.known[fresh[i]] = k
+        self.known = pa.concat_arrays([self.known, fresh.filter(pa.array(often))])
         self.flat = np.concatenate((self.flat, flat[np.repeat(often, size)]))
         self.sizes = np.concatenate((self.sizes, size[often]))
 

@@ -382,3 +382,16 @@ def test_packing_plan_starts_no_rdd_workers(spark, monkeypatch):
     packed = packing.pack_documents(docs, path).collect()
     assert len(packed) == 300 and len({r["doc_id"] for r in packed}) == 300
     assert packing.pack_documents(docs.limit(0), path).count() == 0
+
+
+def test_words_met_before_are_looked_up_in_arrow():
+    """Every word used to become a Python string, the known ones as well."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    from tokenizers import Tokenizer
+
+    library, words = Tokenizer.from_file(path), packing.WordIds(path)
+    for batch in (["one two one", "", " \n", "one \u00e9t\u00e9 123"], ["one six", "six"], ["a \x01 b\x01 one six", "b\x01"], [""]):
+        ids, ends = words.ids(pa.array(batch, pa.large_string()))
+        for k, text in enumerate(batch):
+            assert ids[ends[k] : ends[k + 1]].tolist() == [i for w in text.split() for i in library.encode(w, add_special_tokens=False).ids]
+    assert isinstance(words.known, pa.Array) and words.known.to_pylist() == ["one", "", "six", "b\x01"]
