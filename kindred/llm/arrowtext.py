@@ -32,6 +32,14 @@ def small_scans(spark: SparkSession, rows: int = 512) -> None:
     spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(rows))
 
 
+def clear_driver(spark: SparkSession) -> None:
+    """Collect the driver's heap, which grows sooner than it is collected.
+
+    Spark forgets the broadcasts, shuffles and code of queries that ended when they are collected.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def give_back() -> None:
     """Return freed memory to the system: workers live on and serve other operators."""
     pa.default_memory_pool().release_unused()

@@ -43,7 +43,7 @@ import pyspark.sql.functions as F
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 
-from kindred.llm.arrowtext import hash_strings, mix, slices, small_batches, texts, words
+from kindred.llm.arrowtext import clear_driver, hash_strings, mix, slices, small_batches, texts, words
 from kindred.operators.components import connected_components
 from kindred.storage import discard, materialise
 
@@ -418,20 +418,20 @@ def _sketched(keys: DataFrame, reps: DataFrame) -> DataFrame:
     return rows.select("key", "node", "leader", "held", "n", F.when(F.col("own"), F.col("_own")).otherwise(F.col("_next")).alias("folded"))
 
 
-def tiled(keys: DataFrame, labels: DataFrame | None = None, refuted: DataFrame | None = None) -> DataFrame:
+def tiled(keys: DataFrame, marks: DataFrame) -> DataFrame:
     """The texts of keys with the places (lo, hi) where they meet: pairs of tiles of about ``TILE`` texts.
 
-    Where more than ``TILE`` texts hold a key, its leader has met them all and
-    stays out, and the texts of its largest component (``most`` of ``held``)
-    meet the tiles of the others alone.
+    ``marks`` has node, label and fresh of every text.  Up to ``TILE`` texts
+    that hold a key are one tile and need none of that.  Where more do, its
+    leader has met them all and stays out, and the texts of its largest
+    component (``most`` of ``held``) meet the tiles of the others alone.
     """
-    rows = keys.where((F.col("held") <= TILE) | (F.col("node") != F.col("leader")))
-    rows = rows.withColumn("label", F.col("node")) if labels is None else rows.join(labels.select(F.col("id").alias("node"), F.col("component").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rows = rows.withColumn("fresh", F.lit(False)) if refuted is None else rows.join(refuted.select("node", "fresh"), "node", "left").withColumn("fresh", F.coalesce("fresh", F.lit(False)))
-    by_label = rows.where(F.col("held") > TILE).groupBy("key", "label").agg(F.count("*").alias("n"))
+    few = keys.where(F.col("held") <= TILE).select("key", "node", "own", *(F.lit(0).alias(c) for c in ("tile", "lo", "hi")))
+    rows = keys.where((F.col("held") > TILE) & (F.col("node") != F.col("leader"))).join(marks.select("node", "label", "fresh"), "node")
+    by_label = rows.groupBy("key", "label").agg(F.count("*").alias("n"))
     largest = by_label.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("giant"), F.max("n").alias("most"))
-    rows = rows.join(largest, "key", "left")
-    inside = F.coalesce((F.col("label") == F.col("giant")) & (F.col("most") > TILE) & ~F.col("fresh"), F.lit(False))
+    rows = rows.join(largest, "key")
+    inside = (F.col("label") == F.col("giant")) & (F.col("most") > TILE) & ~F.col("fresh")
     rest = F.when(F.col("most") > TILE, F.col("held") - F.col("most")).otherwise(F.col("held"))
     tiles, giants = (F.greatest(F.lit(1), F.ceil(c / TILE)).cast("int") for c in (rest, F.col("most")))
     at = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
@@ -442,14 +442,22 @@ def tiled(keys: DataFrame, labels: DataFrame | None = None, refuted: DataFrame |
     to_giant = F.transform(each(giants), lambda x: F.struct((-1 - x).alias("lo"), at(tiles).alias("hi")))
     places = F.when(inside, of_giant).when(F.col("most") > TILE, F.concat(own, to_giant)).otherwise(own)
     rows = rows.withColumn("tile", F.when(inside, -1).otherwise(at(tiles))).withColumn("_at", F.explode(places))
-    return rows.select("key", "node", "own", "tile", "label", "fresh", "_at.lo", "_at.hi")
+    return few.unionByName(rows.select("key", "node", "own", "tile", "_at.lo", "_at.hi"))
 
 
 def tile_pairs(keys: DataFrame, reps: DataFrame, bands: Bands, labels: DataFrame | None = None, refuted: DataFrame | None = None) -> DataFrame:
     """Forest pairs (a < b) of the texts that meet in ``tiled``; sketches join them last."""
     known = reps.select("node", "n", F.col("own").alias("_own"), F.col("next").alias("_next"))
-    known = known.withColumn("refuted", F.lit(None).cast("array<long>")) if refuted is None else known.join(refuted.select("node", "refuted"), "node", "left")
-    rows = tiled(keys, labels, refuted).join(known, "node").withColumn("folded", F.when(F.col("own"), F.col("_own")).otherwise(F.col("_next")))
+    # Components and refuted partners join the texts, not their many keys.
+    if labels is None:
+        known = known.withColumn("label", F.col("node"))
+    else:
+        known = known.join(labels.select(F.col("id").alias("node"), F.col("component").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    if refuted is None:
+        known = known.withColumn("refuted", F.lit(None).cast("array<long>")).withColumn("fresh", F.lit(False))
+    else:
+        known = known.join(refuted.select("node", "refuted", "fresh"), "node", "left").withColumn("fresh", F.coalesce("fresh", F.lit(False)))
+    rows = tiled(keys, known.select("node", "label", "fresh")).join(known, "node").withColumn("folded", F.when(F.col("own"), F.col("_own")).otherwise(F.col("_next")))
     met = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node").select("key", "lo", "hi", "node", "tile", "n", "label", "folded", "refuted", "fresh")
     return met.mapInArrow(_forest(bands), "a long, b long").distinct()
 
@@ -498,6 +506,18 @@ def verify(pairs: DataFrame, reps: DataFrame, read, num: int, den: int) -> DataF
     return met.mapInArrow(compare, "a long, b long, linked boolean").distinct()
 
 
+def joined(labels: DataFrame | None, pairs: DataFrame) -> DataFrame:
+    """The components of ``labels``, if any, after the linked ones of ``pairs``: stars stand for the links so far."""
+    clear_driver(pairs.sparkSession)
+    links = pairs.where("linked").select("a", "b")
+    return connected_components(links if labels is None else links.unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b"))), "a", "b")
+
+
+def count_open(pairs: DataFrame) -> tuple[int, int]:
+    """How many of the tested pairs are linked and how many are refuted."""
+    return tuple(pairs.agg(F.count_if("linked"), F.count_if(~F.col("linked"))).first())
+
+
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, keep: tuple[str, ...] = ()) -> DataFrame:
     """``id_col``, ``keep``, n_shingles and component_id of every row of ``docs``.
 
@@ -521,13 +541,13 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     labels, led = None, None
     if keys.where(F.col("held") > TILE).limit(1).count():
         led = exact(materialise(leader_pairs(keys, sketched, bands), "led"))
-        labels = connected_components(led.where("linked"), "a", "b")
+        labels = joined(None, led)
     tested = exact(materialise(tile_pairs(keys, sketched, bands, labels), "forest"))
     open_pairs = tested.where(~F.col("linked"))
+    labels, broken = joined(labels, tested), count_open(tested)[1]
     if led is not None:
         tested = materialise(tested.unionByName(led).distinct(), "verified")
-    labels = connected_components(tested.where("linked"), "a", "b")
-    while open_pairs.limit(1).count():
+    while broken:
         # A forest lost an edge: its keys look for other pairs between components.
         partners = refuted_partners(tested, open_pairs)
         again = materialise(broken_rows(keys, open_pairs, labels), "again")
@@ -535,9 +555,11 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         if not fresh.limit(1).count():
             break  # no key has an untested pair between components
         more = exact(fresh)
-        tested = materialise(tested.unionByName(more), "verified")
-        labels = connected_components(tested.where("linked"), "a", "b")
-        open_pairs = more.where(~F.col("linked"))
+        found, broken = count_open(more)
+        labels = joined(labels, more) if found else labels
+        if broken:
+            tested = materialise(tested.unionByName(more), "verified")
+            open_pairs = more.where(~F.col("linked"))
     named = reps.join(labels.select(F.col("id").alias("node"), "component"), "node", "left").select("digest", "low", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("low").alias("least"))
     found = named.join(least, "component").select("digest", F.col("least"))

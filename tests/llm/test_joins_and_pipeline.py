@@ -233,3 +233,24 @@ def test_unrelated_texts_with_common_passages_hardly_share_keys(spark):
     sets, reps, seed = parity_join.distinct_sets(docs, id_col="doc_id", text_col="text", shingle=3)
     keys = parity_join.join_keys(docs, Bands(80, 100), text_col="text", shingle=3, seed=seed)
     assert keys.count() <= 30
+
+
+def left_of(plan, join):
+    """The lines below each ``join`` of a plan that belong to its left side."""
+    lines = [(len(x) - len(x.lstrip(" :+-")), x) for x in plan.splitlines()]
+    for at, (depth, line) in enumerate(lines):
+        if join in line:
+            below = lines[at + 1 :]
+            right = next(k for k, (d, x) in enumerate(below) if d == depth + 3 and x.lstrip(" :").startswith("+-"))
+            yield [x for _, x in below[:right]]
+
+
+def test_components_join_texts_and_not_their_keys(spark):
+    """With labels known, every row of every key used to be joined with them, and again with the refuted partners."""
+    reps = spark.createDataFrame([(i, 100, bytearray(8), None) for i in range(6)], "node long, n long, own binary, next binary")
+    keys = spark.createDataFrame([(k, i, True, 0, 6) for i in range(6) for k in range(9)], "key long, node long, own boolean, leader long, held long")
+    labels = spark.createDataFrame([(1, 0), (2, 0)], "id long, component long")
+    tested = spark.createDataFrame([(3, 4, False)], "a long, b long, linked boolean")
+    found = parity_join.tile_pairs(keys, reps, Bands(90, 100), labels, parity_join.refuted_partners(tested, tested))
+    lefts = list(left_of(found._jdf.queryExecution().optimizedPlan().toString(), "LeftOuter"))
+    assert lefts and not any("key#" in x for left in lefts for x in left)

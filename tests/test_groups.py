@@ -8,6 +8,7 @@ import pytest
 
 from kindred.operators import clustering, hamming, merge
 from kindred.operators.components import connected_components
+from kindred.operators import components
 from kindred.operators.hashing import from_hex, hex_hash
 
 ZEROS, NEAR, ONES = "0" * 16, "0" * 15 + "f", "f" * 16
@@ -161,3 +162,14 @@ def test_greedy_clusters_follow_input_order(spark):
     for g in range(6):
         expected = brute_first_fit(range(8), lambda a, b, g=g: (g, a, b) in linked)
         assert sorted(tuple(sorted(c)) for c in got[g].values()) == expected
+
+
+def test_components_that_are_stars_take_no_round(spark, monkeypatch):
+    """A whole round of joins used to confirm that nothing was left to do."""
+    stored = []
+    store = components.materialise
+    monkeypatch.setattr(components, "materialise", lambda df, name: stored.append(name) or store(df, name))
+    edges = [(v, 10 * (v // 10)) for v in range(100)]
+    found = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert found == {v: 10 * (v // 10) for v in range(100)}
+    assert len(stored) == 1
