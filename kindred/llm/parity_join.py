@@ -427,7 +427,7 @@ def tiled(keys: DataFrame, marks: DataFrame) -> DataFrame:
     component (``most`` of ``held``) meet the tiles of the others alone.
     """
     few = keys.where(F.col("held") <= TILE).select("key", "node", "own", *(F.lit(0).alias(c) for c in ("tile", "lo", "hi")))
-    rows = keys.where((F.col("held") > TILE) & (F.col("node") != F.col("leader"))).join(marks.select("node", "label", "fresh"), "node")
+    rows = materialise(keys.where((F.col("held") > TILE) & (F.col("node") != F.col("leader"))).join(marks, "node"), "large")
     by_label = rows.groupBy("key", "label").agg(F.count("*").alias("n"))
     largest = by_label.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("giant"), F.max("n").alias("most"))
     rows = rows.join(largest, "key")
@@ -457,6 +457,8 @@ def tile_pairs(keys: DataFrame, reps: DataFrame, bands: Bands, labels: DataFrame
         known = known.withColumn("refuted", F.lit(None).cast("array<long>")).withColumn("fresh", F.lit(False))
     else:
         known = known.join(refuted.select("node", "refuted", "fresh"), "node", "left").withColumn("fresh", F.coalesce("fresh", F.lit(False)))
+    if labels is not None or refuted is not None:
+        known = materialise(known, "known")
     rows = tiled(keys, known.select("node", "label", "fresh")).join(known, "node").withColumn("folded", F.when(F.col("own"), F.col("_own")).otherwise(F.col("_next")))
     met = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node").select("key", "lo", "hi", "node", "tile", "n", "label", "folded", "refuted", "fresh")
     return met.mapInArrow(_forest(bands), "a long, b long").distinct()
