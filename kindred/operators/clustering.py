@@ -30,11 +30,10 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-import numpy as np
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
-from kindred.operators.firstfit import first_fit
+from kindred.operators.firstfit import Links, first_fit
 from kindred.storage import discard, materialise
 
 SMALL = 200
@@ -47,7 +46,7 @@ class Verifier:
     ``features`` makes a small struct of a raster, ``possible`` tells from two
     of them whether the pair can pass, ``bands`` are numbers of a struct that
     differ by at most a width in every pair that passes.  ``links`` is the test
-    of all rasters of one array with all of another, exactly as score and test.
+    of many rasters with many others in arrays, exactly as score and test.
     """
 
     score: Callable[[Column, Column], Column]
@@ -55,7 +54,7 @@ class Verifier:
     features: Callable[[Column], Column] | None = None
     possible: Callable[[Column, Column], Column] | None = None
     bands: tuple[tuple[Callable[[Column], Column], float], ...] = ()
-    links: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
+    links: Links | None = None
 
 
 def group_pairs(members: DataFrame, score: Callable[[Column, Column], Column], keys: list[str]) -> DataFrame:
@@ -68,7 +67,8 @@ def group_pairs(members: DataFrame, score: Callable[[Column, Column], Column], k
 def classes(members: DataFrame, verifier: Verifier, keys: list[str]) -> DataFrame:
     """keys, seq, grey and first: the first member with the same raster, if copies pass the test."""
     own = F.coalesce(verifier.accepts(verifier.score(F.col("grey"), F.col("grey"))), F.lit(False))
-    equal = members.groupBy(*keys, "grey").agg(F.min("seq").alias("_first")).withColumn("_own", own)
+    equal = members.groupBy(*keys, "grey").agg(F.min("seq").alias("_first"), F.count("*").alias("_n"))
+    equal = equal.withColumn("_own", F.when(F.col("_n") == 1, True).otherwise(own)).drop("_n")
     return members.join(equal, [*keys, "grey"]).select(*keys, "seq", "grey", F.when(F.col("_own"), F.col("_first")).otherwise(F.col("seq")).alias("first"))
 
 
@@ -184,7 +184,7 @@ def clustered(members: DataFrame, verifier: Verifier, keys: list[str], *, small:
     items = known.where(F.col("seq") == F.col("first")).select(*keys, "seq", "grey")
     large = materialise(items.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > small).select(*keys), "large_groups") if verifier.links else None
     some = large is not None and not large.isEmpty()
-    few = items.join(large, keys, "left_anti") if some else items
+    few = materialise(items.join(large, keys, "left_anti"), "few") if some else items  # stored, or features of all are worked out
     links = materialise(linked_pairs(few, verifier, keys), "links")
     found = greedy_clusters(few, links, keys, small=small)
     if some:

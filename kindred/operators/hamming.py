@@ -14,7 +14,8 @@ with fewer classes than values to look up are compared all with all.
 
 Links in range may be far more than classes, so groups never write them: a
 tile's own links become labels, and two tiles give the forest that joins their
-labels.
+labels.  Classes that carry one label already need not meet: once most do, only
+the others meet all.
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ TILE = 1 << 17  # classes, about
 LEAST_TILE = 1024
 SPREAD = 8  # tiles of smaller tables, for all cores
 PLACES = 1000  # tasks at most
-FEW = 2  # classes a value to look up from which bands pay
+FEW = 8  # classes a value to look up from which bands pay
+STRIPS = 8  # parts of a tile between which labels are looked at
 AT_ONCE = 1 << 18  # values looked up, or candidates compared
 
 
@@ -60,13 +62,23 @@ def _value(h: np.ndarray, low: int, width: int) -> np.ndarray:
     return ((h >> np.uint64(low)) & np.uint64((1 << width) - 1)).astype(np.int64)
 
 
+def hits(mask: np.ndarray) -> np.ndarray:
+    """``np.flatnonzero`` of many cells with few hits: eight are looked at together."""
+    flat = mask.ravel()
+    even = len(flat) & ~7
+    some = np.flatnonzero(flat[:even].view(np.uint64))
+    row, cell = np.nonzero(flat[:even].reshape(-1, 8)[some])
+    return np.concatenate([8 * some[row] + cell, even + np.flatnonzero(flat[even:])])
+
+
 def _all_pairs(a: np.ndarray, b: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, ...]]:
     """(i, j, distance) of a and b in range, all with all."""
     step = max(1, AT_ONCE // max(1, len(b)))
     for at in range(0, len(a), step):
-        apart = np.bitwise_count(a[at : at + step, None] ^ b)
-        i, j = np.nonzero(apart <= distance)
-        yield i + at, j, apart[i, j]
+        apart = np.bitwise_count(a[at : at + step, None] ^ b).ravel()
+        hit = hits(apart <= distance)
+        i, j = np.divmod(hit, len(b))
+        yield i + at, j, apart[hit]
 
 
 def _banded_pairs(a: np.ndarray, b: np.ndarray, distance: int, plan: list[tuple[int, int, int]]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -82,8 +94,10 @@ def _banded_pairs(a: np.ndarray, b: np.ndarray, distance: int, plan: list[tuple[
             asked = (_value(a[at : at + step], low, width)[:, None] ^ spelt).ravel()
             n = begin[asked + 1] - begin[asked]
             some = np.flatnonzero(n)
+            if not len(some):
+                continue
             total = np.cumsum(n[some], dtype=np.int64)
-            cuts = np.searchsorted(total, np.arange(0, total[-1] if len(total) else 0, AT_ONCE), side="right").tolist()
+            cuts = np.searchsorted(total, np.arange(0, total[-1], AT_ONCE), side="right").tolist()
             for x, y in zip(cuts, [*cuts[1:], len(some)], strict=True):
                 part = some[x:y]
                 held = n[part].astype(np.int64)
@@ -104,9 +118,9 @@ def near_pairs(a: np.ndarray, b: np.ndarray, distance: int, few: int = FEW) -> I
     return _banded_pairs(a, b, distance, plan) if bands else _all_pairs(a, b, distance)
 
 
-def _dealt(classes: DataFrame, tiles: int, own: bool) -> DataFrame:
+def _dealt(classes: DataFrame, tiles: int, own: bool, hashes: tuple[str, ...] = ("h",)) -> DataFrame:
     """``classes`` with their tile, at the places (lo, hi) where it meets the others; ``own``: itself alone."""
-    tile = F.pmod(F.xxhash64("h"), F.lit(tiles)).cast("int")
+    tile = F.pmod(F.xxhash64(*hashes), F.lit(tiles)).cast("int")
     if own:
         rows = classes.withColumn("tile", tile).withColumn("lo", tile).withColumn("hi", tile)
         return rows.repartition(min(2 * tiles, PLACES), "lo", "hi").sortWithinPartitions("lo", "hi")
@@ -193,37 +207,88 @@ def _joined(root: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) ->
     return root
 
 
-def class_forest(classes: DataFrame, distance: int, few: int = FEW) -> DataFrame:
+def _linked(h: np.ndarray, one: np.ndarray, two: np.ndarray, label: np.ndarray, root: np.ndarray, distance: int, few: int) -> np.ndarray:
+    """``_joined`` over the labels of all rows of ``one`` in range of rows of ``two``; these are the same rows or none.
+
+    Rows of the commonest label are not compared with each other.
+    """
+    rows, within = np.union1d(one, two), np.array_equal(one, two)
+    _, first, equal = np.unique(h[rows], return_index=True, return_inverse=True)
+    root = _joined(root, [(label[rows], label[rows[first[equal]]])])
+    at, step = 0, LEAST_TILE
+    while at < len(one) and len(two):
+        there = two[at:] if within else two
+        now = root[label]
+        common = np.bincount(now[there]).argmax()
+        if at > LEAST_TILE and np.count_nonzero(now[there] == common) * STRIPS < len(there):
+            step = len(one)  # too many labels for another look
+        some = one[at : at + step]
+        inside, other = now[some] == common, there[now[there] != common]
+        for x, y in ((some[~inside], there), (some[inside], other)):
+            if len(x) and len(y):
+                root = _joined(root, ((label[x[i]], label[y[j]]) for i, j, _ in near_pairs(h[x], h[y], distance, few)))
+        at += step
+        step = max(LEAST_TILE, -(-len(one) // STRIPS))
+    return root
+
+
+def _links(h: np.ndarray, one: np.ndarray, two: np.ndarray, distance: int) -> int:
+    """Pairs in range among the first rows."""
+    return sum(len(i) for i, _, _ in _all_pairs(h[one[:256]], h[two[-2048:]], distance))
+
+
+def _rooted(place: pa.Table, distances: dict[str, int], label: np.ndarray, few: int) -> np.ndarray:
+    """Roots of the labels of a place's rows after linking what is in range by any hash, the hash with most links first."""
+    tile = place["tile"].to_numpy()
+    cut = int(np.searchsorted(tile, tile[0], side="right"))
+    sides = (np.arange(cut), np.arange(cut, len(tile))) if cut < len(tile) else (np.arange(cut),) * 2
+    asked = []
+    for name, distance in distances.items():
+        column = place[name].combine_chunks()
+        known, h = column.is_valid().to_numpy(zero_copy_only=False), column.fill_null(0).to_numpy().view(np.uint64)
+        one, two = (x[known[x]] for x in sides)
+        asked.append((_links(h, one, two, distance), h, one, two, distance))
+    root = np.arange(label.max() + 1)
+    for _, h, one, two, distance in sorted(asked, key=lambda x: -x[0]):
+        root = _linked(h, one, two, label, root, distance, few)
+    return root
+
+
+def class_forest(classes: DataFrame, distance: int | dict[str, int], few: int = FEW) -> DataFrame:
     """(src, dst): edges between representatives whose components are those of ``class_pairs``.
 
-    At most one edge a class from its own tile, and where two tiles meet fewer
-    than they have labels together.
+    Classes may have several hashes, each with its distance: one in range is
+    enough.  At most one edge a class from its own tile, and where two tiles
+    meet fewer than they have labels together.
     """
     from kindred.storage import materialise
 
+    distances = distance if isinstance(distance, dict) else {"h": distance}
+
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for place in _places(batches):
-            root = _joined(np.arange(len(place)), ((i, j) for i, j, _ in _met(place, distance, few)))
+            root = _rooted(place, distances, np.arange(len(place)), few)
             reps = place["rep"].combine_chunks()
-            yield pa.RecordBatch.from_pydict({"h": place["h"].combine_chunks(), "rep": reps, "label": reps.take(pa.array(root))})
+            yield pa.RecordBatch.from_pydict({c: place[c].combine_chunks() for c in distances} | {"rep": reps, "label": reps.take(pa.array(root))})
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for place in _places(batches):
             if place["tile"][0] == place["tile"][-1]:
                 continue  # one tile alone was done before
             coded = place["label"].combine_chunks().dictionary_encode()
-            label, named = coded.indices.to_numpy(), coded.dictionary
-            root = _joined(np.arange(len(named)), ((label[i], label[j]) for i, j, _ in _met(place, distance, few)))
+            named = coded.dictionary
+            root = _rooted(place, distances, coded.indices.to_numpy(), few)
             moved = np.flatnonzero(root != np.arange(len(root)))
             yield pa.RecordBatch.from_pydict({"src": named.take(pa.array(moved)), "dst": named.take(pa.array(root[moved]))})
 
     kind = classes.schema["rep"].dataType.simpleString()
     tiles = _tiles(classes)
-    labels = materialise(_dealt(classes.select("h", "rep"), tiles, own=True).mapInArrow(alone, f"h long, rep {kind}, label {kind}"), "tiles")
+    hashes = ", ".join(f"`{c}` long" for c in distances)
+    labels = materialise(_dealt(classes.select(*distances, "rep"), tiles, own=True, hashes=tuple(distances)).mapInArrow(alone, f"{hashes}, rep {kind}, label {kind}"), "tiles")
     inner = labels.where(F.col("rep") != F.col("label")).select(F.col("rep").alias("src"), F.col("label").alias("dst"))
     if tiles == 1:
         return inner
-    return inner.unionByName(_dealt(labels, tiles, own=False).mapInArrow(across, f"src {kind}, dst {kind}"))
+    return inner.unionByName(_dealt(labels, tiles, own=False, hashes=tuple(distances)).mapInArrow(across, f"src {kind}, dst {kind}"))
 
 
 def hash_edges(hashed: DataFrame, id_col: str, hash_col: str, distance: int) -> DataFrame:
@@ -235,6 +300,21 @@ def hash_edges(hashed: DataFrame, id_col: str, hash_col: str, distance: int) ->
     return members.unionByName(class_forest(classes, distance))
 
 
+def union_edges(hashed: DataFrame, id_col: str, distances: dict[str, int]) -> DataFrame:
+    """(src, dst): edges whose components are the groups that any hash column links within its distance.
+
+    Rows of equal hashes are one class; what one column has linked needs no
+    comparison by the next.
+    """
+    from kindred.storage import materialise
+
+    known = hashed.where(F.coalesce(*distances).isNotNull()).select(F.col(id_col).alias("src"), *distances)
+    classes = materialise(known.groupBy(*distances).agg(F.min("src").alias("rep"), F.count("*").alias("members")), "classes")
+    many = classes.where("members > 1").select(*(F.col(c).alias(f"_{c}") for c in distances), F.col("rep").alias("dst"))
+    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in distances))
+    return known.join(many, same).select("src", "dst").unionByName(class_forest(classes, distances))
+
+
 def hash_groups_of(hashed: DataFrame, id_col: str, distances: dict[str, int]) -> list[DataFrame]:
     """(id, label) for each hash column: single-link groups within its distance; label is the least id.
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 
 from kindred.catalog import rollup
 from kindred.operators import bounds, clustering, hashing
-from kindred.operators.hamming import hash_edges, hash_groups, hash_groups_of
+from kindred.operators.hamming import hash_groups, hash_groups_of, union_edges
 from kindred.operators.merge import at_least_two, merge_edges, merge_groups
 from kindred.storage import materialise
 
@@ -147,15 +147,15 @@ def scan(rasters: DataFrame, preset: Preset, thresholds: dict[str, int] | None =
     algorithms = resolve(preset.hash_algorithms, HASHES)
     if not algorithms:
         raise ValueError("no hash algorithm")
-    usable = rasters.where(F.col("grey").isNotNull())
+    usable = materialise(rasters.where(F.col("grey").isNotNull()).select("seq", "grey"), "rasters")
     hashed = materialise(usable.select(F.col("seq").alias("id"), *(a.expression(F.col("grey")).alias(a.id) for a in algorithms)), "hashes")
     limits = {**preset.hash_thresholds, **(thresholds or {})}
     distances = {a.id: int(limits.get(a.id, a.default_threshold)) for a in algorithms}
     if preset.merge_strategy == "union" and len(distances) > 1:
-        merged = merge_edges([hash_edges(hashed, "id", name, d) for name, d in distances.items()])
+        merged = merge_edges([union_edges(hashed, "id", distances)])
     else:
         merged = merge_groups(hash_groups_of(hashed, "id", distances), preset.merge_strategy)
-    members = merged.select(F.col("label").alias("group_id"), F.col("id").alias("seq")).join(usable.select("seq", "grey"), "seq")
+    members = materialise(merged.select(F.col("label").alias("group_id"), F.col("id").alias("seq")).join(usable, "seq"), "members")
     checks = [verifier(a, preset.verify_thresholds.get(a.id, a.default_threshold)) for a in resolve(preset.verify_algorithms, VERIFIERS)]
     verified = clustering.verify(members, checks)
     cells = [c for c in verified.columns if c not in ("seq", "grey")]

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pyspark.sql.functions as F
 import pytest
 
@@ -181,3 +182,53 @@ def test_blocks_of_a_large_group_equal_first_fit(spark, monkeypatch, keep, thres
         assert all(scores[g][a, b] == plain[g, x, y] for a, x in enumerate(order) for b, y in enumerate(order) if a < b)
         linked = {(x, y) for h, x, y in plain if h == g and plain[h, x, y] >= threshold}
         assert {s: c for (h, s), c in got.items() if h == g} == first_fit(order, linked)
+
+
+@pytest.mark.parametrize("threshold", [0.0, 0.05, 0.1, 0.5, 0.9, 1.0, None])
+def test_links_by_one_product_are_the_scores_test(threshold):
+    """Also where a score is the threshold, and in pairs of very unlike brightness."""
+    draw = np.random.default_rng(9)
+    grey = np.array([x.ravel() for x in rasters(8, 150, 4)] + [draw.integers(110, 146, 64) for _ in range(150)], np.int32)
+    scores = bounds.ssim_matrix(grey.astype(float), grey.astype(float))
+    for at in [threshold] if threshold is not None else scores[160, 170:180].clip(0, 1):
+        links = bounds.ssim_links(float(at))
+        ready = links.ready(grey)
+        assert len(ready) > 1
+        for i, j in ((slice(0, 300), slice(0, 300)), (slice(150, 300), np.arange(150, 300)), (np.arange(0, 300, 7), slice(140, 190)), (np.arange(0), slice(0, 9))):
+            assert (links.linked(ready, i, ready, j) == (scores[i][:, j] >= at)).all()
+    sides = [firstfit._Side(bounds.ssim_links(0.1), pa.chunked_array([pa.array([x.ravel().tolist() for x in given], pa.list_(pa.int32()))])) for given in (rasters(8, 5, 1) + rasters(16, 4, 2), rasters(16, 3, 2))]
+    got = sides[0].linked(slice(0, 9), sides[1], np.arange(3))
+    wide = [np.array([x.ravel() for x in rasters(16, n, 2)], float) for n in (4, 3)]
+    assert not got[:5].any() and (got[5:] == (bounds.ssim_matrix(*wide) >= 0.1)).all()
+
+
+def test_most_members_of_large_clusters_are_not_met():
+    """Items are shut out early, and a block's items fill known clusters without meeting each other all."""
+    draw = np.random.default_rng(5)
+    grey = np.floor(draw.normal(0, 8, (6000, 64)) + 128).astype(np.int32)
+    links, met = bounds.ssim_links(0.1), []
+
+    def linked(a, i, b, j):
+        out = links.linked(a, i, b, j)
+        met.append(out.size)
+        return out
+
+    side = firstfit._Side(firstfit.Links(links.ready, linked), pa.chunked_array([pa.array(grey.tolist(), pa.list_(pa.int32()))]))
+    none = np.zeros(0, np.int64)
+    homes, places, decided = firstfit._in_turn(np.arange(6000), (none, none, none), side, 64)
+    assert decided == 6000 and sum(met) < 0.6 * 6000 * 6000 / 2
+    found = ~bounds.ssim_links(0.1).linked(*(side.ready[64], slice(0, 6000)) * 2)
+    for seed in np.unique(homes):
+        members = np.flatnonzero(homes == seed)
+        assert members[0] == seed and (places[members] == np.arange(len(members))).all() and not np.triu(found[np.ix_(members, members)], 1).any()
+        later = np.flatnonzero((homes > seed) & (np.arange(6000) > seed))  # each was shut out by an earlier member
+        assert (found[np.ix_(later, members)] & (members < later[:, None])).any(axis=1).all()
+
+
+def test_a_group_of_nine_thousand_takes_one_turn(spark, monkeypatch):
+    draw = np.random.default_rng(6)
+    grey = np.floor(draw.normal(0, 8, (9000, 64)) + 128).astype(int)
+    items = spark.createDataFrame([(1, i, x.tolist()) for i, x in enumerate(grey)], "_g int, seq long, grey array<int>")
+    stored, real = [], firstfit.materialise
+    monkeypatch.setattr(firstfit, "materialise", lambda df, name: stored.append(name) or real(df, name))
+    assert firstfit.first_fit(items, bounds.ssim_links(0.1)).count() == 9000 and stored.count("placed") == 1

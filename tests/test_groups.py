@@ -90,6 +90,37 @@ def test_groups_write_forests_instead_of_all_pairs(spark):
     assert {r["component"] for r in connected_components(edges).collect()} == {0}
 
 
+@pytest.mark.parametrize("least", [20, hamming.LEAST_TILE])
+def test_union_edges_join_what_any_hash_links(spark, monkeypatch, least):
+    """With copies, one hash or both unknown, and a value that fills one column."""
+    monkeypatch.setattr(hamming, "LEAST_TILE", least)
+    draw = random.Random(2)
+    near = lambda b, n: b ^ sum(1 << i for i in draw.sample(range(60), draw.randint(0, n)))
+    rows = [(i, near(draw.choice((0, (1 << 60) - 1, 0xF0F0F0F0F0F0)), 12), near(draw.getrandbits(60), 0) if i % 4 else 7) for i in range(150)]
+    rows += [(200 + i, rows[i][1] if i % 3 else None, rows[i][2] if i % 5 else None) for i in range(30)]
+    distances = {"x": 5, "y": 3}
+    root = {i: i for i, _, _ in rows}
+    for i, x, y in rows:
+        for j, u, v in rows:
+            if any(a is not None and b is not None and (a ^ b).bit_count() <= d for a, b, d in ((x, u, 5), (y, v, 3))):
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    edges = hamming.union_edges(spark.createDataFrame(rows, "id long, x long, y long"), "id", distances)
+    found = {r["id"]: r["component"] for r in connected_components(edges).collect()}
+    assert len(set(root.values())) > 3 and {i: found.get(i, i) for i in root} == root
+
+
+def test_classes_of_one_label_do_not_meet(monkeypatch):
+    draw, n = np.random.default_rng(8), 12_000
+    h = draw.integers(0, 1 << 20, n, dtype=np.uint64) | (draw.integers(0, 16, n, dtype=np.uint64) // 15 << 40) * np.uint64((1 << 20) - 1)
+    met, real = [], hamming.near_pairs
+    monkeypatch.setattr(hamming, "near_pairs", lambda a, b, *more: met.append(len(a) * len(b)) or real(a, b, *more))
+    rows = np.arange(n)
+    root = hamming._linked(h, rows, rows, rows, rows.copy(), 5, hamming.FEW)
+    plain = hamming._joined(rows.copy(), ((i, j) for i, j, _ in hamming._all_pairs(h, h, 5)))
+    assert (root == plain).all() and len(np.unique(root)) > 1 and sum(met) < 0.4 * n * n / 2
+
+
 def labelled(spark, groups, universe="abcde"):
     label = {x: min(g) for g in groups for x in g}
     return spark.createDataFrame([(x, label.get(x, x)) for x in universe], "id string, label string")
